@@ -101,51 +101,45 @@ def reblock(
 
 
 def running(o: Ordered, totals: dict[str, tuple[str, str]], current: bool = True, reverse: bool = False) -> DataFrame:
-    """Running ``sum``/``max``/``min``/``last`` from the first row of each key.
+    """Running ``sum``/``max``/``min``/``last``/``next`` over the rows of each key.
 
-    ``totals`` maps a new column to (kind, source column). ``last`` is the most recent non-null value.
-    ``current`` includes the row itself; ``reverse`` runs from the last row backwards. The per-block
-    summary has one row for each block and key in it, so the carry never holds the rows themselves.
+    ``totals`` maps a new column to (kind, source column). ``last`` is the most recent non-null value
+    and ``next`` the first one ahead. ``current`` includes the row itself; ``reverse`` runs the totals
+    from the last row backwards. The per-block summary has one row for each block and key in it, so
+    the carry never holds the rows themselves.
     """
-    kinds = {"sum": F.sum, "max": F.max, "min": F.min}
     base = o.df.filter(F.col(_BLK) == F.col(_HOME))
     end = 0 if current else -1
-    inside = o.window.rowsBetween(Window.unboundedPreceding, end)
-    if reverse:
-        inside = (
-            Window.partitionBy(_BLK, *o.by)
-            .orderBy(F.col(_POS).desc())
-            .rowsBetween(Window.unboundedPreceding, end)
-        )
-    blocks = Window.partitionBy(*o.by).orderBy(F.col(_BLK).desc() if reverse else F.col(_BLK))
-    blocks = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    picks = ("last", "next")
+    agg = {"sum": F.sum, "max": F.max, "min": F.min}
+
+    def frame(part: Sequence[str], at: str, kind: str, stop: int) -> WindowSpec:
+        backwards = reverse or kind == "next"
+        w = Window.partitionBy(*part).orderBy(F.col(at).desc() if backwards else F.col(at))
+        return w.rowsBetween(Window.unboundedPreceding, stop)
 
     def over(kind: str, c: str, w: WindowSpec) -> Column:
-        return F.last(c, ignorenulls=True).over(w) if kind == "last" else kinds[kind](c).over(w)
-
-    edge = F.min_by if reverse else F.max_by
-    summary = base.groupBy(_BLK, *o.by).agg(
-        *[
-            (edge(c, F.when(F.col(c).isNotNull(), F.col(_POS))) if kind == "last" else kinds[kind](c)).alias(f"__s_{n}")
-            for n, (kind, c) in totals.items()
-        ]
-    )
+        return (F.last(c, ignorenulls=True) if kind in picks else agg[kind](c)).over(w)
+
+    def whole(kind: str, c: str) -> Column:
+        if kind not in picks:
+            return agg[kind](c)
+        edge = F.min_by if reverse or kind == "next" else F.max_by
+        return edge(c, F.when(F.col(c).isNotNull(), F.col(_POS)))
+
+    summary = base.groupBy(_BLK, *o.by).agg(*[whole(k, c).alias(f"__s_{n}") for n, (k, c) in totals.items()])
     carry = summary.select(
         F.col(_BLK).alias("__cb"),
         *[F.col(c).alias(f"__c_{c}") for c in o.by],
-        *[over(kind, f"__s_{n}", blocks).alias(f"__k_{n}") for n, (kind, _) in totals.items()],
+        *[over(k, f"__s_{n}", frame(o.by, _BLK, k, -1)).alias(f"__k_{n}") for n, (k, _) in totals.items()],
     )
-    out = base.select("*", *[over(kind, c, inside).alias(f"__i_{n}") for n, (kind, c) in totals.items()])
+    out = base.select("*", *[over(k, c, frame([_BLK, *o.by], _POS, k, end)).alias(f"__i_{n}") for n, (k, c) in totals.items()])
     cond = F.col(_BLK) == F.col("__cb")
     for c in o.by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
     out = out.join(carry, cond, "left")
-    join_up = {
-        "sum": lambda i, k: F.coalesce(i + k, i, k),
-        "max": lambda i, k: F.greatest(i, k),
-        "min": lambda i, k: F.least(i, k),
-        "last": lambda i, k: F.coalesce(i, k),
-    }
+    join_up = {"sum": lambda i, k: F.coalesce(i + k, i, k), "max": F.greatest, "min": F.least,
+               "last": F.coalesce, "next": F.coalesce}
     for n, (kind, _) in totals.items():
         out = out.withColumn(n, join_up[kind](F.col(f"__i_{n}"), F.col(f"__k_{n}")))
     drop = ["__cb", _BLK, _HOME] + [f"__c_{c}" for c in o.by]
