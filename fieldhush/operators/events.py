@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldhush.functions.parse import event_kind, is_simulation, parse_list, parse_numbers
 from fieldhush.operators.blocks import ordered, reblock, running
-from fieldhush.operators.ranks import medians
+from fieldhush.sources.scratch import materialize
 
 
 def logged_events(df: DataFrame, rec: str, t: str, sim_type: str, sim_rel: str, grid: int = 3) -> DataFrame:
@@ -24,25 +24,29 @@ def logged_events(df: DataFrame, rec: str, t: str, sim_type: str, sim_rel: str,
 
 
 def gap_ids(df: DataFrame, by: Sequence[str], t: str, tie: Sequence[str], gap: float, out: str = "sid",
-            block_rows: int | None = None) -> DataFrame:
+            block_rows: int | None = None, keep_pos: bool = False) -> DataFrame:
     """Row-level session id, the position of its first row: a new one starts after a gap longer than ``gap`` seconds."""
     o = ordered(df, by, [t, *tie], before=1, block_rows=block_rows)
     before = F.lag(t).over(o.window)
     marked = o.home(o.df.withColumn("__start", F.when(before.isNull() | (F.col(t) - before > gap), F.col("__pos"))), keep_pos=True)
-    return running(reblock(marked, by, block_rows=block_rows), {out: ("last", "__start")}).drop("__start", "__pos")
+    rows = running(reblock(marked, by, block_rows=block_rows), {out: ("last", "__start")}).drop("__start")
+    return rows if keep_pos else rows.drop("__pos")
 
 
 def gap_sessions(df: DataFrame, by: Sequence[str], t: str, tie: Sequence[str], gap: float = 1200, pad: int = 3,
                  types: str | None = None, block_rows: int | None = None) -> DataFrame:
     """One row per session: ``start_t``, ``end_t`` (last time + ``pad``), ``centre`` (median time), ``n_events``, ``types``."""
     by = list(by)
-    rows = gap_ids(df, by, t, tie, gap, block_rows=block_rows)
+    rows = materialize(gap_ids(df, by, t, tie, gap, block_rows=block_rows, keep_pos=True), "sessions")
     aggs = [F.min(t).alias("start_t"), (F.max(t) + pad).alias("end_t"), F.count("*").alias("n_events")]
     if types:
         aggs += [F.array_sort(F.collect_set(types)).alias("types"), F.min_by(types, F.struct(t, *tie)).alias("first_type")]
     sums = rows.groupBy(*by, "sid").agg(*aggs)
-    mid = medians(rows, [*by, "sid"], [t], block_rows).select(*by, "sid", F.col(t).alias("centre"))
-    return sums.join(mid, [*by, "sid"]).drop("sid")
+    # Session rows have consecutive positions from ``sid`` on, so the median is the mean of the middle one or two.
+    at = [F.col("sid") + F.expr(x) for x in ("(n_events - 1) div 2", "n_events div 2")]
+    mid = sums.select(*by, "sid", F.explode(F.array_distinct(F.array(*at))).alias("__pos"))
+    centre = mid.join(rows.select("__pos", t), "__pos").groupBy(*by, "sid").agg(F.avg(t).alias("centre"))
+    return sums.join(centre, [*by, "sid"]).drop("sid")
 
 
 def bout_purity(df: DataFrame, by: Sequence[str], t: str, tie: Sequence[str], label: str, gap: float = 3600) -> DataFrame:

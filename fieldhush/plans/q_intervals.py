@@ -155,13 +155,16 @@ def j7b(spark, sf):
     return q.groupBy("rec").agg(F.count("*").alias("n"))
 
 
-@query("j8_no_overlap", f"""WITH {ctes('placebos')} SELECT rec, visit_t, start_t FROM placebos p WHERE NOT EXISTS (
-  SELECT 1 FROM sessions s WHERE s.rec = p.rec AND s.end_t > p.start_t - 1800 AND s.start_t < p.end_t + 3600)""")
+@query("j8_no_overlap", f"""WITH {ctes('visits', 'recdays')}, p AS (SELECT v.rec, v.start_t AS visit_t, v.start_t + (d.day - v.start_t // 86400) * 86400 AS start_t,
+  v.end_t + (d.day - v.start_t // 86400) * 86400 AS end_t FROM visits v JOIN recdays d ON d.rec = v.rec AND d.day <> v.start_t // 86400)
+SELECT rec, visit_t, start_t FROM p WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.rec = p.rec AND s.end_t > p.start_t - 1800 AND s.start_t < p.end_t + 3600)""")
 def j8(spark, sf):
     s = sessions(spark, sf)
-    p = placebos(spark, sf, s=s).withColumn("a", F.col("start_t") - 1800).withColumn("b", F.col("end_t") + 3600)
+    days = clips(spark, sf).select("rec", "day").distinct()
+    v = s.select("rec", "start_t", (F.col("start_t") + 1800).alias("end_t"))
+    p = J.same_clock_days(v, days, ["rec"], "start_t", ["start_t", "end_t"]).withColumn("a", F.col("start_t") - 1800).withColumn("b", F.col("end_t") + 3600)
     free = J.no_overlap(p, s.select("rec", F.col("start_t").alias("s0"), F.col("end_t").alias("s1")), ["rec"], "a", "b", "s0", "s1")
-    return free.select("rec", "visit_t", "start_t")
+    return free.select("rec", F.col("base_start_t").alias("visit_t"), "start_t")
 
 
 @query("j9_nearest_session", f"""WITH {ctes('sessions')}, p AS (SELECT clip_id, rec, t FROM clips WHERE lab = 0 AND x2 < 50),
@@ -244,7 +247,7 @@ def j16(spark, sf):
     return out.select("rec", "start_t", rnd("temp").alias("temp"), rnd("wind").alias("wind"))
 
 
-BUSY = """busy AS (SELECT v.rec, v.start_t, v.end_t, coalesce(sum(greatest(least(s.end_t, v.end_t + 3600) - greatest(s.start_t, v.end_t), 0)), 0)::BIGINT AS busy_s FROM visits v
+BUSY = """busy AS (SELECT v.rec, v.start_t, v.end_t, sum(CASE WHEN s.rec IS NULL THEN 0 ELSE greatest(least(s.end_t, v.end_t + 3600) - greatest(s.start_t, v.end_t), 0) END)::BIGINT AS busy_s FROM visits v
   LEFT JOIN visits s ON s.rec <> v.rec AND s.end_t > v.end_t AND s.start_t < v.end_t + 3600 GROUP BY 1, 2, 3)"""
 
 

@@ -12,7 +12,6 @@ from fieldhush.plans.views import clips, ctes, scores, segments
 
 BY, ORDER = ["rec"], ["t", "clip_id"]
 W = "PARTITION BY rec ORDER BY t, clip_id"
-BASE = F.col("lab") == 0
 
 
 def z_sql(x: str, mean: str, std: str) -> str:
@@ -40,7 +39,7 @@ def flagship(spark, sf):
 SELECT clip_id, round(coalesce((x1 - m1) / CASE WHEN s1 = 0 THEN 1e-6 ELSE s1 END, 0), 6) + 0.0 AS z_x1, round(coalesce((x2 - m2) / CASE WHEN s2 = 0 THEN 1e-6 ELSE s2 END, 0), 6) + 0.0 AS z_x2
 FROM clips c LEFT JOIN s ON s.rec = c.rec AND s.hour = c.hour""")
 def w1(spark, sf):
-    out = S.baseline_z(clips(spark, sf), ["rec", "hour"], ["x1", "x2"], BASE)
+    out = S.baseline_z(clips(spark, sf), ["rec", "hour"], ["x1", "x2"], F.expr("lab = 0"))
     return out.select("clip_id", rnd("z_x1").alias("z_x1"), rnd("z_x2").alias("z_x2"))
 
 
@@ -49,7 +48,7 @@ SELECT clip_id, round(coalesce((x1 - m1) / CASE WHEN s1 = 0 THEN 1e-6 ELSE s1 EN
 def w2(spark, sf):
     c = clips(spark, sf)
     train, test = c.filter("clip_id % 5 <> 0 AND hour < 20"), c.filter("clip_id % 5 = 0")
-    return S.baseline_z(test, ["hour"], ["x1"], BASE, train).select("clip_id", rnd("z_x1").alias("z_x1"))
+    return S.baseline_z(test, ["hour"], ["x1"], F.expr("lab = 0"), train).select("clip_id", rnd("z_x1").alias("z_x1"))
 
 
 @query("w3_rolling_z_labelled", f"""WITH {ctes('clips')}, b AS (SELECT *, sum(1 - lab) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM clips),
@@ -58,7 +57,7 @@ s AS (SELECT rec, row_number() OVER ({W}) AS i, count(*) OVER p AS n, avg(x1) OV
 SELECT b.clip_id, round(CASE WHEN s.n >= 2 THEN {z_sql('x1', 'm1', 's1')} ELSE 0 END, 6) + 0.0 AS z_x1 FROM b LEFT JOIN s ON s.rec = b.rec AND s.i = b.nb""")
 def w3(spark, sf):
     c = clips(spark, sf).select("clip_id", "rec", "t", "x1", "lab")
-    return S.labelled_rolling_z(c, BY, ORDER, ["x1"], BASE, 20).select("clip_id", rnd("z_x1").alias("z_x1"))
+    return S.labelled_rolling_z(c, BY, ORDER, ["x1"], F.expr("lab = 0"), 20).select("clip_id", rnd("z_x1").alias("z_x1"))
 
 
 @query("w4_rolling_z_unlabelled", f"WITH {ctes('clips')}, {ROLL} SELECT clip_id, round(z1, 6) + 0.0 AS z_x1, round(z2, 6) + 0.0 AS z_x2 FROM rz")
@@ -92,7 +91,7 @@ SELECT r.clip_id, r.n_calib, round(CASE WHEN r.n_calib = 0 THEN 0 ELSE coalesce(
 FROM r LEFT JOIN s ON s.rec = r.rec AND s.n_calib = r.n_calib""")
 def w7(spark, sf):
     c = clips(spark, sf).select("clip_id", "rec", "t", "x1", "lab")
-    out = S.new_site_z(c, BY, ORDER, ["x1"], BASE, [0, 10, 20, 50, 100, 200, -1])
+    out = S.new_site_z(c, BY, ORDER, ["x1"], F.expr("lab = 0"), [0, 10, 20, 50, 100, 200, -1])
     return out.select("clip_id", "n_calib", rnd("z_x1").alias("z_x1"))
 
 
