@@ -25,11 +25,11 @@ def interval_join(rows: DataFrame, windows: DataFrame, by: Sequence[str], t: str
 
     ``bucket`` seconds should be near the usual window length: a window is repeated once per bucket it touches.
     """
-    b = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))
-    spread = windows.filter(F.col(end) > F.col(start)).withColumn("__b", F.explode(b))
-    keyed = rows.withColumn("__b", F.floor(F.col(t) / bucket))
-    both = keyed.join(spread, [*by, "__b"])
-    return both.filter((F.col(t) >= F.col(start)) & (F.col(t) < F.col(end))).drop("__b")
+    touched = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))
+    spread = windows.filter(F.col(end) > F.col(start)).withColumn("__bucket", F.explode(touched))
+    keyed = rows.withColumn("__bucket", F.floor(F.col(t) / bucket))
+    both = keyed.join(spread, [*by, "__bucket"])
+    return both.filter((F.col(t) >= F.col(start)) & (F.col(t) < F.col(end))).drop("__bucket")
 
 
 def window_measures(rows: DataFrame, windows: DataFrame, by: Sequence[str], t: str, start: str, end: str,

@@ -120,7 +120,8 @@ def bootstrap_weights(df: DataFrame, by: Sequence[str], order: Sequence[str], dr
     """
     rows = row_index(df, by, order, "__rn")
     sizes = rows.groupBy(*by).agg(F.max("__rn").alias("__n"))
-    picks = rows.select(*by, F.col("__rn").alias("__i")).join(sizes, list(by)).withColumn(
+    picks = rows.select(*by, F.col("__rn").alias("__i"))
+    picks = (picks.join(sizes, list(by)) if by else picks.crossJoin(F.broadcast(sizes))).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10)
     picks = picks.withColumn("__rn", h.cast("long") % F.col("__n") + 1)

@@ -48,17 +48,18 @@ def read_feature_matrices(spark: SparkSession, path: str, fmt: str = "csv", name
 
     Tables with different columns are united by name, missing columns are null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", True).load(path).select("path")
-    # One short path per recorder file: a listing, not data.
-    paths = sorted(r.path for r in files.filter(F.regexp_extract(F.element_at(F.split("path", "/"), -1), name, 1) != "").collect())
-    if not paths:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", True).load(path)
+    found = files.select(F.regexp_extract("path", name, 0).alias("stem")).filter("stem <> ''").distinct()
+    # One stem per recorder; each may be a file or a folder of part files.
+    stems = sorted(r.stem for r in found.collect())
+    if not stems:
         raise FileNotFoundError(f"no feature matrix under {path}")
     out = None
-    for p in paths:
-        part = spark.read.option("header", True).option("inferSchema", fmt == "csv").format(fmt).load(p)
-        part = part.withColumn("__file", F.input_file_name())
+    for stem in stems:
+        part = spark.read.option("header", True).option("inferSchema", fmt == "csv").format(fmt).load(f"{path}/{stem}*")
+        part = part.withColumn("__file", F.lit(stem))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    from_file = F.concat(F.lit("AM"), F.regexp_extract(F.element_at(F.split("__file", "/"), -1), name, 1))
+    from_file = F.concat(F.lit("AM"), F.regexp_extract("__file", name, 1))
     rec = recorder_of("clip_name")
     return out.withColumn("recorder", F.when(rec == "AM?", from_file).otherwise(rec)).drop("__file")
 
