@@ -19,9 +19,9 @@ from fieldhush.sources.scratch import materialize
 STEP = 7200
 CHOSEN = """chosen AS (SELECT rec, visit_t, start_t FROM (SELECT *, row_number() OVER (PARTITION BY rec, visit_t ORDER BY md5('4|' || rec || '|' || visit_t || '|' || start_t)) AS rn FROM placebos) WHERE rn <= 4)"""
 STUDY = f"""{ctes('placebos')}, {CHOSEN}, study AS (SELECT rec, start_t AS vid_t, 'visit' AS kind, start_t AS t0 FROM visits UNION ALL SELECT rec, visit_t, 'placebo', start_t FROM chosen)"""
-LEVELS = f"""{STUDY}, lev AS (SELECT s.rec, s.vid_t, s.kind, s.t0, CAST(floor((c.t - s.t0) / {STEP}.0) AS INTEGER) AS step, count(*) AS n, avg(c.x1) AS y, avg(c.x2) AS y2
+LEVELS = f"""{STUDY}, lev AS (SELECT s.rec, s.vid_t, s.kind, s.t0, CAST(floor((c.t - s.t0) / {STEP}.0) AS INTEGER) AS step, count(*) AS n, round(avg(c.x1), 8) AS y, round(avg(c.x2), 8) AS y2
   FROM study s JOIN clips c ON c.rec = s.rec AND c.t >= s.t0 - {3 * STEP} AND c.t < s.t0 + {3 * STEP} GROUP BY 1, 2, 3, 4, 5)"""
-DIFF = f"""{LEVELS}, diff AS (SELECT rec, vid_t, step, max(CASE WHEN kind = 'visit' THEN y END) - median(CASE WHEN kind = 'placebo' THEN y END) AS d FROM lev GROUP BY 1, 2, 3),
+DIFF = f"""{LEVELS}, diff AS (SELECT rec, vid_t, step, round(max(CASE WHEN kind = 'visit' THEN y END) - median(CASE WHEN kind = 'placebo' THEN y END), 8) AS d FROM lev GROUP BY 1, 2, 3),
 dd AS (SELECT * FROM diff WHERE d IS NOT NULL)"""
 
 
@@ -45,12 +45,14 @@ def study(spark, sf):
 
 def levels(spark, sf):
     c = clips(spark, sf).select("rec", "t", "x1", "x2")
-    lev = S.step_levels(c, materialize(study(spark, sf), "study"), ["rec"], "t", "t0", STEP, -3, 3, [F.avg("x1").alias("y"), F.avg("x2").alias("y2")])
+    lev = S.step_levels(c, materialize(study(spark, sf), "study"), ["rec"], "t", "t0", STEP, -3, 3, [F.round(F.avg("x1"), 8).alias("y"), F.round(F.avg("x2"), 8).alias("y2")])
     return materialize(lev, "levels")
 
 
 def diffs(spark, sf):
-    return S.matched_difference(levels(spark, sf), ["rec", "vid_t", "step"], "kind", ["y"]).withColumnRenamed("d_y", "d")
+    """Visit minus placebo median per step. Means are rounded, so that values equal on paper rank as equal."""
+    d = S.matched_difference(levels(spark, sf), ["rec", "vid_t", "step"], "kind", ["y"])
+    return d.select("rec", "vid_t", "step", F.round("d_y", 8).alias("d"))
 
 
 # ---- single tests ----------------------------------------------------------
@@ -128,9 +130,9 @@ def t8(spark, sf):
 BASED = f"""{DIFF}, bs AS (SELECT rec, vid_t, avg(d) AS b FROM dd WHERE step IN (-3, -2) GROUP BY 1, 2 HAVING count(*) = 2), cs AS (SELECT dd.rec, dd.vid_t, step, d, d - b AS c FROM dd JOIN bs ON bs.rec = dd.rec AND bs.vid_t = dd.vid_t)"""
 
 
-@query("w19_change_since_baseline", f"WITH {BASED} SELECT rec, vid_t, step, round(c, 6) + 0.0 AS change FROM cs")
+@query("w19_change_since_baseline", f"WITH {BASED} SELECT rec, vid_t, step, round(c + 5e-8, 6) + 0.0 AS change FROM cs")
 def w19(spark, sf):
-    return change_since(diffs(spark, sf), ["rec", "vid_t"], "step", ["d"], [-3, -2]).select("rec", "vid_t", "step", rnd("d_d").alias("change"))
+    return change_since(diffs(spark, sf), ["rec", "vid_t"], "step", ["d"], [-3, -2]).select("rec", "vid_t", "step", rnd(F.col("d_d") + 5e-8).alias("change"))
 
 
 @query("t9_step_time_course", f"""WITH {BASED} SELECT step, count(*) AS n, round(median(c), 6) + 0.0 AS median, round(avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_up,
@@ -199,10 +201,10 @@ def t13(spark, sf):
 
 
 @query("t14_shape_contrast", f"""WITH {DIFF}, g AS (SELECT rec, vid_t, CASE WHEN count(CASE WHEN step IN (-1, 0) THEN 1 END) >= 1 THEN avg(CASE WHEN step IN (-1, 0) THEN d END) END AS c, avg(CASE WHEN step = -3 THEN d END) AS e, avg(CASE WHEN step = 2 THEN d END) AS l FROM dd GROUP BY 1, 2)
-SELECT rec, vid_t, round(c - CASE WHEN e IS NULL THEN l WHEN l IS NULL THEN e ELSE (e + l) / 2 END, 6) + 0.0 AS both_edges, round(c - e, 6) + 0.0 AS early_edge FROM g WHERE c IS NOT NULL AND e IS NOT NULL""")
+SELECT rec, vid_t, round(c - CASE WHEN e IS NULL THEN l WHEN l IS NULL THEN e ELSE (e + l) / 2 END + 5e-8, 6) + 0.0 AS both_edges, round(c - e + 5e-8, 6) + 0.0 AS early_edge FROM g WHERE c IS NOT NULL AND e IS NOT NULL""")
 def t14(spark, sf):
     out = S.shape_contrast(diffs(spark, sf), ["rec", "vid_t"], "step", "d", [-1, 0], [-3], [2])
-    return out.filter("early_edge is not null").select("rec", "vid_t", rnd("both_edges").alias("both_edges"), rnd("early_edge").alias("early_edge"))
+    return out.filter("early_edge is not null").select("rec", "vid_t", rnd(F.col("both_edges") + 5e-8).alias("both_edges"), rnd(F.col("early_edge") + 5e-8).alias("early_edge"))
 
 
 FARW = """o AS (SELECT rec, start_t AS vid_t, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i, unnest([-3, 3, -4, 4, -5, 5, -6, 6]) AS h FROM visits), f AS (SELECT *, vid_t + h * 3600 AS far_t FROM o),
@@ -426,3 +428,104 @@ def t32b(spark, sf):
     s = sessions(spark, sf).select("rec", "start_t", (F.col("start_t") + 1800).alias("end_t"))
     b = J.activity_elsewhere(v, s, "rec", "end_t", "start_t", "end_t").select(F.lit(1).alias("g"), "d", "busy_s")
     return S.spearman(b, ["g"], "d", "busy_s").select("n", rnd("rho").alias("rho"))
+
+
+# ---- panel models ----------------------------------------------------------
+
+def demean_sql(src: str, cols: list[str], rounds: int = 8) -> str:
+    """Alternating removal of the means by rec and by moment, unrolled."""
+    out, prev = [], src
+    for i in range(rounds):
+        for f in ("rec", "moment"):
+            cur = f"dm{i}_{f}"
+            out.append(f"{cur} AS (SELECT * REPLACE (" + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {f}) AS {c}" for c in cols) + f") FROM {prev})")
+            prev = cur
+    return ",\n".join(out) + f", dm AS (SELECT * FROM {prev})"
+
+
+PANEL = f"{ctes('panel')}, pw AS (SELECT l_orderkey, l_linenumber, rec, moment, yr, y, near, after_ FROM panel), {demean_sql('pw', ['y', 'near', 'after_'])}"
+
+
+@query("t26_two_way_demeaning", f"WITH {PANEL} SELECT l_orderkey, l_linenumber, round(y, 4) + 0.0 AS y, round(near, 4) + 0.0 AS near FROM dm")
+def t26(spark, sf):
+    d = N.demean(panel(spark, sf), "rec", "moment", ["y", "near"])
+    return d.select("l_orderkey", "l_linenumber", rnd("r_y", 4).alias("y"), rnd("r_near", 4).alias("near"))
+
+
+OLS = f"""{PANEL}, g AS (SELECT sum(near * near) AS aa, sum(near * after_) AS ab, sum(after_ * after_) AS bb, sum(near * y) AS ay, sum(after_ * y) AS by_ FROM dm),
+bt AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2, aa, ab, bb, aa * bb - ab * ab AS det FROM g)"""
+
+
+@query("t27_fixed_effects_ols", f"WITH {OLS} SELECT 'near' AS term, round(b1, 5) AS beta FROM bt UNION ALL SELECT 'after_', round(b2, 5) FROM bt")
+def t27(spark, sf):
+    return N.fixed_effects_ols(panel(spark, sf), "rec", "moment", "y", ["near", "after_"]).select("term", rnd("beta", 5).alias("beta"))
+
+
+@query("t28_cluster_robust_errors", f"""WITH {OLS}, q AS (SELECT rec, yr, sum(near * (y - b1 * near - b2 * after_)) AS q1, sum(after_ * (y - b1 * near - b2 * after_)) AS q2 FROM dm, bt GROUP BY 1, 2),
+m AS (SELECT sum(q1 * q1) AS m11, sum(q1 * q2) AS m12, sum(q2 * q2) AS m22 FROM q)
+SELECT 'near' AS term, round(b1, 5) AS beta, round(sqrt((bb * bb * m11 - 2 * ab * bb * m12 + ab * ab * m22) / (det * det)), 5) AS se FROM bt, m
+UNION ALL SELECT 'after_', round(b2, 5), round(sqrt((ab * ab * m11 - 2 * aa * ab * m12 + aa * aa * m22) / (det * det)), 5) FROM bt, m""")
+def t28(spark, sf):
+    p = panel(spark, sf).withColumn("cluster", F.col("rec") * 10000 + F.col("yr"))
+    return N.fixed_effects_ols(p, "rec", "moment", "y", ["near", "after_"], cluster="cluster").select("term", rnd("beta", 5).alias("beta"), rnd("se", 5).alias("se"))
+
+
+LAGS = {"during": (0, 1800), "after_0_20": (1800, 3000), "after_20_40": (3000, 4200), "after_40_60": (4200, 5400)}
+
+
+@query("t29_session_lag_indicators", f"WITH {ctes('clips', 'visits')} SELECT clip_id, " + ", ".join(
+    f"CASE WHEN EXISTS (SELECT 1 FROM visits v WHERE v.rec = c.rec AND c.t >= v.start_t + {a} AND c.t < v.start_t + {b}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {n}" for n, (a, b) in LAGS.items()) + " FROM clips c")
+def t29(spark, sf):
+    from fieldhush.operators.events import lag_indicators
+
+    s = sessions(spark, sf).select("rec", "start_t")
+    steps = {n: (F.col("start_t") + a, F.col("start_t") + b) for n, (a, b) in LAGS.items()}
+    return lag_indicators(clips(spark, sf).select("clip_id", "rec", "t"), s, ["rec"], "t", steps, 1800).select("clip_id", *LAGS)
+
+
+@query("t30_placebo_session_null")
+def t30(spark, sf):
+    """During and after effects of the real sessions against 10 shifted schedules, the real ones kept as controls."""
+    c = clips(spark, sf)
+    rows = c.select("clip_id", "rec", "t", F.col("x1").alias("y"), P.session_key("rec", "t").alias("f1"), F.concat_ws("|", "rec", "hour").alias("f2"))
+    rows = materialize(N.demean(rows, "f1", "f2", ["y"]).drop("y"), "minutes")
+    s = sessions(spark, sf)
+    v = s.select("rec", "start_t", "centre")
+    moved = J.same_clock_days(v, c.select("rec", "day").distinct(), ["rec"], "start_t", ["start_t", "centre"])
+    free = J.quiet(moved, s.select("rec", F.col("centre").alias("c")), ["rec"], "centre", "c", 7200)
+    picks = N.shifted_sessions(free.select("rec", F.col("base_start_t").alias("start_t"), "offset"), ["rec", "start_t"], "offset", 10, "30")
+    fake = picks.select("perm", "rec", (F.col("start_t") + F.col("offset")).alias("start_t"))
+    names = list(LAGS)
+    steps = {n: (F.col("start_t") + a, F.col("start_t") + b) for n, (a, b) in LAGS.items()}
+    f = N.lag_hits(rows, fake, ["rec"], "t", ["perm"], steps, 1800)
+    perms = fake.select("perm").distinct()
+    real = N.lag_hits(rows, v, ["rec"], "t", [], steps, 1800)
+    again = real.select(*rows.columns, *[F.col(n).alias(f"real_{n}") for n in names]).crossJoin(F.broadcast(perms))
+    hits = f.join(again, ["perm", *rows.columns], "full_outer").fillna(0.0, [*names, *[f"real_{n}" for n in names]])
+    cells = materialize(rows.groupBy("f1", "f2").agg(F.count("*").alias("n")), "cells")
+    null = N.sparse_fits(cells, materialize(hits, "hits"), ["perm"], "f1", "f2", "n", [*names, *[f"real_{n}" for n in names]], "r_y")
+    true = N.sparse_fits(cells, materialize(real.withColumn("perm", F.lit(0)), "hits"), ["perm"], "f1", "f2", "n", names, "r_y")
+    both = true.unionByName(null.withColumn("beta", F.slice("beta", 1, len(names))))
+    out = N.permutation_p(both, "perm", names)
+    return out.select("term", rnd("beta").alias("beta"), rnd("p_two_sided").alias("p"), rnd(2.8 * F.col("null_sd")).alias("smallest_effect"), "n_perm")
+
+
+@query("t31_schedule_permutation")
+def t31(spark, sf):
+    """Distance-bin effects on 2-hour cells against 20 schedules permuted over the recorders of each day."""
+    bins = ["approach", "near", "after", "mid"]
+    c = clips(spark, sf).groupBy("rec", "day", P.slot_of("t", 120).alias("slot")).agg(F.avg("x1").alias("y"))
+    c = c.withColumn("f1", F.concat_ws("|", "day", "slot")).withColumn("f2", F.concat_ws("|", "rec", "slot"))
+    rows = materialize(N.demean(c, "f1", "f2", ["y"]).drop("y"), "cells")
+    ev = sims(spark, sf).select("rec", F.expr("t div 86400").alias("day"), "t").distinct()
+    at = rows.select("day", "slot").distinct().join(ev.select("rec", "day").distinct(), "day")
+    at = at.withColumn("mid_t", F.col("day") * 86400 + F.col("slot") * 60 + 3600)
+    lab = J.signed_time(at, ev, ["rec", "day"], "mid_t", "t", []).withColumn("bin", J.distance_label(F.col("dt") / 60)).filter("bin <> 'far'")
+    perm = N.schedule_permutations(rows.select("day", "rec"), "day", "rec", 20, "5")
+    moved = lab.select("day", "slot", F.col("rec").alias("source"), "bin").join(perm, ["day", "source"]).select("perm", "day", "rec", "slot", "bin")
+    hits = moved.join(rows, ["day", "rec", "slot"]).select("perm", "f1", "f2", "r_y", *[(F.col("bin") == b).cast("double").alias(b) for b in bins], F.lit(1.0).alias("pooled"))
+    hits = materialize(hits, "hits")
+    cells = materialize(rows.groupBy("f1", "f2").agg(F.count("*").alias("n")), "cells")
+    each = N.permutation_p(N.sparse_fits(cells, hits, ["perm"], "f1", "f2", "n", bins, "r_y"), "perm", bins)
+    pooled = N.permutation_p(N.sparse_fits(cells, hits, ["perm"], "f1", "f2", "n", ["pooled"], "r_y"), "perm", ["pooled"])
+    return each.unionByName(pooled).select("term", rnd("beta").alias("beta"), rnd("p_lower").alias("p_lower"), rnd("p_two_sided").alias("p_two_sided"), "n_perm")
