@@ -129,7 +129,7 @@ def _column(fn, *cols: Column) -> Column:
     def run(rows: pd.DataFrame) -> pd.Series:
         return pd.Series([None if any(pd.isna(v) for v in r) else fn(*r) for r in rows.itertuples(index=False)], dtype="float64")
 
-    udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)
+    udf = F.pandas_udf(run, "double")
     return udf(F.struct(*[c.cast("double").alias(f"a{i}") for i, c in enumerate(cols)]))
 
 

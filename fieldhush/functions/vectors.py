@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,20 @@ def scale(a: str | Column, by: Column | float) -> Column:
     return F.transform(_c(a), lambda x: x * by)
 
 
-def group_vectors(df: DataFrame, by: list[str], vector: str, stats: dict[str, object]) -> DataFrame:
-    """Element-wise statistics of an array column: one array per entry of ``stats`` (name -> aggregate).
+def group_vectors(df: DataFrame, by: list[str], vector: str, stats: dict[str, str]) -> DataFrame:
+    """Element-wise ``mean``, population ``std`` or ``max`` of an array column, one array per entry of ``stats``.
 
-    Entries are aggregated by (group, position), so partial sums leave each task and no group is held.
+    The vector summary is a partial aggregate: each task sends one summary per group, never the vectors.
     """
-    long = df.select(*by, F.posexplode(vector).alias("__i", "__v")).withColumn("__v", F.col("__v").cast("double"))
-    cells = long.groupBy(*by, "__i").agg(*[f("__v").alias(n) for n, f in stats.items()])
-
-    def back(n: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.struct("__i", n)))
-        return F.transform(pairs, lambda p: p[n]).alias(n)
-
-    return cells.groupBy(*by).agg(*[back(n) for n in stats])
+    vec = array_to_vector(F.transform(_c(vector), lambda x: x.cast("double")))
+    rows = df.filter(_c(vector).isNotNull()).select(*by, vec.alias("__v"))
+    wanted = {"mean": ["mean"], "std": ["variance", "count"], "max": ["max"]}
+    metrics = sorted({m for k in stats.values() for m in wanted[k]})
+    g = rows.groupBy(*by).agg(Summarizer.metrics(*metrics).summary(F.col("__v")).alias("__s"))
+    n = F.col("__s.count")
+    forms = {
+        "mean": lambda: vector_to_array("__s.mean"),
+        "max": lambda: vector_to_array("__s.max"),
+        "std": lambda: F.transform(vector_to_array("__s.variance"), lambda v: F.sqrt(v * (n - 1) / n)),
+    }
+    return g.select(*by, *[forms[k]().alias(name) for name, k in stats.items()])

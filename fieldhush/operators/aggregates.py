@@ -136,7 +136,7 @@ def cluster_summary(df: DataFrame, by: Sequence[str], cluster: str, vector: str,
     counts = kept.groupBy(*by, cluster).agg(F.count("*").alias("k"))
     share = df.groupBy(*by).agg(F.avg((F.col(cluster) == noise).cast("double")).alias("noise_share"))
     big = counts.filter("k >= 2").select(*by, cluster)
-    centres = group_vectors(kept.join(big, [*by, cluster], "left_semi"), [*by, cluster], vector, {"centre": F.avg})
+    centres = group_vectors(kept.join(big, [*by, cluster], "left_semi"), [*by, cluster], vector, {"centre": "mean"})
     spread = kept.join(centres, [*by, cluster]).groupBy(*by).agg(F.avg(l2_distance(vector, "centre")).alias("scatter"))
     n = counts.groupBy(*by).agg(F.count("*").alias("clusters"))
     return share.join(entropy(counts, by, "k"), by, "left").join(n, by, "left").join(spread, by, "left").fillna(

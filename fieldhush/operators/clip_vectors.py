@@ -15,15 +15,14 @@ from fieldhush.operators.intervals import interval_join, pairs
 
 def clip_statistics(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
     """Element-wise ``mean``, population ``std`` and ``max`` over the segments of a clip."""
-    return group_vectors(df, list(by), vector, {"mean": F.avg, "std": F.stddev_pop, "max": F.max})
+    return group_vectors(df, list(by), vector, {"mean": "mean", "std": "std", "max": "max"})
 
 
 def nested_mean(df: DataFrame, key: str, segments: str, out: str = "embedding") -> DataFrame:
     """Mean over the segments held in one ``array<array<float>>`` cell per clip; NaN and infinity become 0."""
-    long = df.select(key, F.explode(segments).alias("__s")).select(key, F.posexplode("__s").alias("__i", "__v"))
-    cells = long.groupBy(key, "__i").agg(F.avg(F.col("__v").cast("double")).alias("m")).withColumn("m", finite("m"))
-    rows = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__i", "m"))).alias("__p"))
-    return rows.select(key, F.transform("__p", lambda p: p["m"]).alias(out))
+    segs = F.transform(F.col(segments), lambda s: F.transform(s, lambda x: x.cast("double")))
+    total = F.aggregate(F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0))), segs[0], lambda a, s: F.zip_with(a, s, lambda x, y: x + y))
+    return df.select(key, F.transform(total, lambda x: finite(x / F.size(segs))).alias(out))
 
 
 def ordered_concat(df: DataFrame, by: Sequence[str], order: str, vector: str, k: int, width: int, out: str = "ordered") -> DataFrame:
@@ -42,7 +41,7 @@ def delta_statistics(df: DataFrame, by: Sequence[str], order: str, vector: str,
     o = ordered(df.select(*by, order, vector), by, [order], before=1)
     prev = F.lag(vector).over(o.window)
     d = o.home(o.df.withColumn("__d", F.zip_with(F.col(vector), prev, lambda x, y: x.cast("double") - y.cast("double"))))
-    stats = group_vectors(d.filter(F.col("__d").isNotNull()), by, "__d", {"delta_mean": F.avg, "delta_std": F.stddev_pop})
+    stats = group_vectors(d.filter(F.col("__d").isNotNull()), by, "__d", {"delta_mean": "mean", "delta_std": "std"})
     ends = d.groupBy(*by).agg(F.min_by("__d", F.when(F.col("__d").isNotNull(), F.col(order))).alias("delta_first"),
                               F.max_by("__d", F.when(F.col("__d").isNotNull(), F.col(order))).alias("delta_last"))
     zeros = F.array_repeat(F.lit(0.0), width)
@@ -55,14 +54,14 @@ def window_spectrum(rows: DataFrame, windows: DataFrame, by: Sequence[str], t: s
     """(window, band, db, n): mean power of each band over the window's clips in dB, from at least ``least`` clips."""
     ids = windows.columns
     hit = interval_join(rows.select(*by, t, spectrum), windows, by, t, start, end, bucket)
-    long = hit.select(*ids, F.posexplode(spectrum).alias("band", "__v"))
-    g = long.groupBy(*ids, "band").agg(F.avg(F.col("__v").cast("double")).alias("__m"), F.count("*").alias("n"))
-    return g.filter(F.col("n") >= least).withColumn("db", decibel("__m")).drop("__m")
+    n = hit.groupBy(*ids).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    means = group_vectors(hit, list(ids), spectrum, {"mean": "mean"}).join(n, ids)
+    return means.select(*ids, "n", F.posexplode("mean").alias("band", "__m")).withColumn("db", decibel("__m")).drop("__m")
 
 
 def site_distances(df: DataFrame, site: str, vector: str) -> DataFrame:
     """Distance between the mean vectors of every two sites."""
-    means = group_vectors(df, [site], vector, {"mean": F.avg})
+    means = group_vectors(df, [site], vector, {"mean": "mean"})
     p = pairs(means, site, "mean")
     return p.select(f"{site}_a", f"{site}_b", l2_distance("vec_a", "vec_b").alias("distance"), cosine("vec_a", "vec_b").alias("cosine"))
 

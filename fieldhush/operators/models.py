@@ -236,7 +236,7 @@ def coral(source: DataFrame, target: DataFrame, array: str, out: str = "aligned"
     def run(col: pd.Series) -> pd.Series:
         return pd.Series(list((np.stack(col.to_numpy()).astype(float) - ms) @ move + mt))
 
-    return source.withColumn(out, F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR)(array))
+    return source.withColumn(out, F.pandas_udf(run, "array<double>")(array))
 
 
 def autoregressive_error(df: DataFrame, context: str, target: str, train: Column, alpha: float = 1.0, out: str = "ar_error") -> DataFrame:
@@ -255,7 +255,7 @@ def autoregressive_error(df: DataFrame, context: str, target: str, train: Column
         e = np.stack(pdf["y"].to_numpy()) - np.stack(pdf["x"].to_numpy()) @ beta
         return pd.Series((e * e).mean(axis=1))
 
-    udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)
+    udf = F.pandas_udf(run, "double")
     return rows.withColumn(out, udf(F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))).drop("__x", "__y")
 
 
@@ -270,7 +270,7 @@ def reconstruction_error(df: DataFrame, array: str, baseline: Column, k: int, ou
         z = (np.stack(col.to_numpy()).astype(float) - mean) / std
         return pd.Series(((z - z @ top @ top.T) ** 2).mean(axis=1))
 
-    return df.withColumn(out, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(array))
+    return df.withColumn(out, F.pandas_udf(run, "double")(array))
 
 
 # ---- prototypes, calibration, experts --------------------------------------
@@ -278,7 +278,7 @@ def reconstruction_error(df: DataFrame, array: str, baseline: Column, k: int, ou
 def prototype_scores(support: DataFrame, test: DataFrame, by: Sequence[str], label: str, vector: str) -> DataFrame:
     """cos(test, mean of positives) - cos(test, mean of negatives), scaled to 0..1 within the group."""
     by = list(by)
-    proto = group_vectors(support, [*by, label], vector, {"m": F.avg})
+    proto = group_vectors(support, [*by, label], vector, {"m": "mean"})
     both = proto.groupBy(*by).agg(F.max(F.when(F.col(label) == 1, F.col("m"))).alias("__pos"), F.max(F.when(F.col(label) == 0, F.col("m"))).alias("__neg"))
     raw = test.join(both, by).withColumn("__s", cosine(vector, "__pos") - F.coalesce(cosine(vector, "__neg"), F.lit(0.0))).drop("__pos", "__neg")
     edge = raw.groupBy(*by).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"))
@@ -310,7 +310,7 @@ def similarity_weights(df: DataFrame, site: str, vector: str, baseline: Column)
 
     One row per pair of sites: the matrix is the result.
     """
-    m = group_vectors(df.filter(baseline), [site], vector, {"m": F.avg})
+    m = group_vectors(df.filter(baseline), [site], vector, {"m": "mean"})
     a, b = m.select(F.col(site).alias("target"), F.col("m").alias("__a")), m.select(F.col(site).alias("expert"), F.col("m").alias("__b"))
     w = a.join(b, F.col("target") != F.col("expert")).withColumn("__w", F.greatest(cosine("__a", "__b"), F.lit(0.0)))
     total = w.groupBy("target").agg(F.sum("__w").alias("__t"), F.count("*").alias("__n"))
@@ -401,7 +401,7 @@ def isolation_forest(df: DataFrame, array: str, baseline: Column, ids: Sequence[
             total += d[at]
         return pd.Series(2.0 ** (-(total / len(packed)) / scale))
 
-    return df.withColumn(out, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(array))
+    return df.withColumn(out, F.pandas_udf(run, "double")(array))
 
 
 # ---- permutation importance ------------------------------------------------

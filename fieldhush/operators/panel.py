@@ -20,6 +20,9 @@ from fieldhush.operators.intervals import interval_join
 from fieldhush.sources.scratch import materialize
 
 
+PER_STEP = 2
+
+
 def two_way_effects(cells: DataFrame, by: Sequence[str], f1: str, f2: str, n: str, sums: Sequence[str],
                     rounds: int = 60, tol: float = 1e-8) -> tuple[DataFrame, DataFrame]:
     """Additive effects of both factors for each summed column: (by, f1, a_<s>) and (by, f2, b_<s>).
@@ -30,20 +33,23 @@ def two_way_effects(cells: DataFrame, by: Sequence[str], f1: str, f2: str, n: st
     cells = materialize(cells, "cells")
     nil = cells.select(*by, f2).distinct().select(*by, f2, *[F.lit(0.0).alias(f"b_{s}") for s in sums])
     b = nil
-    for _ in range(rounds):
-        a = cells.join(b, [*by, f2]).groupBy(*by, f1).agg(*[
-            (F.sum(F.col(s) - F.col(n) * F.col(f"b_{s}")) / F.sum(n)).alias(f"a_{s}") for s in sums])
-        new = cells.join(a, [*by, f1]).groupBy(*by, f2).agg(*[
-            (F.sum(F.col(s) - F.col(n) * F.col(f"a_{s}")) / F.sum(n)).alias(f"b_{s}") for s in sums])
+
+    def half(other: DataFrame, key: str, level: str, o: str, mine: str) -> DataFrame:
+        return cells.join(other, [*by, key]).groupBy(*by, level).agg(*[
+            (F.sum(F.col(s) - F.col(n) * F.col(f"{o}_{s}")) / F.sum(n)).alias(f"{mine}_{s}") for s in sums])
+
+    for _ in range(0, rounds, PER_STEP):
+        # A few rounds per written step; the change is checked against the step before.
+        new = b
+        for _ in range(PER_STEP):
+            new = half(half(new, f2, f1, "b", "a"), f1, f2, "a", "b")
         old = b.select(*by, f2, *[F.col(f"b_{s}").alias(f"__o_{s}") for s in sums])
         moved = F.greatest(F.lit(0.0), *[F.abs(F.col(f"b_{s}") - F.col(f"__o_{s}")) for s in sums])
         step = materialize(new.join(old, [*by, f2]).select(*by, f2, *[f"b_{s}" for s in sums], moved.alias("__moved")), "effects")
         b = step.drop("__moved")
         if step.agg(F.max("__moved")).first()[0] < tol:
             break
-    a = cells.join(b, [*by, f2]).groupBy(*by, f1).agg(*[
-        (F.sum(F.col(s) - F.col(n) * F.col(f"b_{s}")) / F.sum(n)).alias(f"a_{s}") for s in sums])
-    return materialize(a, "effects"), b
+    return materialize(half(b, f2, f1, "b", "a"), "effects"), b
 
 
 def demean(df: DataFrame, f1: str, f2: str, values: Sequence[str], rounds: int = 60, tol: float = 1e-8, prefix: str = "r_") -> DataFrame:
@@ -97,32 +103,37 @@ def solve_column(gram: Column, rhs: Column) -> Column:
             out.append(beta.tolist())
         return pd.Series(out)
 
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)(F.struct(gram.alias("g"), rhs.alias("r")))
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(F.struct(gram.alias("g"), rhs.alias("r")))
 
 
-def sparse_fits(cells: DataFrame, hits: DataFrame, by: Sequence[str], f1: str, f2: str, n: str, terms: Sequence[str], y: str) -> DataFrame:
-    """(by, beta array) of y (already demeaned) on two-way demeaned indicator columns, one fit per ``by``.
+def sparse_fits(cells: DataFrame, hits: DataFrame, perm: str, perms: tuple[int, int], f1: str, f2: str, n: str,
+                systems: Sequence[Sequence[str]], y: str) -> DataFrame:
+    """(perm, beta array) of y (already demeaned) on two-way demeaned indicator columns, for every permutation.
 
-    ``cells`` has the row count of each factor pair, ``hits`` the rows where any indicator is not zero. For a
-    demeaned column z of x, sum(z * y) = sum(x * y) and sum(z * z') = sum(x * z'), so hits are enough.
+    ``cells`` has the row count of each factor pair, ``hits`` the rows where any indicator is not zero,
+    ``perms`` the first and last permutation number. Each of ``systems`` is a regression of its own; their
+    coefficients follow each other in ``beta``. For a demeaned column z of x, sum(z * y) = sum(x * y) and
+    sum(z * z') = sum(x * z'), so the hits are enough.
     """
-    by = list(by)
-    groups = hits.select(*by).distinct()
-    s = hits.groupBy(*by, f1, f2).agg(*[F.sum(t).alias(t) for t in terms])
-    full = groups.crossJoin(cells.select(f1, f2, n)) if by else cells.select(f1, f2, n)
-    full = full.join(s, [*by, f1, f2], "left").fillna(0.0, list(terms))
-    a, b = two_way_effects(full, by, f1, f2, n, terms)
-    rows = hits.join(a, [*by, f1]).join(b, [*by, f2])
+    terms = list(dict.fromkeys(t for sys in systems for t in sys))
+    s = hits.groupBy(perm, f1, f2).agg(*[F.sum(t).alias(t) for t in terms])
+    full = cells.select(f1, f2, n, F.explode(F.sequence(F.lit(perms[0]), F.lit(perms[1]))).alias(perm))
+    full = full.join(s, [perm, f1, f2], "left").fillna(0.0, terms)
+    a, b = two_way_effects(full, [perm], f1, f2, n, terms)
+    rows = hits.join(a, [perm, f1]).join(b, [perm, f2])
     rows = rows.select("*", *[(F.col(t) - F.col(f"a_{t}") - F.col(f"b_{t}")).alias(f"z_{t}") for t in terms])
-    k = len(terms)
-    sums = _gram_columns(list(terms), [f"z_{t}" for t in terms], y)
-    g = rows.groupBy(*by).agg(F.array(*sums[: k * k]).alias("g"), F.array(*sums[k * k:]).alias("r"))
-    return g.select(*by, solve_column(F.col("g"), F.col("r")).alias("beta"))
+    sums = []
+    for i, sys in enumerate(systems):
+        c, k = _gram_columns(list(sys), [f"z_{t}" for t in sys], y), len(sys)
+        sums += [F.array(*c[: k * k]).alias(f"g{i}"), F.array(*c[k * k:]).alias(f"r{i}")]
+    g = rows.groupBy(perm).agg(*sums)
+    betas = [solve_column(F.col(f"g{i}"), F.col(f"r{i}")) for i in range(len(systems))]
+    return g.select(perm, F.concat(*betas).alias("beta"))
 
 
 def permutation_p(fits: DataFrame, perm: str, terms: Sequence[str], real: int = 0) -> DataFrame:
     """(term, beta, p_lower, p_two_sided, n_perm) from fits where ``perm == real`` is the true one."""
-    long = fits.select(perm, F.posexplode("beta").alias("i", "b")).filter(~F.isnan("b"))
+    long = materialize(fits, "fits").select(perm, F.posexplode("beta").alias("i", "b")).filter(~F.isnan("b"))
     true = long.filter(F.col(perm) == real).select("i", F.col("b").alias("beta"))
     null = long.filter(F.col(perm) != real).join(true, "i").groupBy("i", "beta").agg(
         F.count("*").alias("n_perm"), F.count_if(F.col("b") <= F.col("beta")).alias("lo"),

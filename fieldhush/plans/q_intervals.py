@@ -263,7 +263,7 @@ SELECT a.rec AS rec_a, b.rec AS rec_b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))
 def j18(spark, sf):
     from fieldhush.functions.vectors import group_vectors, l2_distance
 
-    m = group_vectors(segments(spark, sf), ["rec"], "embedding", {"v": F.avg})
+    m = group_vectors(segments(spark, sf), ["rec"], "embedding", {"v": "mean"})
     return J.pairs(m, "rec", "v").select("rec_a", "rec_b", rnd(l2_distance("vec_a", "vec_b")).alias("distance"))
 
 

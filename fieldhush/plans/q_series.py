@@ -75,11 +75,19 @@ def w5(spark, sf):
     return S.calibration_z(c, BY, ORDER, ["x1"], 60).select("clip_id", rnd("z_x1").alias("z_x1"))
 
 
-@query("w6_self_updating_z")
+SELF_UPDATE = f"""WITH RECURSIVE {ctes('clips')}, r AS (SELECT clip_id, rec, x1, CAST(x2 AS DOUBLE) AS x2, row_number() OVER ({W}) AS rn FROM clips),
+s AS (SELECT rec, rn, clip_id, 0.0::DOUBLE AS z1, 0.0::DOUBLE AS z2, [x1] AS b1, [x2] AS b2 FROM r WHERE rn = 1
+  UNION ALL SELECT rec, rn, clip_id, z1, z2, CASE WHEN len(p1) < 2 OR (abs(z1) + abs(z2)) / 2 < 2.5 THEN list_append(p1, x1)[-20:] ELSE p1 END, CASE WHEN len(p1) < 2 OR (abs(z1) + abs(z2)) / 2 < 2.5 THEN list_append(p2, x2)[-20:] ELSE p2 END
+  FROM (SELECT r.rec, r.rn, r.clip_id, r.x1, r.x2, s.b1 AS p1, s.b2 AS p2, CASE WHEN len(s.b1) < 2 THEN 0.0::DOUBLE ELSE (r.x1 - list_avg(s.b1)) / greatest(list_stddev_pop(s.b1), 1e-6) END AS z1,
+    CASE WHEN len(s.b1) < 2 THEN 0.0::DOUBLE ELSE (r.x2 - list_avg(s.b2)) / greatest(list_stddev_pop(s.b2), 1e-6) END AS z2 FROM s JOIN r ON r.rec = s.rec AND r.rn = s.rn + 1))
+SELECT clip_id, round(z1, 5) + 0.0 AS z_x1, round(z2, 5) + 0.0 AS z_x2 FROM s"""
+
+
+@query("w6_self_updating_z", SELF_UPDATE)
 def w6(spark, sf):
     c = clips(spark, sf).select("clip_id", "rec", "t", "x1", F.col("x2").cast("double").alias("x2"))
     out = S.self_updating_z(c, BY, ORDER, ["x1", "x2"])
-    return out.select("clip_id", rnd("z_x1").alias("z_x1"), rnd("z_x2").alias("z_x2"))
+    return out.select("clip_id", rnd("z_x1", 5).alias("z_x1"), rnd("z_x2", 5).alias("z_x2"))
 
 
 @query("w7_new_site_calibration_z", f"""WITH {ctes('clips')}, b AS (SELECT rec, x1, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY rec) AS tot FROM clips WHERE lab = 0),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from fieldhush.functions.parse import epoch_seconds
 from fieldhush.operators import clip_vectors as V
 from fieldhush.operators import signal as D
+from fieldhush.plans.q_series import SELF_UPDATE
 from fieldhush.plans.registry import query, rnd
 from fieldhush.plans.views import clips, ctes, raw, segments, table
 from fieldhush.sources import audio
@@ -190,8 +191,8 @@ def st1(spark, sf):
     return spark.read.parquet(path).select("clip_id", rnd("z", 5).alias("z"), "alert")
 
 
-@query("st2_online_self_updating")
+@query("st2_online_self_updating", SELF_UPDATE)
 def st2(spark, sf):
     path = fresh(spark, "updated")
     online.run_to_table(online.online_self_updating(event_stream(spark, sf), "rec", "t", "clip_id", ["x1", "x2"]), path, fresh(spark, "progress"))
-    return spark.read.parquet(path).select("clip_id", rnd("z_x1").alias("z_x1"), rnd("z_x2").alias("z_x2"))
+    return spark.read.parquet(path).select("clip_id", rnd("z_x1", 5).alias("z_x1"), rnd("z_x2", 5).alias("z_x2"))

@@ -498,13 +498,12 @@ def t30(spark, sf):
     names = list(LAGS)
     steps = {n: (F.col("start_t") + a, F.col("start_t") + b) for n, (a, b) in LAGS.items()}
     f = N.lag_hits(rows, fake, ["rec"], "t", ["perm"], steps, 1800)
-    perms = fake.select("perm").distinct()
     real = N.lag_hits(rows, v, ["rec"], "t", [], steps, 1800)
-    again = real.select(*rows.columns, *[F.col(n).alias(f"real_{n}") for n in names]).crossJoin(F.broadcast(perms))
+    again = real.select(*rows.columns, *[F.col(n).alias(f"real_{n}") for n in names]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(10))))
     hits = f.join(again, ["perm", *rows.columns], "full_outer").fillna(0.0, [*names, *[f"real_{n}" for n in names]])
     cells = materialize(rows.groupBy("f1", "f2").agg(F.count("*").alias("n")), "cells")
-    null = N.sparse_fits(cells, materialize(hits, "hits"), ["perm"], "f1", "f2", "n", [*names, *[f"real_{n}" for n in names]], "r_y")
-    true = N.sparse_fits(cells, materialize(real.withColumn("perm", F.lit(0)), "hits"), ["perm"], "f1", "f2", "n", names, "r_y")
+    null = N.sparse_fits(cells, materialize(hits, "hits"), "perm", (1, 10), "f1", "f2", "n", [[*names, *[f"real_{n}" for n in names]]], "r_y")
+    true = N.sparse_fits(cells, materialize(real.withColumn("perm", F.lit(0)), "hits"), "perm", (0, 0), "f1", "f2", "n", [names], "r_y")
     both = true.unionByName(null.withColumn("beta", F.slice("beta", 1, len(names))))
     out = N.permutation_p(both, "perm", names)
     return out.select("term", rnd("beta").alias("beta"), rnd("p_two_sided").alias("p"), rnd(2.8 * F.col("null_sd")).alias("smallest_effect"), "n_perm")
@@ -526,6 +525,5 @@ def t31(spark, sf):
     hits = moved.join(rows, ["day", "rec", "slot"]).select("perm", "f1", "f2", "r_y", *[(F.col("bin") == b).cast("double").alias(b) for b in bins], F.lit(1.0).alias("pooled"))
     hits = materialize(hits, "hits")
     cells = materialize(rows.groupBy("f1", "f2").agg(F.count("*").alias("n")), "cells")
-    each = N.permutation_p(N.sparse_fits(cells, hits, ["perm"], "f1", "f2", "n", bins, "r_y"), "perm", bins)
-    pooled = N.permutation_p(N.sparse_fits(cells, hits, ["perm"], "f1", "f2", "n", ["pooled"], "r_y"), "perm", ["pooled"])
-    return each.unionByName(pooled).select("term", rnd("beta").alias("beta"), rnd("p_lower").alias("p_lower"), rnd("p_two_sided").alias("p_two_sided"), "n_perm")
+    fits = N.sparse_fits(cells, hits, "perm", (0, 20), "f1", "f2", "n", [bins, ["pooled"]], "r_y")
+    return N.permutation_p(fits, "perm", [*bins, "pooled"]).select("term", rnd("beta").alias("beta"), rnd("p_lower").alias("p_lower"), rnd("p_two_sided").alias("p_two_sided"), "n_perm")
