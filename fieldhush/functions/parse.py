@@ -50,8 +50,9 @@ def stamp_ntz(stamp: str | Column) -> Column:
 
 
 def epoch_seconds(ts: str | Column) -> Column:
-    """Seconds since 1970 on the local clock, whatever the session time zone."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), _c(ts))
+    """Seconds since 1970 on the local clock of a zone-less timestamp, whatever the session time zone."""
+    c = _c(ts).cast("timestamp_ntz")
+    return F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
 def parse_list(value: str | Column) -> Column:

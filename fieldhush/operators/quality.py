@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldhush.operators.ranks import medians, percentiles, value_ranks
+from fieldhush.sources.scratch import sized
 
 
 def min_max_score(df: DataFrame, by: Sequence[str], weights: dict[str, float], out: str) -> DataFrame:
@@ -17,23 +18,23 @@ def min_max_score(df: DataFrame, by: Sequence[str], weights: dict[str, float], o
     for c, w in weights.items():
         scaled = (F.col(c) - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}") + 1e-10)
         total = total + abs(w) * (scaled if w >= 0 else 1 - scaled)
-    joined = df.join(edges, list(by)).withColumn(out, total)
+    joined = df.join(sized(edges), list(by)).withColumn(out, total)
     return joined.drop(*[f"__{n}_{c}" for c in weights for n in ("lo", "hi")])
 
 
 def baseline_percentile_filter(df: DataFrame, by: Sequence[str], value: str, baseline: Column, q: float) -> DataFrame:
     """Keep rows not above the q-quantile of the group's baseline rows."""
     cut = percentiles(df.filter(baseline), by, value, [q]).select(*by, F.col(value).alias("__cut"))
-    return df.join(cut, list(by)).filter(F.col(value) <= F.col("__cut")).drop("__cut")
+    return df.join(sized(cut), list(by)).filter(F.col(value) <= F.col("__cut")).drop("__cut")
 
 
 def noisy_rows(before: DataFrame, after: DataFrame, by: Sequence[str], level: str, margin: float) -> DataFrame:
     """``after`` rows with ``noisy``: level above the window's median before-level plus ``margin``."""
     cut = medians(before, by, [level]).select(*by, (F.col(level) + margin).alias("__cut"))
-    return after.join(cut, list(by)).withColumn("noisy", F.col(level) > F.col("__cut")).drop("__cut")
+    return after.join(sized(cut), list(by)).withColumn("noisy", F.col(level) > F.col("__cut")).drop("__cut")
 
 
 def remap_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     """Values to 0..k-1 in value order."""
     codes = value_ranks(df.select(column).distinct(), [], column).select(column, F.col("below").cast("int").alias(out))
-    return df.join(codes, column)
+    return df.join(sized(codes), column)

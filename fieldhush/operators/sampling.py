@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldhush.operators.series import row_index
+from fieldhush.sources.scratch import sized
 
 
 def hash_key(ids: Sequence[str], seed: str) -> Column:
@@ -32,7 +33,7 @@ def ratio_capped(df: DataFrame, by: Sequence[str], ids: Sequence[str], label: st
     Groups without a positive are dropped.
     """
     n_pos = df.groupBy(*by).agg(F.sum(label).alias("__pos_n")).filter(F.col("__pos_n") > 0)
-    rows = df.join(n_pos, list(by))
+    rows = df.join(sized(n_pos), list(by))
     if ratio is None:
         return rows.drop("__pos_n")
     ranked = hash_rank(rows, [*by, label], ids, seed, "__rn")
@@ -44,7 +45,7 @@ def matched(df: DataFrame, by: Sequence[str], ids: Sequence[str], label: str, se
     """Equal positives and negatives per group (negatives up to ``ratio`` times); one-class groups are dropped."""
     sizes = df.groupBy(*by).agg(F.sum(label).alias("__p"), F.sum(1 - F.col(label)).alias("__n"))
     sizes = sizes.withColumn("__k", F.least("__p", "__n")).filter("__k > 0").select(*by, "__k")
-    ranked = hash_rank(df.join(sizes, list(by)), [*by, label], ids, seed, "__rn")
+    ranked = hash_rank(df.join(sized(sizes), list(by)), [*by, label], ids, seed, "__rn")
     cap = F.when(F.col(label) == 1, F.col("__k")).otherwise(F.col("__k") * ratio)
     return ranked.filter(F.col("__rn") <= cap).drop("__rn", "__k")
 
@@ -59,7 +60,7 @@ def group_folds(df: DataFrame, group: str, k: int, seed: str, out: str = "fold")
     """Folds that keep each group whole."""
     code = hash_rank(df.select(group).distinct(), [], [group], seed, "__g")
     folds = code.select(group, ((F.col("__g") - 1) % k).cast("int").alias(out))
-    return df.join(folds, group)
+    return df.join(sized(folds), group)
 
 
 def leaks(df: DataFrame, group: str, fold: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from fieldhush.functions.vectors import l2_distance
 from fieldhush.operators.blocks import Ordered, number_rows, ordered, reblock, running
 from fieldhush.operators.ranks import value_ranks
-from fieldhush.sources.scratch import materialize
+from fieldhush.sources.scratch import materialize, sized
 
 LEAST_STD = 1e-6
 
@@ -31,7 +31,7 @@ def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], o
     rows = number_rows(df, by, order)
     if not by:
         return rows.withColumn(out, F.col("__pos") + 1).drop("__pos")
-    first = rows.groupBy(*by).agg(F.min("__pos").alias("__first"))
+    first = sized(rows.groupBy(*by).agg(F.min("__pos").alias("__first")))
     return rows.join(first, list(by)).withColumn(out, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first")
 
 
@@ -44,7 +44,7 @@ def group_stats(df: DataFrame, by: Sequence[str], values: Sequence[str], sample:
 
 def apply_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], values: Sequence[str], prefix: str = "z_") -> DataFrame:
     """z of each value against the joined statistics; a zero std becomes 1e-6, no statistics give 0."""
-    out = df.join(stats, list(by), "left")
+    out = df.join(sized(stats), list(by), "left")
     for v in values:
         std = F.when(F.col(f"__s_{v}") == 0, LEAST_STD).otherwise(F.col(f"__s_{v}"))
         out = out.withColumn(f"{prefix}{v}", F.coalesce((F.col(v) - F.col(f"__m_{v}")) / std, F.lit(0.0)))
@@ -59,7 +59,7 @@ def baseline_z(df: DataFrame, by: Sequence[str], values: Sequence[str], baseline
 
 def centre(df: DataFrame, by: Sequence[str], values: Sequence[str], scale: bool = False, least: float = 1e-6) -> DataFrame:
     """Subtract the group mean; with ``scale`` divide by the population std + ``least``."""
-    out = df.join(group_stats(df, by, values, sample=False), list(by))
+    out = df.join(sized(group_stats(df, by, values, sample=False)), list(by))
     for v in values:
         c = F.col(v) - F.col(f"__m_{v}")
         out = out.withColumn(f"c_{v}", c / (F.col(f"__s_{v}") + least) if scale else c)
@@ -200,7 +200,7 @@ def top_share_threshold(df: DataFrame, by: Sequence[str], value: str, share: flo
 def top_share_vote(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, k: int, n: int,
                    share: float = 0.15, block_rows: int | None = None) -> DataFrame:
     cut = top_share_threshold(df, by, value, share)
-    o = ordered(df.join(cut, list(by)), by, order, before=n, block_rows=block_rows)
+    o = ordered(df.join(sized(cut), list(by)), by, order, before=n, block_rows=block_rows)
     return o.home(vote_on(o, o.df, F.col(value) >= F.col("threshold"), k, n))
 
 
@@ -263,7 +263,7 @@ def gate(df: DataFrame, by: Sequence[str], least: int, distinct: str | None = No
     """Keep groups with at least ``least`` rows, or distinct values of a column."""
     size = F.count_distinct(distinct) if distinct else F.count("*")
     big = df.groupBy(*by).agg(size.alias("__n")).filter(F.col("__n") >= least).select(*by)
-    return df.join(big, list(by), "left_semi")
+    return df.join(sized(big), list(by), "left_semi")
 
 
 # ---- corrections for many tests -------------------------------------------
@@ -288,15 +288,29 @@ def _adjust(df, by, p, order, out, step, kind, reverse) -> DataFrame:
 
 # ---- self-updating baseline ------------------------------------------------
 
-def self_update_step(buffer: list[list[float]], x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, list[list[float]]]:
-    """z of one row against the accepted rows, and the accepted rows after it (at most ``n``)."""
-    if len(buffer) < 2:
-        return np.zeros(len(x)), [*buffer, x.tolist()]
-    past = np.asarray(buffer)
-    std = past.std(axis=0)
-    std[std < LEAST_STD] = LEAST_STD
-    z = (x - past.mean(axis=0)) / std
-    return z, [*buffer, x.tolist()][-n:] if np.abs(z).mean() < threshold else buffer
+def self_update_run(buffer: list[list[float]], rows: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, list[list[float]]]:
+    """z of each row against the accepted rows before it, and the accepted rows at the end (at most ``n``, oldest first)."""
+    z = np.zeros(rows.shape)
+    ring = np.zeros((n, rows.shape[1]))
+    held = len(buffer)
+    if held:
+        ring[:held] = buffer
+    at = held % n  # where the next accepted row goes once the ring is full
+    mean = std = None
+    for i, x in enumerate(rows):
+        if held >= 2:
+            if mean is None:
+                past = ring[:held]
+                mean = past.sum(axis=0) / held
+                gap = past - mean
+                std = np.maximum(np.sqrt((gap * gap).sum(axis=0) / held), LEAST_STD)
+            z[i] = (x - mean) / std
+            if np.abs(z[i]).mean() >= threshold:
+                continue
+        ring[at] = x
+        at, held, mean = (at + 1) % n, min(held + 1, n), None
+    kept = ring[:held] if held < n else np.roll(ring, -at, axis=0)
+    return z, kept.tolist()
 
 
 def self_updating_z(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], n: int = 20,
@@ -326,9 +340,7 @@ def self_updating_z(df: DataFrame, by: Sequence[str], order: Sequence[str], valu
         buf = [list(map(float, r)) for r in right["state_in"].iloc[0]] if len(right) else []
         begin = [list(r) for r in buf]
         left = left.sort_values("__pos")
-        z = np.zeros((len(left), len(values)))
-        for i, x in enumerate(left[values].to_numpy(float)):
-            z[i], buf = self_update_step(buf, x, n, threshold)
+        z, buf = self_update_run(buf, left[values].to_numpy(float), n, threshold)
         if emit:
             return pd.concat([left.reset_index(drop=True), pd.DataFrame(z, columns=[f"z_{v}" for v in values])], axis=1)
         return pd.DataFrame([[*key, begin, buf]], columns=[*keys, "state_in", "state_out"])

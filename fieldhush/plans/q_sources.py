@@ -175,7 +175,7 @@ def d4(spark, sf):
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/event*.parquet")
-    return e.select(F.col("event_id").alias("clip_id"), (F.col("user_id") % 6).cast("int").alias("rec"), epoch_seconds(F.col("ts").cast("timestamp_ntz")).alias("t"),
+    return e.select(F.col("event_id").alias("clip_id"), (F.col("user_id") % 6).cast("int").alias("rec"), epoch_seconds("ts").alias("t"),
                     F.col("value").alias("x1"), F.get_json_object("props", "$.k").cast("double").alias("x2"))
 
 

@@ -88,7 +88,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    t = epoch_seconds(F.col("ts").cast("timestamp_ntz"))
+    t = epoch_seconds("ts")
     k = F.get_json_object("props", "$.k").cast("int")
     sim = (F.col("event_type") == "error") & (k >= 80)
     return e.select(
@@ -112,7 +112,8 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     c = clips(spark, sf)
     x2, s = F.col("x2"), F.col("x2").cast("string")
     name = F.concat(F.lit("Audio_Moth_"), (F.col("rec") + 1).cast("string"))
-    stamp = F.date_format(F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, t)"), "yyyyMMdd_HHmmss")
+    clock = F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, t)").cast("string")
+    stamp = F.regexp_replace(clock, r"(\d+)-(\d+)-(\d+) (\d+):(\d+):(\d+).*", "$1$2$3_$4$5$6")
     one = F.concat(F.lit("Avis_"), F.col("species"))
     sim = F.col("lab") == 1
     return c.select(

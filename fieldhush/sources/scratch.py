@@ -29,6 +29,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Group statistics and other results meant for a join with a large table, written first.
+
+    A plan can only guess the size of an aggregate. Once written its size is known: a small one is broadcast and
+    the large table is not shuffled, a large one is merge-joined with the adaptive split of hot keys.
+    """
+    return materialize(df, "sized")
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the written table."""
     spark = df.sparkSession

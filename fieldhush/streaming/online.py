@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldhush.operators.series import LEAST_STD, self_update_step
+from fieldhush.operators.series import LEAST_STD, self_update_run
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -79,9 +79,7 @@ def online_self_updating(stream: DataFrame, rec: str, t: str, tie: str, values:
         pdf = _in_order(parts, [t, tie], last)
         if pdf is None or not len(pdf):
             return
-        z = np.zeros((len(pdf), width))
-        for i, x in enumerate(pdf[values].to_numpy(float)):
-            z[i], buf = self_update_step(buf, x, n, threshold)
+        z, buf = self_update_run(buf, pdf[values].to_numpy(float), n, threshold)
         state.update(([float(v) for row in buf for v in row], int(pdf[t].iloc[-1]), int(pdf[tie].iloc[-1])))
         out = pdf[[rec, tie, t]].copy()
         for j, v in enumerate(values):
