@@ -194,7 +194,7 @@ def minute_reaction(rows: DataFrame, unit: Sequence[str], minute: str, level: st
 
 
 def leave_one_out(df: DataFrame, by: Sequence[str], unit: str, value: str) -> DataFrame:
-    """For every unit the median, number below zero and signed-rank p of the others.
+    """For every unit the median, number below zero and signed-rank p of the others; groups of one unit are dropped.
 
     Dropping one value moves the ranks of larger absolute values by 1 and of equal ones by a half, so
     all answers follow from the ranks of the whole group; nothing is paired with everything else.
@@ -205,7 +205,7 @@ def leave_one_out(df: DataFrame, by: Sequence[str], unit: str, value: str) -> Da
     d = df.filter(F.col(value).isNotNull()).select(*by, unit, F.col(value).alias("v"))
     rows = row_index(d, by, ["v", unit], "r")
     size = rows.groupBy(*by).agg(F.max("r").alias("n"), F.count_if(F.col("v") < 0).alias("neg"))
-    rows = rows.join(size, by)
+    rows = rows.join(size.filter("n > 1"), by)
     m = F.expr("n div 2")
     near = rows.filter((F.col("r") >= m - 1) & (F.col("r") <= m + 2)).groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("r") - m).cast("int"), F.col("v")))).alias("mid"))

@@ -109,7 +109,7 @@ def p13(spark, sf):
         F.concat_ws("|", F.col("rec").cast("string"), P.hour_of("t").cast("string")).alias("rec_hour"))
 
 
-# The hour variants compared by the reference study.
+# Hours left out or kept by each variant.
 HOUR_VARIANTS = {
     "A_exclude_15_16": {"exclude": [15, 16]},
     "B_exclude_8_15_16": {"exclude": [8, 15, 16]},

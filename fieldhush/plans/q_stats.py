@@ -77,16 +77,16 @@ def t2(spark, sf):
 
 
 @query("t3_sign_test", f"""WITH {DIFF}, g AS (SELECT step, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM dd GROUP BY 1)
-SELECT step, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}), 6) AS p_sign FROM g""")
+SELECT step, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}) + 1e-9, 6) AS p_sign FROM g""")
 def t3(spark, sf):
-    return S.sign_test(diffs(spark, sf), ["step"], "d").withColumn("p_sign", rnd("p_sign"))
+    return S.sign_test(diffs(spark, sf), ["step"], "d").withColumn("p_sign", rnd(F.col("p_sign") + 1e-9))
 
 
 @query("t4_direction_agreement", f"""WITH {DIFF}, g AS (SELECT rec, count(*) AS tested, sum(CASE WHEN sign(d) = CASE WHEN step < 0 THEN -1 ELSE 1 END THEN 1 ELSE 0 END)::BIGINT AS agree FROM dd WHERE d <> 0 GROUP BY 1)
-SELECT rec, tested, agree, round({binom_tail('agree', 'tested')}, 6) AS p_agree FROM g""")
+SELECT rec, tested, agree, round({binom_tail('agree', 'tested')} + 1e-9, 6) AS p_agree FROM g""")
 def t4(spark, sf):
     d = diffs(spark, sf).withColumn("expect", F.when(F.col("step") < 0, -1.0).otherwise(1.0))
-    return S.direction_test(d, ["rec"], "d", "expect").withColumn("p_agree", rnd("p_agree"))
+    return S.direction_test(d, ["rec"], "d", "expect").withColumn("p_agree", rnd(F.col("p_agree") + 1e-9))
 
 
 @query("t5_spearman", f"""WITH {ctes('clips')}, r AS (SELECT rec, rank() OVER (PARTITION BY rec ORDER BY x1) + (count(*) OVER (PARTITION BY rec, x1) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rec ORDER BY x2) + (count(*) OVER (PARTITION BY rec, x2) - 1) / 2.0 AS b FROM clips)
@@ -188,7 +188,7 @@ def t12(spark, sf):
 
 
 @query("t13_frequency_fingerprint", f"""WITH {ctes('dims')}, {SPEC}, g AS (SELECT dim, median(d) AS m, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM sd WHERE d IS NOT NULL GROUP BY 1)
-SELECT CAST(dim AS INTEGER) AS band, dim * 250 AS lo_hz, round(m, 6) + 0.0 AS median, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}), 6) AS p_sign, dim * 250 >= 2000 AND dim * 250 < 8000 AND m > 1 AS bird_rise FROM g""")
+SELECT CAST(dim AS INTEGER) AS band, dim * 250 AS lo_hz, round(m, 6) + 0.0 AS median, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}) + 1e-9, 6) AS p_sign, dim * 250 >= 2000 AND dim * 250 < 8000 AND m > 1 AS bird_rise FROM g""")
 def t13(spark, sf):
     d = materialize(spectrum_diffs(spark, sf), "fingerprint")
     from fieldhush.operators.ranks import medians
@@ -196,7 +196,7 @@ def t13(spark, sf):
     mid = medians(d, ["band"], ["d_c"]).select("band", F.col("d_c").alias("m"))
     out = S.sign_test(d, ["band"], "d_c").join(mid, "band")
     hz = (F.col("band") * 250).cast("long")
-    return out.select("band", hz.alias("lo_hz"), rnd("m").alias("median"), "up", "down", rnd("p_sign").alias("p_sign"),
+    return out.select("band", hz.alias("lo_hz"), rnd("m").alias("median"), "up", "down", rnd(F.col("p_sign") + 1e-9).alias("p_sign"),
                       ((hz >= 2000) & (hz < 8000) & (F.col("m") > 1)).alias("bird_rise"))
 
 

@@ -6,8 +6,8 @@ from compare import compare, duck
 from fieldhush.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-# Result filters that leave nothing on the smallest tables, or fits that need more rows of both classes.
-SMALL_EMPTY = {"k10_leak_check", "t24_species_pre_arrival_drop"}
+# On so few visits the operator gives the exact p and the SQL the normal one; test_stats.py has the exact p-values.
+EXACT_P = {"t2_wilcoxon_signed_rank"}
 
 
 @pytest.fixture(scope="module")
@@ -20,10 +20,11 @@ def test_every_sql_belongs_to_a_query():
     assert len(SQL) > 150
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - EXACT_P))
 def test_query_matches_sql(spark, con, name):
     ok, message = compare(spark, con, name, QUERIES[name], SQL[name], SF)
-    assert ok or ("want 0" in message or "rows=0" in message), message
+    # Some filters (a number of rows per group) leave nothing on these tables, in both engines.
+    assert ok or message.endswith("rows=0"), message
 
 
 def test_entry(spark):
