@@ -57,3 +57,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept, _ = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_best_two_fit")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldhush.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_planes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldhush.llm.bitplanes import token_file
+
+    return token_file(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op4_warc_dictionary", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+    b AS (SELECT page_id, octet_length(encode(p.h)) AS n, CAST(CAST(unhex(sha1(p.h)) AS BIT) AS VARCHAR) AS bits, first FROM p JOIN g ON p.h = g.h)
+    SELECT page_id, n AS payload_bytes,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5),
+        lambda j: CASE WHEN substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) = '1' THEN CAST(2 ** (4 - j) AS INTEGER) ELSE 0 END)) AS BIGINT), 1)), '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM b""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldhush.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
