@@ -86,3 +86,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldhush.llm.warc import archive
 
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_ngram_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldhush.llm.jaccard import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
