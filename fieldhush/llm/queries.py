@@ -93,3 +93,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldhush.llm.jaccard import similar_components
 
     return similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldhush.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_language_mixture")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldhush.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
