@@ -25,5 +25,9 @@ def slim(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def input_partitions(spark, df: DataFrame) -> int:
-    return max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+def free_name(df: DataFrame, base: str = "__row") -> str:
+    """``base``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base

@@ -14,7 +14,7 @@ from fieldhush.sources.scratch import materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges`` has a > b, distinct."""
+    """``edges`` has a > b."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -22,7 +22,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    out = out.filter("a <> b")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,5 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        e = materialize(_star(materialize(_star(e, True), "edges"), False), "edges")
+        e = materialize(_star(_star(e, True), False), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldhush.llm.common import lower_ascii, slim
+from fieldhush.llm.common import free_name, lower_ascii, slim
 from fieldhush.sources.scratch import materialize, sized
 
 BLOCK_CHARS = 4096
@@ -97,7 +97,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     The rows are written once with a number of their own, which the decision is joined by: only the numbers of
     the removed rows meet the table, and they are broadcast only if their written size allows it.
     """
-    row = "__row"
+    row = free_name(docs)
     table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     groups = exact_groups(table.select(F.col(f"`{text}`").alias("text"), F.struct(F.col(f"`{key}`").alias("k"), F.col(row).alias("r")).alias("id")), "id", "text", **options)
     gone = sized(groups.filter(~F.col("kept")).select(F.col("id.r").alias(row)))

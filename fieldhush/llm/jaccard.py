@@ -32,7 +32,7 @@ from fieldhush.sources.scratch import materialize, sized
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 12
 SALT_ROWS = 50_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
 
 
 def _edges() -> list[int]:
@@ -193,7 +193,7 @@ def _signed(docs: DataFrame, sketch: Broadcast, k: int, pct: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by comparing the sets of both texts."""
+    """(a, b): the components ca and cb of those pairs (a, b, ca, cb) whose texts have similar sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, None
@@ -206,14 +206,14 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
                         last, sets = a, next(shingle_sets(pa.array([x.as_py()], pa.string()), k))
                     both = len(np.intersect1d(sets, e, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= pct * (len(sets) + len(e) - both))
-                part = part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                part = part.select(["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
                 if part.num_rows:
-                    yield part
+                    yield part.rename_columns(["a", "b"])
 
     ta = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     kind = texts.schema["key"].dataType.simpleString()
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "ta", "b", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "ta", "tb", "ca", "cb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, pct: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -238,42 +238,38 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = signed.select("*", F.expr("count(*) over (partition by sig, salt)").alias("c")).filter("c > 1 or salt >= 0")
     groups = materialize(shared.select("sig", "key", "n"), "groups")
     texts = materialize(loud.join(sized(groups.select("key").distinct()), "key", "left_semi"), "candidates")
-    links, tested, comp = copies, None, None
+    comp = materialize(components(copies), "components")
+    tested = None
     for round_ in range(star_rounds + 1):
-        g = groups
-        if comp is not None:
-            g = groups.join(comp, groups["key"] == comp["node"], "left").select("sig", "key", "n", F.coalesce("component", "key").alias("comp"))
-            open_ = g.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n0")).filter("lo <> hi").select("sig")
-            g = materialize(g.join(sized(open_), "sig"), "open")
+        g = groups.join(comp, groups["key"] == comp["node"], "left").select("sig", "key", "n", F.coalesce("component", "key").alias("comp"))
+        apart = g.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
+        g = materialize(g.join(sized(apart), "sig"), "open")
+        in_comp = g.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("c"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
+        size = in_comp.agg(F.sum("c").alias("rows"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("q")) / 2).alias("pairs")).first()
+        if not size["rows"]:
+            break
+        # Few pairs are left across components: compare them all. Otherwise one of each group meets all others first.
+        across = round_ == star_rounds or size["pairs"] <= 2 * size["rows"]
+        if across:
+            one = g.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         else:
-            g = g.withColumn("comp", F.col("key"))
-        size_fits = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+            order = F.lit(0).cast("long") if not round_ else F.xxhash64("key", F.lit(round_))
+            one = g.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "key", "n", "comp")).alias("m"))
+            one = one.select("sig", F.col("m.key").alias("a"), F.col("m.n").alias("na"), F.col("m.comp").alias("ca"))
         other = g.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        if round_ < star_rounds:
-            # One of the group meets all others: as many pairs as rows.
-            mid = F.min(F.struct((F.lit(0).cast("long") if not round_ else F.xxhash64("key", F.lit(round_))).alias("o"), "key", "n", "comp")).alias("m")
-            one = g.groupBy("sig").agg(mid).select("sig", F.col("m.key").alias("a"), F.col("m.n").alias("na"), F.col("m.comp").alias("ca"))
-        else:
-            # What is still apart meets pairwise, but only across components and in sizes that can be similar.
-            one = g.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            size_fits = size_fits & (F.col("a") < F.col("b"))
-        pairs = one.join(other, "sig").filter(size_fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fits = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+        pairs = one.join(other, "sig").filter(fits & (F.col("a") < F.col("b")) if across else fits).select("a", "b", "ca", "cb").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            # Nothing apart shares a signature that this round could join; without open groups, later rounds have nothing either.
-            if comp is not None and round_ < star_rounds and g.isEmpty():
-                break
-            if comp is None:
-                comp = materialize(components(links), "components")
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialize(_similar(pairs, texts, k, pct), "links")
-        links = links.unionByName(found)
-        comp = materialize(components(links), "components")
-    if comp is None:
-        comp = materialize(components(links), "components")
+        same = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tested = same if tested is None else tested.unionByName(same)
+        # New links join whole components, so only the components' own graph is solved again.
+        found = materialize(components(_similar(pairs, texts, k, pct)), "roots")
+        moved = comp.join(found.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+        comp = materialize(moved.select("node", F.coalesce("root", "component").alias("component")).unionByName(found.join(comp, "node", "left_anti")), "components")
+        if across:
+            break
     out = sets.join(comp, sets["key"] == comp["node"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
@@ -285,12 +281,13 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **optio
     """
     groups = materialize(similar_components(docs, key, text, **options), "similar")
     gone = sized(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct())
-    left = docs.join(gone, key, "left_anti").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.join(gone, key, "left_anti").select(*columns)
     again = groups.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
     again = sized(again)
     if again.isEmpty():
         return left
     # Rows with a repeated key only; one key has few rows, and the order needs its text.
     one = left.join(again, key, "left_semi").selectExpr("*", f"row_number() over (partition by `{key}` order by `{text}` nulls last) as __nth").filter("__nth = 1").drop("__nth")
-    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    return left.join(again, key, "left_anti").select(*columns).unionByName(one.select(*columns))
 

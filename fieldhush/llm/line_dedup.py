@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhush.llm.common import slim
+from fieldhush.llm.common import free_name, slim
 from fieldhush.sources.scratch import materialize, sized
 
 #: One match is one unit with its end marks.
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
 
     A text all of which repeats becomes empty; rows are never dropped, and null texts stay null.
     """
-    row = "__row"
+    row = free_name(docs)
     table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     ids = table.select(F.struct(F.col(f"`{key}`").alias("k"), F.col(row).alias("r")).alias("id"), F.col(f"`{text}`").alias("text"))
     spans = repeated_spans(ids, "id", "text", **options).groupBy(F.col("id.r").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))

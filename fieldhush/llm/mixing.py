@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldhush.llm.common import WORD
+from fieldhush.llm.common import WORD, free_name
 from fieldhush.llm.wordvec import mix as scramble
 from fieldhush.sources.scratch import materialize, sized
 
@@ -139,8 +139,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each copy, with all columns."""
-    row = "__row"
+    row, times = free_name(docs), free_name(docs, "__copies")
     table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    took = mix(table, key, text, source, row=row, **options).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias("__copies"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
-    return table.join(took, row).select(*[F.col(f"`{c}`") for c in docs.columns], copy).drop("__copy")
+    took = mix(table, key, text, source, row=row, **options).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
+    copy = F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(row)
+    return table.join(took, row).select(*[F.col(f"`{c}`") for c in docs.columns], copy).drop(row)

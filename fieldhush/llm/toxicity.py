@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldhush.llm.common import fold
+from fieldhush.llm.common import fold, free_name
+from fieldhush.sources.scratch import materialize, sized
 
 #: At most so many labelled documents of either kind are used for learning, in hash order of their keys.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
@@ -291,9 +292,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    from fieldhush.sources.scratch import materialize, sized
-
-    row = "__row"
+    row = free_name(docs)
     table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     gone = sized(toxicity(table, labels, key, text, row=row, **options).filter("predicted = 1").select(row))
     return table.join(gone, row, "left_anti").drop(row)

@@ -114,9 +114,9 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
             if b - a >= k:
                 yield np.unique(h[a : b - k + 1])
             elif b > a:
-                x = np.uint64(b - a)
-                for y in w.hash[a:b]:
-                    x = mix(x * np.uint64(0xA0761D6478BD642F) + y)
-                yield np.array([x], np.uint64)
+                x = np.array([b - a], np.uint64)
+                for i in range(a, b):
+                    x = mix(x * np.uint64(0xA0761D6478BD642F) + w.hash[i : i + 1])
+                yield x
             else:
                 yield np.zeros(0, np.uint64)
