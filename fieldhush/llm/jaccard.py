@@ -117,7 +117,7 @@ def _measure(docs: DataFrame, k: int, pct: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        kind = None
+        kind, seen, held = None, [], 0
         for b in batches:
             kind = b["key"].type
             n, fa, fb = [], [], []
@@ -127,16 +127,25 @@ def _measure(docs: DataFrame, k: int, pct: int) -> DataFrame:
                     fa.append(int(mix(e).sum(dtype=np.uint64).view(np.int64)))
                     fb.append(int(mix(e ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 for _, sig, weak in signatures(e, pct) if len(e) else ():
-                    np.add.at(sketch, (np.concatenate([sig, weak]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    seen += [sig, weak]
+                    held += len(sig) + len(weak)
+                if held > 1 << SKETCH_BITS:
+                    count(sketch, seen)
+                    seen, held = [], 0
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([b["key"], pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=names)
         if kind is not None:
+            count(sketch, seen)
             for c in range(0, len(sketch), SKETCH_CHUNK):
                 x = sketch[c : c + SKETCH_CHUNK]
                 if x.any():
                     nothing = pa.nulls(1, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), nothing, nothing, nothing, pa.array([c // SKETCH_CHUNK], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=names)
 
+    def count(sketch: np.ndarray, seen: list[np.ndarray]) -> None:
+        if seen:
+            sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+
     names = ["key", "n", "fa", "fb", "chunk", "counts"]
     kind = docs.schema["key"].dataType.simpleString()
     return docs.mapInArrow(run, f"key {kind}, n long, fa long, fb long, chunk int, counts binary")
@@ -192,6 +201,50 @@ def _signed(docs: DataFrame, sketch: Broadcast, k: int, pct: int) -> DataFrame:
     return docs.mapInArrow(run, f"sig long, salt int, key {kind}, n int")
 
 
+def bitmap(e: np.ndarray) -> np.ndarray:
+    """One bit per bucket, set where an odd number of elements falls; about four buckets per element, a power of two."""
+    size = 1 << max(6, int(4 * len(e) - 1).bit_length())
+    return (np.bincount((mix(e ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8)
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """What two sets differ in at least: the bits in which their bitmaps differ. A larger bitmap folds to the smaller one's size."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        h = len(a) // 2
+        a = (int.from_bytes(a[:h], "little") ^ int.from_bytes(a[h:], "little")).to_bytes(h, "little")
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits, n = [], []
+            for e in shingle_sets(b["text"], k):
+                bits.append(np.packbits(bitmap(e), bitorder="little").tobytes())
+                n.append(len(e))
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(bits, pa.binary()), pa.array(n, pa.int64())], names=["key", "bits", "n"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.mapInArrow(run, f"key {kind}, bits binary, n long")
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, pct: int) -> DataFrame:
+    """The pairs that their bitmaps do not rule out; a pair of similar sets never is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n, m = (b[c].to_pylist() for c in ("x", "y", "n", "m"))
+            keep = [least_difference(p, q) <= most_different(i, j, pct) for p, q, i, j in zip(x, y, n, m, strict=True)]
+            yield b.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
+
+    left = bits.select(F.col("key").alias("a"), F.col("bits").alias("x"), "n")
+    right = bits.select(F.col("key").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    kind = bits.schema["key"].dataType.simpleString()
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "x", "y", "n", "m")
+    return both.mapInArrow(run, ", ".join(f"{c} {kind}" for c in ("a", "b", "ca", "cb")))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     """(a, b): the components ca and cb of those pairs (a, b, ca, cb) whose texts have similar sets."""
 
@@ -238,18 +291,21 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = signed.select("*", F.expr("count(*) over (partition by sig, salt)").alias("c")).filter("c > 1 or salt >= 0")
     groups = materialize(shared.select("sig", "key", "n"), "groups")
     texts = materialize(loud.join(sized(groups.select("key").distinct()), "key", "left_semi"), "candidates")
+    bits = materialize(_bitmaps(texts, k), "bitmaps")
     comp = materialize(components(copies), "components")
     tested = None
     for round_ in range(star_rounds + 1):
         g = groups.join(comp, groups["key"] == comp["node"], "left").select("sig", "key", "n", F.coalesce("component", "key").alias("comp"))
-        apart = g.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-        g = materialize(g.join(sized(apart), "sig"), "open")
-        in_comp = g.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("c"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
-        size = in_comp.agg(F.sum("c").alias("rows"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("q")) / 2).alias("pairs")).first()
-        if not size["rows"]:
-            break
-        # Few pairs are left across components: compare them all. Otherwise one of each group meets all others first.
-        across = round_ == star_rounds or size["pairs"] <= 2 * size["rows"]
+        across = round_ == star_rounds
+        if round_:
+            apart = g.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
+            g = materialize(g.join(sized(apart), "sig"), "open")
+            in_comp = g.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("c"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
+            size = in_comp.agg(F.sum("c").alias("rows"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("q")) / 2).alias("pairs")).first()
+            if not size["rows"]:
+                break
+            # Few pairs are left across components: compare them all. Otherwise one of each group meets all others first.
+            across = across or size["pairs"] <= 2 * size["rows"]
         if across:
             one = g.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         else:
@@ -265,7 +321,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         same = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = same if tested is None else tested.unionByName(same)
         # New links join whole components, so only the components' own graph is solved again.
-        found = materialize(components(_similar(pairs, texts, k, pct)), "roots")
+        near = materialize(_possible(pairs, bits, pct), "possible")
+        found = materialize(components(_similar(near, texts, k, pct)), "roots")
         moved = comp.join(found.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
         comp = materialize(moved.select("node", F.coalesce("root", "component").alias("component")).unionByName(found.join(comp, "node", "left_anti")), "components")
         if across:
