@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 0
-KEPT_UNITS = 1 << 19
+KEPT_UNITS = 1 << 20
 ROWS = 256
 #: White space other than space and line end; a text that has any is encoded whole.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　﻿"
-TAIL = ".,;:!?"
+TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str) -> str:
@@ -42,9 +42,23 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self._without_normaliser(path)
         self.kept_units = kept_units
         self.known: dict[str, bytes] = {}
 
+    def _without_normaliser(self, path: str):
+        """A tokenizer for lower-case ASCII words between spaces, which normalisation and the split pattern leave as they are."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        if self.tokenizer.normalizer is None:
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = " the quick brown foxes jumpedoverit zzyxq lazily"
+        same = plain.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return plain if same else None
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_ids(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -58,41 +72,59 @@ class UnitEncoder:
         u[0] = "\0" + u[0]
         return u
 
-    def _learn_letters(self, new: list[str]) -> None:
-        """Units of letters only: many in one text, told apart by the tokenizer's own word numbers."""
+    def _learn_letters(self, new: list[str], between: str, tokenizer=None) -> None:
+        """Units of letters only: many in one text, told apart by the tokenizer's own word numbers.
+
+        With a space ``between`` the units have one before them, with a line end they have nothing.
+        """
         groups = [new[i : i + 64] for i in range(0, len(new), 64)]
-        for g, e in zip(groups, self.tokenizer.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        lead, mark = (" ", "") if between == " " else ("", "\0")
+        for g, e in zip(groups, (tokenizer or self.tokenizer).encode_batch([lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids, of = e.ids, e.word_ids
             cuts = [0, *[i for i in range(1, len(of)) if of[i] != of[i - 1]], len(ids)]
-            if len(cuts) == len(g) + 1:
+            step = 2 if between == "\n" and len(cuts) == 2 * len(g) and len(g) > 1 else 1  # line ends may be words of their own
+            if len(cuts) - 1 == step * len(g) - (step - 1):
                 raw = array("I", ids).tobytes()
-                self.known.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(g, cuts[:-1], cuts[1:], strict=True))
+                self.known.update((mark + u, raw[4 * a : 4 * b]) for u, a, b in zip(g, cuts[:-1:step], cuts[1::step], strict=True))
             else:  # a letter that the tokenizer does not count as one
-                self.known.update(zip(g, self._whole([" " + u for u in g]), strict=True))
+                self.known.update(zip([mark + u for u in g], self._whole([lead + u for u in g]), strict=True))
 
     def _learn(self, new: set[str]) -> None:
+        """Ids of new units. A unit of letters with marks after it, or a line end before it, is put together from its parts."""
         known = self.known
-        parts = {u: (b, u[len(b) :]) for u in new if (b := u.rstrip(TAIL)) != u and b.isalpha()}
-        letters = [u for u in new if u.isalpha()]
-        letters += {b for b, _ in parts.values() if b not in known}.difference(letters)
-        if letters:
-            self._learn_letters(letters)
-        tails = [t for t in {"\0" + t for _, t in parts.values()} if t not in known]
-        rest = [u for u in new if u not in known and u not in parts] + tails
-        plain = [u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in rest]
-        known.update(zip(rest, self._whole(plain), strict=True))
-        for u, (b, t) in parts.items():
-            known[u] = known[b] + known["\0" + t]
+        spaced, bare, rest, parts = set(), set(), set(), []
+        for u in new:
+            b = u.rstrip(TAIL)
+            if u[0] == "\n" and b[1:].isalpha():
+                parts.append((u, "\0\n", "\0" + b[1:], "\0" + u[len(b) :] if len(b) < len(u) else ""))
+                bare.add(b[1:])
+                rest.add("\0\n")
+            elif b.isalpha():
+                spaced.add(b)
+                if len(b) < len(u):
+                    parts.append((u, b, "\0" + u[len(b) :], ""))
+            else:
+                rest.add(u)
+        rest.update(x for p in parts for x in p[2:] if x and not x[1:].isalpha())
+        spaced, bare, rest = [u for u in spaced if u not in known], [u for u in bare if "\0" + u not in known], [u for u in rest if u not in known]
+        simple = [u for u in spaced if u.isascii() and u.islower()] if self.plain else []
+        self._learn_letters(simple, " ", self.plain)
+        self._learn_letters([u for u in spaced if u not in known] if simple else spaced, " ")
+        self._learn_letters(bare, "\n")
+        known.update(zip(rest, self._whole([u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in rest]), strict=True))
+        known[""] = b""
+        for u, x, y, z in parts:
+            known[u] = known[x] + known[y] + known[z]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.units(t) for t in texts]
         got = [list(map(self.known.get, u)) if u else [] for u in split]
-        gaps = [i for i, g in enumerate(got) if None in g]
-        new = {u for i in gaps for u, x in zip(split[i], got[i], strict=True) if x is None}
-        if new:
-            self._learn(new)
-            for i in gaps:
-                got[i] = [self.known[u] if x is None else x for u, x in zip(split[i], got[i], strict=True)]
+        gaps = [(u, g, [i for i, x in enumerate(g) if x is None]) for u, g in zip(split, got, strict=True) if None in g]
+        if gaps:
+            self._learn({u[i] for u, _, miss in gaps for i in miss})
+            for u, g, miss in gaps:
+                for i in miss:
+                    g[i] = self.known[u[i]]
         odd = iter(self._whole([t for t, u in zip(texts, split, strict=True) if u is None]))
         out = [next(odd) if u is None else b"".join(g) for u, g in zip(split, got, strict=True)]
         if len(self.known) > self.kept_units:
