@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT_CELLS = 20_000  # largest n1 * n2 whose rank-sum distribution is enumerated
-EXACT_BINOMIAL = 1_000_000
-SIGNED_RANK_EXACT = 50
+# The exact rank-sum test is for a smaller side of at most 8, the exact signed-rank test for at most 50 pairs.
+RANK_SUM_EXACT, SIGNED_RANK_EXACT = 8, 50
 
 
 def normal_two_sided(z: float) -> float:
@@ -20,9 +19,9 @@ def normal_two_sided(z: float) -> float:
 
 
 @lru_cache(maxsize=256)
-def rank_sum_counts(n: int, m: int) -> tuple[int, ...]:
-    """How many of the C(n + m, n) orders give each U: coefficients of the Gaussian binomial."""
-    size = n * m + 1
+def rank_sum_counts(n: int, m: int, top: int | None = None) -> tuple[int, ...]:
+    """How many of the C(n + m, n) orders give each U up to ``top``: coefficients of the Gaussian binomial."""
+    size = (n * m if top is None else min(top, n * m)) + 1
     c = np.zeros(size, dtype=object)
     c[0] = 1
     for i in range(1, n + 1):
@@ -38,9 +37,10 @@ def rank_sum_counts(n: int, m: int) -> tuple[int, ...]:
 def rank_sum_p(u: float, n1: int, n2: int, ties: float) -> float:
     """Two-sided Mann-Whitney p: exact for a small sample without ties, else normal with tie and continuity terms."""
     top = max(u, n1 * n2 - u)
-    if min(n1, n2) <= 8 and ties == 0 and n1 * n2 <= EXACT_CELLS:
-        counts = rank_sum_counts(min(n1, n2), max(n1, n2))
-        return min(1.0, float(2 * sum(counts[int(math.ceil(top)):]) / sum(counts)))
+    if min(n1, n2) <= RANK_SUM_EXACT and ties == 0:
+        # The upper tail equals the lower one, which needs the counts of the small U only.
+        low = n1 * n2 - int(math.ceil(top))
+        return min(1.0, float(2 * sum(rank_sum_counts(min(n1, n2), max(n1, n2), low)) / math.comb(n1 + n2, n1)))
     n = n1 + n2
     var = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
     if var <= 0:
@@ -72,15 +72,8 @@ def signed_rank_p(w_plus: float, n: int, ties: float, zeros: int) -> float:
 
 
 def binomial_tail(k: int, n: int) -> float:
-    """P(X >= k) for n fair coins."""
-    if k <= 0:
-        return 1.0
-    if n > EXACT_BINOMIAL:
-        return 0.5 * math.erfc((k - 0.5 - n / 2) / math.sqrt(n / 4) / math.sqrt(2))
-    i = np.arange(k, n + 1, dtype=float)
-    head = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
-    steps = np.concatenate([[0.0], np.log((n - i[:-1]) / (i[:-1] + 1))])
-    return min(1.0, float(np.exp(head + np.cumsum(steps)).sum()))
+    """P(X >= k) for n fair coins, by the incomplete beta function: exact in form for any n."""
+    return 1.0 if k <= 0 else 0.0 if k > n else min(1.0, incomplete_beta(k, n - k + 1, 0.5))
 
 
 def sign_p(up: int, down: int) -> float:
@@ -89,11 +82,11 @@ def sign_p(up: int, down: int) -> float:
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function."""
+    """Continued fraction of the incomplete beta function, to 1e-14. It needs about sqrt(max(a, b)) terms."""
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 400):
+    for m in range(1, 1000 + 20 * math.isqrt(int(max(a, b)) + 1)):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
             d = 1 / (d if abs(d) > tiny else tiny)
@@ -101,20 +94,24 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1) < 1e-14:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the incomplete beta function of ({a}, {b}, {x}) does not converge")
 
 
-def student_two_sided(t: float, df: float) -> float:
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
     if x < (a + 1) / (a + b + 2):
         return front * _beta_fraction(a, b, x) / a
     return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
+def student_two_sided(t: float, df: float) -> float:
+    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+
+
 def spearman_p(rho: float, n: int) -> float:
     if n < 3 or math.isnan(rho):
         return float("nan")

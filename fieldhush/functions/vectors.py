@@ -30,14 +30,6 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def add(a: str | Column, b: str | Column) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
-
-
-def scale(a: str | Column, by: Column | float) -> Column:
-    return F.transform(_c(a), lambda x: x * by)
-
-
 def group_vectors(df: DataFrame, by: list[str], vector: str, stats: dict[str, str]) -> DataFrame:
     """Element-wise ``mean``, population ``std`` or ``max`` of an array column, one array per entry of ``stats``.
 

@@ -87,11 +87,6 @@ def quiet(points: DataFrame, events: DataFrame, by: Sequence[str], at: str, t: s
     return _near(points, events, by, at, t, width, "left_anti")
 
 
-def disturbed(points: DataFrame, events: DataFrame, by: Sequence[str], at: str, t: str, width: int) -> DataFrame:
-    """Points with an event closer than ``width`` seconds."""
-    return _near(points, events, by, at, t, width, "left_semi")
-
-
 def active_around(windows: DataFrame, rows: DataFrame, by: Sequence[str], start: str, end: str, t: str, pad: int) -> DataFrame:
     """Windows with a row in ``[start - pad, start)`` and one in ``[end, end + pad)``."""
     edges = bucket_edges(rows, by, t, pad)

@@ -24,10 +24,11 @@ PER_STEP = 2
 
 
 def two_way_effects(cells: DataFrame, by: Sequence[str], f1: str, f2: str, n: str, sums: Sequence[str],
-                    rounds: int = 60, tol: float = 1e-8) -> tuple[DataFrame, DataFrame]:
+                    rounds: int = 500, tol: float = 1e-8, must_converge: bool = True) -> tuple[DataFrame, DataFrame]:
     """Additive effects of both factors for each summed column: (by, f1, a_<s>) and (by, f2, b_<s>).
 
-    Alternates between the factors until no effect moves by ``tol`` or ``rounds`` is reached.
+    Alternates between the factors until no effect moves by ``tol``. Not reaching that in ``rounds`` is an error, unless
+    the study's rule is a fixed number of rounds (``must_converge`` false).
     """
     by = list(by)
     cells = materialize(cells, "cells")
@@ -47,12 +48,16 @@ def two_way_effects(cells: DataFrame, by: Sequence[str], f1: str, f2: str, n: st
         moved = F.greatest(F.lit(0.0), *[F.abs(F.col(f"b_{s}") - F.col(f"__o_{s}")) for s in sums])
         step = materialize(new.join(old, [*by, f2]).select(*by, f2, *[f"b_{s}" for s in sums], moved.alias("__moved")), "effects")
         b = step.drop("__moved")
-        if step.agg(F.max("__moved")).first()[0] < tol:
+        last = step.agg(F.max("__moved")).first()[0]
+        if last is None or last < tol:
             break
+    else:
+        if must_converge:
+            raise ArithmeticError(f"the effects still move by {last} after {rounds} rounds")
     return materialize(half(b, f2, f1, "b", "a"), "effects"), b
 
 
-def demean(df: DataFrame, f1: str, f2: str, values: Sequence[str], rounds: int = 60, tol: float = 1e-8, prefix: str = "r_") -> DataFrame:
+def demean(df: DataFrame, f1: str, f2: str, values: Sequence[str], rounds: int = 500, tol: float = 1e-8, prefix: str = "r_") -> DataFrame:
     """Rows with ``r_<v>``: each value with the means of both factors removed."""
     cells = df.groupBy(f1, f2).agg(F.count("*").alias("__n"), *[F.sum(F.col(v).cast("double")).alias(v) for v in values])
     a, b = two_way_effects(cells, [], f1, f2, "__n", values, rounds, tol)
@@ -107,19 +112,19 @@ def solve_column(gram: Column, rhs: Column) -> Column:
 
 
 def sparse_fits(cells: DataFrame, hits: DataFrame, perm: str, perms: tuple[int, int], f1: str, f2: str, n: str,
-                systems: Sequence[Sequence[str]], y: str) -> DataFrame:
+                systems: Sequence[Sequence[str]], y: str, rounds: int = 60) -> DataFrame:
     """(perm, beta array) of y (already demeaned) on two-way demeaned indicator columns, for every permutation.
 
     ``cells`` has the row count of each factor pair, ``hits`` the rows where any indicator is not zero,
     ``perms`` the first and last permutation number. Each of ``systems`` is a regression of its own; their
     coefficients follow each other in ``beta``. For a demeaned column z of x, sum(z * y) = sum(x * y) and
-    sum(z * z') = sum(x * z'), so the hits are enough.
+    sum(z * z') = sum(x * z'), so the hits are enough. ``rounds`` is the permutation study's fixed number of rounds.
     """
     terms = list(dict.fromkeys(t for sys in systems for t in sys))
     s = hits.groupBy(perm, f1, f2).agg(*[F.sum(t).alias(t) for t in terms])
     full = cells.select(f1, f2, n, F.explode(F.sequence(F.lit(perms[0]), F.lit(perms[1]))).alias(perm))
     full = full.join(s, [perm, f1, f2], "left").fillna(0.0, terms)
-    a, b = two_way_effects(full, [perm], f1, f2, n, terms)
+    a, b = two_way_effects(full, [perm], f1, f2, n, terms, rounds, must_converge=False)
     rows = hits.join(a, [perm, f1]).join(b, [perm, f2])
     rows = rows.select("*", *[(F.col(t) - F.col(f"a_{t}") - F.col(f"b_{t}")).alias(f"z_{t}") for t in terms])
     sums = []

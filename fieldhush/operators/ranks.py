@@ -64,10 +64,3 @@ def medians(df: DataFrame, by: Sequence[str], values: Sequence[str], block_rows:
         *[F.max(F.when(F.col("m") == v, F.col("v"))).alias(v) for v in values],
         *[F.max(F.when(F.col("m") == v, F.col("n"))).alias(f"n_{v}") for v in values],
     )
-
-
-def with_ranks(df: DataFrame, by: Sequence[str], value: str, descending: bool = False,
-               block_rows: int | None = None) -> DataFrame:
-    """Row-level ``avg_rank``, ``below`` and ``n`` (ties) within the group."""
-    ranks = value_ranks(df, by, value, descending=descending, block_rows=block_rows)
-    return df.join(ranks, [*by, value])

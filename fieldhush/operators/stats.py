@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldhush.functions import pvalues as PV
 from fieldhush.operators.intervals import interval_join
-from fieldhush.operators.ranks import medians, value_ranks, with_ranks
+from fieldhush.operators.ranks import medians, value_ranks
 
 # Normal quantiles at 0.975 and 0.8.
 Z_975 = 1.959963984540054
@@ -96,11 +96,6 @@ def smallest_effect(df: DataFrame, by: Sequence[str], value: str, kind: str, cas
     return g.withColumn("smallest_effect", reach)
 
 
-def null_effect(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """2.8 times the spread of a permutation null."""
-    return df.groupBy(*by).agg((2.8 * F.stddev_samp(value)).alias("smallest_effect"))
-
-
 # ---- matched comparisons ---------------------------------------------------
 
 def matched_difference(df: DataFrame, visit: Sequence[str], kind: str, values: Sequence[str], case: str = "visit",
@@ -243,12 +238,12 @@ def clock_shift(hourly: DataFrame, hour_t: str, value: str, peak: float = 13.5,
 
 
 def closest_placebo(df: DataFrame, visit: Sequence[str], kind: str, value: str, covariate: str, case: str = "visit") -> DataFrame:
-    """Visit minus the placebo window whose covariate is closest to the visit's."""
+    """Visit minus the placebo window whose covariate is closest to the visit's; one without a covariate is taken only if all lack it."""
     visit = list(visit)
     v = df.filter(F.col(kind) == case).select(*visit, F.col(value).alias("__v"), F.col(covariate).alias("__c"))
     p = df.filter(F.col(kind) != case).join(v, visit)
-    gap = F.coalesce(F.abs(F.col(covariate) - F.col("__c")), F.lit(99.0))
-    g = p.groupBy(*visit).agg(F.min_by(F.struct(value, covariate), F.struct(gap, F.col(covariate), F.col(value))).alias("__p"),
+    gap = F.abs(F.col(covariate) - F.col("__c"))
+    g = p.groupBy(*visit).agg(F.min_by(F.struct(value, covariate), F.struct(gap.isNull(), gap, F.col(covariate), F.col(value))).alias("__p"),
                               F.max("__v").alias("__v"), F.max("__c").alias("__c"))
     return g.select(*visit, (F.col("__v") - F.col(f"__p.{value}")).alias("diff"), (F.col("__c") - F.col(f"__p.{covariate}")).alias("d_cov"))
 

@@ -15,7 +15,6 @@ from fieldhush.plans.registry import query, rnd
 from fieldhush.plans.views import clips, ctes, raw, segments, sims, table, weather
 from fieldhush.sources.scratch import materialize
 
-PER_HOUR = 14.0 / 6  # clips per recorder and hour in the supplied events at sf0.01
 
 
 def sessions(spark, sf):

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Format tags of the WAV header.
+PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+
 
 def read_wav_files(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
     """Recursive listing with file contents; prune it by name before decoding."""
@@ -19,30 +21,67 @@ def read_wav_files(spark: SparkSession, path: str, glob: str = "*.wav") -> DataF
     return files.select(F.element_at(F.split("path", "/"), -1).alias("clip_name"), "path", "content")
 
 
-def decode_bytes(content: bytes) -> tuple[int, list[float]] | None:
-    """Sample rate and mono samples of a 16-bit PCM WAV (channel mean, / 32768); None when unreadable."""
+def _chunks(content: bytes) -> dict[bytes, bytes]:
+    """The RIFF chunks; a data chunk that claims more than is there holds what is there."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    out, at = {}, 12
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        out.setdefault(name, content[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return out
+
+
+def _samples(kind: int, bits: int, raw: bytes) -> np.ndarray:
+    """Samples as floats, full scale 1."""
+    raw = raw[: len(raw) - len(raw) % max(bits // 8, 1)]
+    if kind == PCM and bits == 8:
+        return (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    if kind == PCM and bits in (16, 32):
+        return np.frombuffer(raw, f"<i{bits // 8}") / 2.0 ** (bits - 1)
+    if kind == PCM and bits == 24:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8) / 2.0**31
+    if kind == FLOAT and bits in (32, 64):
+        return np.frombuffer(raw, f"<f{bits // 8}").astype(float)
+    raise ValueError(f"samples of format {kind} with {bits} bits")
+
+
+def read_wav(content: bytes | None) -> tuple[int | None, np.ndarray | None, str | None]:
+    """(sample rate, mono samples as the channel mean, None), or (None, None, reason) where the clip cannot be read."""
     try:
-        with wave.open(io.BytesIO(content)) as w:
-            if w.getsampwidth() != 2:
-                return None
-            data = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
-            return w.getframerate(), (data.mean(axis=1) / 32768.0).astype(np.float32)
-    except (wave.Error, EOFError, ValueError):
-        return None
+        chunks = _chunks(content or b"")
+        kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", chunks[b"fmt "])
+        if kind == EXTENSIBLE:
+            kind = struct.unpack_from("<H", chunks[b"fmt "], 24)[0]
+        x = _samples(kind, bits, chunks[b"data"])
+        x = x[: len(x) - len(x) % channels].reshape(-1, channels)
+        return rate, x.mean(axis=1).astype(np.float32), None
+    except KeyError as e:
+        return None, None, f"no chunk {e.args[0].decode()}"
+    except (ValueError, struct.error, ZeroDivisionError) as e:
+        return None, None, str(e)
+
+
+def decode_bytes(content: bytes | None) -> tuple[int, np.ndarray] | None:
+    rate, x, reason = read_wav(content)
+    return None if reason else (rate, x)
 
 
 def decode_wav(df: DataFrame, content: str = "content") -> DataFrame:
-    """Replace ``content`` by ``sr`` and ``wave array<float>``; unreadable files keep nulls."""
+    """Replace ``content`` by ``sr``, ``wave array<float>`` and ``wav_error``: null, or why there are no samples."""
     keep = [f for f in df.schema.fields if f.name != content]
-    schema = T.StructType([*keep, T.StructField("sr", T.IntegerType()), T.StructField("wave", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*keep, T.StructField("sr", T.IntegerType()), T.StructField("wave", T.ArrayType(T.FloatType())), T.StructField("wav_error", T.StringType())])
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [decode_bytes(c) for c in pdf[content]]
+            got = [read_wav(c) for c in pdf[content]]
             out = pdf[names].copy()
-            out["sr"] = pd.array([g[0] if g else None for g in got], dtype="Int32")
-            out["wave"] = [g[1] if g else None for g in got]
+            out["sr"] = pd.array([g[0] for g in got], dtype="Int32")
+            out["wave"] = [g[1] for g in got]
+            out["wav_error"] = [g[2] for g in got]
             yield out
 
     return df.mapInPandas(run, schema)

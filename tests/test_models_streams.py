@@ -79,9 +79,35 @@ def read(spark, feed):
     return spark.readStream.schema(feed[0].schema).option("maxFilesPerTrigger", 1).parquet(feed[1])
 
 
+def scored(spark, tmp_path):
+    """Rows in their place; the late copies of old rows are kept, and marked."""
+    every = spark.read.parquet(str(tmp_path / "o")).toPandas()
+    assert (every.late == 1).sum() == 20
+    return every[every.late == 0]
+
+
+def test_shuffled_files_lose_nothing(spark, feed, tmp_path):
+    """Eight files without any time order, one to a micro-batch, and heartbeats after them."""
+    import os
+
+    pdf = feed[0].toPandas()
+    beats = pdf.groupby("rec", as_index=False).t.max().assign(t=lambda d: d.t + 20_000)
+    beats = pd.DataFrame({"id": pd.array([None] * len(beats), "Int64"), "rec": beats.rec, "t": beats.t, "x": np.nan, "y": np.nan})
+    (tmp_path / "in").mkdir()
+    for i in range(9):
+        part = pdf[pdf.id % 8 == i] if i < 8 else beats
+        part.to_parquet(tmp_path / "in" / f"p{i}.parquet")
+        os.utime(tmp_path / "in" / f"p{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(feed[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    online.run_to_table(online.online_self_updating(stream, "rec", "t", "id", ["x", "y"], n=8, threshold=1.0, lateness=10_000), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = spark.read.parquet(str(tmp_path / "o")).toPandas().sort_values("id").reset_index(drop=True)
+    want = series.self_updating_z(feed[0], ["rec"], ["t", "id"], ["x", "y"], n=8, threshold=1.0, block_rows=30).toPandas().sort_values("id").reset_index(drop=True)
+    assert len(got) == 240 and (got.late == 0).all() and np.allclose(got[["z_x", "z_y"]], want[["z_x", "z_y"]])
+
+
 def test_online_scorer_equals_batch(spark, feed, tmp_path):
     online.run_to_table(online.online_scorer(read(spark, feed), "rec", "t", "id", "x", n=8, votes=4, need=2), str(tmp_path / "o"), str(tmp_path / "c"))
-    got = spark.read.parquet(str(tmp_path / "o")).toPandas().sort_values("id").reset_index(drop=True)
+    got = scored(spark, tmp_path).sort_values("id").reset_index(drop=True)
     from fieldhush.operators.blocks import ordered
 
     o = ordered(feed[0], ["rec"], ["t", "id"], before=12, block_rows=20)
@@ -92,6 +118,6 @@ def test_online_scorer_equals_batch(spark, feed, tmp_path):
 
 def test_online_self_updating_equals_batch(spark, feed, tmp_path):
     online.run_to_table(online.online_self_updating(read(spark, feed), "rec", "t", "id", ["x", "y"], n=8, threshold=1.0), str(tmp_path / "o"), str(tmp_path / "c"))
-    got = spark.read.parquet(str(tmp_path / "o")).toPandas().sort_values("id").reset_index(drop=True)
+    got = scored(spark, tmp_path).sort_values("id").reset_index(drop=True)
     want = series.self_updating_z(feed[0], ["rec"], ["t", "id"], ["x", "y"], n=8, threshold=1.0, block_rows=30).toPandas().sort_values("id").reset_index(drop=True)
     assert len(got) == 240 and np.allclose(got[["z_x", "z_y"]], want[["z_x", "z_y"]])

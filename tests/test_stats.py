@@ -23,6 +23,17 @@ def test_exact_p_values():
     assert sum(PV.rank_sum_counts(5, 7)) == math.comb(12, 5)
 
 
+def test_exact_p_values_have_no_size_limit():
+    """The values on both sides of any product of the sample sizes or number of coins follow one formula."""
+    for n2 in (6666, 6667, 20000):
+        assert PV.rank_sum_p(0, 3, n2, 0) == pytest.approx(2 / math.comb(n2 + 3, 3), rel=1e-12)
+    for n in (999_999, 1_000_001):
+        k = n // 2 + 700
+        assert PV.binomial_tail(k, n) == pytest.approx(0.5 * math.erfc((k - 0.5 - n / 2) / math.sqrt(n / 4) / math.sqrt(2)), rel=1e-3)
+    for n, k in ((1, 1), (10, 7), (30, 15), (30, 0), (30, 30)):
+        assert PV.binomial_tail(k, n) == pytest.approx(sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n, rel=1e-12)
+
+
 def test_binomial_tail_stays_exact_for_many_coins():
     assert PV.binomial_tail(5100, 10000) == pytest.approx(0.5 * math.erfc(99.5 / 50 / math.sqrt(2)), rel=1e-3)
 
