@@ -354,6 +354,15 @@ def _grow(x: np.ndarray, depth: int, limit: int, rng: np.random.Generator, nodes
     return at
 
 
+def _distinct(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
+    """``k`` different numbers below ``n`` in random order."""
+    out = np.zeros(0, np.int64)
+    while len(out) < k:
+        both = np.concatenate([out, rng.integers(0, n, k)])
+        out = both[np.sort(np.unique(both, return_index=True)[1])]
+    return out[:k]
+
+
 def isolation_forest(df: DataFrame, array: str, baseline: Column, ids: Sequence[str], trees: int = 200, sample: int = 256, out: str = "isolation") -> DataFrame:
     """Anomaly score from trees grown in parallel on ``sample`` baseline rows each.
 
@@ -362,19 +371,13 @@ def isolation_forest(df: DataFrame, array: str, baseline: Column, ids: Sequence[
     base = df.filter(baseline)
     n = base.count()
     per = max(1, min(sample, n))
-    def unit(*parts: Column) -> Column:
-        """A hashed number in [0, 1)."""
-        text = F.concat_ws("|", *parts, *[F.col(c).cast("string") for c in ids])
-        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-    want = 1.5 * per * trees
-    if n > want:
-        # Plenty of rows: each goes to one tree at most, so the data is read once and not once per tree.
-        pick = base.select(*ids, array).withColumn("__h", unit(F.lit("row"))).filter(F.col("__h") < want / n)
-        pick = pick.withColumn("tree", F.floor(unit(F.lit("tree")) * trees).cast("int"))
-    else:
-        pick = base.select(*ids, array).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        pick = pick.withColumn("__h", unit(F.col("tree").cast("string"))).filter(F.col("__h") < 1.5 * per / max(n, 1))
+    # Each tree draws its own rows without replacement, by their places; trees x sample places, whatever the size of the table.
+    draws = []
+    for tree in range(trees):
+        at = np.random.default_rng([tree, 1]).permutation(n)[:per] if n <= 4 * per else _distinct(np.random.default_rng([tree, 1]), n, per)
+        draws += [(tree, int(i) + 1, j) for j, i in enumerate(at)]
+    chosen = df.sparkSession.createDataFrame(draws, "tree int, __i long, __h int")
+    pick = row_index(base.select(*ids, array), [], list(ids), "__i").join(chosen, "__i")
     limit = int(np.ceil(np.log2(max(per, 2))))
     node_t = "tree int, nodes array<struct<f:int,c:double,l:int,r:int,d:double>>"
 

@@ -8,6 +8,7 @@ never become a column. Keep ``spark.sql.execution.arrow.maxRecordsPerBatch`` nea
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -50,36 +51,69 @@ def power_frames(y: np.ndarray, fs: float, size: int, window: Callable[[int], np
     return np.fft.rfftfreq(n, 1 / fs), spec.T
 
 
-def _db(p: np.ndarray) -> float:
-    return float(10 * np.log10(p.mean() + FLOOR)) if p.size else float("nan")
+@dataclass(frozen=True)
+class Bands:
+    """Totals of a power spectrum over frequency bands, from one pass over the frames.
+
+    Per band: ``bins``, ``power`` (sum over its bins of the mean over frames), and ``change`` (sum over its bins of the total
+    variation over frames divided by the bin's total). All measures of a clip are ratios of these.
+    """
+
+    bins: np.ndarray
+    power: np.ndarray
+    change: np.ndarray
+
+    def level(self, i: int) -> float:
+        """Mean power of a band's bins in dB."""
+        return float(10 * np.log10(self.power[i] / self.bins[i] + FLOOR)) if self.bins[i] else float("nan")
+
+
+def bands_of(f: np.ndarray, frames: np.ndarray, limits: Sequence[tuple[float, float]]) -> Bands:
+    """Bands ``[low, high)`` may overlap; every bin's totals are summed up once and a band is a difference of two sums."""
+    edge = np.searchsorted(f, np.asarray(limits, float))
+    lifted = frames + FLOOR
+    per_bin = np.stack([np.ones(len(f)), frames.mean(axis=1), np.abs(np.diff(lifted, axis=1)).sum(axis=1) / lifted.sum(axis=1)])
+    sums = np.concatenate([np.zeros((3, 1)), np.cumsum(per_bin, axis=1)], axis=1)
+    return Bands(*(sums[:, edge[:, 1]] - sums[:, edge[:, 0]]))
 
 
 def soundscape(y: np.ndarray, fs: float) -> dict:
-    """Band levels, NDSI, acoustic complexity over 2-8 kHz, normalised spectral entropy."""
-    f, s = power_frames(y, fs, 1024, tukey)
-    p = s.mean(axis=1)
-    band = lambda r: (f >= r[0]) & (f < r[1])
-    sb = s[band(BIRD)] + FLOOR
-    aci = float((np.abs(np.diff(sb, axis=1)).sum(axis=1) / sb.sum(axis=1)).sum())
-    q = p / p.sum() if p.sum() > 0 else p
-    bio, anth = p[band(BIRD)].sum(), p[band(HUMAN)].sum()
-    return dict(zip(MEASURES, (_db(p), _db(p[band(LOW)]), _db(p[band(BIRD)]), _db(p[band(HIGH)]), float((bio - anth) / (bio + anth + FLOOR)), aci,
-                               float(-(q * np.log2(q + FLOOR)).sum() / np.log2(len(q))))))
+    """The published indices as ratios of band totals.
+
+    Levels are the mean power of a band. NDSI is the contrast of biological and human-made power (Kasten et al. 2012). The
+    complexity index is the change over frames relative to the total, summed over the bins of the bird band (Pieretti et al. 2011).
+    Entropy is the Shannon entropy of the mean spectrum over that of a flat one (Sueur et al. 2008).
+    """
+    f, frames = power_frames(y, fs, 1024, tukey)
+    everything, low, bird, high, human = range(5)
+    b = bands_of(f, frames, [(-1.0, np.inf), LOW, BIRD, HIGH, HUMAN])
+    spectrum = frames.mean(axis=1)
+    total = spectrum.sum()
+    # With S = sum p and H = log S - sum(p log p) / S no share has to be formed; an empty bin adds nothing.
+    used = spectrum[spectrum > 0]
+    entropy = (np.log(total) - (used * np.log(used)).sum() / total) / np.log(len(f)) if total > 0 else 0.0
+    out = {f"{name}_db": b.level(i) for name, i in (("total", everything), ("low", low), ("bird", bird), ("high", high))}
+    contrast = (b.power[bird] - b.power[human]) / (b.power[bird] + b.power[human] + FLOOR)
+    return out | {"ndsi": float(contrast), "aci": float(b.change[bird]), "entropy": float(entropy)}
+
+
+def edges_every(hz: float, top: float = 16000.0, low: float = 0.0) -> list[float]:
+    """Band edges of equal width from ``low`` to ``top``."""
+    return [low + i * hz for i in range(int(round((top - low) / hz)) + 1)]
+
+
+# The eight pitch groups, in Hz.
+PITCH_GROUPS = (0, 1000, 2000, 4000, 6000, 8000, 11000, 14000, 16000)
 
 
 def banded_power(edges: Sequence[float], size: int = 2048, log: bool = False, centre: bool = False) -> Measure:
     """Welch power averaged over ``[edge, next edge)`` bands; bands without a bin give NaN."""
-    edges = np.asarray(edges, float)
+    limits = list(zip(edges[:-1], edges[1:]))
 
     def measure(y: np.ndarray, fs: float) -> dict:
-        f, s = power_frames(y - y.mean() if centre else y, fs, size, hann)
-        p = s.mean(axis=1)
-        at = np.searchsorted(edges, f, side="right") - 1
-        ok = (at >= 0) & (at < len(edges) - 1)
-        n = np.bincount(at[ok], minlength=len(edges) - 1)
-        total = np.bincount(at[ok], weights=p[ok], minlength=len(edges) - 1)
-        out = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
-        return {"power": np.log10(out + FLOOR) if log else out}
+        b = bands_of(*power_frames(y - y.mean() if centre else y, fs, size, hann), limits)
+        out = np.divide(b.power, b.bins, out=np.full(len(limits), np.nan), where=b.bins > 0)
+        return {"power": np.log10(np.maximum(out, 0) + FLOOR) if log else out}
 
     return measure
 

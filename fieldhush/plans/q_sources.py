@@ -36,19 +36,18 @@ def s1(spark, sf):
     return B.clean_clips(twice, ["clip_id"]).select("clip_name", "clip_id", "t")
 
 
-@query("s1_read_clip_csv", f"""WITH {ctes('raw')} SELECT clip_name, min(species) AS species, CAST(epoch(strptime(min(stamp), '%Y%m%d_%H%M%S')) AS BIGINT) AS t FROM raw WHERE clip_id % 2 = 0 GROUP BY 1 HAVING count(*) = 1""")
+@query("s1_read_clip_csv", f"""WITH {ctes('raw')} SELECT clip_name, min(species) AS species, CAST(epoch(strptime(min(stamp), '%Y%m%d_%H%M%S')) AS BIGINT) AS t FROM raw GROUP BY 1""")
 def s1b(spark, sf):
-    r = raw(spark, sf).filter("clip_id % 2 = 0").select("clip_name", "Recorder", F.col("stamp").alias("Timestamp"), "species", "confidence", F.col("sim_type").alias("Sim Type"))
-    one = r.join(r.groupBy("clip_name").count().filter("count = 1"), "clip_name", "left_semi")
+    r = raw(spark, sf).select("clip_name", "Recorder", F.col("stamp").alias("Timestamp"), "species", "confidence", F.col("sim_type").alias("Sim Type"))
     path = fresh(spark, "clips-csv")
-    B.write_table(one, path, "csv")
+    B.write_table(r, path, "csv")
     return B.read_clips(spark, path, ["clip_name", "Timestamp", "species"]).select("clip_name", "species", "t")
 
 
-@query("s2_feature_matrices", f"""WITH {ctes('clips')} SELECT 'AM' || (rec + 1) AS recorder, count(*) AS n, round(sum(x1), 4) AS x1, CASE WHEN rec = 1 THEN sum(x2)::BIGINT ELSE -1 END AS extra FROM clips WHERE rec < 3 GROUP BY rec""")
+@query("s2_feature_matrices", f"""WITH {ctes('clips')} SELECT 'AM' || (rec + 1) AS recorder, count(*) AS n, round(sum(x1), 4) AS x1, CASE WHEN rec = 1 THEN sum(x2)::BIGINT ELSE -1 END AS extra FROM clips GROUP BY rec""")
 def s2(spark, sf):
     path = fresh(spark, "matrices")
-    for r in range(3):
+    for r in range(6):
         part = clips(spark, sf).filter(F.col("rec") == r).select(F.concat(F.lit("clip"), "clip_id").alias("clip_name"), "x1", *(["x2"] if r == 1 else []))
         B.write_table(part.withColumn("clip_name", F.lit("nameless")), f"{path}/am{r + 1}_feature_matrix.csv", "csv")
     m = B.read_feature_matrices(spark, path)
@@ -98,9 +97,9 @@ def s6(spark, sf):
     return B.only_stored(r.select("clip_name"), stored, "clip_name").groupBy("clip_name").agg(F.count("*").alias("n"))
 
 
-@query("s7_measure_cache", f"""WITH {ctes('clips')} SELECT clip_id, round(ln(1 + x1), 6) AS level FROM clips WHERE clip_id % 3 <> 0""")
+@query("s7_measure_cache", f"""WITH {ctes('clips')} SELECT clip_id, round(ln(1 + x1), 6) AS level FROM clips""")
 def s7(spark, sf):
-    c = clips(spark, sf).select("clip_id", "x1").filter("clip_id % 3 <> 0")
+    c = clips(spark, sf).select("clip_id", "x1")
     job = lambda d: d.select("clip_id", rnd(F.log1p("x1")).alias("level"))
     schema = T.StructType([T.StructField("clip_id", T.LongType()), T.StructField("level", T.DoubleType())])
     path = fresh(spark, "cache")
@@ -155,6 +154,19 @@ def d2(spark, sf):
     return out.select("doc_id", F.posexplode("power").alias("band", "p")).groupBy("band").agg(F.count("p").alias("n"), rnd(F.avg("p"), 4).alias("level"))
 
 
+def spectrum_layout(name, edges):
+    @query(name)
+    def layout(spark, sf):
+        out = D.signal_job(sound(spark, sf), D.banded_power(edges), D.ARRAY_POWER, ["doc_id"], content="content")
+        bands = out.select("doc_id", F.posexplode("power").alias("band", "p")).groupBy("band").agg(F.count("p").alias("n"), F.avg("p").alias("p"))
+        return bands.select("band", "n", rnd(10 * F.log10("p"), 4).alias("level"))
+
+
+spectrum_layout("d2_steps_of_500_hz", D.edges_every(500))
+spectrum_layout("d2_steps_of_250_hz", D.edges_every(250, 10000, 4000))
+spectrum_layout("d2_pitch_groups", list(D.PITCH_GROUPS))
+
+
 @query("d3_frame_features")
 def d3(spark, sf):
     out = D.signal_job(sound(spark, sf), D.frame_features, D.doubles(D.FRAME_FEATURES), ["doc_id"], content="content")

@@ -43,20 +43,20 @@ def read_clips(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return clean_clips(df, [F.col(c) for c in df.columns if c != "clip_name"])
 
 
-def read_feature_matrices(spark: SparkSession, path: str, fmt: str = "csv", name: str = r"(?i)am(\d+)_feature_matrix") -> DataFrame:
-    """All feature tables whose file name matches; ``recorder`` from the clip name, else from the file name.
+def read_feature_matrices(spark: SparkSession, path: str, fmt: str = "csv", name: str = r"(?i)am(\d+)_feature_matrix\.") -> DataFrame:
+    """All feature tables whose whole file name is ``name`` and the format's ending; ``recorder`` from the clip name, else from the file name.
 
     Tables with different columns are united by name, missing columns are null.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", True).load(path)
-    found = files.select(F.regexp_extract("path", name, 0).alias("stem")).filter("stem <> ''").distinct()
+    found = files.select(F.regexp_extract("path", f"({name}{fmt})(?:/[^/]*)?$", 1).alias("stem")).filter("stem <> ''").distinct()
     # One stem per recorder; each may be a file or a folder of part files.
     stems = sorted(r.stem for r in found.collect())
     if not stems:
         raise FileNotFoundError(f"no feature matrix under {path}")
     out = None
     for stem in stems:
-        part = spark.read.option("header", True).option("inferSchema", fmt == "csv").format(fmt).load(f"{path}/{stem}*")
+        part = spark.read.option("header", True).option("inferSchema", fmt == "csv").format(fmt).load(f"{path}/{stem}")
         part = part.withColumn("__file", F.lit(stem))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     from_file = F.concat(F.lit("AM"), F.regexp_extract("__file", name, 1))

@@ -105,3 +105,50 @@ def test_ordered_concat_pads_and_delta_of_one_segment(spark):
     assert got == {"a": [1.0, 2.0, 4.0, 4.0], "b": [7.0, 7.0, 0.0, 0.0]}
     delta = {r.k: r for r in clip_vectors.delta_statistics(d, ["k"], "i", "v", 2).collect()}
     assert delta["b"].delta_mean == [0.0, 0.0] and delta["a"].delta_first == [3.0, 2.0] and delta["a"].delta_last == [5.0, 5.0]
+
+
+def test_soundscape_by_loops():
+    """Every index bin by bin and frame by frame, from its definition."""
+    y = np.random.default_rng(3).normal(size=4000) * np.linspace(0.2, 1, 4000)
+    f, s = signal.power_frames(y, FS, 1024, signal.tukey)
+    got = signal.soundscape(y, FS)
+    aci = sum(sum(abs(s[i, j + 1] - s[i, j]) for j in range(s.shape[1] - 1)) / sum(s[i]) for i in range(len(f)) if 2000 <= f[i] < 8000)
+    mean = s.mean(axis=1)
+    bio, human = (sum(p for p, x in zip(mean, f) if a <= x < b) for a, b in ((2000, 8000), (1000, 2000)))
+    share = mean / mean.sum()
+    assert np.isclose(got["aci"], aci) and np.isclose(got["ndsi"], (bio - human) / (bio + human))
+    assert np.isclose(got["entropy"], -(share * np.log2(share)).sum() / np.log2(len(f)), rtol=1e-9)
+    assert np.isclose(got["total_db"], 10 * np.log10(mean.mean())) and np.isclose(got["low_db"], 10 * np.log10(mean[(f >= 50) & (f < 1500)].mean()))
+
+
+def test_band_layouts():
+    y = np.random.default_rng(4).normal(size=6000)
+    f, s = signal.power_frames(y, FS, 2048, signal.hann)
+    for edges in (signal.edges_every(500), signal.edges_every(250, 10000, 4000), signal.PITCH_GROUPS):
+        got = signal.banded_power(edges)(y, FS)["power"]
+        want = [s.mean(axis=1)[(f >= a) & (f < b)].mean() for a, b in zip(edges[:-1], edges[1:])]
+        assert np.allclose(got, want)
+
+
+def test_wav_sample_types():
+    import struct
+
+    from fieldhush.sources.audio import read_wav
+
+    x = np.array([0.0, 0.5, -0.5, 0.25, -0.25, 0.75])
+
+    def wav(kind, bits, raw, channels=1, extra=b""):
+        fmt = struct.pack("<HHIIHH", kind, channels, 8000, 8000 * channels * bits // 8, channels * bits // 8, bits) + extra
+        body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(raw)) + raw
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    i24 = b"".join(int(v * 2**23).to_bytes(3, "little", signed=True) for v in x)
+    cases = [(1, 8, (x * 128 + 128).astype(np.uint8).tobytes()), (1, 16, (x * 2**15).astype("<i2").tobytes()), (1, 24, i24), (1, 32, (x * 2**31).astype("<i4").tobytes()),
+             (3, 32, x.astype("<f4").tobytes()), (3, 64, x.astype("<f8").tobytes())]
+    for kind, bits, raw in cases:
+        rate, got, reason = read_wav(wav(kind, bits, raw))
+        assert rate == 8000 and reason is None and np.allclose(got, x)
+    extensible = struct.pack("<HHIH", 22, 24, 0, 1) + bytes(14)
+    assert np.allclose(read_wav(wav(0xFFFE, 24, i24, extra=extensible))[1], x)
+    assert np.allclose(read_wav(wav(1, 16, (x * 2**15).astype("<i2").tobytes(), channels=2))[1], x.reshape(-1, 2).mean(axis=1))
+    assert read_wav(b"no sound")[2] == "not a WAV file" and read_wav(None)[2] and "format 85" in read_wav(wav(85, 16, b"")) [2]
