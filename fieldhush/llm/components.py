@@ -26,14 +26,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or linked to one centre only."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("centre"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("centre")))
+    seen = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("centre").alias("centre"))
+    return seen.filter("child > 1 or child + centre > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable. Self-links and repeats do no harm."""
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == before:
-            break
-        before = mark
+    while not _stars(e):
         e = materialize(_star(_star(e, True), False), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,8 +8,8 @@ one, the rarest by one order for all: the first common one in the order is among
 are left out; a set with too few others also gives its k + 1 rarest elements, which finds the pairs of two such sets.
 
 The order comes from a count sketch of fixed size over all signatures. It keeps passages that many documents share from making
-large groups; any order is exact. Documents with a common signature are compared exactly, first with one of the group and then, in
-a few rounds, only across what is not yet connected, so a large group of near copies costs as many comparisons as it has documents.
+large groups; any order is exact. Documents with a common signature are compared exactly: first all with one of the group, then, block by
+block inside a task, those that are not connected yet. Bitmaps rule out nearly all pairs before a text is looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from fieldhush.sources.scratch import materialize, sized
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 12
 SALT_ROWS = 50_000
-STAR_ROUNDS = 6
+BLOCK_ROWS = 2048
 
 
 def _edges() -> list[int]:
@@ -245,6 +245,81 @@ def _possible(pairs: DataFrame, bits: DataFrame, pct: int) -> DataFrame:
     return both.mapInArrow(run, ", ".join(f"{c} {kind}" for c in ("a", "b", "ca", "cb")))
 
 
+def _apart(rows: list[tuple], pct: int) -> Iterator[tuple]:
+    """(a, b, ca, cb) for the members of one group, (key, n, comp, major, block, bits), that may be similar and are not connected.
+
+    The members of the group's largest component meet only the others, never each other.
+    """
+    cross = len({r[4] for r in rows}) > 1
+    minor = [i for i, r in enumerate(rows) if not r[3]]
+    if len(minor) * len(rows) < 4000:
+        for i in minor:
+            a = rows[i]
+            for j, b in enumerate(rows):
+                if (b[3] or j > i) and a[2] != b[2] and (not cross or a[4] != b[4]) and least_difference(a[5], b[5]) <= most_different(a[1], b[1], pct):
+                    if 100 * min(a[1], b[1]) >= pct * max(a[1], b[1]):
+                        yield a[0], b[0], a[2], b[2]
+        return
+    width = min(len(r[5]) for r in rows)
+    bits = np.empty((len(rows), width), np.uint8)
+    for i, r in enumerate(rows):
+        x = np.frombuffer(r[5], np.uint8)
+        bits[i] = np.bitwise_xor.reduce(x.reshape(-1, width), 0)
+    bits = bits.view(np.uint64)
+    n, comp, block, major = (np.array([r[c] for r in rows]) for c in (1, 2, 4, 3))
+    at = np.arange(len(rows))
+    for i in minor:
+        ok = (major | (at > i)) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= pct * np.maximum(n, n[i]))
+        if cross:
+            ok &= block != block[i]
+        j = np.flatnonzero(ok)
+        d = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+        for x in j[d <= (100 - pct) * (n[j] + n[i]) // (100 + pct)].tolist():
+            yield rows[i][0], rows[x][0], rows[i][2], rows[x][2]
+
+
+def _across(g: DataFrame, bits: DataFrame, pct: int, block_rows: int) -> DataFrame:
+    """(a, b, ca, cb): pairs of one group (sig, key, n, comp) and different components that their bitmaps do not rule out.
+
+    A group of more than ``block_rows`` is cut into blocks, and each two blocks are a cell of their own, so a task holds two blocks
+    at most. The bitmaps travel with the rows; pairs that they rule out are never rows.
+    """
+    in_comp = g.groupBy("sig", "comp").agg(F.count("*").alias("c"))
+    apart = in_comp.groupBy("sig").agg(F.sum("c").alias("rows"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).filter("comps > 1")
+    apart = sized(apart.select("sig", F.col("top.comp").alias("most"), F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")))
+    rows = g.join(apart, "sig").join(bits.select("key", "bits"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))).alias("cell")
+    rows = rows.select("sig", cell, "key", "n", "comp", (F.col("comp") == F.col("most")).alias("major"), "block", "bits").select("sig", "cell.lo", "cell.hi", "key", "n", "comp", "major", "block", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, out = [], None, []
+        for b in batches:
+            c = [b[x].to_pylist() for x in ("sig", "lo", "hi", "key", "n", "comp", "major", "block", "bits")]
+            for sig, lo, hi, *member in zip(*c, strict=True):
+                if (sig, lo, hi) != now:
+                    out += pairs_of(held, now)
+                    held, now = [], (sig, lo, hi)
+                    if len(out) > 50_000:
+                        yield batch(out)
+                        out = []
+                held.append(tuple(member))
+        out += pairs_of(held, now)
+        if out:
+            yield batch(out)
+
+    def pairs_of(held: list[tuple], now: tuple | None) -> list[tuple]:
+        # A cell of two blocks that holds one of them only has nothing to compare.
+        if len(held) < 2 or (now[1] != now[2] and len({r[4] for r in held}) < 2):
+            return []
+        return list(dict.fromkeys(_apart(held, pct)))
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b", "ca", "cb"])
+
+    kind = bits.schema["key"].dataType.simpleString()
+    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, ", ".join(f"{c} {kind}" for c in ("a", "b", "ca", "cb")))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     """(a, b): the components ca and cb of those pairs (a, b, ca, cb) whose texts have similar sets."""
 
@@ -269,7 +344,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "ta", "tb", "ca", "cb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, pct: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, pct: int = 80, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A row per document: key, n_shingles, component_id (the smallest key reachable by links of ``pct`` percent similarity).
 
     Null and empty texts have no shingles and are linked with nothing. Rows that share a key are one node: linked with each other
@@ -292,41 +367,32 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     groups = materialize(shared.select("sig", "key", "n"), "groups")
     texts = materialize(loud.join(sized(groups.select("key").distinct()), "key", "left_semi"), "candidates")
     bits = materialize(_bitmaps(texts, k), "bitmaps")
-    comp = materialize(components(copies), "components")
-    tested = None
-    for round_ in range(star_rounds + 1):
-        g = groups.join(comp, groups["key"] == comp["node"], "left").select("sig", "key", "n", F.coalesce("component", "key").alias("comp"))
-        across = round_ == star_rounds
-        if round_:
-            apart = g.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-            g = materialize(g.join(sized(apart), "sig"), "open")
-            in_comp = g.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("c"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
-            size = in_comp.agg(F.sum("c").alias("rows"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("q")) / 2).alias("pairs")).first()
-            if not size["rows"]:
-                break
-            # Few pairs are left across components: compare them all. Otherwise one of each group meets all others first.
-            across = across or size["pairs"] <= 2 * size["rows"]
-        if across:
-            one = g.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        else:
-            order = F.lit(0).cast("long") if not round_ else F.xxhash64("key", F.lit(round_))
-            one = g.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "key", "n", "comp")).alias("m"))
-            one = one.select("sig", F.col("m.key").alias("a"), F.col("m.n").alias("na"), F.col("m.comp").alias("ca"))
-        other = g.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        fits = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
-        pairs = one.join(other, "sig").filter(fits & (F.col("a") < F.col("b")) if across else fits).select("a", "b", "ca", "cb").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        same = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = same if tested is None else tested.unionByName(same)
-        # New links join whole components, so only the components' own graph is solved again.
-        near = materialize(_possible(pairs, bits, pct), "possible")
-        found = materialize(components(_similar(near, texts, k, pct)), "roots")
+    # Copies are linked to their first key alone; only keys with several rows can link such stars to each other.
+    if several.isEmpty():
+        ends = [copies.select(F.col(c).alias("node"), F.col("a").alias("component")) for c in "ab"]
+        comp = ends[1].unionByName(ends[0].distinct())
+    else:
+        comp = components(copies)
+    comp = materialize(comp, "components")
+
+    def placed() -> DataFrame:
+        return groups.join(comp, groups["key"] == comp["node"], "left").select("sig", "key", "n", F.coalesce("component", "key").alias("comp"))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Components after the links among ``pairs``: links join whole components, so only those are solved again."""
+        found = materialize(components(_similar(pairs, texts, k, pct)), "roots")
         moved = comp.join(found.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
-        comp = materialize(moved.select("node", F.coalesce("root", "component").alias("component")).unionByName(found.join(comp, "node", "left_anti")), "components")
-        if across:
-            break
+        return materialize(moved.select("node", F.coalesce("root", "component").alias("component")).unionByName(found.join(comp, "node", "left_anti")), "components")
+
+    # One of each group meets all others: as many pairs as rows.
+    g = placed()
+    one = g.groupBy("sig").agg(F.min(F.struct("key", "n", "comp")).alias("m")).select("sig", F.col("m.key").alias("a"), F.col("m.n").alias("na"), F.col("m.comp").alias("ca"))
+    other = g.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    fits = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+    pairs = materialize(one.join(other, "sig").filter(fits).select("a", "b", "ca", "cb").distinct(), "pairs")
+    comp = joined(materialize(_possible(pairs, bits, pct), "possible"))
+    # Groups that are still apart are compared in blocks by their bitmaps; only pairs that may be similar come out.
+    comp = joined(materialize(_across(placed(), bits, pct, block_rows).distinct(), "across"))
     out = sets.join(comp, sets["key"] == comp["node"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
