@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest import document_rows
+from edge_rows import document_rows
 
 from fieldhush.llm import exact_dedup, jaccard, language, line_dedup, mixing, packing, rules, tokens, toxicity, warc
 from fieldhush.llm.bitplanes import token_file
