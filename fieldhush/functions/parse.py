@@ -83,6 +83,8 @@ def is_simulation(sim_type: str | Column) -> Column:
     return F.coalesce(~F.trim(_c(sim_type)).isin("[]", *EMPTY_WORDS), F.lit(False))
 
 
+# The label texts of the next four functions, and the words that they look for.
+
 def disturbance_class(sim_type: str | Column) -> Column:
     s = _c(sim_type)
     return (F.when(s == "[]", "baseline").when(s.contains("Gunshot"), "gunshot")

@@ -114,6 +114,7 @@ def alarm_rate(df: DataFrame, by: Sequence[str], label: str, pred: Column, high:
     return g.withColumn("high", F.col("rate") > high)
 
 
+# The verdict texts and their limits.
 def matched_verdict(before: Column, after: Column) -> Column:
     """STABLE within 0.05, DATE CONFOUND LIKELY below -0.10, else SLIGHT DROP."""
     change = after - before

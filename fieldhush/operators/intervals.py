@@ -164,6 +164,7 @@ def signed_time(points: DataFrame, events: DataFrame, by: Sequence[str], at: str
     return n.withColumn(out, F.col(at) - F.col(f"__near.{t}")).drop("__near")
 
 
+# The distance labels and their limits in minutes.
 def distance_label(minutes: str | Column) -> Column:
     """approach [-60, -20), near |dt| < 20, after [20, 60), mid [60, 120) either way, else far."""
     m = F.col(minutes) if isinstance(minutes, str) else minutes

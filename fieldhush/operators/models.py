@@ -36,10 +36,11 @@ def with_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
 
 def balance_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """n / (2 * n of the class): both classes weigh the same."""
-    c = df.groupBy(label).agg(F.count("*").alias("__k"))
-    total = c.agg(F.sum("__k").alias("__n"), F.count("*").alias("__c"))
-    w = c.crossJoin(F.broadcast(total)).select(label, (F.col("__n") / (F.col("__c") * F.col("__k"))).alias(out))
-    return df.join(w, label)
+    counts = df.groupBy(label).count().collect()  # one row per class
+    n, out_w = sum(r["count"] for r in counts), F.lit(None).cast("double")
+    for r in counts:
+        out_w = F.when(F.col(label).eqNullSafe(F.lit(r[label])), n / (len(counts) * r["count"])).otherwise(out_w)
+    return df.withColumn(out, out_w)
 
 
 def fit_pipeline(train: DataFrame, label: str, classifier, pca: int | None = None, balanced: bool = True,

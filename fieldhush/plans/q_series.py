@@ -187,11 +187,11 @@ def a26(spark, sf):
 
 
 @query("w18_dynamic_state_features", f"""WITH {ctes('segments')}, {STATES_SQL},
-marg AS (SELECT rec, s1, 0.1 AS p FROM trans GROUP BY 1, 2),
+marg AS (SELECT rec, s1, avg(p) AS p FROM trans GROUP BY 1, 2),
 rec_h AS (SELECT vec_id, list(state) OVER (PARTITION BY rec ORDER BY vec_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS h FROM segments),
 ent AS (SELECT vec_id, -sum(p * ln(p)) AS e FROM (SELECT vec_id, s, count(*)::DOUBLE / max(n) AS p FROM (SELECT vec_id, len(h) AS n, unnest(h) AS s FROM rec_h) GROUP BY 1, 2) GROUP BY 1)
-SELECT q.vec_id, round(CASE WHEN q.prev IS NULL THEN 0 ELSE -ln(greatest(t.p, 1e-8)) END, 6) + 0.0 AS surprise, round(-ln(0.1), 6) AS rarity, round(e.e, 6) + 0.0 AS state_entropy
-FROM seq q LEFT JOIN trans t ON t.rec = q.rec AND t.s1 = q.prev AND t.s2 = q.state JOIN ent e ON e.vec_id = q.vec_id""")
+SELECT q.vec_id, round(CASE WHEN q.prev IS NULL THEN 0 ELSE -ln(greatest(t.p, 1e-8)) END, 6) + 0.0 AS surprise, round(-ln(m.p), 6) AS rarity, round(e.e, 6) + 0.0 AS state_entropy
+FROM seq q LEFT JOIN trans t ON t.rec = q.rec AND t.s1 = q.prev AND t.s2 = q.state JOIN marg m ON m.rec = q.rec AND m.s1 = q.state JOIN ent e ON e.vec_id = q.vec_id""")
 def w18(spark, sf):
     out = dynamic_features(segments(spark, sf), BY, ["vec_id"], "state", "embedding", 10, F.col("clip_label") == 0)
     return out.select("vec_id", rnd("surprise").alias("surprise"), rnd("rarity").alias("rarity"), rnd("state_entropy").alias("state_entropy"))
