@@ -2,8 +2,8 @@
 
 Means over two factors depend on the rows only through the count and sums of each factor pair, so
 the rows are aggregated to those cells once and the alternating updates run on the cells. Indicator
-columns are zero almost everywhere: their normal equations need the non-zero rows only, which lets
-all permutations share one grouped job.
+columns are zero almost everywhere: their normal equations need the non-zero rows only, so a
+permutation costs its hits and not another copy of the panel.
 """
 
 from __future__ import annotations
@@ -111,28 +111,63 @@ def solve_column(gram: Column, rhs: Column) -> Column:
     return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(F.struct(gram.alias("g"), rhs.alias("r")))
 
 
-def sparse_fits(cells: DataFrame, hits: DataFrame, perm: str, perms: tuple[int, int], f1: str, f2: str, n: str,
-                systems: Sequence[Sequence[str]], y: str, rounds: int = 60) -> DataFrame:
-    """(perm, beta array) of y (already demeaned) on two-way demeaned indicator columns, for every permutation.
+def _pseudo_inverse(entries: DataFrame, block: str) -> DataFrame:
+    """(block, p, q, v): pseudo-inverse of each block's symmetric matrix, given by its entries (block, p, q, v)."""
+    kind = entries.schema[block].dataType.simpleString()
 
-    ``cells`` has the row count of each factor pair, ``hits`` the rows where any indicator is not zero,
-    ``perms`` the first and last permutation number. Each of ``systems`` is a regression of its own; their
-    coefficients follow each other in ``beta``. For a demeaned column z of x, sum(z * y) = sum(x * y) and
-    sum(z * z') = sum(x * z'), so the hits are enough. ``rounds`` is the permutation study's fixed number of rounds.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels, at = np.unique(np.concatenate([pdf["p"], pdf["q"]]), return_inverse=True)
+        m = np.zeros((len(levels), len(levels)))
+        np.add.at(m, (at[: len(pdf)], at[len(pdf):]), pdf["v"].to_numpy(float))
+        inv = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
+        i, j = np.nonzero(np.abs(inv) > 0)
+        return pd.DataFrame({block: [pdf[block].iloc[0]] * len(i), "p": levels[i], "q": levels[j], "v": inv[i, j]})
+
+    level = entries.schema["p"].dataType.simpleString()
+    return entries.groupBy(block).applyInPandas(run, f"{block} {kind}, p {level}, q {level}, v double")
+
+
+def sparse_fits(cells: DataFrame, hits: DataFrame, perm: str, f1: str, f2: str, n: str, systems: Sequence[Sequence[str]], y: str, block: Column | None = None) -> DataFrame:
+    """(perm, beta array) of y (already demeaned) on two-way demeaned indicator columns, for every permutation in ``hits``.
+
+    ``cells`` has the row count of each factor pair, ``hits`` the rows where any indicator is not zero. Each of ``systems`` is a regression
+    of its own; their coefficients follow each other in ``beta``. Demeaning is exact and needs the hits only. With x an indicator, A its
+    sums over the levels of factor 1, and u its sums over those of factor 2 less what factor 1 explains of them, the products of the demeaned columns are
+    x'z - sum(A B / n1) - u' S^+ w, where S is the normal matrix of factor 2 with factor 1 removed. S is made once from the cells. It has a
+    block for each value of ``block``, an expression of factor 2 that both factors share; without one it is a single block of levels x levels.
     """
     terms = list(dict.fromkeys(t for sys in systems for t in sys))
-    s = hits.groupBy(perm, f1, f2).agg(*[F.sum(t).alias(t) for t in terms])
-    full = cells.select(f1, f2, n, F.explode(F.sequence(F.lit(perms[0]), F.lit(perms[1]))).alias(perm))
-    full = full.join(s, [perm, f1, f2], "left").fillna(0.0, terms)
-    a, b = two_way_effects(full, [perm], f1, f2, n, terms, rounds, must_converge=False)
-    rows = hits.join(a, [perm, f1]).join(b, [perm, f2])
-    rows = rows.select("*", *[(F.col(t) - F.col(f"a_{t}") - F.col(f"b_{t}")).alias(f"z_{t}") for t in terms])
-    sums = []
-    for i, sys in enumerate(systems):
-        c, k = _gram_columns(list(sys), [f"z_{t}" for t in sys], y), len(sys)
-        sums += [F.array(*c[: k * k]).alias(f"g{i}"), F.array(*c[k * k:]).alias(f"r{i}")]
-    g = rows.groupBy(perm).agg(*sums)
-    betas = [solve_column(F.col(f"g{i}"), F.col(f"r{i}")) for i in range(len(systems))]
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    cells = cells.select(f1, f2, F.col(n).cast("double").alias("__n"))
+    n1 = cells.groupBy(f1).agg(F.sum("__n").alias("__n1"))
+    share = materialize(cells.join(n1, f1).select(f1, f2, "__n", "__n1", (F.col("__n") / F.col("__n1")).alias("__w")), "cells")
+    group = block if block is not None else F.lit(0)
+    other = share.select(f1, F.col(f2).alias("q"), F.col("__n").alias("__m"))
+    off = share.join(other, f1).groupBy(F.col(f2).alias("p"), "q").agg((-F.sum(F.col("__w") * F.col("__m"))).alias("v"))
+    diagonal = share.groupBy(F.col(f2).alias("p")).agg(F.sum("__n").alias("v")).select("p", F.col("p").alias("q"), "v")
+    key = share.select(F.col(f2).alias("p"), group.alias("__block")).distinct()
+    inverse = materialize(_pseudo_inverse(off.unionByName(diagonal).join(key, "p").select("__block", "p", "q", "v"), "__block"), "inverse")
+    s = materialize(hits.groupBy(perm, f1, f2).agg(*[F.sum(t).alias(t) for t in terms]), "hits")
+    a = s.groupBy(perm, f1).agg(*[F.sum(t).alias(t) for t in terms])
+    explained = a.join(share, f1).select(perm, f2, *[(-F.col("__w") * F.col(t)).alias(t) for t in terms])
+    u = materialize(s.select(perm, f2, *terms).unionByName(explained).groupBy(perm, f2).agg(*[F.sum(t).alias(t) for t in terms]), "left")
+    v = u.join(inverse.select(F.col("q").alias(f2), "p", "v"), f2).groupBy(perm, F.col("p").alias(f2)).agg(*[F.sum(F.col("v") * F.col(t)).alias(f"__v_{t}") for t in terms])
+
+    def products(df: DataFrame, left: Sequence[Column], right: Sequence[Column], name: str) -> DataFrame:
+        return df.groupBy(perm).agg(F.array(*[F.sum(left[i] * right[j]) for i, j in pairs]).alias(name))
+
+    cols = [F.col(t) for t in terms]
+    raw = hits.groupBy(perm).agg(F.array(*[F.sum(cols[i] * cols[j]) for i, j in pairs]).alias("__x"), F.array(*[F.sum(c * F.col(y)) for c in cols]).alias("__r"))
+    first = products(a.join(n1, f1), [c / F.col("__n1") for c in cols], cols, "__a")
+    second = products(u.join(v, [perm, f2]), cols, [F.col(f"__v_{t}") for t in terms], "__u")
+    g = raw.join(first, perm).join(second, perm)
+    at = {p: i for i, p in enumerate(pairs)}
+
+    def entry(s_: str, t_: str) -> Column:
+        i = at[tuple(sorted((terms.index(s_), terms.index(t_))))]
+        return F.col("__x")[i] - F.col("__a")[i] - F.col("__u")[i]
+
+    betas = [solve_column(F.array(*[entry(x, z) for x in sys for z in sys]), F.array(*[F.col("__r")[terms.index(t)] for t in sys])) for sys in systems]
     return g.select(perm, F.concat(*betas).alias("beta"))
 
 

@@ -485,7 +485,7 @@ def t29(spark, sf):
 
 @query("t30_placebo_session_null")
 def t30(spark, sf):
-    """During and after effects of the real sessions against 10 shifted schedules, the real ones kept as controls."""
+    """During and after effects of the real sessions against 300 shifted schedules, the real ones kept as controls."""
     c = clips(spark, sf)
     rows = c.select("clip_id", "rec", "t", F.col("x1").alias("y"), P.session_key("rec", "t").alias("f1"), F.concat_ws("|", "rec", "hour").alias("f2"))
     rows = materialize(N.demean(rows, "f1", "f2", ["y"]).drop("y"), "minutes")
@@ -493,17 +493,17 @@ def t30(spark, sf):
     v = s.select("rec", "start_t", "centre")
     moved = J.same_clock_days(v, c.select("rec", "day").distinct(), ["rec"], "start_t", ["start_t", "centre"])
     free = J.quiet(moved, s.select("rec", F.col("centre").alias("c")), ["rec"], "centre", "c", 7200)
-    picks = N.shifted_sessions(free.select("rec", F.col("base_start_t").alias("start_t"), "offset"), ["rec", "start_t"], "offset", 10, "30")
+    picks = N.shifted_sessions(free.select("rec", F.col("base_start_t").alias("start_t"), "offset"), ["rec", "start_t"], "offset", 300, "30")
     fake = picks.select("perm", "rec", (F.col("start_t") + F.col("offset")).alias("start_t"))
     names = list(LAGS)
     steps = {n: (F.col("start_t") + a, F.col("start_t") + b) for n, (a, b) in LAGS.items()}
     f = N.lag_hits(rows, fake, ["rec"], "t", ["perm"], steps, 1800)
     real = N.lag_hits(rows, v, ["rec"], "t", [], steps, 1800)
-    again = real.select(*rows.columns, *[F.col(n).alias(f"real_{n}") for n in names]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    again = real.select(*rows.columns, *[F.col(n).alias(f"real_{n}") for n in names]).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(300))))
     hits = f.join(again, ["perm", *rows.columns], "full_outer").fillna(0.0, [*names, *[f"real_{n}" for n in names]])
     cells = materialize(rows.groupBy("f1", "f2").agg(F.count("*").alias("n")), "cells")
-    null = N.sparse_fits(cells, materialize(hits, "hits"), "perm", (1, 10), "f1", "f2", "n", [[*names, *[f"real_{n}" for n in names]]], "r_y")
-    true = N.sparse_fits(cells, materialize(real.withColumn("perm", F.lit(0)), "hits"), "perm", (0, 0), "f1", "f2", "n", [names], "r_y")
+    null = N.sparse_fits(cells, materialize(hits, "hits"), "perm", "f1", "f2", "n", [[*names, *[f"real_{n}" for n in names]]], "r_y", F.substring_index("f2", "|", 1))
+    true = N.sparse_fits(cells, materialize(real.withColumn("perm", F.lit(0)), "hits"), "perm", "f1", "f2", "n", [names], "r_y", F.substring_index("f2", "|", 1))
     both = true.unionByName(null.withColumn("beta", F.slice("beta", 1, len(names))))
     out = N.permutation_p(both, "perm", names)
     return out.select("term", rnd("beta").alias("beta"), rnd("p_two_sided").alias("p"), rnd(2.8 * F.col("null_sd")).alias("smallest_effect"), "n_perm")
@@ -511,7 +511,7 @@ def t30(spark, sf):
 
 @query("t31_schedule_permutation")
 def t31(spark, sf):
-    """Distance-bin effects on 2-hour cells against 20 schedules permuted over the recorders of each day."""
+    """Distance-bin effects on 2-hour cells against 2000 schedules permuted over the recorders of each day."""
     bins = ["approach", "near", "after", "mid"]
     c = clips(spark, sf).groupBy("rec", "day", P.slot_of("t", 120).alias("slot")).agg(F.avg("x1").alias("y"))
     c = c.withColumn("f1", F.concat_ws("|", "day", "slot")).withColumn("f2", F.concat_ws("|", "rec", "slot"))
@@ -520,10 +520,10 @@ def t31(spark, sf):
     at = rows.select("day", "slot").distinct().join(ev.select("rec", "day").distinct(), "day")
     at = at.withColumn("mid_t", F.col("day") * 86400 + F.col("slot") * 60 + 3600)
     lab = J.signed_time(at, ev, ["rec", "day"], "mid_t", "t", []).withColumn("bin", J.distance_label(F.col("dt") / 60)).filter("bin <> 'far'")
-    perm = N.schedule_permutations(rows.select("day", "rec"), "day", "rec", 20, "5")
+    perm = N.schedule_permutations(rows.select("day", "rec"), "day", "rec", 2000, "5")
     moved = lab.select("day", "slot", F.col("rec").alias("source"), "bin").join(perm, ["day", "source"]).select("perm", "day", "rec", "slot", "bin")
     hits = moved.join(rows, ["day", "rec", "slot"]).select("perm", "f1", "f2", "r_y", *[(F.col("bin") == b).cast("double").alias(b) for b in bins], F.lit(1.0).alias("pooled"))
     hits = materialize(hits, "hits")
     cells = materialize(rows.groupBy("f1", "f2").agg(F.count("*").alias("n")), "cells")
-    fits = N.sparse_fits(cells, hits, "perm", (0, 20), "f1", "f2", "n", [bins, ["pooled"]], "r_y")
+    fits = N.sparse_fits(cells, hits, "perm", "f1", "f2", "n", [bins, ["pooled"]], "r_y", F.substring_index("f2", "|", -1))
     return N.permutation_p(fits, "perm", [*bins, "pooled"]).select("term", rnd("beta").alias("beta"), rnd("p_lower").alias("p_lower"), rnd("p_two_sided").alias("p_two_sided"), "n_perm")

@@ -125,12 +125,25 @@ def test_sparse_fits_equal_dense_fits(spark, cells):
         hits.append(h)
     hits = spark.createDataFrame(pd.concat(hits)).join(rows, "id")
     n = df.groupBy("f1", "f2").agg(F.count("*").alias("n"))
-    got = panel.sparse_fits(n, hits, "perm", (0, 2), "f1", "f2", "n", [["x1", "x2"], ["x1"]], "r_y").collect()
+    got = panel.sparse_fits(n, hits, "perm", "f1", "f2", "n", [["x1", "x2"], ["x1"]], "r_y").collect()
     assert len(got) == 3
     for r in got:
         assert r.beta[:2] == pytest.approx(want[r.perm].tolist(), abs=1e-5)
 
 
+def test_sparse_fits_in_blocks(spark):
+    """Both factors share a slot: one small system per slot gives the coefficients of the whole panel."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame([(d, r, s) for d in range(9) for r in range(4) for s in range(3) if rng.random() > 0.15], columns=["d", "r", "s"])
+    pdf = pdf.assign(f1=pdf.d.astype(str) + "|" + pdf.s.astype(str), f2=pdf.r.astype(str) + "|" + pdf.s.astype(str), id=range(len(pdf)),
+                     y=rng.normal(size=len(pdf)), x1=(rng.random(len(pdf)) < 0.2) * 1.0, x2=(rng.random(len(pdf)) < 0.2) * 1.0)
+    df = spark.createDataFrame(pdf)
+    want = dense(pdf, ["x1", "x2"], "y")[2]
+    rows = panel.demean(df, "f1", "f2", ["y"]).filter("x1 <> 0 or x2 <> 0").withColumn("perm", F.lit(0))
+    got = panel.sparse_fits(df.groupBy("f1", "f2").agg(F.count("*").alias("n")), rows, "perm", "f1", "f2", "n", [["x1", "x2"]], "r_y", F.substring_index("f2", "|", -1))
+    assert got.first().beta == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_schedule_permutation_is_a_permutation(spark):
     d = spark.createDataFrame([(d, r) for d in range(4) for r in range(6)], "day int, rec int")
     g = panel.schedule_permutations(d, "day", "rec", 5, "5").toPandas()
