@@ -33,6 +33,7 @@ SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 12
 SALT_ROWS = 50_000
 BLOCK_ROWS = 2048
+SHORT_BYTES = 128
 
 
 def _edges() -> list[int]:
@@ -216,17 +217,24 @@ def least_difference(a: bytes, b: bytes) -> int:
     return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
+def folded(bits: bytes, most: int) -> bytes:
+    """A bitmap of at most ``most`` bytes: halves over each other, parity by parity."""
+    return bits if len(bits) <= most else np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, most), 0).tobytes()
+
+
 def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    """(key, bits, short, n): each set's bitmap, one of bounded size, and the number of its elements."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits, n = [], []
             for e in shingle_sets(b["text"], k):
                 bits.append(np.packbits(bitmap(e), bitorder="little").tobytes())
                 n.append(len(e))
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(bits, pa.binary()), pa.array(n, pa.int64())], names=["key", "bits", "n"])
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(bits, pa.binary()), pa.array([folded(x, SHORT_BYTES) for x in bits], pa.binary()), pa.array(n, pa.int64())], names=["key", "bits", "short", "n"])
 
     kind = texts.schema["key"].dataType.simpleString()
-    return texts.mapInArrow(run, f"key {kind}, bits binary, n long")
+    return texts.mapInArrow(run, f"key {kind}, bits binary, short binary, n long")
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, pct: int) -> DataFrame:
@@ -287,7 +295,7 @@ def _across(g: DataFrame, bits: DataFrame, pct: int, block_rows: int) -> DataFra
     in_comp = g.groupBy("sig", "comp").agg(F.count("*").alias("c"))
     apart = in_comp.groupBy("sig").agg(F.sum("c").alias("rows"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).filter("comps > 1")
     apart = sized(apart.select("sig", F.col("top.comp").alias("most"), F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")))
-    rows = g.join(apart, "sig").join(bits.select("key", "bits"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = g.join(apart, "sig").join(bits.select("key", F.col("short").alias("bits")), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))).alias("cell")
     rows = rows.select("sig", cell, "key", "n", "comp", (F.col("comp") == F.col("most")).alias("major"), "block", "bits").select("sig", "cell.lo", "cell.hi", "key", "n", "comp", "major", "block", "bits")
 
@@ -392,7 +400,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = materialize(one.join(other, "sig").filter(fits).select("a", "b", "ca", "cb").distinct(), "pairs")
     comp = joined(materialize(_possible(pairs, bits, pct), "possible"))
     # Groups that are still apart are compared in blocks by their bitmaps; only pairs that may be similar come out.
-    comp = joined(materialize(_across(placed(), bits, pct, block_rows).distinct(), "across"))
+    pairs = materialize(_across(placed(), bits, pct, block_rows).distinct(), "across")
+    comp = joined(materialize(_possible(pairs, bits, pct), "possible"))
     out = sets.join(comp, sets["key"] == comp["node"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
