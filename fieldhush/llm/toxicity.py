@@ -85,8 +85,8 @@ class Model:
 
     def _raw(self, words: list[str]) -> np.ndarray:
         out = []
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), 4_000):
+            part = words[i : i + 4_000]
             who, where, weight, norm = _maps(part)
             out.append(np.bincount(who, weight * self.table[where], len(part)) / np.sqrt(norm) + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
@@ -160,11 +160,16 @@ def train(texts: list[str], toxic: np.ndarray, rate: float, landmarks: int = LAN
     learn = rnd.random(len(texts)) < 0.75
     if len(texts) < 40:
         learn[:] = True
-    docs = [[s.split() for s in _SPLIT.split(t.lower())] for t in texts]
     seen = {True: Counter(), False: Counter()}
-    for d, y, use in zip(docs, toxic, learn, strict=True):
+    same: dict[str, str] = {}  # one object for each word
+    toxic_sentences: list[set[str]] = []
+    for t, y, use in zip(texts, toxic, learn, strict=True):
         if use:
-            seen[bool(y)].update({bare(w) for s in d for w in s})
+            sets = [{same.setdefault(b, b) for w in s.split() for b in [bare(w)]} for s in _SPLIT.split(t.lower())]
+            seen[bool(y)].update(set().union(*sets))
+            if y:
+                toxic_sentences += sets
+    del same
     n1, n0 = int((toxic & learn).sum()), int((~toxic & learn).sum())
     if not n1 or not n0 or not seen[True]:
         return none
@@ -191,7 +196,7 @@ def train(texts: list[str], toxic: np.ndarray, rate: float, landmarks: int = LAN
 
     val, vec = np.linalg.eigh(kernel(basis) + 1e-6 * np.eye(len(basis)))
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
-    toxic_sentences = [{b for w in s if (b := bare(w)) not in seen[False]} for d, y, use in zip(docs, toxic, learn, strict=True) if use and y for s in d]
+    toxic_sentences = [{w for w in s if w not in seen[False]} for s in toxic_sentences]
     candidates = sorted(set().union(*toxic_sentences))
     clean_words = sorted(seen[False])
     hard = [clean_words[i] for i in rnd.permutation(len(clean_words))[:6000]]
@@ -256,7 +261,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # The sample is bounded by two parameters, so its keys can be broadcast.
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "key").select("key", "text", "y").toPandas()
     rows = rows.sort_values(["key", "text"], kind="stable", na_position="first")
-    return train([t or "" for t in rows["text"]], rows["y"].to_numpy(bool), float(share))
+    texts, toxic = [t or "" for t in rows["text"]], rows["y"].to_numpy(bool)
+    del rows
+    return train(texts, toxic, float(share))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
