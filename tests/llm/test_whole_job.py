@@ -1,0 +1,38 @@
+"""Cases in which an operator once did less than the whole job."""
+
+import random
+
+from fieldhush.llm import line_dedup
+
+
+def windows(text, n):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_repeats_with_short_units_go_whole(spark):
+    """Passages are found by word windows, whatever the units are."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    own = lambda: sentence(9) + " " + sentence(3) + " " + sentence(8)
+    passage = " ".join(sentence(n) for n in (8, 2, 11, 1, 3, 6, 14, 2, 9)) + "\n" + sentence(12)
+    line = sentence(6)
+    rows = [(i, f"{own()} {passage} {own()}\n{line}\n{own()}") for i in range(8)]
+    first, short, last = sentence(7), "Three short words.", sentence(7)
+    rows += [(8, f"{first} {short} {last}"), (9, f"{first} Not the same. {last}"), (10, f"{first} {short} {last}")]
+    out = {r.doc_id: r for r in line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out[0].text == rows[0][1] and out[0].removed is None
+    for i, t in rows[1:8]:
+        assert not windows(out[i].text, 5) & (windows(passage, 5) | windows(line, 5)), i
+        assert out[i].text.lower().split() == t.replace(passage, "").replace(line, "").lower().split()
+        assert len(out[i].removed) == 2
+    assert [out[i].text.strip() for i in (8, 9, 10)] == [rows[8][1], "Not the same.", ""]
+
+
+def test_bridge_of_rows_that_share_a_key(spark):
+    """Of two rows with one key, offsets decide: a bridge may come first in the row whose units come later."""
+    a, b, pad = "Alpha beta gamma delta.", "Omega psi chi phi.", " " * 40
+    rows = [(1, f"{a}{pad}{pad} So. {b}"), (1, f"{pad}{a} So. {b}")]
+    spans = line_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.words for r in spans) == [4, 4] and all(r.units == 1 for r in spans)
