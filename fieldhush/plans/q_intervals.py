@@ -176,6 +176,16 @@ def j9(spark, sf):
     return n.select("clip_id", F.col("nearest.start_t").alias("start_t"), rnd(shift).alias("shift_min"))
 
 
+@query("j9_nearest_session_all", f"""WITH {ctes('sessions')},
+d AS (SELECT p.clip_id, s.start_t, (p.t - s.start_t) / 60.0 AS shift, row_number() OVER (PARTITION BY p.clip_id ORDER BY abs(p.t - s.start_t), s.start_t) AS rn FROM clips p JOIN sessions s ON s.rec = p.rec)
+SELECT clip_id, start_t, round(shift, 6) AS shift_min FROM d WHERE rn = 1""")
+def j9_all(spark, sf):
+    """Every clip, where J9's first query keeps the quiet ones."""
+    n = J.nearest(clips(spark, sf).select("clip_id", "rec", "t"), sessions(spark, sf).select("rec", "start_t"), ["rec"], "t", "start_t", [])
+    shift = (F.col("t") - F.col("nearest.start_t")) / 60.0
+    return n.filter("nearest is not null").select("clip_id", F.col("nearest.start_t").alias("start_t"), rnd(shift).alias("shift_min"))
+
+
 @query("j10_previous_stop", f"""WITH {ctes('sessions')}, d AS (SELECT v.rec, v.start_t, s.rec AS prev_rec, s.t AS prev_t,
   row_number() OVER (PARTITION BY v.rec, v.start_t ORDER BY s.t DESC, s.rec DESC) AS rn FROM sessions v
   JOIN (SELECT DISTINCT rec, t FROM sims) s ON s.rec <> v.rec AND s.t < v.start_t AND s.t // 86400 = v.start_t // 86400)

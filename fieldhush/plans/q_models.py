@@ -25,7 +25,7 @@ def rows(spark, sf):
 
 
 def lr(train):
-    return M.fit_pipeline(train, "clip_label", M.logistic(), pca=8)
+    return M.fit_pipeline(train, "clip_label", M.logistic(), pca=20)
 
 
 def summary(scored, by):
@@ -41,7 +41,7 @@ def m1(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     r = rows(spark, sf)
-    m = M.fit_pipeline(r.filter("fold <> 0"), "clip_label", M.logistic(maxIter=1), pca=8)
+    m = M.fit_pipeline(r.filter("fold <> 0"), "clip_label", M.logistic(maxIter=1), pca=20)
     held_out = m.transform(r.filter("fold = 0"))
     return held_out.select("vec_id", F.posexplode(vector_to_array("__ready")).alias("pc", "v")).groupBy("pc").agg(F.count("*").alias("n"), rnd(F.stddev_pop("v"), 4).alias("std"))
 
@@ -53,7 +53,7 @@ def m2(spark, sf):
 
 @query("m3_weighted_boosting")
 def m3(spark, sf):
-    fit = lambda t: M.fit_pipeline(t, "clip_label", M.boosting(10), pca=8)
+    fit = lambda t: M.fit_pipeline(t, "clip_label", M.boosting(), pca=20)
     return summary(M.cross_validate(rows(spark, sf), "fold", range(3), fit), [])
 
 
@@ -75,7 +75,7 @@ def m5(spark, sf):
 
 @query("m6_mixture_states")
 def m6(spark, sf):
-    s = M.mixture_states(rows(spark, sf).drop("state"), F.col("clip_label") == 0, k=4, pca=4)
+    s = M.mixture_states(rows(spark, sf).drop("state"), F.col("clip_label") == 0)
     return s.groupBy("state", "clip_label").agg(F.count("*").alias("n"))
 
 
@@ -181,7 +181,7 @@ def m16(spark, sf):
 @query("m17_isolation_forest")
 def m17(spark, sf):
     s = segments(spark, sf)
-    out = M.isolation_forest(s, "embedding", F.col("clip_label") == 0, ["vec_id"], trees=50)
+    out = M.isolation_forest(s, "embedding", F.col("clip_label") == 0, ["vec_id"])
     return out.select("vec_id", rnd("isolation", 5).alias("isolation"))
 
 
@@ -197,7 +197,7 @@ def m19(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     c = clips(spark, sf).select("clip_id", "rec", "hour", "x1", F.col("x2").cast("double").alias("x2"), F.col("lab").alias("clip_label"))
-    c = materialize(K.k_folds(c, "clip_label", ["clip_id"], 3, "1"), "folds")
+    c = materialize(K.k_folds(c, "clip_label", ["clip_id"], 5, "1"), "folds")
     join = VectorAssembler(inputCols=["x1", "x2", "z_x1", "z_x2"], outputCol="features")
 
     def prepare(train, test):
@@ -205,7 +205,7 @@ def m19(spark, sf):
         return z(train), z(test)
 
     fit = lambda t: M.fit_pipeline(t, "clip_label", M.logistic())
-    return summary(M.cross_validate(c, "fold", range(3), fit, prepare), ["rec"])
+    return summary(M.cross_validate(c, "fold", range(5), fit, prepare), ["rec"])
 
 
 @query("m20_leave_one_site_out")

@@ -173,6 +173,14 @@ def w17(spark, sf):
     return out.select("vec_id", F.size(c).alias("width"), rnd(c[0]).alias("oldest"), rnd(c[256]).alias("newest"))
 
 
+@query("w17_lag_context_values", f"""WITH {ctes('dims')}, d AS (SELECT vec_id, dim, {', '.join(f'lag(v, {k}) OVER w AS c{k}' for k in range(1, 6))} FROM dims WINDOW w AS (PARTITION BY rec, dim ORDER BY vec_id))
+{' UNION ALL '.join(f'SELECT vec_id, CAST({(5 - k) * 64} + dim AS INTEGER) AS i, round(c{k}, 6) + 0.0 AS v FROM d WHERE c5 IS NOT NULL' for k in range(5, 0, -1))}""")
+def w17_values(spark, sf):
+    """All 320 values of each context."""
+    out = S.lag_context(segments(spark, sf).select("vec_id", "rec", "embedding"), BY, ["vec_id"], "embedding", 5)
+    return out.select("vec_id", F.posexplode("context").alias("i", "v")).select("vec_id", "i", rnd("v").alias("v"))
+
+
 STATES_SQL = f"""seq AS (SELECT vec_id, rec, state, clip_label, lag(state) OVER w AS prev, row_number() OVER w AS rn, lead(state) OVER w AS nxt, lead(clip_label) OVER w AS nxt_label FROM segments WINDOW w AS (PARTITION BY rec ORDER BY vec_id)),
 cnt AS (SELECT r.rec, a.s AS s1, b.s AS s2, 1e-3 + coalesce(c.n, 0) AS w FROM (SELECT DISTINCT rec FROM segments) r, range(10) a(s), range(10) b(s)
   LEFT JOIN (SELECT rec, state, nxt, count(*) AS n FROM seq WHERE clip_label = 0 AND nxt_label = 0 GROUP BY 1, 2, 3) c ON c.rec = r.rec AND c.state = a.s AND c.nxt = b.s),

@@ -391,6 +391,24 @@ def t24(spark, sf):
     return out.filter("visits >= 6").select("visits", rnd("median").alias("median"), "up", "down")
 
 
+@query("t24_each_species_drop", f"""WITH {STUDY}, q AS (SELECT s.rec, s.vid_t, s.kind, s.t0, CASE WHEN c.t >= s.t0 - 7200 THEN 1 ELSE 0 END AS late, c.species AS heard FROM study s JOIN clips c ON c.rec = s.rec AND c.t >= s.t0 - 14400 AND c.t < s.t0),
+g AS (SELECT rec, vid_t, kind, t0, k.species, avg(CASE WHEN late = 1 THEN CASE WHEN heard = k.species THEN 1.0 ELSE 0.0 END END) - avg(CASE WHEN late = 0 THEN CASE WHEN heard = k.species THEN 1.0 ELSE 0.0 END END) AS c
+  FROM q, (SELECT DISTINCT species FROM clips WHERE species IS NOT NULL) k GROUP BY 1, 2, 3, 4, 5),
+d AS (SELECT rec, vid_t, species, max(CASE WHEN kind = 'visit' THEN c END) - median(CASE WHEN kind <> 'visit' THEN c END) AS d FROM g GROUP BY 1, 2, 3)
+SELECT species, count(*) AS visits, round(median(d), 6) + 0.0 AS median, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM d WHERE d IS NOT NULL GROUP BY 1 HAVING count(*) >= 6""")
+def t24_each(spark, sf):
+    """T24 for every species."""
+    c = clips(spark, sf).select("rec", "t", "species")
+    names = sorted(r[0] for r in c.select("species").distinct().collect() if r[0] is not None)
+    share = F.array(*[F.struct(F.lit(x).alias("species"), F.avg(F.coalesce(F.col("species") == x, F.lit(False)).cast("double")).alias("y")) for x in names])
+    lev = S.step_levels(c, materialize(study(spark, sf), "study"), ["rec"], "t", "t0", 7200, -2, 0, [share.alias("shares")])
+    lev = lev.select("rec", "vid_t", "kind", "t0", "step", F.explode("shares").alias("x")).select("*", "x.species", "x.y")
+    ch = S.step_contrast(lev, ["rec", "vid_t", "kind", "t0", "species"], "step", "y", [-1], [-2], "c")
+    d = S.matched_difference(ch, ["rec", "vid_t", "species"], "kind", ["c"])
+    out = S.signed_rank(d, ["species"], "d_c").withColumn("visits", F.col("n") + F.col("zeros"))
+    return out.filter("visits >= 6").select("species", "visits", rnd("median").alias("median"), "up", "down")
+
+
 @query("t25_walking_only_contrast", f"""WITH {ctes('clips')}, wk AS (SELECT DISTINCT rec, t // 600 AS s FROM clips WHERE lab = 1 AND x2 < 90), dy AS (SELECT DISTINCT rec, day FROM clips),
 m AS (SELECT w.rec, w.s // 144 AS vday, w.s, d.day FROM wk w JOIN dy d ON d.rec = w.rec), c AS (SELECT m.rec, m.vday, m.day, avg(CASE WHEN c.x1 > 20 THEN 1.0 ELSE 0.0 END) AS y FROM m JOIN clips c ON c.rec = m.rec AND c.t // 600 = m.s + (m.day - m.vday) * 144 GROUP BY 1, 2, 3),
 r AS (SELECT rec, vday, max(CASE WHEN day = vday THEN y END) - median(CASE WHEN day <> vday THEN y END) AS d FROM c GROUP BY 1, 2) SELECT rec, vday, round(d, 6) + 0.0 AS d FROM r WHERE d IS NOT NULL""")

@@ -32,3 +32,40 @@ def test_replay_is_scored_as_it_comes(spark, tmp_path, kind):
     assert len(in_batch) >= 4 and max(in_batch.values()) < 0.5 * sum(in_batch.values()), in_batch
     # What waited for the last micro-batch is its own file and the rows of the last hours.
     assert in_batch[max(in_batch)] < 0.1 * sum(in_batch.values())
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("name", "module", "call", "want"), [
+    ("m2_balanced_logistic", "M", "fit_pipeline", {"pca": 20}), ("m20_leave_one_site_out", "M", "fit_pipeline", {"pca": 20}), ("m3_weighted_boosting", "M", "fit_pipeline", {"pca": 20, "trees": 100}),
+    ("m6_mixture_states", "M", "mixture_states", {"k": 16, "pca": 32}), ("m17_isolation_forest", "M", "isolation_forest", {"trees": 200}), ("m19_corrected_cross_validation", "K", "k_folds", {"k": 5})])
+def test_models_have_the_surveys_size(spark, monkeypatch, name, module, call, want):
+    import inspect
+
+    from fieldhush.plans import q_models
+
+    real = getattr(getattr(q_models, module), call)
+
+    def spy(*a, **kw):
+        got = inspect.signature(real).bind(*a, **kw)
+        got.apply_defaults()
+        args = got.arguments
+        if "classifier" in args and "trees" in want:
+            args["trees"] = args["classifier"].getMaxIter()
+        assert {k: args[k] for k in want} == want
+        raise Seen
+
+    monkeypatch.setattr(getattr(q_models, module), call, spy)
+    with pytest.raises(Seen):
+        from fieldhush.plans import QUERIES
+        QUERIES[name](spark, SF)
+
+
+def test_all_components_points_and_values(spark):
+    from fieldhush.plans import QUERIES
+
+    assert QUERIES["m1_standardize_pca"](spark, SF).count() == 20
+    assert QUERIES["j9_nearest_session_all"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert {r["count"] for r in QUERIES["w17_lag_context_values"](spark, SF).groupBy("vec_id").count().collect()} == {320}
