@@ -25,6 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldhush.llm.common import free_name
 from fieldhush.llm.components import components
 from fieldhush.llm.wordvec import mix, shingle_sets
 from fieldhush.sources.scratch import materialize, sized
@@ -338,8 +339,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
                 part = batch.slice(i, 128)
                 keep = []
                 for a, x, e in zip(part["a"], part["ta"], shingle_sets(part["tb"], k), strict=True):
-                    if a != last:
-                        last, sets = a, next(shingle_sets(pa.array([x.as_py()], pa.string()), k))
+                    # Rows that share a key may have different texts.
+                    x = x.as_py()
+                    if (a, x) != last:
+                        last, sets = (a, x), next(shingle_sets(pa.array([x], pa.string()), k))
                     both = len(np.intersect1d(sets, e, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= pct * (len(sets) + len(e) - both))
                 part = part.select(["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
@@ -407,19 +410,24 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with its smallest key; rows with a null key stay.
+    """The rows of ``docs`` that stay: of each component the one with the smallest key; rows with a null key stay.
 
-    Of several rows with that one key the first by text stays.
+    Nodes are rows: where a key has several rows, each is linked by its own text, so rows of one key go only if they are similar
+    to a row that stays. Of several rows with a component's smallest key the one with the smallest hash of its text stays.
     """
-    groups = materialize(similar_components(docs, key, text, **options), "similar")
-    gone = sized(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct())
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.join(gone, key, "left_anti").select(*columns)
-    again = groups.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
-    again = sized(again)
-    if again.isEmpty():
-        return left
-    # Rows with a repeated key only; one key has few rows, and the order needs its text.
-    one = left.join(again, key, "left_semi").selectExpr("*", f"row_number() over (partition by `{key}` order by `{text}` nulls last) as __nth").filter("__nth = 1").drop("__nth")
-    return left.join(again, key, "left_anti").select(*columns).unionByName(one.select(*columns))
-
+    k = F.col(f"`{key}`")
+    if docs.filter(k.isNotNull()).groupBy(k).count().filter("count > 1").isEmpty():
+        groups = materialize(similar_components(docs, key, text, **options), "similar")
+        gone = sized(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct())
+        return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = free_name(docs)
+    table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keyed = table.filter(k.isNotNull()).select(row, k.alias("key"), F.col(f"`{text}`").alias("text"))
+    groups = materialize(similar_components(keyed, row, "text", **options), "similar")
+    linked = groups.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = groups.join(sized(linked), "component_id", "left_semi").select(row, "component_id")
+    order = F.struct("key", F.xxhash64("text").alias("h"), row)
+    members = materialize(members.join(keyed.select(row, order.alias("place")), row), "members")
+    top = sized(members.groupBy("component_id").agg(F.min("place").alias("top")))
+    gone = sized(members.join(top, "component_id").filter(F.col("place") != F.col("top")).select(row))
+    return table.join(gone, row, "left_anti").drop(row)

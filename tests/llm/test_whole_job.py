@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+from collections import Counter
 
-from fieldhush.llm import line_dedup
+from fieldhush.llm import jaccard, line_dedup
 
 
 def windows(text, n):
@@ -36,3 +37,30 @@ def test_bridge_of_rows_that_share_a_key(spark):
     rows = [(1, f"{a}{pad}{pad} So. {b}"), (1, f"{pad}{a} So. {b}")]
     spans = line_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.words for r in spans) == [4, 4] and all(r.units == 1 for r in spans)
+
+
+def two_texts_under_one_id():
+    rnd = random.Random(11)
+    a, b, c = (" ".join(f"{x}{rnd.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    near = lambda t, w: t + " " + w
+    return [(5, a), (5, b), (7, near(a, "seven")), (9, near(b, "nine")), (11, c), (11, near(a, "eleven")), (None, a), (13, ""), (13, None)]
+
+
+def test_every_text_of_a_key_links(spark):
+    d = spark.createDataFrame(two_texts_under_one_id(), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(d).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 11: 5, 13: 13, None: None}
+
+
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
+    rows = two_texts_under_one_id()
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.near_dedup(d)
+    assert got.columns == d.columns
+    # 7, 9 and one row of 11 are near copies of the two texts of 5; the other row of 11 is like nothing else.
+    assert Counter(tuple(r) for r in got.collect()) == Counter([rows[0], rows[1], rows[4], *rows[6:]])
+
+
+def test_near_dedup_of_equal_rows_under_one_id(spark):
+    d = spark.createDataFrame([(2, "one two three four five six"), (2, "one two three four five six"), (3, "one two three four five six")], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard.near_dedup(d).collect()] == [(2, "one two three four five six")]
