@@ -12,7 +12,7 @@ with B[p] the bitset of the letter read at position p. At the end the words of t
 from the query by exactly one code point. All queries of one length are read together, 64 words of the block at a time.
 
 A word of 7 or more code points that has one error keeps its first three or its last three. Words therefore meet only in groups
-by their first three and, for pairs that do not share these, in groups by their last three. Groups are cut into
+by their first three and, for pairs that do not share these, in groups by their last three; a group holds many such beginnings or ends. Groups are cut into
 cells of a bounded number of words; each cell adds up counts and the best near word for a query, so near pairs never become rows.
 """
 
@@ -84,15 +84,14 @@ class PositionIndex:
     def letter(self, pos: int, codes: np.ndarray) -> np.ndarray:
         return self._find(self.bits, self.keys, (pos << 21) | codes)
 
-    def near(self, codes: np.ndarray, apart: int = 0) -> np.ndarray:
-        """Bitsets (queries x words) of the words one error away. ``codes`` holds queries of one length, a row each.
+    def near(self, codes: np.ndarray, alike: bool) -> np.ndarray:
+        """Bitsets (queries x words) of the words one error away that share (``alike``) or do not share the query's first ``KEEP`` letters.
 
-        With ``apart``, words that share the query's first ``apart`` letters are left out.
+        ``codes`` holds queries of one length, a row each.
         """
         q, length = codes.shape
         zero = np.full((q, self.sets), ~np.uint64(0))
         other, more, less = (np.zeros_like(zero) for _ in range(3))
-        shared = np.zeros_like(zero)
         for p in range(length):
             c = codes[:, p]
             here = self.letter(p, c)
@@ -100,10 +99,10 @@ class PositionIndex:
             less = (less & self.letter(p - 1, c) if p else less) | zero
             other = (other & here) | (zero & ~here)
             zero = zero & here
-            if p + 1 == apart:
-                shared = zero
+            if p + 1 == KEEP:
+                shared = zero if alike else ~zero
         by = lambda n: self._find(self.of_length, self.lengths, np.array([n]))
-        return ((other & by(length)) | ((more | zero) & by(length + 1)) | (less & by(length - 1))) & ~shared
+        return ((other & by(length)) | ((more | zero) & by(length + 1)) | (less & by(length - 1))) & shared
 
 
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +113,7 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     if not len(index) or not len(asked):
         return none
     words, n = index["word"].to_numpy(object), index["n"].to_numpy(np.int64)
-    ix, apart, out = PositionIndex(list(words)), KEEP if pdf["side"].iloc[0] else 0, [none]
+    ix, alike, out = PositionIndex(list(words)), pdf["side"].iloc[0] == 0, [none]
     length = np.array([len(w) for w in asked])
     step = max(1, BATCH_BITSETS // ix.sets)
     for size in np.unique(length):
@@ -122,7 +121,7 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
         for at in range(0, len(same), step):
             part = same[at : at + step]
             codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(part), size)
-            near = ix.near(codes, apart)
+            near = ix.near(codes, alike)
             count = np.bitwise_count(near).sum(1, dtype=np.int64)
             hit = np.flatnonzero(count)
             first = (near[hit] != 0).argmax(1)
