@@ -287,26 +287,47 @@ def test_rules_find_a_planted_list():
 
 
 def test_repeated_spans(spark, texts):
-    """The same groups, ranks and runs by plain loops."""
+    """All later units go, and the short units that stand between the same two units again; by plain loops over one list of texts."""
     import re
 
     spans = {(r.doc_id, r.start, r.end, r.words, r.units) for r in QUERIES["op5_repeated_spans"](spark, SF).collect()}
-    units = []
+    parts = {}  # of each text: long units, and the short ones after each
     for i, t in texts:
-        for pos, m in enumerate(re.finditer(line_dedup.UNITS["sentence"], t or "")):
+        parts[i] = here = []
+        for m in re.finditer(line_dedup.UNITS["sentence"], t or ""):
             w = m[0].encode().lower().split()
             if len(w) >= 4:
-                units.append((i, pos, *m.span(), len(w), b" ".join(w)))
-    first = {}
-    for u in sorted(units, key=lambda u: (u[0], u[2])):
-        first.setdefault(u[5], u)
-    want, run = set(), []
-    for u in [*[u for u in units if first[u[5]] is not u], (None, 0, 0, 0, 0, b"")]:
-        if run and (u[0] != run[-1][0] or u[1] != run[-1][1] + 1):
-            if sum(x[4] for x in run) >= 20:
-                want.add((run[0][0], run[0][2], run[-1][3], sum(x[4] for x in run), len(run)))
-            run = []
-        run.append(u)
+                here.append(((*m.span(), w), []))
+            elif w and here:
+                here[-1][1].append((*m.span(), w))
+    seen, seen_between, want = set(), set(), set()
+    for i, here in sorted(parts.items()):
+        run = []
+
+        def close(run, i=i):
+            if run:
+                want.add((i, run[0][0], run[-1][1], sum(len(u[2]) for u in run), len(run)))
+
+        for k, (unit, short) in enumerate(here):
+            old = tuple(unit[2]) in seen
+            seen.add(tuple(unit[2]))
+            if not old:
+                close(run)
+                run = []
+                between = []
+            elif k and run and between:
+                same = (tuple(here[k - 1][0][2]), tuple(tuple(u[2]) for u in between), tuple(unit[2])) in seen_between
+                if same:
+                    run = [*run, *between, unit]
+                else:
+                    close(run)
+                    run = [unit]
+            else:
+                run = [*run, unit]
+            if k and here[k - 1][1]:
+                seen_between.add((tuple(here[k - 1][0][2]), tuple(tuple(u[2]) for u in here[k - 1][1]), tuple(unit[2])))
+            between = short
+        close(run)
     assert spans == want
 
 
