@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldhush.functions.vectors import group_vectors
 from fieldhush.operators import evaluate as E
+from fieldhush.operators import heldout as H
 from fieldhush.operators import models as M
 from fieldhush.operators import sampling as K
 from fieldhush.operators import series as S
 from fieldhush.operators import stats as T
 from fieldhush.plans.registry import query, rnd
 from fieldhush.plans.views import clips, ctes, segments
-from fieldhush.sources.scratch import materialize
+from fieldhush.sources.scratch import materialize, sized
 
 SITES = [0, 1, 2, 3, 4]
 WIDTH = 64
@@ -208,16 +210,44 @@ def m19(spark, sf):
     return summary(M.cross_validate(c, "fold", range(5), fit, prepare), ["rec"])
 
 
+def held_out(r, group, features="embedding", **options):
+    """Rows scored by a logistic model of all other groups."""
+    return H.held_out_scores(r, H.fit_groups(r, group, "clip_label", features, **options), group, features)
+
+
 @query("m20_leave_one_site_out")
 def m20(spark, sf):
-    return summary(M.leave_one_out_scores(rows(spark, sf), "rec", SITES, lr), ["rec"])
+    return summary(held_out(rows(spark, sf), "rec", pca=20), ["rec"])
+
+
+def clip_features(spark, sf):
+    """Clips with their levels, the clock and the hour's baseline z of the same recorder."""
+    c = clips(spark, sf).select("clip_id", "rec", "day", "hour", "x1", F.col("x2").cast("double").alias("x2"), F.col("lab").alias("clip_label"))
+    z = S.baseline_z(c, ["rec", "hour"], ["x1", "x2"], F.col("clip_label") == 0, c)
+    turn = F.col("hour") * (3.141592653589793 / 12)
+    return z.withColumn("features", F.array("x1", "x2", "z_x1", "z_x2", F.sin(turn), F.cos(turn)))
+
+
+@query("m20_leave_one_session_out")
+def m20_session(spark, sf):
+    """Every recorder-day with 3 clips of each class: scored by a model of all other days, with its own AUC and rates at 0.5."""
+    c = clip_features(spark, sf).withColumn("session", F.concat_ws("|", F.concat(F.lit("AM"), F.col("rec") + 1), F.col("day")))
+    c = materialize(c, "session-clips")
+    usable = H.usable_groups(c, "session", "clip_label", 3).select("session")
+    s = materialize(held_out(c, "session", "features").join(usable, "session"), "session-scores")
+    auc = E.roc_auc(s, ["rec", "session"], "score", "clip_label")
+    hit = F.col("score") >= 0.5
+    g = s.groupBy("session").agg(F.count_if(hit).alias("called"), F.count_if(hit & (F.col("clip_label") == 1)).alias("right"))
+    out = auc.join(g, "session")
+    precision, recall = F.coalesce(F.try_divide("right", "called"), F.lit(0.0)), F.col("right") / F.col("n_pos")
+    f1 = F.coalesce(F.try_divide(2 * F.col("right"), F.col("called") + F.col("n_pos")), F.lit(0.0))
+    return out.select("rec", "session", "n_pos", "n_neg", *[rnd(c, 4).alias(n) for n, c in (("auc", F.col("auc")), ("precision", precision), ("recall", recall), ("f1", f1))])
 
 
 @query("m20_leave_one_visit_out")
 def m20b(spark, sf):
     """Held-out visits: mean log-odds of each time step minus the median over the visit's placebo windows."""
-    r = rows(spark, sf).withColumn("visit", F.expr("clip div 25 % 4"))
-    s = M.leave_one_out_scores(r, "visit", [0, 1, 2, 3], lr)
+    s = held_out(rows(spark, sf).withColumn("visit", F.expr("clip div 25")), "visit", pca=20)
     odds = F.log(F.greatest("score", F.lit(1e-9)) / F.greatest(1 - F.col("score"), F.lit(1e-9)))
     w = s.groupBy("visit", "clip", "seg_idx").agg(F.avg(odds).alias("odds"))
     w = w.withColumn("kind", F.when(F.col("clip") % 25 == 0, "visit").otherwise("placebo"))
@@ -225,50 +255,103 @@ def m20b(spark, sf):
     return d.select("visit", "seg_idx", rnd("d_odds", 4).alias("contrast"))
 
 
+RAW = 16  # the first dimensions stand for measured features, the others for the embedding
+
+
+def feature_blocks(spark, sf):
+    """raw, its z against the recorder's baseline at the same place in the clip, emb, and the change since the segment before."""
+    r = rows(spark, sf)
+    base = group_vectors(r.filter("clip_label = 0").withColumn("raw", F.slice("embedding", 1, RAW)), ["rec", "seg_idx"], "raw", {"m": "mean", "s": "std"})
+    before = r.select("clip", (F.col("seg_idx") + 1).alias("seg_idx"), F.col("embedding").alias("was"))
+    r = r.join(sized(base), ["rec", "seg_idx"], "left").join(before, ["clip", "seg_idx"], "left")
+    r = r.withColumn("raw", F.slice("embedding", 1, RAW)).withColumn("emb", F.slice("embedding", RAW + 1, WIDTH - RAW))
+    z = F.zip_with(F.zip_with("raw", "m", lambda x, m: x - m), "s", lambda x, s: x / F.greatest(s, F.lit(1e-6)))
+    r = r.withColumn("z", F.coalesce(z, F.transform("raw", lambda x: F.lit(0.0))))
+    delta = F.zip_with("embedding", F.coalesce("was", "embedding"), lambda x, y: (x - y).cast("double"))
+    return materialize(r.withColumn("delta", delta).drop("m", "s", "was", "features"), "blocks")
+
+
+def grid(r, sets, cross):
+    """AUC of each feature set: (features, columns, number of them kept as they are, components of the rest)."""
+    out = None
+    for name, columns, plain, pca in sets:
+        f = r.withColumn("x", F.concat(*[F.transform(c, lambda v: v.cast("double")) for c in columns]))
+        for test, group in cross.items():
+            part = held_out(f, group, "x", plain=plain, pca=pca).select("rec", "clip_label", "score", F.lit(name).alias("features"), F.lit(test).alias("test"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("m21_feature_ablation")
 def m21(spark, sf):
-    """AUC by feature set, within sites (grouped folds) and across sites."""
-    base = rows(spark, sf)
-    out = None
-    for name, cols in {"low": F.slice("embedding", 1, 16), "high": F.slice("embedding", 33, 16), "all": F.col("embedding")}.items():
-        r = M.with_vector(base.withColumn("__sel", cols), "__sel").drop("__sel")
-        fit = lambda t: M.fit_pipeline(t, "clip_label", M.logistic(), pca=8)
-        within = M.cross_validate(r, "fold", range(3), fit).select("vec_id", "clip_label", "score", F.lit("within").alias("test"))
-        across = M.leave_one_out_scores(r, "rec", [0, 1], fit).select("vec_id", "clip_label", "score", F.lit("across").alias("test"))
-        part = within.unionByName(across).withColumn("features", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return E.roc_auc(out, ["features", "test"], "score", "clip_label").withColumn("auc", rnd("auc", 4))
+    """AUC by site of five feature sets, within sites (grouped folds) and across sites."""
+    sets = [("A_z", ["z"], 0, None), ("B_raw", ["raw"], 0, None), ("C_emb", ["emb"], 0, 20), ("D_z_emb", ["z", "emb"], RAW, 20), ("E_all", ["z", "raw", "emb"], 2 * RAW, 20)]
+    out = grid(feature_blocks(spark, sf), sets, {"within": "fold", "across": "rec"})
+    return E.roc_auc(out, ["features", "test", "rec"], "score", "clip_label").withColumn("auc", rnd("auc", 4))
+
+
+@query("m21_generalisation_strategies")
+def m21_strategies(spark, sf):
+    """Five ways to carry a model to a site it has not seen; S3 leaves out the 10 measured features that tell sites apart best."""
+    r = feature_blocks(spark, sf)
+    names = [f"e{i}" for i in range(RAW)]
+    told = M.importances(M.with_vector(r, "raw"), "rec", names, 100)
+    r = materialize(M.drop_features(r, "raw", told, names, 10, "shared"), "strategies")
+    sets = [("S0_baseline", ["raw", "z", "emb"], 2 * RAW, 50), ("S1_no_zscores", ["raw", "emb"], RAW, 50), ("S2_delta_only", ["delta"], 0, 40),
+            ("S3_adversarial", ["shared", "emb"], RAW - 10, 50), ("S4_no_z_plus_delta", ["raw", "delta", "emb"], RAW, 50)]
+    return summary(grid(r, sets, {"across": "rec"}), ["features", "rec"])
 
 
 @query("m22_class_ratio_grid")
 def m22(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-
-    c = clips(spark, sf).select("clip_id", "rec", "hour", "x1", F.col("x2").cast("double").alias("x2"), F.col("lab").alias("clip_label"))
-    c = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(c)
     out = None
-    for ratio in (1, 2, 5):
-        s = K.ratio_capped(c, ["rec", "hour"], ["clip_id"], "clip_label", ratio, "42")
-        s = materialize(K.k_folds(s, "clip_label", ["clip_id"], 2, "1"), "ratio")
-        part = M.cross_validate(s, "fold", range(2), lambda t: M.fit_pipeline(t, "clip_label", M.logistic())).withColumn("ratio", F.lit(ratio))
+    base = materialize(clip_features(spark, sf), "ratio-clips")
+    for ratio in (1, 2, 3, 5):
+        s = K.ratio_capped(base, ["rec", "hour"], ["clip_id"], "clip_label", ratio, "42")
+        s = materialize(K.k_folds(s, "clip_label", ["clip_id"], 5, "1"), "ratio")
+        part = held_out(s, "fold", "features").withColumn("ratio", F.lit(ratio))
         out = part if out is None else out.unionByName(part)
     return summary(out, ["ratio"])
 
 
 @query("m23_transfer_matrix")
 def m23(spark, sf):
-    own = lambda d: M.cross_validate(d, "fold", range(2), lr)
-    r = K.group_folds(rows(spark, sf).drop("fold"), "clip", 2, "5").filter("rec < 3")
-    return M.transfer_matrix(materialize(r, "transfer"), "rec", [0, 1, 2], "clip_label", lr, own).withColumn("auc", rnd("auc", 4))
+    """AUC of each site's model at each site; a site's own is by three folds of whole clips."""
+    r = rows(spark, sf)
+    away = H.all_scores(r, H.fit_groups(r, "rec", "clip_label", "embedding", pca=20, only=True), "rec", "embedding", "train_site").filter("train_site <> rec")
+    out = away.select("train_site", "rec", "score", "clip_label")
+    for site in SITES:
+        own = held_out(r.filter(F.col("rec") == site), "fold", pca=20)
+        out = out.unionByName(own.select(F.col("rec").alias("train_site"), "rec", "score", "clip_label"))
+    m = E.roc_auc(out, ["train_site", "rec"], "score", "clip_label")
+    return m.select("train_site", F.col("rec").alias("test_site"), rnd("auc", 4).alias("auc"))
+
+
+STRONG = [1, 4]  # the sites whose own models are good
+
+
+@query("m23_strong_teacher")
+def m23_teacher(spark, sf):
+    """Each site scored by a model of all other sites and by one of the strong sites other than itself."""
+    r = rows(spark, sf)
+    every = held_out(r, "rec", pca=20).withColumn("teacher", F.lit("all"))
+    strong = r.filter(F.col("rec").isin(STRONG))
+    weak = r.filter(~F.col("rec").isin(STRONG)).withColumn("team", F.lit(1))
+    team = H.fit_groups(strong.withColumn("team", F.lit(1)), "team", "clip_label", "embedding", pca=20, only=True)
+    taught = held_out(strong, "rec", pca=20).unionByName(H.held_out_scores(weak, team, "team", "embedding").drop("team")).withColumn("teacher", F.lit("strong"))
+    return E.roc_auc(every.unionByName(taught), ["rec", "teacher"], "score", "clip_label").withColumn("auc", rnd("auc", 4))
 
 
 @query("m24_identity_probe")
 def m24(spark, sf):
     r = rows(spark, sf)
-    linear = M.probe(r, "rec", "fold", range(2), M.logistic()).withColumn("probe", F.lit("linear"))
-    trees = M.probe(r, "rec", "fold", range(2), M.forest(20)).withColumn("probe", F.lit("forest"))
-    m = E.majority_lift(linear.unionByName(trees), ["probe"], "truth", "guess")
-    return m.select("probe", *[rnd(k, 4).alias(k) for k in ("accuracy", "chance", "lift")], "confounded")
+    out = None
+    for target in ("rec", "session"):
+        for name, clf in (("linear", M.logistic()), ("forest", M.forest(100))):
+            part = M.probe(r, target, "fold", range(3), clf).select("truth", "guess", F.lit(target).alias("identity"), F.lit(name).alias("probe"))
+            out = part if out is None else out.unionByName(part)
+    m = E.majority_lift(out, ["identity", "probe"], "truth", "guess")
+    return m.select("identity", "probe", *[rnd(k, 4).alias(k) for k in ("accuracy", "chance", "lift")], "confounded")
 
 
 @query("m25_permutation_importance")
