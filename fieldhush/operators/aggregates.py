@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldhush.functions.parse import shannon
 from fieldhush.operators.intervals import interval_join
 from fieldhush.operators.ranks import medians
+from fieldhush.sources.scratch import sized
 
 
 def time_bins(df: DataFrame, by: Sequence[str], t: str, seconds: int, aggs: Sequence[Column], least: int = 1, out: str = "bin_t") -> DataFrame:
@@ -64,19 +65,26 @@ def rarefied_richness(df: DataFrame, by: Sequence[str], species: str, draw: int,
 
 
 def species_share(rows: DataFrame, windows: DataFrame, by: Sequence[str], t: str, start: str, end: str, tags: str,
-                  least: int, bucket: int = 3600) -> DataFrame:
-    """Share of each window's clips that carry each frequent species (at least ``least`` detections); 0 when absent."""
+                  least: int = 0, bucket: int = 3600) -> DataFrame:
+    """(window, n, species, k, share): the share of each window's ``n`` clips that carry each species. A species that a window lacks has no row there.
+
+    ``least`` keeps species with so many detections in all rows. Statistics over windows count the missing rows as zeros, see ``zero_medians``.
+    """
     ids = windows.columns
-    tagged = rows.select(F.explode(tags).alias("species"))
-    frequent = tagged.groupBy("species").agg(F.count("*").alias("__k")).filter(F.col("__k") >= least).select("species")
     hit = interval_join(rows, windows, by, t, start, end, bucket)
     n = hit.groupBy(*ids).agg(F.count("*").alias("n"))
     seen = hit.select(*ids, F.explode(F.array_distinct(tags)).alias("species")).groupBy(*ids, "species").agg(F.count("*").alias("k"))
-    # The vocabulary of frequent species bounds the dense grid: at most total detections / least of them.
-    vocabulary = frequent.agg(F.array_sort(F.collect_list("species")).alias("__all"))
-    grid = n.crossJoin(vocabulary).select(*ids, "n", F.explode("__all").alias("species"))
-    out = grid.join(seen, [*ids, "species"], "left")
-    return out.withColumn("share", F.coalesce(F.col("k"), F.lit(0)) / F.col("n")).drop("k")
+    if least:
+        frequent = rows.select(F.explode(tags).alias("species")).groupBy("species").agg(F.count("*").alias("__k")).filter(F.col("__k") >= least).select("species")
+        seen = seen.join(sized(frequent), "species", "left_semi")
+    return seen.join(n, ids).withColumn("share", F.col("k") / F.col("n"))
+
+
+def padded_median(values: Column, n: Column) -> Column:
+    """Median of an array of values and as many zeros as it lacks to ``n``. For short arrays."""
+    full = F.array_sort(F.concat(values, F.array_repeat(F.lit(0.0), F.greatest(n - F.size(values), F.lit(0)).cast("int"))))
+    half = F.size(full) / 2
+    return (F.element_at(full, F.ceil(half).cast("int")) + F.element_at(full, F.floor(half + 1).cast("int"))) / 2
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

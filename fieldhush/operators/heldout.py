@@ -289,8 +289,7 @@ def all_scores(df: DataFrame, models: DataFrame, group: str, features: str, mode
     """Rows x models: each row scored by every model that there is; ``model`` is the model's group. For few models."""
     m = models.filter("intercept is not null").select(F.struct(F.col(group).alias("g"), "intercept", "coefficients").alias("m"))
     # One row that holds all models; its size is the number of models times the number of features.
-    every = sized(m.agg(F.collect_list("m").alias("__m")).withColumn("__one", F.lit(1)))
-    rows = df.withColumn("__one", F.lit(1)).join(every, "__one").withColumn("__m", F.explode("__m"))
+    rows = df.crossJoin(F.broadcast(materialize(m.agg(F.collect_list("m").alias("__m")), "models"))).withColumn("__m", F.explode("__m"))
     rows = rows.select(*df.columns, F.col("__m.g").alias(model), "__m.intercept", "__m.coefficients")
     return _scored(rows, features, out).drop("intercept", "coefficients")
 

@@ -8,12 +8,13 @@ and carry the last event along, so no pair of rows is formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldhush.operators.blocks import ordered, running
+from fieldhush.sources.scratch import materialize, sized
 
 DAY = 86400
 
@@ -49,6 +50,35 @@ def coverage(rows: DataFrame, windows: DataFrame, by: Sequence[str], t: str, sta
     return out.withColumn("cov", F.try_divide(F.col("n") * 3600.0, (F.col(end) - F.col(start)) * per_hour))
 
 
+def count_index(rows: DataFrame, by: Sequence[str], t: str, width: int = 1800) -> DataFrame:
+    """A prefix-count index: for each key and bucket of ``width`` seconds the rows ``before`` it, and its own ``times`` with their counts.
+
+    Every bucket from a key's first to one after its last has a row. ``t`` holds whole seconds, so a bucket has at most ``width`` times.
+    """
+    by = list(by)
+    each = rows.filter(F.col(t).isNotNull()).groupBy(*by, F.col(t).cast("long").alias("__t")).agg(F.count("*").alias("__n"))
+    held = each.groupBy(*by, F.floor(F.col("__t") / width).alias("__b")).agg(F.sum("__n").alias("__k"), F.sort_array(F.collect_list(F.struct("__t", "__n"))).alias("times"))
+    span = rows.groupBy(*by).agg(F.min(F.floor(F.col(t) / width)).alias("__lo"), F.max(F.floor(F.col(t) / width)).alias("__hi")).filter("__lo is not null")
+    grid = span.select(*by, F.explode(F.sequence("__lo", F.col("__hi") + 1)).alias("__b"))
+    full = grid.join(held, [*by, "__b"], "left").fillna(0, ["__k"])
+    cum = running(ordered(full, by, ["__b"]), {"before": ("sum", "__k")}, current=False)
+    return cum.select(*by, "__b", F.coalesce("before", F.lit(0)).alias("before"), "times", F.lit(width).alias("width"))
+
+
+def count_between(windows: DataFrame, index: DataFrame, by: Sequence[str], start: str, end: str, out: str, width: int = 1800) -> DataFrame:
+    """``out``: the indexed rows in ``[start, end)`` of each window, by two lookups; 0 for a key without rows."""
+    by = list(by)
+    # One row per key.
+    ends = sized(index.groupBy(*by).agg(F.min("__b").alias("__lo"), F.max("__b").alias("__hi")))
+    w = windows.join(ends, by, "left")
+    for c, name in ((start, "__na"), (end, "__nz")):
+        bucket = F.least(F.greatest(F.floor(F.col(c) / width), F.col("__lo")), F.col("__hi"))
+        w = w.withColumn("__b", bucket).join(index.select(*by, "__b", "before", "times"), [*by, "__b"], "left")
+        inside = F.aggregate(F.filter("times", lambda x: x["__t"] < F.col(c)), F.lit(0).cast("long"), lambda s, x: s + x["__n"])
+        w = w.withColumn(name, F.coalesce(F.col("before"), F.lit(0)) + F.coalesce(inside, F.lit(0))).drop("__b", "before", "times")
+    return w.withColumn(out, F.col("__nz") - F.col("__na")).drop("__na", "__nz", "__lo", "__hi")
+
+
 def split_parts(windows: DataFrame, start: str, end: str, after: int | None = None) -> DataFrame:
     """Each window as before / during / after parts of its own length (or ``after`` seconds after)."""
     s, e = F.col(start), F.col(end)
@@ -185,6 +215,40 @@ def same_clock_days(windows: DataFrame, days: DataFrame, by: Sequence[str], star
                         *[(F.col(c) + F.col("offset")).alias(c) for c in times])
 
 
+def chosen_days(windows: DataFrame, days: DataFrame, by: Sequence[str], start: str, times: Sequence[str], free: Callable[[DataFrame], DataFrame], k: int, seed: str,
+                day: str = "day", first: int = 8) -> DataFrame:
+    """Up to ``k`` of the moved windows that ``same_clock_days`` would give and ``free`` keeps, in hash order of (seed, by, start, moved start).
+
+    Each key's recorded days are one sorted array, a number per calendar day. A window orders the array by its own hash and tests the first few days; only windows that still
+    lack some go on with the next days, four times as many each time. So a window has a few rows instead of one for each recorded day.
+    """
+    by = list(by)
+    recorded = materialize(days.select(*by, day).distinct().groupBy(*by).agg(F.sort_array(F.collect_list(day)).alias("__days")), "days")
+    longest = recorded.agg(F.max(F.size("__days"))).first()[0] or 0
+    own = F.floor(F.col(start) / DAY)
+    ids = [F.col(c).cast("string") for c in by] + [F.col(start).cast("string")]
+    moved_start = lambda d: (F.col(start) + (d - own) * DAY).cast("long")
+    key = lambda d: F.struct(F.md5(F.concat_ws("|", F.lit(seed), *ids, moved_start(d).cast("string"))).alias("h"), d.alias("d"))
+    rest, out, at, n = materialize(windows, "windows"), None, 0, first
+    while True:
+        order = F.array_sort(F.transform(F.filter("__days", lambda d: d != own), key))
+        tries = rest.join(recorded, by).withColumn("__x", F.explode(F.transform(F.slice(order, at + 1, n), lambda x, i: F.struct(x["d"].alias("d"), (i + at).alias("i")))))
+        tries = tries.withColumn("offset", ((F.col("__x.d") - own) * DAY).cast("long")).withColumn("__place", F.col("__x.i")).drop("__days", "__x")
+        kept = [c for c in windows.columns if c not in times]
+        tries = tries.select(*kept, "offset", "__place", *[F.col(c).alias(f"base_{c}") for c in times], *[(F.col(c) + F.col("offset")).alias(c) for c in times])
+        found = materialize(free(tries), "found")
+        out = found if out is None else out.unionByName(found)
+        at, n = at + n, 4 * n
+        if at >= longest:
+            break
+        done = out.groupBy(*by, F.col(f"base_{start}").alias(start)).agg(F.count("*").alias("__k")).filter(F.col("__k") >= k)
+        rest = materialize(rest.join(done, [*by, start], "left_anti"), "lacking")
+        if rest.isEmpty():
+            break
+    w = Window.partitionBy(*by, f"base_{start}").orderBy("__place")
+    return out.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn", "__place")
+
+
 def no_overlap(windows: DataFrame, sessions: DataFrame, by: Sequence[str], a: str, b: str, start: str, end: str) -> DataFrame:
     """Windows ``[a, b)`` that no session of the same key reaches into (``end > a`` and ``start < b``)."""
     left = windows.select(*by, F.col(b).cast("double").alias("__t"), F.lit(0).alias("__side"), F.struct(*windows.columns).alias("__w"))
@@ -215,30 +279,34 @@ def approach_start(visits: DataFrame, sessions: DataFrame, rec: str, start: str,
     return n.withColumn("approach_t", first).filter(F.col(start) - F.col("approach_t") >= least).drop("__from", "next")
 
 
+def active_integral(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, start: str, end: str, out: str) -> DataFrame:
+    """``out``: the summed seconds of all ``spans`` of the same key up to the time of each point.
+
+    A sweep over starts (+1) and ends (-1): at time t the integral of the number of open spans is t * A - B, with A the sum of the signs
+    and B the sum of sign times time of all edges passed. Points ride along in the same order, so no point meets a span.
+    """
+    by = list(by)
+    real = spans.filter(F.col(end) > F.col(start))
+    edges = real.select(*by, F.explode(F.array(F.struct(F.col(start).alias("__t"), F.lit(1).alias("__s")), F.struct(F.col(end).alias("__t"), F.lit(-1).alias("__s")))).alias("__e"))
+    edges = edges.groupBy(*by, F.col("__e.__t").cast("long").alias("__t")).agg(F.sum("__e.__s").cast("long").alias("__s"))
+    left = points.select(*by, F.col(at).cast("long").alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__s"), F.struct(*points.columns).alias("__point"))
+    both = left.unionByName(edges.withColumn("__side", F.lit(0)), allowMissingColumns=True).withColumn("__w", F.col("__s") * F.col("__t"))
+    swept = running(ordered(both, by, ["__t", "__side"]), {"__a": ("sum", "__s"), "__b": ("sum", "__w")}).filter(F.col("__point").isNotNull())
+    return swept.select("__point.*", (F.col("__t") * F.col("__a") - F.col("__b")).alias(out))
+
+
 def activity_elsewhere(visits: DataFrame, sessions: DataFrame, rec: str, end: str, s_start: str, s_end: str, span: int = 3600) -> DataFrame:
     """``busy_s``: seconds of sessions at other recorders in the ``span`` seconds after each visit.
 
-    Time elsewhere is all session time minus the recorder's own, each summed over buckets, so the
-    recorders active in one hour are added up once and not paired with every visit.
+    The integral of all sessions over the window less that of the recorder's own, both by ``active_integral`` at the window's two ends.
     """
-    edges = F.sequence(F.floor(F.col("__a") / span), F.floor((F.col("__z") - 1) / span))
-    spans = sessions.select(rec, F.col(s_start).alias("__a"), F.col(s_end).alias("__z")).filter("__z > __a")
-    at = visits.select(rec, F.col(end).alias("__a"), (F.col(end) + span).alias("__z")).distinct()
-
-    def overlap(keys: list[str]) -> DataFrame:
-        # Session pieces per bucket; a visit's window meets two buckets.
-        pieces = spans.withColumn("__b", F.explode(edges)).select(
-            *keys, "__b", F.greatest("__a", F.col("__b") * span).alias("__pa"), F.least("__z", (F.col("__b") + 1) * span).alias("__pz"))
-        pieces = pieces.groupBy(*keys, "__b", "__pa", "__pz").agg(F.count("*").alias("__k"))
-        v = at.select(*keys, "__a", "__z").distinct().withColumn("__b", F.explode(edges))
-        part = F.greatest(F.least("__z", "__pz") - F.greatest("__a", "__pa"), F.lit(0)) * F.col("__k")
-        return v.join(pieces, [*keys, "__b"]).groupBy(*keys, "__a").agg(F.sum(part).alias("__sum"))
-
-    every = overlap([]).withColumnRenamed("__sum", "__every")
-    own = overlap([rec]).withColumnRenamed("__sum", "__own")
-    out = visits.withColumn("__a", F.col(end)).join(every, "__a", "left").join(own, [rec, "__a"], "left")
-    busy = F.coalesce(F.col("__every"), F.lit(0)) - F.coalesce(F.col("__own"), F.lit(0))
-    return out.withColumn("busy_s", busy.cast("long")).drop("__a", "__every", "__own")
+    ends = F.explode(F.array(F.struct(F.col(end).alias("p"), F.lit(-1).alias("w")), F.struct((F.col(end) + span).alias("p"), F.lit(1).alias("w")))).alias("__x")
+    at = visits.select(rec, F.col(end).alias("__end")).distinct().withColumnRenamed("__end", end).select(rec, end, ends).select(rec, end, "__x.p", "__x.w")
+    every = active_integral(at, sessions, [], "p", s_start, s_end, "__c")
+    own = active_integral(at, sessions, [rec], "p", s_start, s_end, "__c")
+    both = every.unionByName(own.withColumn("w", -F.col("w")))
+    busy = both.groupBy(F.col(rec).alias("__r"), F.col(end).alias("__e")).agg(F.sum(F.col("w") * F.col("__c")).cast("long").alias("busy_s"))
+    return visits.join(sized(busy), (F.col(rec) == F.col("__r")) & (F.col(end) == F.col("__e")), "left").drop("__r", "__e").fillna(0, ["busy_s"])
 
 
 def hourly_mean(windows: DataFrame, hourly: DataFrame, start: str, end: str, hour_t: str, values: Sequence[str]) -> DataFrame:
@@ -264,16 +332,37 @@ def far_windows(visits: DataFrame, events: DataFrame, rec: str, at: str, t: str,
     return tries.groupBy(*visits.columns).agg(F.explode(few).alias("__f")).select(*visits.columns, "__f.h", "__f.far_t")
 
 
-def control_recorders(visits: DataFrame, events: DataFrame, active: DataFrame, rec: str, at: str, t: str, id_col: str,
-                      gap: int = 5400, keep: int = 3, seed: str = "23") -> DataFrame:
-    """Up to ``keep`` recorders elsewhere, running that day, with no event within ``gap`` of the visit (hash order)."""
-    days = active.select(F.col(rec).alias("ctrl"), "day").distinct()
-    v = visits.withColumn("day", F.floor(F.col(at) / DAY))
-    cand = v.join(days, "day").filter(F.col("ctrl") != F.col(rec))
-    cand = quiet(cand, events.select(F.col(rec).alias("ctrl"), F.col(t).alias("__et")), ["ctrl"], at, "__et", gap)
+def control_recorders(visits: DataFrame, placebos: DataFrame, events: DataFrame, rows: DataFrame, rec: str, visit: str, at: str, t: str, per_hour: float,
+                      gaps: Sequence[int] = (5400, 3600), enough: int = 8, reach: int = 1800, least: float = 0.8, quiet_gap: int = 7200, keep: int = 3, seed: str = "23") -> DataFrame:
+    """(rec, visit, ctrl, offset): up to ``keep`` recorders in hash order that had nobody at the time of a visit, with the placebo offsets usable there.
+
+    ``visits`` has (rec, visit) with the visit's time in ``visit``, ``placebos`` its other windows (rec, visit, at). A recorder serves if no event lies within the gap of the visit
+    and it recorded at least ``least`` of the rows expected ``reach`` seconds either way, there and at one placebo time at least, which must itself be ``quiet_gap``
+    from events. The gap is the first of ``gaps`` with which ``enough`` visits have an unvisited recorder, else the last.
+    """
+    # One row that holds the recorders' names.
+    names = rows.select(rec).distinct().agg(F.sort_array(F.collect_list(rec)).alias("__all"))
+    pairs_ = visits.select(rec, visit).crossJoin(F.broadcast(names)).select(rec, visit, F.explode("__all").alias("ctrl")).filter(F.col("ctrl") != F.col(rec))
+    ev = events.select(F.col(rec).alias("ctrl"), F.col(t).alias("__et"))
+    free = None
+    for gap in gaps:
+        free = materialize(quiet(pairs_, ev, ["ctrl"], visit, "__et", gap), "unvisited")
+        if free.select(rec, visit).distinct().count() >= enough:
+            break
+    index = materialize(count_index(rows.select(F.col(rec).alias("ctrl"), t), ["ctrl"], t), "count-index")
+    need = least * per_hour * 2 * reach / 3600
+
+    def covered(df: DataFrame, c: str) -> DataFrame:
+        w = df.withColumn("__a", F.col(c) - reach).withColumn("__z", F.col(c) + reach)
+        return count_between(w, index, ["ctrl"], "__a", "__z", "__n").filter(F.col("__n") >= need).drop("__a", "__z", "__n")
+
+    there = covered(free, visit)
+    other = there.join(placebos.select(rec, visit, at), [rec, visit])
+    other = materialize(covered(quiet(other, ev, ["ctrl"], at, "__et", quiet_gap), at).withColumn("offset", F.col(at) - F.col(visit)), "usable")
     from fieldhush.operators.sampling import first_k
 
-    return first_k(cand, [id_col], ["ctrl", id_col], keep, seed).drop("day")
+    chosen = first_k(other.select(rec, visit, "ctrl").distinct(), [rec, visit], ["ctrl", rec, visit], keep, seed)
+    return other.join(chosen, [rec, visit, "ctrl"], "left_semi").select(rec, visit, "ctrl", "offset")
 
 
 def pairs(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldhush.operators.ranks import medians, percentiles, value_ranks
-from fieldhush.sources.scratch import sized
+from fieldhush.sources.scratch import materialize, sized
 
 
 def min_max_score(df: DataFrame, by: Sequence[str], weights: dict[str, float], out: str) -> DataFrame:
@@ -34,6 +34,28 @@ def noisy_rows(before: DataFrame, after: DataFrame, by: Sequence[str], level: st
     return after.join(sized(cut), list(by)).withColumn("noisy", F.col(level) > F.col("__cut")).drop("__cut")
 
 
+def noise_filtered_change(before: DataFrame, after: DataFrame, by: Sequence[str], noise: str, value: str, margin: float, expected: tuple[float, float],
+                          covered: float = 0.5, least: tuple[int, int] = (20, 60)) -> DataFrame:
+    """(by, n_before, n_after, noisy_share, change): median ``value`` after less before, both without noisy rows.
+
+    A row is noisy if its ``noise`` is above the window's median before plus ``margin``. Windows with fewer than ``covered`` of the ``expected``
+    rows on either side, or fewer than ``least`` rows left, are dropped. ``noisy_share`` is that of the rows after.
+    """
+    by = list(by)
+    both = before.withColumn("__side", F.lit(0)).unionByName(after.withColumn("__side", F.lit(1)))
+    full = both.groupBy(*by).agg(F.count_if(F.col("__side") == 0).alias("__nb"), F.count_if(F.col("__side") == 1).alias("__na"))
+    cut = medians(before, by, [noise]).select(*by, (F.col(noise) + margin).alias("__cut"))
+    full = full.filter((F.col("__nb") >= covered * expected[0]) & (F.col("__na") >= covered * expected[1])).join(cut, by)
+    rows = materialize(both.join(sized(full.select(*by, "__cut")), by).withColumn("__noisy", F.col(noise) > F.col("__cut")), "noisy")
+    here = lambda side: (F.col("__side") == side) & ~F.col("__noisy")
+    n = rows.groupBy(*by).agg(F.count_if(here(0)).alias("n_before"), F.count_if(here(1)).alias("n_after"),
+                              F.avg(F.when(F.col("__side") == 1, F.col("__noisy").cast("double"))).alias("noisy_share"))
+    n = n.filter((F.col("n_before") >= least[0]) & (F.col("n_after") >= least[1]))
+    mid = medians(rows.filter(~F.col("__noisy")), [*by, "__side"], [value])
+    change = mid.groupBy(*by).agg((F.max(F.when(F.col("__side") == 1, F.col(value))) - F.max(F.when(F.col("__side") == 0, F.col(value)))).alias("change"))
+    return n.join(change, by)
+
+
 def remap_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     """Values to 0..k-1 in value order."""
     codes = value_ranks(df.select(column).distinct(), [], column).select(column, F.col("below").cast("int").alias(out))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldhush.operators.blocks import ordered, running
+from fieldhush.sources.scratch import sized
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str, weights: dict[str, Column] | None = None,
@@ -64,3 +65,21 @@ def medians(df: DataFrame, by: Sequence[str], values: Sequence[str], block_rows:
         *[F.max(F.when(F.col("m") == v, F.col("v"))).alias(v) for v in values],
         *[F.max(F.when(F.col("m") == v, F.col("n"))).alias(f"n_{v}") for v in values],
     )
+
+
+def zero_medians(df: DataFrame, by: Sequence[str], value: str, n: Column, block_rows: int | None = None) -> DataFrame:
+    """(by, value): the median of each group over ``n`` values, of which the rows of ``df`` are some and all others are zero.
+
+    ``n`` is a column that is the same in all rows of a group. Zeros are never rows: between negative and positive values lies a block of them.
+    """
+    by = list(by)
+    rows = df.filter(F.col(value).isNotNull()).withColumn("__n", n)
+    sizes = rows.groupBy(*by).agg(F.max("__n").alias("__all"), F.count_if(F.col(value) != 0).alias("__nz"))
+    ranks = value_ranks(rows.filter(F.col(value) != 0), by, value, block_rows=block_rows).join(sized(sizes), by)
+    at = F.col("below") + F.when(F.col(value) > 0, F.col("__all") - F.col("__nz")).otherwise(0)
+    half = (F.col("__all") - 1) / 2
+    holds = lambda r: (at <= r) & (r < at + F.col("n"))
+    pick = lambda r: F.max(F.when(holds(r), F.col(value)))
+    got = ranks.groupBy(*by).agg(pick(F.floor(half)).alias("__lo"), pick(F.ceil(half)).alias("__hi"))
+    out = sizes.join(got, by, "left")
+    return out.select(*by, ((F.coalesce("__lo", F.lit(0.0)) + F.coalesce("__hi", F.lit(0.0))) / 2).alias(value))

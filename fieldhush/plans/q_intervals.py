@@ -8,9 +8,8 @@ from fieldhush.functions import parse as P
 from fieldhush.operators import events as EV
 from fieldhush.operators import intervals as J
 from fieldhush.operators.aggregates import rarefied_richness, species_share, window_diversity
-from fieldhush.operators.quality import noisy_rows
+from fieldhush.operators.quality import noise_filtered_change
 from fieldhush.operators.ranks import medians
-from fieldhush.operators.sampling import first_k
 from fieldhush.plans.registry import query, rnd
 from fieldhush.plans.views import clips, ctes, raw, segments, sims, table, weather
 from fieldhush.sources.scratch import materialize
@@ -35,6 +34,16 @@ def placebos(spark, sf, v=None, s=None):
     return free.select("rec", F.col("base_start_t").alias("visit_t"), "start_t", "end_t")
 
 
+def chosen_placebos(spark, sf, s=None, k=4):
+    """Up to ``k`` quiet windows of each visit on other days, without a row for every day."""
+    s = sessions(spark, sf) if s is None else s
+    v = s.select("rec", "start_t", (F.col("start_t") + 1800).alias("end_t"), "centre")
+    centres = s.select("rec", F.col("centre").alias("c"))
+    quiet = lambda m: J.quiet(m, centres, ["rec"], "centre", "c", 7200)
+    p = J.chosen_days(v, clips(spark, sf).select("rec", "day"), ["rec"], "start_t", ["start_t", "end_t", "centre"], quiet, k, "4")
+    return p.select("rec", F.col("base_start_t").alias("visit_t"), "start_t")
+
+
 # ---- sessions --------------------------------------------------------------
 
 @query("w15_gap_sessions", f"""WITH {ctes('sids')} SELECT rec, min(t) AS start_t, max(t) + 3 AS end_t, round(median(t), 3) AS centre, count(*) AS n_events,
@@ -166,14 +175,14 @@ def j8(spark, sf):
     return free.select("rec", F.col("base_start_t").alias("visit_t"), "start_t")
 
 
-@query("j9_nearest_session", f"""WITH {ctes('sessions')}, p AS (SELECT clip_id, rec, t FROM clips WHERE lab = 0 AND x2 < 50),
-d AS (SELECT p.clip_id, s.start_t, (p.t - s.start_t) / 60.0 AS shift, row_number() OVER (PARTITION BY p.clip_id ORDER BY abs(p.t - s.start_t), s.start_t) AS rn FROM p JOIN sessions s ON s.rec = p.rec)
-SELECT clip_id, start_t, round(shift, 6) AS shift_min FROM d WHERE rn = 1""")
+@query("j9_nearest_session", f"""WITH {ctes('sessions')}, d AS (SELECT p.clip_id, p.lab, s.start_t, s.n_events, (p.t - s.start_t) / 60.0 AS shift, row_number() OVER (PARTITION BY p.clip_id ORDER BY abs(p.t - s.start_t), s.start_t) AS rn
+  FROM clips p JOIN sessions s ON s.rec = p.rec) SELECT clip_id, lab, start_t, n_events, round(shift, 6) AS shift_min, abs(shift) <= 60 AS within_hour FROM d WHERE rn = 1""")
 def j9(spark, sf):
-    p = clips(spark, sf).filter("lab = 0 and x2 < 50").select("clip_id", "rec", "t")
-    n = J.nearest(p, sessions(spark, sf).select("rec", "start_t"), ["rec"], "t", "start_t", [])
+    """Every clip with its nearest session, how far it is, and how many events that has."""
+    ev = sessions(spark, sf).select("rec", "start_t", "n_events")
+    n = J.nearest(clips(spark, sf).select("clip_id", "rec", "t", "lab"), ev, ["rec"], "t", "start_t", ["n_events"]).filter("nearest is not null")
     shift = (F.col("t") - F.col("nearest.start_t")) / 60.0
-    return n.select("clip_id", F.col("nearest.start_t").alias("start_t"), rnd(shift).alias("shift_min"))
+    return n.select("clip_id", "lab", F.col("nearest.start_t").alias("start_t"), F.col("nearest.n_events").alias("n_events"), rnd(shift).alias("shift_min"), (F.abs(shift) <= 60).alias("within_hour"))
 
 
 @query("j9_nearest_session_all", f"""WITH {ctes('sessions')},
@@ -229,14 +238,30 @@ def j13(spark, sf):
     return labelled_cells(spark, sf).groupBy("bin").agg(F.count("*").alias("cells"), rnd(F.avg("y")).alias("level"))
 
 
-@query("j14_control_recorders", f"""WITH {ctes('visits', 'recdays')}, c AS (SELECT v.rec, v.start_t, d.rec AS ctrl FROM visits v JOIN recdays d ON d.day = v.start_t // 86400 AND d.rec <> v.rec
-  WHERE NOT EXISTS (SELECT 1 FROM sims s WHERE s.rec = d.rec AND abs(s.t - v.start_t) < 5400)),
-r AS (SELECT *, row_number() OVER (PARTITION BY rec, start_t ORDER BY md5('23|' || ctrl || '|' || rec || '@' || start_t)) AS rn FROM c) SELECT rec, start_t, ctrl FROM r WHERE rn <= 3""")
+PER_HOUR = 2.5  # clips an hour that a running recorder of these tables gives
+CHOSEN = """chosen AS (SELECT rec, visit_t, start_t FROM (SELECT *, row_number() OVER (PARTITION BY rec, visit_t ORDER BY md5('4|' || rec || '|' || visit_t || '|' || start_t)) AS rn FROM placebos) WHERE rn <= 4)"""
+SEEN = "(SELECT count(*) FROM clips c WHERE c.rec = {r} AND c.t >= {t} - 1800 AND c.t < {t} + 1800) >= 0.8 * 2.5"
+CONTROLS = f"""qc AS (SELECT v.rec, v.start_t AS visit_t, r.rec AS ctrl, g.gap FROM visits v JOIN (SELECT DISTINCT rec FROM clips) r ON r.rec <> v.rec, (SELECT unnest([5400, 3600]) AS gap) g
+  WHERE NOT EXISTS (SELECT 1 FROM sims s WHERE s.rec = r.rec AND abs(s.t - v.start_t) < g.gap)),
+gp AS (SELECT CASE WHEN count(DISTINCT rec || '@' || visit_t) >= 8 THEN 5400 ELSE 3600 END AS gap FROM qc WHERE gap = 5400),
+uc AS (SELECT q.rec, q.visit_t, q.ctrl FROM qc q JOIN gp ON gp.gap = q.gap WHERE {SEEN.format(r='q.ctrl', t='q.visit_t')}),
+oc AS (SELECT u.rec, u.visit_t, u.ctrl, p.start_t FROM uc u JOIN chosen p ON p.rec = u.rec AND p.visit_t = u.visit_t
+  WHERE NOT EXISTS (SELECT 1 FROM sims s WHERE s.rec = u.ctrl AND abs(s.t - p.start_t) < 7200) AND {SEEN.format(r='u.ctrl', t='p.start_t')}),
+ct AS (SELECT rec, visit_t, ctrl FROM (SELECT *, row_number() OVER (PARTITION BY rec, visit_t ORDER BY md5('23|' || ctrl || '|' || rec || '|' || visit_t)) AS rn FROM (SELECT DISTINCT rec, visit_t, ctrl FROM oc)) WHERE rn <= 3),
+co AS (SELECT oc.* FROM oc JOIN ct ON ct.rec = oc.rec AND ct.visit_t = oc.visit_t AND ct.ctrl = oc.ctrl)"""
+
+
+def controls(spark, sf, chosen):
+    """(rec, visit_t, ctrl, offset): unvisited recorders of each visit, with the usable ones of its placebo times."""
+    v = visits(spark, sf).select("rec", F.col("start_t").alias("visit_t"))
+    return J.control_recorders(v, chosen, sims(spark, sf).select("rec", "t"), clips(spark, sf).select("rec", "t"), "rec", "visit_t", "start_t", "t", PER_HOUR)
+
+
+@query("j14_control_recorders", f"""WITH {ctes('placebos')}, {CHOSEN}, {CONTROLS} SELECT rec, visit_t AS start_t, ctrl, start_t - visit_t AS "offset" FROM co""")
 def j14(spark, sf):
-    v = visits(spark, sf).select("rec", "start_t").withColumn("vid", F.concat_ws("@", F.col("rec").cast("string"), F.col("start_t").cast("string")))
-    ev = sims(spark, sf).select("rec", "t")
-    out = J.control_recorders(v, ev, clips(spark, sf).select("rec", "day"), "rec", "start_t", "t", "vid")
-    return out.select("rec", "start_t", "ctrl")
+    """Unvisited recorders at each visit's time that recorded, and the visit's placebo times at which they are quiet and recorded too."""
+    chosen = materialize(chosen_placebos(spark, sf), "chosen")
+    return controls(spark, sf, chosen).select("rec", F.col("visit_t").alias("start_t"), "ctrl", "offset")
 
 
 @query("j15_far_windows", f"""WITH {ctes('visits')}, o AS (SELECT rec, start_t, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i, unnest([-3, 3, -4, 4, -5, 5, -6, 6]) AS h FROM visits),
@@ -330,27 +355,36 @@ def a14(spark, sf):
 @query("a15_species_share", f"""WITH {ctes('visits')}, f AS (SELECT species FROM clips GROUP BY 1 HAVING count(*) >= 200),
 w AS (SELECT v.rec, v.start_t, c.clip_id, c.species FROM visits v JOIN clips c ON c.rec = v.rec AND c.t >= v.start_t AND c.t < v.end_t + 3600),
 n AS (SELECT rec, start_t, count(*) AS n FROM w GROUP BY 1, 2)
-SELECT n.rec, n.start_t, f.species, round(count(w.clip_id) / n.n::DOUBLE, 6) AS share FROM n CROSS JOIN f LEFT JOIN w ON w.rec = n.rec AND w.start_t = n.start_t AND w.species = f.species GROUP BY n.rec, n.start_t, f.species, n.n""")
+SELECT n.rec, n.start_t, f.species, n.n, round(count(*) / n.n::DOUBLE, 6) AS share FROM n JOIN w ON w.rec = n.rec AND w.start_t = n.start_t JOIN f ON f.species = w.species GROUP BY n.rec, n.start_t, f.species, n.n""")
 def a15(spark, sf):
+    """The species that each window has; one that has no row has the share 0 of the window's ``n`` clips."""
     v = visits(spark, sf).select("rec", "start_t", (F.col("end_t") + 3600).alias("b"))
     c = clips(spark, sf).select("rec", "t", "clip_id", F.array("species").alias("tags"))
-    return species_share(c, v, ["rec"], "t", "start_t", "b", "tags", least=200).select("rec", "start_t", "species", rnd("share").alias("share"))
+    return species_share(c, v, ["rec"], "t", "start_t", "b", "tags", least=200).select("rec", "start_t", "species", "n", rnd("share").alias("share"))
+
+
+NOISE_BEFORE, NOISE_AFTER = 86400, 259200  # clips of these tables are sparse: 20 and 60 quiet ones need a day and three days
 
 
-@query("p23_noisy_clips", f"""WITH {ctes('visits')}, m AS (SELECT v.rec, v.start_t, median(c.x1) + 3 AS cut FROM visits v JOIN clips c ON c.rec = v.rec AND c.t >= v.start_t - 3600 AND c.t < v.start_t GROUP BY 1, 2)
-SELECT v.rec, v.start_t, count(*) AS n_after, round(avg(CASE WHEN c.x1 > m.cut THEN 1.0 ELSE 0.0 END), 6) AS noisy_share FROM visits v JOIN m ON m.rec = v.rec AND m.start_t = v.start_t
-JOIN clips c ON c.rec = v.rec AND c.t >= v.end_t AND c.t < v.end_t + 3600 GROUP BY 1, 2""")
+@query("p23_noisy_clips", f"""WITH {ctes('visits')}, b AS (SELECT v.rec, v.start_t, c.x1, c.x2, median(c.x1) OVER (PARTITION BY v.rec, v.start_t) + 3 AS cut, count(*) OVER (PARTITION BY v.rec, v.start_t) AS n FROM visits v
+  JOIN clips c ON c.rec = v.rec AND c.t >= v.start_t - {NOISE_BEFORE} AND c.t < v.start_t),
+kb AS (SELECT rec, start_t, cut, count_if(x1 <= cut) AS n_before, median(CASE WHEN x1 <= cut THEN x2 END) AS m FROM b WHERE n >= 0.5 * {NOISE_BEFORE} * {PER_HOUR} / 3600 GROUP BY 1, 2, 3),
+ka AS (SELECT k.rec, k.start_t, k.n_before, k.m, count_if(c.x1 <= k.cut) AS n_after, avg(CASE WHEN c.x1 > k.cut THEN 1.0 ELSE 0.0 END) AS noisy, median(CASE WHEN c.x1 <= k.cut THEN c.x2 END) AS ma FROM kb k
+  JOIN visits v ON v.rec = k.rec AND v.start_t = k.start_t JOIN clips c ON c.rec = v.rec AND c.t >= v.end_t AND c.t < v.end_t + {NOISE_AFTER} GROUP BY 1, 2, 3, 4 HAVING count(*) >= 0.5 * {NOISE_AFTER} * {PER_HOUR} / 3600)
+SELECT rec, start_t, n_before, n_after, round(noisy, 6) AS noisy_share, round(ma - m, 6) + 0.0 AS change FROM ka WHERE n_before >= 20 AND n_after >= 60""")
 def p23(spark, sf):
+    """Both sides without noisy clips: the change of the level, where 20 clips before and 60 after the visit are left."""
     v = visits(spark, sf).select("rec", "start_t", "end_t")
-    c = clips(spark, sf).select("rec", "t", "x1")
-    side = lambda a, b: J.interval_join(c, v.select("rec", "start_t", a.alias("a"), b.alias("b")), ["rec"], "t", "a", "b", 3600)
-    before = side(F.col("start_t") - 3600, F.col("start_t"))
-    after = side(F.col("end_t"), F.col("end_t") + 3600)
-    out = noisy_rows(before, after, ["rec", "start_t"], "x1", 3.0)
-    return out.groupBy("rec", "start_t").agg(F.count("*").alias("n_after"), rnd(F.avg(F.col("noisy").cast("double"))).alias("noisy_share"))
+    c = clips(spark, sf).select("rec", "t", "x1", F.col("x2").cast("double").alias("level"))
+    side = lambda a, b: J.interval_join(c, v.select("rec", "start_t", a.alias("a"), b.alias("b")), ["rec"], "t", "a", "b", 86400).select("rec", "start_t", "x1", "level")
+    before = side(F.col("start_t") - NOISE_BEFORE, F.col("start_t"))
+    after = side(F.col("end_t"), F.col("end_t") + NOISE_AFTER)
+    expected = (NOISE_BEFORE * PER_HOUR / 3600, NOISE_AFTER * PER_HOUR / 3600)
+    out = noise_filtered_change(before, after, ["rec", "start_t"], "x1", "level", 3.0, expected)
+    return out.select("rec", "start_t", "n_before", "n_after", rnd("noisy_share").alias("noisy_share"), rnd("change").alias("change"))
 
 
 @query("k7_placebo_choice", f"""WITH {ctes('placebos')}, r AS (SELECT *, row_number() OVER (PARTITION BY rec, visit_t ORDER BY md5('4|' || rec || '|' || visit_t || '|' || start_t)) AS rn FROM placebos)
 SELECT rec, visit_t, start_t FROM r WHERE rn <= 4""")
 def k7(spark, sf):
-    return first_k(placebos(spark, sf), ["rec", "visit_t"], ["rec", "visit_t", "start_t"], 4, "4").select("rec", "visit_t", "start_t")
+    return chosen_placebos(spark, sf)

@@ -165,12 +165,14 @@ def w14(spark, sf):
     return out.select("clip_id", *[rnd(k).alias(k) for k in ("delta", "roll_mean", "roll_std", "roll_z")], "silence_onset")
 
 
-@query("w17_lag_context", f"""WITH {ctes('dims')}, d AS (SELECT vec_id, rec, dim, lag(v, 5) OVER w AS c5, lag(v, 1) OVER w AS c1 FROM dims WHERE dim = 0 WINDOW w AS (PARTITION BY rec, dim ORDER BY vec_id))
-SELECT vec_id, 320 AS width, round(c5, 6) + 0.0 AS oldest, round(c1, 6) + 0.0 AS newest FROM d WHERE c5 IS NOT NULL""")
+@query("w17_lag_context", f"""WITH {ctes('dims')}, d AS (SELECT vec_id, dim, {', '.join(f'lag(v, {k}) OVER w AS c{k}' for k in range(1, 6))} FROM dims WINDOW w AS (PARTITION BY rec, dim ORDER BY vec_id)),
+g AS (SELECT vec_id, list({{'dim': dim, 'c': [c5, c4, c3, c2, c1]}} ORDER BY dim) AS l FROM d WHERE c5 IS NOT NULL GROUP BY 1)
+SELECT vec_id, CAST(5 * len(l) AS INTEGER) AS width, array_to_string(flatten([[CAST(CAST(round(x.c[k] * 1000000) AS BIGINT) AS VARCHAR) FOR x IN l] FOR k IN [1, 2, 3, 4, 5]]), ' ') AS context FROM g""")
 def w17(spark, sf):
+    """The five segments before each as one vector; all values in millionths, oldest segment first."""
     out = S.lag_context(segments(spark, sf).select("vec_id", "rec", "embedding"), BY, ["vec_id"], "embedding", 5)
-    c = F.col("context")
-    return out.select("vec_id", F.size(c).alias("width"), rnd(c[0]).alias("oldest"), rnd(c[256]).alias("newest"))
+    values = F.transform("context", lambda x: F.rint(x.cast("double") * 1000000).cast("long").cast("string"))
+    return out.select("vec_id", F.size("context").alias("width"), F.array_join(values, " ").alias("context"))
 
 
 @query("w17_lag_context_values", f"""WITH {ctes('dims')}, d AS (SELECT vec_id, dim, {', '.join(f'lag(v, {k}) OVER w AS c{k}' for k in range(1, 6))} FROM dims WINDOW w AS (PARTITION BY rec, dim ORDER BY vec_id))

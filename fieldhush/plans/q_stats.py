@@ -8,16 +8,15 @@ from fieldhush.functions import parse as P
 from fieldhush.operators import intervals as J
 from fieldhush.operators import panel as N
 from fieldhush.operators import stats as S
-from fieldhush.operators.aggregates import species_share
-from fieldhush.operators.sampling import first_k
+from fieldhush.operators.aggregates import padded_median, species_share
+from fieldhush.operators.ranks import medians, zero_medians
 from fieldhush.operators.series import benjamini_hochberg, change_since
-from fieldhush.plans.q_intervals import BUSY, labelled_cells, placebos, sessions
+from fieldhush.plans.q_intervals import BUSY, CHOSEN, CONTROLS, PER_HOUR, chosen_placebos, controls, labelled_cells, sessions
 from fieldhush.plans.registry import query, rnd
 from fieldhush.plans.views import clips, ctes, panel, segments, sims, weather
-from fieldhush.sources.scratch import materialize
+from fieldhush.sources.scratch import materialize, sized
 
 STEP = 7200
-CHOSEN = """chosen AS (SELECT rec, visit_t, start_t FROM (SELECT *, row_number() OVER (PARTITION BY rec, visit_t ORDER BY md5('4|' || rec || '|' || visit_t || '|' || start_t)) AS rn FROM placebos) WHERE rn <= 4)"""
 STUDY = f"""{ctes('placebos')}, {CHOSEN}, study AS (SELECT rec, start_t AS vid_t, 'visit' AS kind, start_t AS t0 FROM visits UNION ALL SELECT rec, visit_t, 'placebo', start_t FROM chosen)"""
 LEVELS = f"""{STUDY}, lev AS (SELECT s.rec, s.vid_t, s.kind, s.t0, CAST(floor((c.t - s.t0) / {STEP}.0) AS INTEGER) AS step, count(*) AS n, round(avg(c.x1), 8) AS y, round(avg(c.x2), 8) AS y2
   FROM study s JOIN clips c ON c.rec = s.rec AND c.t >= s.t0 - {3 * STEP} AND c.t < s.t0 + {3 * STEP} GROUP BY 1, 2, 3, 4, 5)"""
@@ -39,7 +38,7 @@ def study(spark, sf):
     """Visits and up to four placebo windows each: (rec, vid_t, kind, t0)."""
     s = sessions(spark, sf)
     v = s.select("rec", F.col("start_t").alias("vid_t"), F.lit("visit").alias("kind"), F.col("start_t").alias("t0"))
-    p = first_k(placebos(spark, sf, s=s), ["rec", "visit_t"], ["rec", "visit_t", "start_t"], 4, "4")
+    p = chosen_placebos(spark, sf, s)
     return v.unionByName(p.select("rec", F.col("visit_t").alias("vid_t"), F.lit("placebo").alias("kind"), F.col("start_t").alias("t0")))
 
 
@@ -77,16 +76,16 @@ def t2(spark, sf):
 
 
 @query("t3_sign_test", f"""WITH {DIFF}, g AS (SELECT step, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM dd GROUP BY 1)
-SELECT step, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}) + 1e-9, 6) AS p_sign FROM g""")
+SELECT step, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}), 6) AS p_sign FROM g""")
 def t3(spark, sf):
-    return S.sign_test(diffs(spark, sf), ["step"], "d").withColumn("p_sign", rnd(F.col("p_sign") + 1e-9))
+    return S.sign_test(diffs(spark, sf), ["step"], "d").withColumn("p_sign", rnd("p_sign"))
 
 
 @query("t4_direction_agreement", f"""WITH {DIFF}, g AS (SELECT rec, count(*) AS tested, sum(CASE WHEN sign(d) = CASE WHEN step < 0 THEN -1 ELSE 1 END THEN 1 ELSE 0 END)::BIGINT AS agree FROM dd WHERE d <> 0 GROUP BY 1)
-SELECT rec, tested, agree, round({binom_tail('agree', 'tested')} + 1e-9, 6) AS p_agree FROM g""")
+SELECT rec, tested, agree, round({binom_tail('agree', 'tested')}, 6) AS p_agree FROM g""")
 def t4(spark, sf):
     d = diffs(spark, sf).withColumn("expect", F.when(F.col("step") < 0, -1.0).otherwise(1.0))
-    return S.direction_test(d, ["rec"], "d", "expect").withColumn("p_agree", rnd(F.col("p_agree") + 1e-9))
+    return S.direction_test(d, ["rec"], "d", "expect").withColumn("p_agree", rnd("p_agree"))
 
 
 @query("t5_spearman", f"""WITH {ctes('clips')}, r AS (SELECT rec, rank() OVER (PARTITION BY rec ORDER BY x1) + (count(*) OVER (PARTITION BY rec, x1) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rec ORDER BY x2) + (count(*) OVER (PARTITION BY rec, x2) - 1) / 2.0 AS b FROM clips)
@@ -188,7 +187,7 @@ def t12(spark, sf):
 
 
 @query("t13_frequency_fingerprint", f"""WITH {ctes('dims')}, {SPEC}, g AS (SELECT dim, median(d) AS m, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM sd WHERE d IS NOT NULL GROUP BY 1)
-SELECT CAST(dim AS INTEGER) AS band, dim * 250 AS lo_hz, round(m, 6) + 0.0 AS median, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}) + 1e-9, 6) AS p_sign, dim * 250 >= 2000 AND dim * 250 < 8000 AND m > 1 AS bird_rise FROM g""")
+SELECT CAST(dim AS INTEGER) AS band, dim * 250 AS lo_hz, round(m, 6) + 0.0 AS median, up, down, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}), 6) AS p_sign, dim * 250 >= 2000 AND dim * 250 < 8000 AND m > 1 AS bird_rise FROM g""")
 def t13(spark, sf):
     d = materialize(spectrum_diffs(spark, sf), "fingerprint")
     from fieldhush.operators.ranks import medians
@@ -196,7 +195,7 @@ def t13(spark, sf):
     mid = medians(d, ["band"], ["d_c"]).select("band", F.col("d_c").alias("m"))
     out = S.sign_test(d, ["band"], "d_c").join(mid, "band")
     hz = (F.col("band") * 250).cast("long")
-    return out.select("band", hz.alias("lo_hz"), rnd("m").alias("median"), "up", "down", rnd(F.col("p_sign") + 1e-9).alias("p_sign"),
+    return out.select("band", hz.alias("lo_hz"), rnd("m").alias("median"), "up", "down", rnd("p_sign").alias("p_sign"),
                       ((hz >= 2000) & (hz < 8000) & (F.col("m") > 1)).alias("bird_rise"))
 
 
@@ -241,29 +240,36 @@ def t15(spark, sf):
     return near_far(spark, sf).select("rec", "vid_t", *[rnd(k).alias(k) for k in ("near", "far", "near_far")])
 
 
-@query("t16_visited_minus_control", f"""WITH {STUDY},
-cc AS (SELECT v.rec, v.start_t AS vid_t, d.rec AS ctrl FROM visits v JOIN recdays d ON d.day = v.start_t // 86400 AND d.rec <> v.rec WHERE NOT EXISTS (SELECT 1 FROM sims s WHERE s.rec = d.rec AND abs(s.t - v.start_t) < 5400)),
-ct AS (SELECT rec, vid_t, ctrl FROM (SELECT *, row_number() OVER (PARTITION BY rec, vid_t ORDER BY md5('23|' || ctrl || '|' || rec || '@' || vid_t)) AS rn FROM cc) WHERE rn <= 3),
-ws AS (SELECT rec AS home, vid_t, rec, kind, t0 FROM study UNION ALL SELECT s.rec, s.vid_t, c.ctrl, s.kind, s.t0 FROM study s JOIN ct c ON c.rec = s.rec AND c.vid_t = s.vid_t),
-l AS (SELECT w.home, w.vid_t, w.rec, w.kind, w.t0, avg(c.x1) AS y FROM ws w JOIN clips c ON c.rec = w.rec AND c.t >= w.t0 - 3600 AND c.t < w.t0 + 3600 GROUP BY 1, 2, 3, 4, 5),
+@query("t16_visited_minus_control", f"""WITH {STUDY}, {CONTROLS},
+ws AS (SELECT rec AS home, vid_t, rec, kind, t0 FROM study UNION ALL SELECT rec, visit_t, ctrl, 'visit', visit_t FROM ct UNION ALL SELECT rec, visit_t, ctrl, 'placebo', start_t FROM co),
+l AS (SELECT w.home, w.vid_t, w.rec, w.kind, w.t0, round(avg(c.x1), 8) AS y FROM ws w JOIN clips c ON c.rec = w.rec AND c.t >= w.t0 - 1800 AND c.t < w.t0 + 1800 GROUP BY 1, 2, 3, 4, 5),
 d AS (SELECT home, vid_t, rec, max(CASE WHEN kind = 'visit' THEN y END) - median(CASE WHEN kind <> 'visit' THEN y END) AS d FROM l GROUP BY 1, 2, 3),
-g AS (SELECT home, vid_t, max(CASE WHEN rec = home THEN d END) AS visited, median(CASE WHEN rec <> home THEN d END) AS control FROM d GROUP BY 1, 2)
-SELECT home AS rec, vid_t, CASE WHEN vid_t % 86400 >= 43200 THEN 'afternoon' ELSE 'morning' END AS part, round(visited - control + 1e-9, 6) + 0.0 AS visited_minus_control FROM g WHERE visited IS NOT NULL AND control IS NOT NULL""")
+g AS (SELECT home, vid_t, max(CASE WHEN rec = home THEN d END) AS visited, median(CASE WHEN rec <> home THEN d END) AS control, count(CASE WHEN rec <> home THEN d END) AS n_ctrl FROM d GROUP BY 1, 2),
+x AS (SELECT *, round(visited - control, 7) AS v FROM g WHERE visited IS NOT NULL AND control IS NOT NULL),
+pt AS (SELECT unnest(['all', CASE WHEN vid_t % 86400 >= 43200 THEN 'afternoon' ELSE 'morning' END]) AS part, n_ctrl, v FROM x),
+nz AS (SELECT part, v, rank() OVER (PARTITION BY part ORDER BY abs(v)) + (count(*) OVER (PARTITION BY part, abs(v)) - 1) / 2.0 AS r FROM pt WHERE v <> 0),
+ti AS (SELECT part, sum(c * c * c - c) AS ties FROM (SELECT part, abs(v) AS av, count(*)::DOUBLE AS c FROM pt WHERE v <> 0 GROUP BY 1, 2) GROUP BY 1),
+sr AS (SELECT part, count(*)::DOUBLE AS n, sum(CASE WHEN v > 0 THEN r ELSE 0 END) AS w FROM nz GROUP BY 1),
+z AS (SELECT sr.part, abs(least(w, n * (n + 1) / 2 - w) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM sr JOIN ti ON ti.part = sr.part)
+SELECT pt.part, count(*) AS visits, sum(n_ctrl)::BIGINT AS n_ctrl, round(median(v), 6) + 0.0 AS median, count_if(v < 0) AS quieter, round({norm_p('max(z.z)')}, 6) + 0.0 AS p FROM pt JOIN z ON z.part = pt.part GROUP BY 1""")
 def t16(spark, sf):
+    """Each visited recorder less the unvisited ones at the same moment, each against its own normal days; all, morning and afternoon visits."""
     st = materialize(study(spark, sf), "study")
-    v = st.filter("kind = 'visit'").select("rec", "vid_t").withColumn("vid", F.concat_ws("@", F.col("rec").cast("string"), F.col("vid_t").cast("string")))
-    c = clips(spark, sf)
-    ctrl = J.control_recorders(v, sims(spark, sf).select("rec", "t"), c.select("rec", "day"), "rec", "vid_t", "t", "vid").select("rec", "vid_t", "ctrl")
+    chosen = st.filter("kind = 'placebo'").select("rec", F.col("vid_t").alias("visit_t"), F.col("t0").alias("start_t"))
+    c = materialize(controls(spark, sf, chosen), "controls")
     home = st.select(F.col("rec").alias("home"), "vid_t", "rec", "kind", "t0")
-    away = st.join(ctrl, ["rec", "vid_t"]).select(F.col("rec").alias("home"), "vid_t", F.col("ctrl").alias("rec"), "kind", "t0")
-    w = materialize(home.unionByName(away).withColumn("a", F.col("t0") - 3600).withColumn("b", F.col("t0") + 3600), "control")
-    lev = S.part_levels(c.select("rec", "t", "x1"), w, ["rec"], "t", "a", "b", [F.avg("x1").alias("y")])
+    away = c.select(F.col("rec").alias("home"), F.col("visit_t").alias("vid_t"), F.col("ctrl").alias("rec"), F.lit("placebo").alias("kind"), (F.col("visit_t") + F.col("offset")).alias("t0"))
+    there = away.select("home", "vid_t", "rec", F.lit("visit").alias("kind"), F.col("vid_t").alias("t0")).distinct()
+    w = materialize(home.unionByName(away).unionByName(there).withColumn("a", F.col("t0") - 1800).withColumn("b", F.col("t0") + 1800), "control")
+    lev = S.part_levels(clips(spark, sf).select("rec", "t", "x1"), w, ["rec"], "t", "a", "b", [F.round(F.avg("x1"), 8).alias("y")])
     d = S.matched_difference(lev, ["home", "vid_t", "rec"], "kind", ["y"])
     own = F.col("rec") == F.col("home")
-    g = d.groupBy("home", "vid_t").agg(F.max(F.when(own, F.col("d_y"))).alias("visited"), F.median(F.when(~own, F.col("d_y"))).alias("control"))
-    return g.filter("visited is not null and control is not null").select(
-        F.col("home").alias("rec"), "vid_t", F.when(F.col("vid_t") % 86400 >= 43200, "afternoon").otherwise("morning").alias("part"),
-        rnd(F.col("visited") - F.col("control") + 1e-9).alias("visited_minus_control"))
+    g = d.groupBy("home", "vid_t").agg(F.max(F.when(own, F.col("d_y"))).alias("visited"), F.median(F.when(~own, F.col("d_y"))).alias("control"), F.count(F.when(~own, F.col("d_y"))).alias("n_ctrl"))
+    part = F.when(F.col("vid_t") % 86400 >= 43200, "afternoon").otherwise("morning")
+    v = g.filter("visited is not null and control is not null").select(F.explode(F.array(F.lit("all"), part)).alias("part"), "n_ctrl", F.round(F.col("visited") - F.col("control"), 7).alias("v"))
+    v = materialize(v, "visited-control")
+    t = S.signed_rank(v, ["part"], "v").join(v.groupBy("part").agg(F.sum("n_ctrl").alias("n_ctrl"), F.count("*").alias("visits")), "part")
+    return t.select("part", "visits", "n_ctrl", rnd("median").alias("median"), F.col("down").alias("quieter"), rnd("p").alias("p"))
 
 
 @query("t17_before_approach_here", f"""WITH {STUDY}, p AS (SELECT rec, vid_t, prev_t FROM (SELECT v.rec, v.start_t AS vid_t, s.t AS prev_t, row_number() OVER (PARTITION BY v.rec, v.start_t ORDER BY s.t DESC) AS rn FROM visits v JOIN (SELECT DISTINCT rec, t FROM sims) s ON s.rec <> v.rec AND s.t < v.start_t AND s.t // 86400 = v.start_t // 86400) WHERE rn = 1 AND vid_t - prev_t BETWEEN 600 AND 7200),
@@ -358,70 +364,136 @@ def t22(spark, sf):
 
 
 NFSP = f"""WITH {STUDY}, {FARW}, wins AS (SELECT rec, vid_t, kind, 0 AS h, t0 FROM study UNION ALL SELECT rec, vid_t, kind, h, t0 FROM fw),
-q AS (SELECT w.rec, w.vid_t, w.kind, w.h, w.t0, c.species, c.clip_id FROM wins w JOIN clips c ON c.rec = w.rec AND c.t >= w.t0 - 3600 AND c.t < w.t0 + 3600), n AS (SELECT rec, vid_t, kind, h, t0, count(*) AS n FROM q GROUP BY 1, 2, 3, 4, 5),
-fs AS (SELECT species FROM clips GROUP BY 1 HAVING count(*) >= 30), sh AS (SELECT n.rec, n.vid_t, n.kind, n.h, n.t0, fs.species, count(q.clip_id) / n.n::DOUBLE AS s FROM n CROSS JOIN fs LEFT JOIN q ON q.rec = n.rec AND q.vid_t = n.vid_t AND q.kind = n.kind AND q.h = n.h AND q.t0 = n.t0 AND q.species = fs.species GROUP BY n.rec, n.vid_t, n.kind, n.h, n.t0, fs.species, n.n),
+q AS (SELECT w.rec, w.vid_t, w.kind, w.h, w.t0, c.species FROM wins w JOIN clips c ON c.rec = w.rec AND c.t >= w.t0 - 3600 AND c.t < w.t0 + 3600),
+n AS (SELECT rec, vid_t, kind, h, t0, count(*) AS n FROM q GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 0.5 * 2 * {PER_HOUR}),
+gh AS (SELECT rec, vid_t, h FROM n GROUP BY 1, 2, 3 HAVING count_if(kind = 'visit') > 0 AND count_if(kind <> 'visit') > 0),
+vis AS (SELECT rec, vid_t FROM gh GROUP BY 1, 2 HAVING count_if(h = 0) > 0 AND count_if(h <> 0) > 0),
+qn AS (SELECT n.rec, n.vid_t, n.kind, n.h, n.t0, n.n, q.species FROM n JOIN q ON q.rec = n.rec AND q.vid_t = n.vid_t AND q.kind = n.kind AND q.h = n.h AND q.t0 = n.t0 JOIN vis ON vis.rec = n.rec AND vis.vid_t = n.vid_t),
+tot AS (SELECT species, count(*) AS det FROM qn WHERE kind = 'visit' GROUP BY 1 HAVING count(*) >= 30),
+nw AS (SELECT n.* FROM n JOIN gh ON gh.rec = n.rec AND gh.vid_t = n.vid_t AND gh.h = n.h JOIN vis ON vis.rec = n.rec AND vis.vid_t = n.vid_t),
+sh AS (SELECT w.rec, w.vid_t, w.kind, w.h, w.t0, tot.species, count(x.species) / w.n::DOUBLE AS s FROM nw w CROSS JOIN tot LEFT JOIN qn x ON x.rec = w.rec AND x.vid_t = w.vid_t AND x.kind = w.kind AND x.h = w.h AND x.t0 = w.t0 AND x.species = tot.species
+  GROUP BY w.rec, w.vid_t, w.kind, w.h, w.t0, tot.species, w.n),
 d AS (SELECT rec, vid_t, h, species, max(CASE WHEN kind = 'visit' THEN s END) - median(CASE WHEN kind <> 'visit' THEN s END) AS d FROM sh GROUP BY 1, 2, 3, 4),
-ef AS (SELECT rec, vid_t, species, 100 * (max(CASE WHEN h = 0 THEN d END) - avg(CASE WHEN h <> 0 THEN d END)) AS e FROM d WHERE d IS NOT NULL GROUP BY 1, 2, 3)"""
+ef AS (SELECT rec, vid_t, species, round(100 * (max(CASE WHEN h = 0 THEN d END) - avg(CASE WHEN h <> 0 THEN d END)), 7) + 0.0 AS e FROM d GROUP BY 1, 2, 3),
+nz AS (SELECT species, e, rank() OVER (PARTITION BY species ORDER BY abs(e)) + (count(*) OVER (PARTITION BY species, abs(e)) - 1) / 2.0 AS r FROM ef WHERE e <> 0),
+ti AS (SELECT species, sum(c * c * c - c) AS ties FROM (SELECT species, abs(e) AS av, count(*)::DOUBLE AS c FROM ef WHERE e <> 0 GROUP BY 1, 2) GROUP BY 1),
+sr AS (SELECT species, count(*)::DOUBLE AS n, sum(CASE WHEN e > 0 THEN r ELSE 0 END) AS w FROM nz GROUP BY 1 HAVING count(*) >= 4),
+z AS (SELECT sr.species, abs(least(w, n * (n + 1) / 2 - w) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM sr JOIN ti ON ti.species = sr.species),
+pv AS (SELECT species, {norm_p('z')} AS p FROM z), pr AS (SELECT *, row_number() OVER (ORDER BY p, species) AS rn, count(*) OVER () AS m FROM pv),
+fd2 AS (SELECT species, p, min(least(1.0, p * m / rn)) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM pr)"""
+
+
+def species_windows(rows, windows, per_hour, share):
+    """The windows in which at least ``share`` of the expected clips were recorded, by two lookups in a prefix-count index."""
+    index = materialize(J.count_index(rows.select("rec", "t"), ["rec"], "t"), "count-index")
+    return J.count_between(windows, index, ["rec"], "a", "b", "n").filter(F.col("n") * 3600 >= share * per_hour * (F.col("b") - F.col("a")))
 
 
-@query("t23_species_near_far", f"""{NFSP} SELECT species, count(*) AS visits, round(median(e), 6) + 0.0 AS median_pp, round(avg(e), 6) + 0.0 AS mean_pp, sum(CASE WHEN e < 0 THEN 1 ELSE 0 END)::BIGINT AS quieter, sum(CASE WHEN e > 0 THEN 1 ELSE 0 END)::BIGINT AS louder FROM ef WHERE e IS NOT NULL GROUP BY 1""")
+def visit_minus_normal(values, ids, value, normal):
+    """Visit value less the median over ``normal`` placebo windows, in which a species without a row has the value 0."""
+    is_visit = F.col("kind") == "visit"
+    g = values.groupBy(*ids).agg(F.sum(F.when(is_visit, F.col(value))).alias("v"), F.collect_list(F.when(~is_visit, F.col(value))).alias("__p"), F.max(normal).alias("__n"),
+                                 F.max((F.col(value) != 0).cast("int")).alias("present"))
+    return g.withColumn("d", F.coalesce("v", F.lit(0.0)) - padded_median(F.col("__p"), F.col("__n"))).drop("v", "__p", "__n")
+
+
+@query("t23_species_near_far", f"""{NFSP} SELECT ef.species, max(tot.det) AS clips_detected, count(*) AS visits, round(median(e), 6) + 0.0 AS median_pp, round(avg(e), 6) + 0.0 AS mean_pp, count_if(e < 0) AS quieter, count_if(e > 0) AS louder,
+round(max(f.p), 6) + 0.0 AS p, round(max(f.q), 6) + 0.0 AS fdr_q FROM ef JOIN tot ON tot.species = ef.species LEFT JOIN fd2 f ON f.species = ef.species GROUP BY 1""")
 def t23(spark, sf):
+    """Near less normal days, less the same at far hours, in percentage points of clips: species with 30 detections in the visits' windows, p and false discovery rate."""
     c = clips(spark, sf).select("rec", "t", F.array("species").alias("tags"))
-    sh = species_share(c, near_far_windows(spark, sf), ["rec"], "t", "a", "b", "tags", least=30, bucket=7200)
-    d = S.matched_difference(sh, ["rec", "vid_t", "h", "species"], "kind", ["share"])
-    e = d.groupBy("rec", "vid_t", "species").agg(
-        (100 * (F.max(F.when(F.col("h") == 0, F.col("d_share"))) - F.avg(F.when(F.col("h") != 0, F.col("d_share"))))).alias("e")).filter("e is not null")
+    w = materialize(species_windows(c, near_far_windows(spark, sf), PER_HOUR, 0.5), "covered")
+    g = w.groupBy("rec", "vid_t", "h").agg(F.count_if(F.col("kind") == "visit").alias("v"), F.count_if(F.col("kind") != "visit").alias("normal")).filter("v > 0 and normal > 0").drop("v")
+    vis = g.groupBy("rec", "vid_t").agg(F.count_if(F.col("h") == 0).alias("near"), F.count_if(F.col("h") != 0).alias("far")).filter("near > 0 and far > 0").drop("near")
+    vis = materialize(vis, "visits")
+    n = vis.count()
+    sh = materialize(species_share(c, w.drop("n"), ["rec"], "t", "a", "b", "tags", bucket=7200).join(sized(vis), ["rec", "vid_t"]), "shares")
+    heard = sized(sh.filter("kind = 'visit'").groupBy("species").agg(F.sum("k").alias("clips_detected")).filter("clips_detected >= 30"))
+    d = visit_minus_normal(sh.join(sized(g), ["rec", "vid_t", "h"]).join(heard, "species"), ["rec", "vid_t", "h", "far", "species"], "share", "normal")
+    at = lambda near: F.coalesce(F.sum(F.when((F.col("h") == 0) == F.lit(near), F.col("d"))), F.lit(0.0))
+    e = d.groupBy("rec", "vid_t", "species").agg(F.round(100 * (at(True) - at(False) / F.max("far")), 7).alias("e"))
     e = materialize(e, "species-effects")
-    t = benjamini_hochberg(S.signed_rank(e, ["species"], "e"), [], "p", ["species"])
-    mean = e.groupBy("species").agg(F.avg("e").alias("mean"), F.count("*").alias("visits"))
-    return t.join(mean, "species").select("species", "visits", rnd("median").alias("median_pp"), rnd("mean").alias("mean_pp"),
-                                          F.col("down").alias("quieter"), F.col("up").alias("louder"))
+    sums = e.groupBy("species").agg((F.sum("e") / n).alias("mean"), F.count_if(F.col("e") < 0).alias("quieter"), F.count_if(F.col("e") > 0).alias("louder"))
+    tests = S.signed_rank(e.filter("e <> 0"), ["species"], "e").filter("n >= 4").select("species", "p")
+    tests = materialize(benjamini_hochberg(tests, [], "p", ["species"], "fdr_q"), "species-tests")
+    out = heard.join(sums, "species").join(zero_medians(e, ["species"], "e", F.lit(n)), "species").join(tests, "species", "left")
+    return out.select("species", "clips_detected", F.lit(n).cast("long").alias("visits"), rnd("e").alias("median_pp"), rnd("mean").alias("mean_pp"), "quieter", "louder", rnd("p").alias("p"), rnd("fdr_q").alias("fdr_q"))
+
+
+def drop_sql(step: int, least: int) -> str:
+    """Share of each species in the step before arrival less the step before that, visit less normal days."""
+    return f"""WITH {STUDY}, q AS (SELECT s.rec, s.vid_t, s.kind, s.t0, CASE WHEN c.t >= s.t0 - {step} THEN 1 ELSE 0 END AS late, c.species FROM study s JOIN clips c ON c.rec = s.rec AND c.t >= s.t0 - {2 * step} AND c.t < s.t0),
+n AS (SELECT rec, vid_t, kind, t0, count_if(late = 1)::DOUBLE AS nl, count_if(late = 0)::DOUBLE AS ne FROM q GROUP BY 1, 2, 3, 4 HAVING count_if(late = 1) >= {least} AND count_if(late = 0) >= {least}),
+vis AS (SELECT rec, vid_t FROM n GROUP BY 1, 2 HAVING count_if(kind = 'visit') > 0 AND count_if(kind <> 'visit') > 0), sp AS (SELECT DISTINCT species FROM clips WHERE species IS NOT NULL),
+ch AS (SELECT n.rec, n.vid_t, n.kind, n.t0, sp.species, round(count(CASE WHEN q.late = 1 THEN 1 END) / n.nl - count(CASE WHEN q.late = 0 THEN 1 END) / n.ne, 9) + 0.0 AS c FROM n JOIN vis ON vis.rec = n.rec AND vis.vid_t = n.vid_t CROSS JOIN sp
+  LEFT JOIN q ON q.rec = n.rec AND q.vid_t = n.vid_t AND q.kind = n.kind AND q.t0 = n.t0 AND q.species = sp.species GROUP BY n.rec, n.vid_t, n.kind, n.t0, sp.species, n.nl, n.ne),
+d AS (SELECT rec, vid_t, species, round(max(CASE WHEN kind = 'visit' THEN c END) - median(CASE WHEN kind <> 'visit' THEN c END), 8) + 0.0 AS d, max(CASE WHEN c <> 0 THEN 1 ELSE 0 END) AS present FROM ch GROUP BY 1, 2, 3)"""
+
+
+def species_drops(spark, sf, step, least):
+    """(rec, vid_t, species, present, d) of the species heard in a visit's windows, and the number of visits."""
+    c = clips(spark, sf).select("rec", "t", F.array_compact(F.array("species")).alias("tags"))
+    st = materialize(study(spark, sf), "study")
+    half = lambda n, a, b: F.struct(F.lit(n).alias("part"), (F.col("t0") + a).alias("a"), (F.col("t0") + b).alias("b"))
+    w = st.select("*", F.explode(F.array(half("late", -step, 0), half("early", -2 * step, -step))).alias("x")).select(*st.columns, "x.*")
+    w = materialize(species_windows(c, w, 1.0, least * 3600.0 / step), "covered")
+    whole = w.groupBy(*st.columns).count().filter("count = 2").drop("count")
+    normal = whole.groupBy("rec", "vid_t").agg(F.count_if(F.col("kind") == "visit").alias("v"), F.count_if(F.col("kind") != "visit").alias("normal")).filter("v > 0 and normal > 0").drop("v")
+    whole = materialize(whole.join(normal, ["rec", "vid_t"]), "whole")
+    sh = species_share(c, w.drop("n").join(sized(whole), st.columns), ["rec"], "t", "a", "b", "tags", bucket=step)
+    part = lambda n: F.coalesce(F.sum(F.when(F.col("part") == n, F.col("share"))), F.lit(0.0))
+    ch = sh.groupBy(*st.columns, "normal", "species").agg(F.round(part("late") - part("early"), 9).alias("c"))
+    d = visit_minus_normal(ch, ["rec", "vid_t", "species"], "c", "normal").withColumn("d", F.round("d", 8))
+    return materialize(d, "species-drops"), normal.count()
+
+
+@query("t24_species_pre_arrival_drop", f"""{drop_sql(86400, 50)}, r AS (SELECT species, count_if(d > 0)::BIGINT AS up, count_if(d < 0)::BIGINT AS down, median(d) AS m FROM d WHERE present = 1 GROUP BY 1 HAVING count_if(d <> 0) >= 6)
+SELECT species, down, up + down AS n, round(m, 6) + 0.0 AS median, round(least(1.0, 2 * {binom_tail('greatest(up, down)', '(up + down)')}), 6) AS p FROM r""")
+def t24(spark, sf):
+    """Visits at which the species was heard, windows with 50 clips (a day in these sparse tables), species with 6 visits that changed."""
+    d, _ = species_drops(spark, sf, 86400, 50)
+    d = d.filter("present = 1")
+    t = S.sign_test(d, ["species"], "d").filter("up + down >= 6").join(medians(d, ["species"], ["d"]).select("species", "d"), "species")
+    return t.select("species", "down", (F.col("up") + F.col("down")).alias("n"), rnd("d").alias("median"), rnd("p_sign").alias("p"))
 
 
-@query("t24_species_pre_arrival_drop", f"""WITH {STUDY}, q AS (SELECT s.rec, s.vid_t, s.kind, s.t0, CASE WHEN c.t >= s.t0 - 7200 THEN 1 ELSE 0 END AS late, c.species FROM study s JOIN clips c ON c.rec = s.rec AND c.t >= s.t0 - 14400 AND c.t < s.t0),
-g AS (SELECT rec, vid_t, kind, t0, avg(CASE WHEN late = 1 THEN CASE WHEN species = 'click' THEN 1.0 ELSE 0.0 END END) - avg(CASE WHEN late = 0 THEN CASE WHEN species = 'click' THEN 1.0 ELSE 0.0 END END) AS c FROM q GROUP BY 1, 2, 3, 4),
-d AS (SELECT rec, vid_t, max(CASE WHEN kind = 'visit' THEN c END) - median(CASE WHEN kind <> 'visit' THEN c END) AS d FROM g GROUP BY 1, 2)
-SELECT count(*) AS visits, round(median(d), 6) + 0.0 AS median, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM d WHERE d IS NOT NULL HAVING count(*) >= 6""")
-def t24(spark, sf):
-    c = clips(spark, sf).select("rec", "t", (F.col("species") == "click").cast("double").alias("hit"))
-    lev = S.step_levels(c, materialize(study(spark, sf), "study"), ["rec"], "t", "t0", 7200, -2, 0, [F.avg("hit").alias("y")])
-    ch = S.step_contrast(lev, ["rec", "vid_t", "kind", "t0"], "step", "y", [-1], [-2], "c")
-    d = S.matched_difference(ch, ["rec", "vid_t"], "kind", ["c"])
-    out = S.signed_rank(d, [], "d_c").withColumn("visits", F.col("n") + F.col("zeros"))
-    return out.filter("visits >= 6").select("visits", rnd("median").alias("median"), "up", "down")
-
-
-@query("t24_each_species_drop", f"""WITH {STUDY}, q AS (SELECT s.rec, s.vid_t, s.kind, s.t0, CASE WHEN c.t >= s.t0 - 7200 THEN 1 ELSE 0 END AS late, c.species AS heard FROM study s JOIN clips c ON c.rec = s.rec AND c.t >= s.t0 - 14400 AND c.t < s.t0),
-g AS (SELECT rec, vid_t, kind, t0, k.species, avg(CASE WHEN late = 1 THEN CASE WHEN heard = k.species THEN 1.0 ELSE 0.0 END END) - avg(CASE WHEN late = 0 THEN CASE WHEN heard = k.species THEN 1.0 ELSE 0.0 END END) AS c
-  FROM q, (SELECT DISTINCT species FROM clips WHERE species IS NOT NULL) k GROUP BY 1, 2, 3, 4, 5),
-d AS (SELECT rec, vid_t, species, max(CASE WHEN kind = 'visit' THEN c END) - median(CASE WHEN kind <> 'visit' THEN c END) AS d FROM g GROUP BY 1, 2, 3)
-SELECT species, count(*) AS visits, round(median(d), 6) + 0.0 AS median, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM d WHERE d IS NOT NULL GROUP BY 1 HAVING count(*) >= 6""")
+@query("t24_each_species_drop", f"""{drop_sql(7200, 1)} SELECT species, count(*) AS visits, round(median(d), 6) + 0.0 AS median, count_if(d > 0) AS up, count_if(d < 0) AS down FROM d GROUP BY 1 HAVING count(*) >= 6""")
 def t24_each(spark, sf):
-    """T24 for every species."""
-    c = clips(spark, sf).select("rec", "t", "species")
-    names = sorted(r[0] for r in c.select("species").distinct().collect() if r[0] is not None)
-    share = F.array(*[F.struct(F.lit(x).alias("species"), F.avg(F.coalesce(F.col("species") == x, F.lit(False)).cast("double")).alias("y")) for x in names])
-    lev = S.step_levels(c, materialize(study(spark, sf), "study"), ["rec"], "t", "t0", 7200, -2, 0, [share.alias("shares")])
-    lev = lev.select("rec", "vid_t", "kind", "t0", "step", F.explode("shares").alias("x")).select("*", "x.species", "x.y")
-    ch = S.step_contrast(lev, ["rec", "vid_t", "kind", "t0", "species"], "step", "y", [-1], [-2], "c")
-    d = S.matched_difference(ch, ["rec", "vid_t", "species"], "kind", ["c"])
-    out = S.signed_rank(d, ["species"], "d_c").withColumn("visits", F.col("n") + F.col("zeros"))
-    return out.filter("visits >= 6").select("species", "visits", rnd("median").alias("median"), "up", "down")
-
-
-@query("t25_walking_only_contrast", f"""WITH {ctes('clips')}, wk AS (SELECT DISTINCT rec, t // 600 AS s FROM clips WHERE lab = 1 AND x2 < 90), dy AS (SELECT DISTINCT rec, day FROM clips),
-m AS (SELECT w.rec, w.s // 144 AS vday, w.s, d.day FROM wk w JOIN dy d ON d.rec = w.rec), c AS (SELECT m.rec, m.vday, m.day, avg(CASE WHEN c.x1 > 20 THEN 1.0 ELSE 0.0 END) AS y FROM m JOIN clips c ON c.rec = m.rec AND c.t // 600 = m.s + (m.day - m.vday) * 144 GROUP BY 1, 2, 3),
-r AS (SELECT rec, vday, max(CASE WHEN day = vday THEN y END) - median(CASE WHEN day <> vday THEN y END) AS d FROM c GROUP BY 1, 2) SELECT rec, vday, round(d, 6) + 0.0 AS d FROM r WHERE d IS NOT NULL""")
+    """All visits with a clip in both two-hour windows; a species that a visit does not have counts as no change there."""
+    d, n = species_drops(spark, sf, 7200, 1)
+    names = clips(spark, sf).select("species").filter("species is not null").distinct()
+    g = d.groupBy("species").agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
+    out = names.join(g, "species", "left").join(zero_medians(d, ["species"], "d", F.lit(n)), "species", "left").fillna(0, ["up", "down"]).fillna(0.0, ["d"])
+    return out.filter(F.lit(n) >= 6).select("species", F.lit(n).cast("long").alias("visits"), rnd("d").alias("median"), "up", "down")
+
+
+WALK = 21600  # a walking stretch: the quarter of a day that has a walking event
+
+
+@query("t25_walking_only_contrast", f"""WITH {ctes('clips')}, wk AS (SELECT DISTINCT rec, day, t // {WALK} AS s FROM clips WHERE lab = 1 AND x2 < 90), dy AS (SELECT DISTINCT rec, day FROM clips), vd AS (SELECT DISTINCT rec, day FROM wk),
+od AS (SELECT v.rec, v.day AS vday, d.day, row_number() OVER (PARTITION BY v.rec, v.day ORDER BY md5('4|' || v.rec || '|' || v.day * 86400 || '|' || d.day * 86400)) AS rn FROM vd v JOIN dy d ON d.rec = v.rec AND d.day <> v.day),
+wn AS (SELECT rec, day AS vday, day FROM vd UNION ALL SELECT rec, vday, day FROM od WHERE rn <= 4),
+wc AS (SELECT w.rec, w.vday, w.day, count(*) AS n, avg(CASE WHEN c.x1 > 20 THEN 1.0 ELSE 0.0 END) AS y FROM wn w JOIN wk k ON k.rec = w.rec AND k.day = w.vday JOIN clips c ON c.rec = w.rec AND c.t // {WALK} = k.s + (w.day - w.vday) * {86400 // WALK} GROUP BY 1, 2, 3),
+bc AS (SELECT w.rec, w.vday, w.day, count(*) AS n, avg(CASE WHEN c.x1 > 20 THEN 1.0 ELSE 0.0 END) AS y FROM wn w JOIN clips c ON c.rec = w.rec AND c.t >= (w.day - 1) * 86400 AND c.t < w.day * 86400 GROUP BY 1, 2, 3),
+ch AS (SELECT wc.rec, wc.vday, wc.day, wc.n, wc.y - bc.y AS c FROM wc JOIN bc ON bc.rec = wc.rec AND bc.vday = wc.vday AND bc.day = wc.day WHERE wc.n >= 20 AND bc.n >= 50),
+r AS (SELECT rec, vday, max(CASE WHEN day = vday THEN n END) AS n, max(CASE WHEN day = vday THEN c END) - median(CASE WHEN day <> vday THEN c END) AS d FROM ch GROUP BY 1, 2)
+SELECT rec, vday, n AS n_walk_clips, round(d, 6) + 0.0 AS diff FROM r WHERE d IS NOT NULL""")
 def t25(spark, sf):
-    """Clips in the walking slots of a day against the same slots on the recorder's other days."""
+    """Share of loud clips in the walking stretches of a day less that of the day before, minus the same on up to four other days; 20 walking clips and 50 before."""
     c = clips(spark, sf)
-    slots = c.filter("lab = 1 and x2 < 90").select("rec", F.expr("t div 600").alias("slot")).distinct().withColumn("vday", F.expr("slot div 144"))
-    days = c.select("rec", "day").distinct()
-    moved = slots.join(days, "rec").withColumn("slot", F.col("slot") + (F.col("day") - F.col("vday")) * 144)
-    cell = c.groupBy("rec", F.expr("t div 600").alias("slot")).agg(F.count("*").alias("n"), F.count_if(F.col("x1") > 20).alias("k"))
-    y = moved.join(cell, ["rec", "slot"]).groupBy("rec", "vday", "day").agg((F.sum("k") / F.sum("n")).alias("y"))
-    y = y.withColumn("kind", F.when(F.col("day") == F.col("vday"), "visit").otherwise("placebo"))
-    return S.matched_difference(y, ["rec", "vday"], "kind", ["y"]).select("rec", "vday", rnd("d_y").alias("d"))
+    slots = materialize(c.filter("lab = 1 and x2 < 90").select("rec", F.col("day").alias("vday"), F.expr(f"t div {WALK}").alias("slot")).distinct(), "walking")
+    v = slots.select("rec", (F.col("vday") * 86400).alias("start_t")).distinct()
+    other = J.chosen_days(v, c.select("rec", "day"), ["rec"], "start_t", ["start_t"], lambda m: m, 4, "4")
+    w = v.select("rec", F.col("start_t").alias("base"), "start_t").unionByName(other.select("rec", F.col("base_start_t").alias("base"), "start_t"))
+    w = materialize(w.select("rec", F.expr("base div 86400").alias("vday"), F.expr("start_t div 86400").alias("day")), "days")
+    loud = [F.count("*").alias("n"), F.avg((F.col("x1") > 20).cast("double")).alias("y")]
+    moved = w.join(slots, ["rec", "vday"]).withColumn("slot", F.col("slot") + (F.col("day") - F.col("vday")) * (86400 // WALK))
+    walk = c.select("rec", "x1", F.expr(f"t div {WALK}").alias("slot")).join(moved, ["rec", "slot"]).groupBy("rec", "vday", "day").agg(*loud).filter("n >= 20")
+    before = c.select("rec", "x1", (F.col("day") + 1).alias("day")).join(w, ["rec", "day"]).groupBy("rec", "vday", "day").agg(*loud).filter("n >= 50")
+    ch = walk.withColumnRenamed("y", "walking").join(before.drop("n"), ["rec", "vday", "day"]).withColumn("c", F.col("walking") - F.col("y"))
+    ch = materialize(ch.withColumn("kind", F.when(F.col("day") == F.col("vday"), "visit").otherwise("placebo")), "walks")
+    d = S.matched_difference(ch, ["rec", "vday"], "kind", ["c"]).join(ch.filter("kind = 'visit'").select("rec", "vday", F.col("n").alias("n_walk_clips")), ["rec", "vday"])
+    return d.select("rec", "vday", "n_walk_clips", rnd("d_c").alias("diff"))
 
 
 @query("t32_busy_vs_quiet_visits", f"""WITH {DIFF}, {BUSY} SELECT busy_s > 900 AS busy, count(*) AS n, round(median(d), 6) + 0.0 AS median, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS quieter FROM dd JOIN busy b ON b.rec = dd.rec AND b.start_t = dd.vid_t WHERE step = 0 GROUP BY 1""")
