@@ -4,15 +4,17 @@ The kernel of two words counts their common subsequences of 3 and 4 characters,
 character it spans, so "id*iot" is still close to "idiot". A word's subsequences are hashed into a fixed table; the kernel is the scalar product of
 two such maps over their norms. Landmarks are words of the training sample; with K over them, the features of a word
 are its kernel values times K^(-1/2). A linear machine is fitted on those features for the words that decide labelled sentences: in
-toxic documents the sentence and word that speak loudest, in clean ones all words, the most toxic-looking first. As the
-machine is linear in the map, it folds into one weight per table entry: scoring a word needs no landmark any more.
+toxic documents the words whose excess there cannot be chance, with one-character insertions, and then the loudest word of each sentence; in clean ones all
+words, the most toxic-looking first, each the heavier the more documents have it. As the machine is linear in the map, it folds into one weight per
+table entry: scoring a word needs no landmark any more.
 
-A document's raw score is that of its loudest word; letters set apart by spaces ("i d i o t") are read as one word too. A logistic
-curve fitted on sample documents that trained nothing turns it into 0 to 1.
+A document is summarised by its loudest word, its three loudest, their share and its length; letters set apart by spaces ("i d i o t") are
+read as one word too. A logistic curve over these, fitted on documents that its machine has not seen, gives 0 to 1.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -30,7 +32,9 @@ from fieldhush.sources.scratch import materialize, sized
 
 #: At most so many labelled documents of either kind are used for learning, in hash order of their keys.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-LANDMARKS, POSITIVE_WORDS, TABLE_BITS, DECAY = 64, 1500, 18, 0.7
+#: Labelled texts of more characters take no part in learning; they are scored like all others.
+SAMPLE_CHARS = 1 << 18
+LANDMARKS, POSITIVE_WORDS, TABLE_BITS, DECAY = 256, 1500, 18, 0.7
 THRESHOLD = 0.7
 KEPT_WORDS = 1 << 19
 #: Offsets of a subsequence's later characters: three within five places, four within six.
@@ -71,8 +75,7 @@ def _maps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 class Model:
     table: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    curve: np.ndarray  # weights of what ``summary`` says, and a constant
 
     def words(self, words: list[str]) -> np.ndarray:
         """Raw score of each word; a word with other characters than letters and digits also counts without them."""
@@ -91,8 +94,17 @@ class Model:
             out.append(np.bincount(who, weight * self.table[where], len(part)) / np.sqrt(norm) + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
 
-    def score(self, raw: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))
+    def score(self, summaries: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(summaries @ self.curve[:-1] + self.curve[-1], -40, 40)))
+
+
+def summary(raw: list[float]) -> tuple[float, ...]:
+    """What the curve sees of a document's words: the loudest, the mean of the three loudest, their share of loud ones, and how many they are."""
+    if not raw:
+        return -2.0, -2.0, 0.0, 0.0
+    top = heapq.nlargest(3, raw)
+    n = len(raw)
+    return max(top[0], -2.0), max(sum(top) / len(top), -2.0), math.log1p(100 * sum(x > 0 for x in raw) / n), math.log1p(n)
 
 
 def document_words(text: str) -> list[str]:
@@ -110,7 +122,7 @@ def document_words(text: str) -> list[str]:
     return w
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 30.0) -> tuple[np.ndarray, float]:
     """L2 support vector machine by Newton steps on the squared hinge; the bias is the last, unregularised coefficient."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x1.shape[1]), np.eye(x1.shape[1])
@@ -134,97 +146,138 @@ def _variants(word: str, rnd: np.random.Generator) -> list[str]:
     return [word[:i] + c + word[i:] for c in "*-" + word[i]]
 
 
-def _logistic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the calibration curve, with smoothed targets and a little ridge so that clean splits stay finite."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    b = np.array([1.0, 0.0])
-    x = np.stack([raw, np.ones(len(raw))], 1)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights and constant of the calibration curve, with a little ridge on standardised inputs so that clean splits stay finite."""
+    mean, std = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.hstack([(x - mean) / std, np.ones((len(x), 1))])
+    b, penalty = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (weight * (t - p)) - 1e-4 * b)
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -40, 40)))
+        h = (z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + penalty
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - penalty @ b)
         b = b + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return max(float(b[0]), 1e-3), float(b[1])
+    w = b[:-1] / std
+    return np.append(w, b[-1] - w @ mean)
 
 
 def train(texts: list[str], toxic: np.ndarray, rate: float, landmarks: int = LANDMARKS, seed: int = 0) -> Model:
     """A model from sample documents; ``rate`` is the share of toxic ones in all labelled rows.
 
-    Without documents of both kinds every document scores ``rate``.
+    The curve is fitted on documents scored by machines that have not seen them: each half by the machine of the other. The
+    machine itself then learns from all. Without documents of both kinds every document scores ``rate``.
     """
-    none = Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, math.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
+    odds = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    model = _machine(texts, toxic, landmarks, seed)
+    if model is None:
+        return Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, odds]))
+    half = np.random.default_rng(seed).permutation(len(texts)) % 2
+    said = np.zeros((len(texts), 4))
+    for h in (0, 1):
+        mine = np.flatnonzero(half != h)
+        other = _machine([texts[i] for i in mine], toxic[mine], landmarks, seed) or model
+        for i in np.flatnonzero(half == h):
+            said[i] = document_summary(other, texts[i])
+    y = toxic.astype(float)
+    balance = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
+    model.curve = _logistic(said, y, balance)
+    return model
+
+
+def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) -> Model | None:
+    """The machine without its curve; None where nothing tells toxic from clean documents."""
     rnd = np.random.default_rng(seed)
-    learn = rnd.random(len(texts)) < 0.75
-    if len(texts) < 40:
-        learn[:] = True
     seen = {True: Counter(), False: Counter()}
     same: dict[str, str] = {}  # one object for each word
     toxic_sentences: list[set[str]] = []
-    for t, y, use in zip(texts, toxic, learn, strict=True):
-        if use:
-            sets = [{same.setdefault(b, b) for w in s.split() for b in [bare(w)]} for s in _SPLIT.split(t.lower())]
-            seen[bool(y)].update(set().union(*sets))
-            if y:
-                toxic_sentences += sets
+    for t, y in zip(texts, toxic, strict=True):
+        sets = [{same.setdefault(b, b) for w in s.split() for b in [bare(w)]} for s in _SPLIT.split(t.lower())]
+        seen[bool(y)].update(set().union(*sets))
+        if y:
+            toxic_sentences += sets
     del same
-    n1, n0 = int((toxic & learn).sum()), int((~toxic & learn).sum())
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0 or not seen[True]:
-        return none
-    # Words that toxic documents share and clean ones never have, the more documents the better.
-    least = max(3, n1 // 100)
-    lift = {w: c for w, c in seen[True].items() if c >= least and w not in seen[False] and len(w) > 2}
-    ranked = sorted(lift, key=lambda w: (-lift[w], w))[:1500]
-    if not ranked:
-        return none
-    common = [w for w, _ in sorted(seen[False].items(), key=lambda x: (-x[1], x[0])) if len(w) > 2][: landmarks * 20]
+        return None
+    telling = evidence(seen[True], seen[False])
+    if not telling:
+        return None
+    ranked = sorted(telling, key=lambda w: (-telling[w], w))[:POSITIVE_WORDS]
+    common = [w for w, _ in sorted(seen[False].items(), key=lambda x: (-x[1], x[0])) if len(w) > 2 and w not in telling][: landmarks * 20]
     basis = _landmarks(ranked, landmarks * 3 // 4) + list(rnd.permutation(np.array(common, object))[: landmarks // 4])
     who, where, weight, norm = _maps(basis)
-    dense = np.zeros((1 << TABLE_BITS, len(basis)), np.float32)
-    np.add.at(dense, (where, who), weight / np.sqrt(norm)[who])
+    used, at = np.unique(where, return_inverse=True)  # only the landmarks' entries matter, so the table of their maps stays small
+    dense = np.zeros((len(used), len(basis)), np.float32)
+    np.add.at(dense, (at, who), weight / np.sqrt(norm)[who])
+    place = np.full(1 << TABLE_BITS, -1, np.int64)
+    place[used] = np.arange(len(used))
 
     def kernel(words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(basis)))
-        for i in range(0, len(words), 400):
-            who, where, weight, norm = _maps(words[i : i + 400])
+        for i in range(0, len(words), 200):
+            who, where, weight, norm = _maps(words[i : i + 200])
             order = np.argsort(who, kind="stable")
-            first = np.searchsorted(who[order], np.arange(len(norm)))
-            out[i : i + 400] = np.add.reduceat(dense[where[order]] * weight[order][:, None], first) / np.sqrt(norm)[:, None]
+            order = order[place[where[order]] >= 0]
+            ends = np.searchsorted(who[order], np.arange(len(norm) + 1))
+            some = np.flatnonzero(np.diff(ends))
+            if len(some):
+                out[i + some] = np.add.reduceat(dense[place[where[order]]] * weight[order][:, None], ends[some]) / np.sqrt(norm)[some, None]
         return out
 
     val, vec = np.linalg.eigh(kernel(basis) + 1e-6 * np.eye(len(basis)))
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
-    toxic_sentences = [{w for w in s if w not in seen[False]} for s in toxic_sentences]
-    candidates = sorted(set().union(*toxic_sentences))
-    clean_words = sorted(seen[False])
+    clean_words = sorted(w for w in seen[False] if w not in telling)
     hard = [clean_words[i] for i in rnd.permutation(len(clean_words))[:6000]]
-    score = dict(lift)
-    model = none
+    model, heard = None, Counter()
     for _ in range(2):
-        # A sentence of a toxic document counts as toxic if it has a word that speaks for it; the loudest one is learned.
-        found = Counter(max(hit, key=lambda w: (score[w], w)) for s in toxic_sentences if (hit := [w for w in s if score.get(w, 0.0) > 0]))
-        found.update(lift.keys())
-        pos = sorted(found, key=lambda w: (-found[w], w))[:POSITIVE_WORDS]
-        odd = [v for w in pos for v in _variants(w, rnd)]
+        # A sentence of a toxic document is learned by its loudest word: one that tells by itself, or later one that the machine takes for such.
+        pos = list(dict.fromkeys([*ranked, *sorted(heard, key=lambda w: (-heard[w], w))]))[:POSITIVE_WORDS]
+        odd = [v for w in ranked for v in _variants(w, rnd)]
         y = np.concatenate([np.ones(len(pos) + len(odd)), -np.ones(len(hard))])
-        n = np.sqrt([found[w] for w in pos])
-        share = np.concatenate([n / n.sum(), np.full(len(odd), 1 / max(len(odd), 1)), np.full(len(hard), 2 / max(len(hard), 1))])
+        n, h = np.sqrt([telling.get(w, 0.0) + heard[w] for w in pos]), np.sqrt([seen[False][w] for w in hard])
+        share = np.concatenate([n / n.sum(), np.full(len(odd), 1 / max(len(odd), 1)), 4 * h / h.sum()])
         w, bias = _svm(kernel([*pos, *odd, *hard]) @ root, y, share * 1000)
-        model = Model((dense @ (root @ w)).astype(np.float32), bias, 1.0, 0.0)
+        table = np.zeros(1 << TABLE_BITS, np.float32)
+        table[used] = dense @ (root @ w)
+        model = Model(table, bias, np.zeros(5))
         order = np.argsort(-model.words(clean_words))
         hard = list(dict.fromkeys([clean_words[i] for i in order[:6000]] + hard[:3000]))
-        got = model.words(candidates)
-        score = {w: x for w, x in zip(candidates, got.tolist(), strict=True) if seen[True][w] > 1}
-    check = ~learn if (~learn & toxic).sum() >= 5 and (~learn & ~toxic).sum() >= 5 else learn
-    raw = np.array([document_score(model, t) for t, c in zip(texts, check, strict=True) if c])
-    y = toxic[check].astype(float)
-    balance = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
-    model.slope, model.shift = _logistic(raw, y, balance)
+        heard = _loudest(model, toxic_sentences, seen[False], float(np.max(model.words(hard[:1]), initial=-1.0)))
     return model
 
 
+def evidence(toxic: Counter, clean: Counter) -> dict[str, float]:
+    """Words that stand in toxic documents more often than chance lets any word do, with the strength of the evidence.
+
+    That is n x KL(share, q), for a word of n documents, its toxic share, and the toxic share q of all words' documents: by Chernoff's bound the
+    chance of as much is below exp(-evidence). Words are taken from log(number of words) on, so that less than one is expected by chance,
+    and a few clean documents (a quotation, a wrong label) do not hide a word.
+    """
+    n1, n0 = sum(toxic.values()), sum(clean.values())
+    q, least = n1 / (n1 + n0), math.log(len(toxic.keys() | clean.keys()))
+    out = {}
+    for w, k in toxic.items():
+        n = k + clean[w]
+        if len(w) > 2 and k > q * n:
+            kl = k * math.log(k / n / q) + (clean[w] * math.log(clean[w] / n / (1 - q)) if clean[w] else 0.0)
+            if kl >= least and k >= 2 * clean[w]:
+                out[w] = kl
+    return out
+
+
+def _loudest(model: Model, sentences: list[set[str]], clean: Counter, above: float) -> Counter:
+    """How often a word that no clean document has is the loudest of a toxic sentence, and louder than ``above``."""
+    words = sorted({w for s in sentences for w in s if w not in clean})
+    raw = dict(zip(words, model.words(words).tolist(), strict=True))
+    out: Counter = Counter()
+    for s in sentences:
+        loud = max(((raw[w], w) for w in s if w in raw), default=(-9.0, ""))
+        if loud[0] > max(above, 0.0):
+            out[loud[1]] += 1
+    return out
+
+
 def _landmarks(ranked: list[str], n: int) -> list[str]:
     """The first words in rank that are not nearly the same as an earlier one."""
     out: list[str] = []
@@ -242,9 +295,10 @@ def _landmarks(ranked: list[str], n: int) -> list[str]:
     return out
 
 
-def document_score(model: Model, text: str) -> float:
+def document_summary(model: Model, text: str) -> tuple[float, ...]:
     w = document_words(text)
-    return float(model.words(list(set(w))).max()) if w else -5.0
+    known = dict(zip(d := list(dict.fromkeys(w)), model.words(d).tolist(), strict=True))
+    return summary([known[x] for x in w])
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1,
@@ -258,10 +312,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = known.agg(F.avg(F.col("y").cast("int"))).first()[0]
     if share is None:
         return train([], np.zeros(0, bool), 0.0)
-    # The sample is bounded by two parameters, so its keys can be broadcast.
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "key").select("key", "text", "y").toPandas()
-    rows = rows.sort_values(["key", "text"], kind="stable", na_position="first")
-    texts, toxic = [t or "" for t in rows["text"]], rows["y"].to_numpy(bool)
+    # The sample is bounded by two parameters, so its keys can be broadcast; a key with several rows is learned by one of its texts.
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
+    rows = rows.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("text").alias("text"), F.first("y").alias("y")).toPandas()
+    rows = rows.sort_values("key")
+    texts, toxic = rows["text"].tolist(), rows["y"].to_numpy(bool)
     del rows
     return train(texts, toxic, float(share))
 
@@ -284,10 +339,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 if new:
                     known.update(zip(new, m.words(new).tolist(), strict=True))
                     got = [[known[w] if x is None else x for w, x in zip(ws, g, strict=True)] if None in g else g for ws, g in zip(words, got, strict=True)]
-                raw = np.array([max(g) if g else -5.0 for g in got])
+                said = np.array([summary(g) for g in got]).reshape(-1, 4)
                 if len(known) > KEPT_WORDS:
                     known.clear()
-                cols = [part["key"], pa.array(m.score(raw))]
+                cols = [part["key"], pa.array(m.score(said))]
                 yield pa.RecordBatch.from_arrays([*cols, *([part["row"]] if row else [])], names=["key", "score", *(["row"] if row else [])])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *([F.col(row).alias("row")] if row else []))

@@ -346,10 +346,10 @@ def test_toxicity_holds_out():
     y = np.array([i % 4 == 0 for i in range(1200)])
     docs = [doc(b) for b in y]
     model = toxicity.train(docs[:800], y[:800], 0.25)
-    p = model.score(np.array([toxicity.document_score(model, t) for t in docs[800:]]))
+    p = model.score(np.array([toxicity.document_summary(model, t) for t in docs[800:]]))
     assert (p[y[800:]] >= 0.7).mean() > 0.95 and (p[~y[800:]] >= 0.7).mean() < 0.02
     hidden = ["jerk-wadx", "j e r k w a d x", "scum*bagyw", "jerkqwadx"]
-    assert all(model.score(np.array([toxicity.document_score(model, f"{plain[0]} {h} {plain[1]}")]))[0] > 0.5 for h in hidden[:3])
+    assert all(model.score(np.array([toxicity.document_summary(model, f"{plain[0]} {h} {plain[1]}")]))[0] > 0.5 for h in hidden[:3])
     clean = model.words([plain[5]])[0]
     assert model.words([hidden[3]])[0] > clean
 
