@@ -75,5 +75,5 @@ def test_held_out_documents(labelled):
 def test_evidence_needs_more_than_chance():
     from collections import Counter
 
-    toxic, clean = Counter({"insult": 9, "quoted": 30, "rare": 2, "common": 20}), Counter({"quoted": 1, "common": 180, **{f"w{i}": 5 for i in range(400)}})
+    toxic, clean = Counter({"insult": 9, "quoted": 30, "rare": 1, "common": 20}), Counter({"quoted": 1, "common": 180, **{f"w{i}": 5 for i in range(400)}})
     assert set(toxicity.evidence(toxic, clean)) == {"insult", "quoted"}
