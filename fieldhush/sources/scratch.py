@@ -10,10 +10,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+#: Tables written by this driver and not dropped yet.
+_written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,5 +45,35 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the written table."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(*still_read: DataFrame) -> int:
+    """Remove the tables written so far but those that ``still_read`` come from; returns how many went.
+
+    For a step whose input has been written for good: nothing that earlier steps wrote on the way is read again. Results that
+    are still lazy must be passed, or their tables go with the others. A folder that cannot be opened from here is left alone.
+    """
+    files = [f for df in still_read for f in df.inputFiles()]
+    names = {p for p in _written for f in files if f"/{_name(p)}/" in f}
+    gone = 0
+    for path in [p for p in _written if p not in names]:
+        try:
+            fs, at = pafs.FileSystem.from_uri(_uri(path)) if ":" in path else (pafs.LocalFileSystem(), path)
+            fs.delete_dir(at)
+        except (OSError, ValueError):  # another store, or already gone
+            pass
+        else:
+            gone += 1
+        _written.remove(path)
+    return gone
+
+
+def _name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _uri(path: str) -> str:
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
