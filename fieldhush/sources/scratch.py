@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
-#: Tables written by this driver and not dropped yet.
-_written: list[str] = []
+#: Lists that new tables' paths are added to, see ``recorded``.
+_recorders: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,30 +47,38 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the written table."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    for paths in _recorders:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(*still_read: DataFrame) -> int:
-    """Remove the tables written so far but those that ``still_read`` come from; returns how many went.
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables written inside the block."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [p for p in _recorders if p is not paths]
 
-    For a step whose input has been written for good: nothing that earlier steps wrote on the way is read again. Results that
-    are still lazy must be passed, or their tables go with the others. A folder that cannot be opened from here is left alone.
+
+def drop_scratch(paths: list[str], *still_read: DataFrame) -> list[str]:
+    """Remove written tables but those that ``still_read`` come from; returns the paths of these.
+
+    For a step whose input has been written for good: nothing that its predecessor wrote on the way is read again.
+    A folder that cannot be opened from here is left alone.
     """
     files = [f for df in still_read for f in df.inputFiles()]
-    names = {p for p in _written for f in files if f"/{_name(p)}/" in f}
-    gone = 0
-    for path in [p for p in _written if p not in names]:
+    kept = [p for p in paths if any(f"/{_name(p)}/" in f for f in files)]
+    for path in (p for p in paths if p not in kept):
         try:
             fs, at = pafs.FileSystem.from_uri(_uri(path)) if ":" in path else (pafs.LocalFileSystem(), path)
             fs.delete_dir(at)
         except (OSError, ValueError):  # another store, or already gone
             pass
-        else:
-            gone += 1
-        _written.remove(path)
-    return gone
+    return kept
 
 
 def _name(path: str) -> str:

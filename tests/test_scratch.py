@@ -6,17 +6,16 @@ from fieldhush.sources import scratch
 
 
 def test_drop_scratch_keeps_what_is_read(spark):
-    a = scratch.materialize(spark.range(5), "one")
-    b = scratch.materialize(a.filter("id > 2"), "two")
-    c = scratch.materialize(spark.range(3), "three")
+    other = scratch.materialize(spark.range(7), "other")
+    with scratch.recorded() as paths:
+        a = scratch.materialize(spark.range(5), "one")
+        b = scratch.materialize(a.filter("id > 2"), "two")
+        c = scratch.materialize(spark.range(3), "three")
+    scratch.materialize(spark.range(2), "later")
     folder = scratch.scratch_dir(spark)
     held = lambda n: any(x.startswith(f"{n}-") for x in os.listdir(folder))
-    mine = [p for p in scratch._written if scratch._name(p).split("-")[0] in ("one", "two", "three")]
-    assert len(mine) == 3
-    before, scratch._written[:] = list(scratch._written), mine
-    try:
-        assert scratch.drop_scratch(b.join(c, "id", "left")) == 1
-        assert not held("one") and held("two") and held("three") and b.count() == 2
-        assert scratch.drop_scratch() == 2 and not held("two") and not held("three") and scratch._written == []
-    finally:
-        scratch._written[:] = [p for p in before if p not in mine]
+    assert [scratch._name(p).split("-")[0] for p in paths] == ["one", "two", "three"]
+    left = scratch.drop_scratch(paths, b.join(c, "id", "left"))
+    assert left == paths[1:] and not held("one") and b.count() == 2
+    assert scratch.drop_scratch(left) == [] and not held("two") and not held("three")
+    assert scratch.drop_scratch(paths) == [] and held("later") and other.count() == 7
