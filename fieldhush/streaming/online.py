@@ -68,11 +68,10 @@ def _ordered(stream: DataFrame, rec: str, t: str, tie: str, values: Sequence[str
     return stream.groupBy(rec).applyInPandasWithState(step, out_t, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def online_scorer(stream: DataFrame, rec: str, t: str, tie: str, value: str, n: int = 20, cut: float = 1.5, votes: int = 5, need: int = 3, lateness: int = 0) -> DataFrame:
-    """(rec, tie, t, z, alert, late): z against the last ``n`` values, alert when ``need`` of the last ``votes`` rows exceed ``cut``."""
+def scorer_run(n: int, cut: float, votes: int, need: int) -> Run:
+    """z of each value against the last ``n`` before it, and the alert. Memory: number of values, then those, then the flags."""
 
     def run(memory: list[float], x: np.ndarray) -> tuple[np.ndarray, list[float]]:
-        # Memory: number of values, then those, then the flags.
         k = int(memory[0]) if memory else 0
         past, flags = np.array(memory[1 : 1 + k]), np.array(memory[1 + k :])
         all_ = np.concatenate([past, x[:, 0]])
@@ -91,18 +90,27 @@ def online_scorer(stream: DataFrame, rec: str, t: str, tie: str, value: str, n:
         keep = all_[-n:]
         return np.stack([z, alert], 1), [float(len(keep)), *keep.tolist(), *f[-votes:].tolist()]
 
-    return _ordered(stream, rec, t, tie, [value], [T.StructField("z", T.DoubleType()), T.StructField("alert", T.IntegerType())], run, lateness)
+    return run
 
 
-def online_self_updating(stream: DataFrame, rec: str, t: str, tie: str, values: Sequence[str], n: int = 20, threshold: float = 2.5, lateness: int = 0) -> DataFrame:
-    """(rec, tie, t, z_<value> ..., late): the self-updating baseline on a stream; equals the batch operator."""
-    width = len(values)
+def self_updating_run(width: int, n: int, threshold: float) -> Run:
+    """z of each row against the accepted ones before it. Memory: the last ``n`` accepted rows, flat."""
 
     def run(memory: list[float], x: np.ndarray) -> tuple[np.ndarray, list[float]]:
         z, buf = self_update_run([memory[i : i + width] for i in range(0, len(memory), width)], x, n, threshold)
         return z, [float(v) for row in buf for v in row]
 
-    return _ordered(stream, rec, t, tie, values, [T.StructField(f"z_{v}", T.DoubleType()) for v in values], run, lateness)
+    return run
+
+
+def online_scorer(stream: DataFrame, rec: str, t: str, tie: str, value: str, n: int = 20, cut: float = 1.5, votes: int = 5, need: int = 3, lateness: int = 0) -> DataFrame:
+    """(rec, tie, t, z, alert, late): z against the last ``n`` values, alert when ``need`` of the last ``votes`` rows exceed ``cut``."""
+    return _ordered(stream, rec, t, tie, [value], [T.StructField("z", T.DoubleType()), T.StructField("alert", T.IntegerType())], scorer_run(n, cut, votes, need), lateness)
+
+
+def online_self_updating(stream: DataFrame, rec: str, t: str, tie: str, values: Sequence[str], n: int = 20, threshold: float = 2.5, lateness: int = 0) -> DataFrame:
+    """(rec, tie, t, z_<value> ..., late): the self-updating baseline on a stream; equals the batch operator."""
+    return _ordered(stream, rec, t, tie, values, [T.StructField(f"z_{v}", T.DoubleType()) for v in values], self_updating_run(len(values), n, threshold), lateness)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, partitions: Sequence[str] = ()) -> None:
