@@ -7,13 +7,14 @@ sets, which are few; the rows of each fit stay distributed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ from fieldhush.operators.evaluate import roc_auc
 from fieldhush.operators.ranks import percentiles
 from fieldhush.operators.sampling import hash_rank
 from fieldhush.operators.series import row_index
-from fieldhush.sources.scratch import materialize
+from fieldhush.sources.scratch import materialize, sized
 
 Fit = Callable[[DataFrame], PipelineModel]
 
@@ -167,12 +168,95 @@ def perceptron(inputs: int, hidden: Sequence[int] = (256, 128), max_iter: int =
 
 # ---- states and tokens -----------------------------------------------------
 
+@dataclass
+class Mixture:
+    """A Gaussian mixture with diagonal covariances."""
+
+    weight: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+    log_likelihood: float = float("-inf")
+
+    def joint(self, x: np.ndarray) -> np.ndarray:
+        """log(weight) + log density, rows x components."""
+        p = 1 / self.var
+        maha = (x * x) @ p.T - 2 * x @ (self.mean * p).T + (self.mean**2 * p).sum(1)
+        return np.log(np.maximum(self.weight, 1e-300)) - 0.5 * (maha + np.log(self.var).sum(1) + x.shape[1] * np.log(2 * np.pi))
+
+
+def _moments(rows: DataFrame, array: str, resp: Callable[[np.ndarray], tuple[np.ndarray, float]], k: int) -> np.ndarray:
+    """Sums of responsibility, responsibility x value and x value squared, and of the log-likelihood: one vector from each task, added up in Spark."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy()).astype(float)
+                r, ll = resp(x)
+                part = np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel(), [ll, len(x)]])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    cells = rows.select(F.col(array).alias("x")).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(cells))
+    for c in cells:
+        out[c.i] = c.v
+    return out
+
+
+def _maximise(sums: np.ndarray, k: int, floor: float) -> Mixture:
+    d = (len(sums) - 2 - k) // (2 * k)
+    n = sums[:k] + 10 * np.finfo(float).eps
+    mean = sums[k : k + k * d].reshape(k, d) / n[:, None]
+    var = sums[k + k * d : k + 2 * k * d].reshape(k, d) / n[:, None] - mean**2
+    return Mixture(n / n.sum(), mean, np.maximum(var, 0) + floor)
+
+
+def diagonal_mixture(rows: DataFrame, array: str, centres: np.ndarray, max_iter: int = 200, tol: float = 1e-3, floor: float = 1e-6) -> Mixture:
+    """EM from hard assignments to the nearest of ``centres``; ends when the mean log-likelihood changes by less than ``tol``.
+
+    Each iteration is one aggregate of k x (2 d + 1) sums; only these and the parameters leave the tasks. ``floor`` is added to variances.
+    """
+    k = len(centres)
+
+    def hard(x: np.ndarray) -> tuple[np.ndarray, float]:
+        near = (((x[:, None, :] - centres[None]) ** 2).sum(2)).argmin(1)
+        return np.eye(k)[near], 0.0
+
+    m = _maximise(_moments(rows, array, hard, k), k, floor)
+    for _ in range(max_iter):
+        now = m
+
+        def soft(x: np.ndarray, now: Mixture = now) -> tuple[np.ndarray, float]:
+            j = now.joint(x)
+            top = j.max(1, keepdims=True)
+            e = np.exp(j - top)
+            s = e.sum(1, keepdims=True)
+            return e / s, float((top + np.log(s)).sum())
+
+        sums = _moments(rows, array, soft, k)
+        ll = sums[-2] / sums[-1]
+        m = _maximise(sums, k, floor)
+        m.log_likelihood = ll
+        if abs(ll - now.log_likelihood) < tol:
+            break
+    return m
+
+
 def mixture_states(df: DataFrame, baseline: Column, k: int = 16, pca: int = 32) -> DataFrame:
-    """``state`` of every row from a Gaussian mixture fitted on the baseline rows."""
-    stages = [StandardScaler(inputCol="features", outputCol="__scaled", withMean=True), PCA(k=pca, inputCol="__scaled", outputCol="__pcs"),
-              GaussianMixture(k=k, featuresCol="__pcs", predictionCol="state", probabilityCol="__prob", seed=42, maxIter=30)]
-    m = Pipeline(stages=stages).fit(materialize(df.filter(baseline), "baseline"))
-    return m.transform(df).drop("__scaled", "__pcs", "__prob")
+    """``state`` of every row from a diagonal Gaussian mixture of ``pca`` components, fitted on the baseline rows from a k-means start."""
+    stages = [StandardScaler(inputCol="features", outputCol="__scaled", withMean=True), PCA(k=pca, inputCol="__scaled", outputCol="__pcs")]
+    pipe = Pipeline(stages=stages).fit(materialize(df.filter(baseline), "baseline"))
+    rows = materialize(pipe.transform(df).drop("__scaled").withColumn("__x", vector_to_array("__pcs")).withColumn("__base", baseline), "components")
+    base = materialize(rows.filter("__base").select("__pcs", "__x"), "baseline")
+    centres = np.array(KMeans(k=k, featuresCol="__pcs", seed=42, maxIter=100).fit(base).clusterCenters())
+    m = diagonal_mixture(base, "__x", centres)
+
+    def state(col: pd.Series) -> pd.Series:
+        return pd.Series(m.joint(np.stack(col.to_numpy()).astype(float)).argmax(1).astype("int32"))
+
+    return rows.withColumn("state", F.pandas_udf(state, "int")("__x")).drop("__pcs", "__x", "__base")
 
 
 def cluster_tokens(df: DataFrame, k: int, pca: int, noise_q: float = 0.95) -> DataFrame:
@@ -227,19 +311,40 @@ def _matrix_power(c: np.ndarray, power: float, least: float) -> np.ndarray:
     return (v * np.clip(w, least, None) ** power) @ v.T
 
 
+def _coral_move(source: tuple[np.ndarray, np.ndarray], target: tuple[np.ndarray, np.ndarray], eps: float) -> np.ndarray:
+    eye = eps * np.eye(len(source[0]))
+    return _matrix_power(source[1] + eye, -0.5, eps) @ _matrix_power(target[1] + eye, 0.5, eps)
+
+
 def coral(source: DataFrame, target: DataFrame, array: str, out: str = "aligned", eps: float = 1e-3) -> DataFrame:
     """Source vectors whitened by their own covariance, coloured by the target's and moved to its mean."""
-    ms, cs = covariance(source, array)
-    mt, ct = covariance(target, array)
-    eye = eps * np.eye(len(ms))
-    move = _matrix_power(cs + eye, -0.5, eps) @ _matrix_power(ct + eye, 0.5, eps)
+    s, t = covariance(source, array), covariance(target, array)
+    move = _coral_move(s, t, eps)
 
     def run(col: pd.Series) -> pd.Series:
-        return pd.Series(list((np.stack(col.to_numpy()).astype(float) - ms) @ move + mt))
+        return pd.Series(list((np.stack(col.to_numpy()).astype(float) - s[0]) @ move + t[0]))
 
     return source.withColumn(out, F.pandas_udf(run, "array<double>")(array))
 
 
+def coral_pairs(df: DataFrame, site: str, sites: Sequence[int], array: str, target: str = "target", out: str = "aligned", eps: float = 1e-3) -> DataFrame:
+    """Each row once for every other site, aligned to it: the moments of a site are taken once, and one matrix for each pair of sites goes to the tasks."""
+    moments = {s: covariance(df.filter(F.col(site) == s), array) for s in sites}
+    moves = {(a, b): _coral_move(moments[a], moments[b], eps) for a in sites for b in sites if a != b}
+    others = F.filter(F.array(*[F.lit(s) for s in sites]), lambda s: s != F.col(site))
+    rows = df.filter(F.col(site).isin(list(sites))).withColumn(target, F.explode(others))
+
+    def run(pdf: pd.DataFrame) -> pd.Series:
+        y = [None] * len(pdf)
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        for key, at in pdf.groupby(["a", "b"]).indices.items():
+            for i, v in zip(at, (x[at] - moments[key[0]][0]) @ moves[key] + moments[key[1]][0], strict=True):
+                y[i] = v
+        return pd.Series(y)
+
+    return rows.withColumn(out, F.pandas_udf(run, "array<double>")(F.struct(F.col(site).alias("a"), F.col(target).alias("b"), F.col(array).alias("x"))))
+
+
 def autoregressive_error(df: DataFrame, context: str, target: str, train: Column, alpha: float = 1.0, out: str = "ar_error") -> DataFrame:
     """Mean squared error of a ridge prediction of each vector from its context, fitted on ``train`` rows.
 
@@ -410,20 +515,22 @@ def isolation_forest(df: DataFrame, array: str, baseline: Column, ids: Sequence[
 
 # ---- permutation importance ------------------------------------------------
 
-def permutation_importance(df: DataFrame, group: str, ids: Sequence[str], array: str, width: int, label: str, model: PipelineModel,
-                           repeats: int = 5) -> DataFrame:
-    """(group, feature, drop): mean loss of AUC when one feature is shuffled within its group.
+def permutation_importance(df: DataFrame, group: str, ids: Sequence[str], array: str, label: str, model: DataFrame, repeats: int = 5) -> DataFrame:
+    """(group, feature, drop): mean loss of AUC when one feature is shuffled within its group, for a linear model (intercept, coefficients).
 
-    The shuffled value of row i is that of the row at hash rank i, joined by rank, so a group is never collected.
+    Shuffling feature j changes a row's score by w_j (x'_j - x_j), where x' is the row at hash rank i, joined by rank: a row of two vectors gives the scores
+    of all features, and no vector is copied. A group is never collected. Several models' groups are not mixed: ``model`` is one row.
     """
-    base = df.select(group, *ids, array, label)
+    base = df.select(group, *ids, label, F.transform(array, lambda x: x.cast("double")).alias("__x")).crossJoin(F.broadcast(model.select("intercept", "coefficients")))
+    dot = F.aggregate(F.zip_with("__x", "coefficients", lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
+    base = materialize(base.withColumn("__s", dot).drop("intercept"), "scored")
     plain = row_index(base, [group], list(ids), "__i")
-    rows = plain.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    other = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    other = hash_rank(other, [group, "repeat"], ["repeat", *ids], "perm", "__i").select(group, "repeat", "__i", F.col(array).alias("__other"))
-    both = rows.join(other, [group, "repeat", "__i"]).withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    mixed = F.transform(F.col(array), lambda x, j: F.when(j == F.col("feature"), F.col("__other")[j]).otherwise(x))
-    shuffled = score(model, with_vector(both.withColumn("__mixed", mixed), "__mixed")).select(group, "repeat", "feature", "score", label)
-    true = roc_auc(score(model, with_vector(base, array)), [group], "score", label).select(group, F.col("auc").alias("__auc"))
-    auc = roc_auc(shuffled, [group, "repeat", "feature"], "score", label)
-    return auc.join(true, group).groupBy(group, "feature").agg(F.avg(F.col("__auc") - F.col("auc")).alias("drop"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    other = hash_rank(base.select(group, *ids, F.col("__x").alias("__other")).withColumn("repeat", every), [group, "repeat"], ["repeat", *ids], "perm", "__i")
+    both = plain.withColumn("repeat", every).join(other.select(group, "repeat", "__i", "__other"), [group, "repeat", "__i"])
+    change = F.zip_with(F.zip_with("__other", "__x", lambda a, b: a - b), "coefficients", lambda d, w: d * w)
+    # Scores that differ by rounding only count as equal.
+    shuffled = both.select(group, "repeat", label, F.col("__s"), F.posexplode(change).alias("feature", "__d")).withColumn("__s", F.round(F.col("__s") + F.col("__d"), 9))
+    true = roc_auc(base.withColumn("__s", F.round("__s", 9)), [group], "__s", label).select(group, F.col("auc").alias("__auc"))
+    auc = roc_auc(shuffled, [group, "repeat", "feature"], "__s", label)
+    return auc.join(sized(true), group).groupBy(group, "feature").agg(F.avg(F.col("__auc") - F.col("auc")).alias("drop"))

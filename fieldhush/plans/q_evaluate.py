@@ -193,10 +193,10 @@ def k15(spark, sf):
 
 
 @query("k16_bootstrap_resample", f"""WITH {ctes('weather')}, r AS (SELECT hour_t, temp, row_number() OVER (ORDER BY hour_t) AS rn, count(*) OVER () AS n FROM weather),
-p AS (SELECT draw, ('0x' || substr(md5('9|' || draw || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM (SELECT rn, n, unnest(range(20)) AS draw FROM r)),
+p AS (SELECT draw, ('0x' || substr(md5('9|' || draw || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM (SELECT rn, n, unnest(range(2000)) AS draw FROM r)),
 m AS (SELECT draw, avg(temp) AS m FROM p JOIN r ON r.rn = p.pick GROUP BY 1) SELECT CAST(draw AS INTEGER) AS draw, round(m, 6) AS mean FROM m""")
 def k16(spark, sf):
     from fieldhush.plans.views import weather
 
-    w = K.bootstrap_weights(weather(spark, sf).select("hour_t", "temp"), [], ["hour_t"], 20, "9")
+    w = K.bootstrap_weights(weather(spark, sf).select("hour_t", "temp"), [], ["hour_t"], 2000, "9")
     return w.groupBy("draw").agg(rnd(F.sum(F.col("temp") * F.col("weight")) / F.sum("weight")).alias("mean"))

@@ -63,7 +63,7 @@ def m3(spark, sf):
 def m4(spark, sf):
     names = [f"e{i}" for i in range(WIDTH)]
     r = rows(spark, sf)
-    imp = materialize(M.importances(r, "rec", names, 20), "importances")
+    imp = materialize(M.importances(r, "rec", names, 100), "importances")
     left = M.drop_features(r, "embedding", imp, names, 10, "kept")
     width = left.agg(F.max(F.size("kept")).alias("w"))
     return imp.crossJoin(F.broadcast(width)).select("feature", rnd("importance").alias("importance"), "w")
@@ -71,8 +71,8 @@ def m4(spark, sf):
 
 @query("m5_perceptron")
 def m5(spark, sf):
-    fit = lambda t: M.fit_pipeline(t, "clip_label", M.perceptron(WIDTH, (32, 16), 20), balanced=False)
-    return summary(M.cross_validate(rows(spark, sf), "fold", range(2), fit), [])
+    fit = lambda t: M.fit_pipeline(t, "clip_label", M.perceptron(WIDTH), balanced=False)
+    return summary(M.cross_validate(rows(spark, sf), "fold", range(3), fit), [])
 
 
 @query("m6_mixture_states")
@@ -90,7 +90,7 @@ def m7(spark, sf):
 @query("m8_autoregressive_surprise")
 def m8(spark, sf):
     """Five previous vectors predict the next; the error is ranked against the last 40 errors."""
-    s = segments(spark, sf).withColumn("v", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")))
+    s = segments(spark, sf).withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
     ctx = S.lag_context(s.select("vec_id", "rec", "clip_label", "v"), ["rec"], ["vec_id"], "v", 5)
     ctx = materialize(ctx, "context")
     e = M.autoregressive_error(ctx, "context", "v", F.col("clip_label") == 0)
@@ -121,22 +121,27 @@ def m10(spark, sf):
 
 @query("m11_local_head")
 def m11(spark, sf):
-    """Heads fitted on the support rows of one site only: logistic and a small boosting."""
-    r = rows(spark, sf).filter("rec = 0")
+    """Heads fitted on the support rows of each site only: logistic ones of all sites at once, and boosting with 50 trees."""
+    r = rows(spark, sf)
     support, test = r.filter("vec_id % 10 < 4"), r.filter("vec_id % 10 >= 4")
-    a = M.score(M.fit_pipeline(support, "clip_label", M.logistic()), test).withColumn("head", F.lit("logistic"))
-    b = M.score(M.fit_pipeline(support, "clip_label", M.boosting(10, 2)), test).withColumn("head", F.lit("boosting"))
-    return E.roc_auc(a.unionByName(b), ["head"], "score", "clip_label").withColumn("auc", rnd("auc", 4))
+    cols = lambda d, head: d.select("rec", "clip_label", "score", F.lit(head).alias("head"))
+    out = cols(H.held_out_scores(test, H.fit_groups(support, "rec", "clip_label", "embedding", only=True), "rec", "embedding"), "logistic")
+    for site in SITES:
+        here = F.col("rec") == site
+        out = out.unionByName(cols(M.score(M.fit_pipeline(support.filter(here), "clip_label", M.boosting(50, 2)), test.filter(here)), "boosting"))
+    return E.roc_auc(out, ["rec", "head"], "score", "clip_label").withColumn("auc", rnd("auc", 4))
 
 
 @query("m12_site_experts")
 def m12(spark, sf):
+    """Every site is a target once: its rows by the models of all other sites, on the scale of its own baseline, weighted by similarity."""
     r = rows(spark, sf)
-    s = M.expert_scores(r, "rec", SITES, 0, lr)
-    c = M.rank_calibrate(s, ["expert"], ["vec_id"], "score", F.col("clip_label") == 0)
-    w = M.similarity_weights(r, "rec", "embedding", F.col("clip_label") == 0).filter("target = 0").select("expert", "weight")
-    out = M.combine_experts(c.join(w, "expert"), ["vec_id", "clip_label"], "percentile", "weight")
-    return out.select("vec_id", *[rnd(k, 4).alias(k) for k in ("mean", "weighted", "median", "consensus")])
+    experts = H.fit_groups(r, "rec", "clip_label", "embedding", pca=20, only=True)
+    s = H.all_scores(r.select("vec_id", "rec", "clip_label", "embedding"), experts, "rec", "embedding", "expert").filter("expert <> rec").drop("embedding")
+    c = M.rank_calibrate(materialize(s, "expert-scores"), ["rec", "expert"], ["vec_id"], "score", F.col("clip_label") == 0)
+    w = M.similarity_weights(r, "rec", "embedding", F.col("clip_label") == 0).select(F.col("target").alias("rec"), "expert", "weight")
+    out = M.combine_experts(c.join(sized(w), ["rec", "expert"]), ["rec", "vec_id", "clip_label"], "percentile", "weight")
+    return out.select("rec", "vec_id", *[rnd(k, 4).alias(k) for k in ("mean", "weighted", "median", "consensus")])
 
 
 @query("m13_rank_calibration", f"""WITH {ctes('scores')}, b AS (SELECT rec, list(score) AS ref FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY t, clip_id) AS rn FROM scores WHERE lab = 0) WHERE rn <= 40 GROUP BY 1)
@@ -356,20 +361,26 @@ def m24(spark, sf):
 
 @query("m25_permutation_importance")
 def m25(spark, sf):
-    """AUC drop per feature and site, with the rank correlation of the drops between every two sites."""
-    r = rows(spark, sf).withColumn("few", F.slice("embedding", 1, 10))
-    m = M.fit_pipeline(M.with_vector(r, "few"), "clip_label", M.logistic())
-    d = materialize(M.permutation_importance(r, "rec", ["vec_id"], "few", 10, "clip_label", m, 3), "importance")
-    a, b = d.select(F.col("rec").alias("rec_a"), "feature", F.col("drop").alias("x")), d.select(F.col("rec").alias("rec_b"), "feature", F.col("drop").alias("y"))
-    p = a.join(b, "feature").filter("rec_a < rec_b")
-    return T.spearman(p, ["rec_a", "rec_b"], "x", "y").select("rec_a", "rec_b", "n", rnd("rho", 4).alias("rho"))
+    """AUC drop of all features in every session with 5 rows of each class, 5 repeats: rank correlation and top-10 overlap of every two sessions."""
+    r = rows(spark, sf)
+    model = H.fit_groups(r.withColumn("all", F.lit(1)), "all", "clip_label", "embedding", only=True)
+    usable = H.usable_groups(r, "session", "clip_label", 5).select("session")
+    d = materialize(M.permutation_importance(r.join(sized(usable), "session"), "session", ["vec_id"], "embedding", "clip_label", model), "importance")
+    order = F.struct((-F.col("drop")).alias("k"), "feature")
+    top = d.groupBy("session").agg(F.transform(F.slice(F.array_sort(F.collect_list(order)), 1, 10), lambda x: x["feature"]).alias("top"))
+    a, b = (d.select(F.col("session").alias(f"session_{k}"), "feature", F.col("drop").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    rho = T.spearman(a.join(b, "feature").filter("session_a < session_b"), ["session_a", "session_b"], "x", "y")
+    ta, tb = (top.select(F.col("session").alias(f"session_{k}"), F.col("top").alias(f"top_{k}")) for k in "ab")
+    shared = F.size(F.array_intersect("top_a", "top_b")) / F.size(F.array_union("top_a", "top_b"))
+    out = rho.join(sized(ta), "session_a").join(sized(tb), "session_b")
+    return out.select("session_a", "session_b", "n", rnd("rho", 4).alias("rho"), rnd(shared, 4).alias("jaccard_top10"))
 
 
 @query("m26_coral_alignment")
 def m26(spark, sf):
-    s = segments(spark, sf)
-    a = M.coral(s.filter("rec = 0"), s.filter("rec = 1"), "embedding")
-    return a.select("vec_id", F.posexplode("aligned").alias("dim", "v")).groupBy("dim").agg(F.count("*").alias("n"), rnd(F.avg("v"), 4).alias("mean"), rnd(F.stddev_samp("v"), 4).alias("std"))
+    """Every site aligned to every other one."""
+    a = M.coral_pairs(segments(spark, sf).select("vec_id", "rec", "embedding"), "rec", SITES, "embedding")
+    return a.select("rec", "target", "vec_id", F.posexplode("aligned").alias("dim", "v")).groupBy("rec", "target", "dim").agg(F.count("*").alias("n"), rnd(F.avg("v"), 4).alias("mean"), rnd(F.stddev_samp("v"), 4).alias("std"))
 
 
 @query("m27_coefficient_report")

@@ -331,12 +331,12 @@ def t18(spark, sf):
 
 
 @query("t19_intercept_at_zero_wind", f"""WITH {WIND}, r AS (SELECT d, dwind, row_number() OVER (ORDER BY rec, vid_t) AS rn, count(*) OVER () AS n FROM vv),
-p AS (SELECT draw, ('0x' || substr(md5('1|' || draw || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM (SELECT rn, n, unnest(range(100)) AS draw FROM r)),
+p AS (SELECT draw, ('0x' || substr(md5('1|' || draw || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM (SELECT rn, n, unnest(range(2000)) AS draw FROM r)),
 b AS (SELECT draw, regr_intercept(d, dwind) AS b0 FROM p JOIN r ON r.rn = p.pick GROUP BY 1)
 SELECT count(*) AS n, round(regr_intercept(d, dwind), 5) AS intercept, round(regr_slope(d, dwind), 5) AS slope, (SELECT round(quantile_cont(b0, 0.025), 5) FROM b) AS lo, (SELECT round(quantile_cont(b0, 0.975), 5) FROM b) AS hi FROM vv""")
 def t19(spark, sf):
     d = materialize(wind_diffs(spark, sf), "wind-diffs")
-    out = S.intercept_at_zero(d, [], ["rec", "vid_t"], "d_wind", "d_y", 100, "1")
+    out = S.intercept_at_zero(d, [], ["rec", "vid_t"], "d_wind", "d_y", 2000, "1")
     return out.select("n", *[rnd(k, 5).alias(k) for k in ("intercept", "slope", "lo", "hi")])
 
 
