@@ -8,18 +8,23 @@ single spaces and line ends are encoded whole; both ways give the same ids.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 0
 KEPT_UNITS = 1 << 20
-ROWS = 256
+SLICE_BYTES = 1 << 23
 #: White space other than space and line end; a text that has any is encoded whole.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　﻿"
+_ODD = re.compile(f"[\0{OTHER_SPACE}]")
+WIDTH = 4
 TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -63,14 +68,9 @@ class UnitEncoder:
         return [_ids(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def units(text: str) -> list[str] | None:
-        """Units without the space before them. The first has a mark, as no space is before it; None: encode whole."""
-        if (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-                or "\0" in text or any(c in text for c in OTHER_SPACE)):
-            return None
-        u = text.replace("\n", " \n").split(" ")
-        u[0] = "\0" + u[0]
-        return u
+    def in_units(text: str) -> bool:
+        """Whether the text can be encoded by its units; otherwise it is encoded whole."""
+        return not (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text))
 
     def _learn_letters(self, new: list[str], between: str, tokenizer=None) -> None:
         """Units of letters only: many in one text, told apart by the tokenizer's own word numbers.
@@ -117,19 +117,46 @@ class UnitEncoder:
             known[u] = known[x] + known[y] + known[z]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        got = [list(map(self.known.get, u)) if u else [] for u in split]
-        gaps = [(u, g, [i for i, x in enumerate(g) if x is None]) for u, g in zip(split, got, strict=True) if None in g]
-        if gaps:
-            self._learn({u[i] for u, _, miss in gaps for i in miss})
-            for u, g, miss in gaps:
-                for i in miss:
-                    g[i] = self.known[u[i]]
-        odd = iter(self._whole([t for t, u in zip(texts, split, strict=True) if u is None]))
-        out = [next(odd) if u is None else b"".join(g) for u, g in zip(split, got, strict=True)]
+        plain = [self.in_units(t) for t in texts]
+        odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        cut = iter(self._by_units([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(cut) if p else next(odd) for p in plain]
+
+    def _by_units(self, texts: list[str]) -> list[bytes]:
+        """Units without the space before them; the first has a mark, as no space is before it.
+
+        Arrow splits the texts and numbers their distinct units, so Python sees each unit once; the ids of all units in order are
+        one buffer, in which a text's ids lie side by side.
+        """
+        if not texts:
+            return []
+        marked = ["\0" + t.replace("\n", " \n") for t in texts]
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, units))
+        if None in ids:
+            self._learn({u for u, x in zip(units, ids, strict=True) if x is None})
+            ids = [self.known[u] if x is None else x for u, x in zip(units, ids, strict=True)]
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        index = np.asarray(coded.indices)
+        size = np.diff(at)[index]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        # Every unit's bytes go to their place: whole ids are copied, as all lengths are multiples of four.
+        source = np.frombuffer(b"".join(ids), np.uint32)
+        first = at[:-1][index] // WIDTH
+        step = np.ones(ends[-1] // WIDTH, np.int64)
+        some = size > 0
+        starts = ends[:-1][some] // WIDTH
+        begin, length = first[some], size[some] // WIDTH
+        if len(starts):
+            step[starts[0]] = begin[0]
+            step[starts[1:]] = begin[1:] - (begin[:-1] + length[:-1] - 1)
+        out = source[np.cumsum(step)].tobytes() if len(starts) else b""
+        bounds = ends[np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()]
         if len(self.known) > self.kept_units:
             self.known.clear()
-        return out
+        return [out[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -146,9 +173,14 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID)
     """Slices of the batches with the ids of column ``text``, each with the end id."""
     enc, end = encoder(path), end_id.to_bytes(4, "little")
     for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            part = batch.slice(i, ROWS)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            # As many texts as fit into SLICE_BYTES, one at least: the more there are, the more often a unit is met again.
+            n = max(1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, "right")) - i)
+            part = batch.slice(i, n)
             yield part, [x + end for x in enc.encode([t or "" for t in part["text"].to_pylist()])]
+            i += n
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048) -> DataFrame:
