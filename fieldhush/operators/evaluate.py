@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldhush.operators.ranks import value_ranks
+from fieldhush.sources.scratch import sized
 
 
 def _zero(c: Column) -> Column:
@@ -34,7 +35,7 @@ def pr_curve(df: DataFrame, by: Sequence[str], score: str, label: str, block_row
     y = F.col(label).cast("long")
     c = value_ranks(df, by, score, {"pos": y, "neg": 1 - y}, descending=True, block_rows=block_rows)
     total = df.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.sum(y).alias("__p"))
-    c = c.join(total, list(by)) if by else c.crossJoin(F.broadcast(total))
+    c = c.join(sized(total), list(by)) if by else c.crossJoin(F.broadcast(total))
     return c.select(*by, F.col(score).alias("threshold"), F.try_divide("pos_cum", F.col("pos_cum") + F.col("neg_cum")).alias("precision"),
                     _zero(F.try_divide("pos_cum", "__p")).alias("recall"))
 

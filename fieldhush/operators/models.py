@@ -268,7 +268,7 @@ def cluster_tokens(df: DataFrame, k: int, pca: int, noise_q: float = 0.95) -> Da
     rows = m.transform(df).withColumn("distance", l2_distance(vector_to_array("__pcs"), centres[F.col("cluster")]))
     rows = materialize(rows.drop("__scaled", "__pcs"), "tokens")
     cut = percentiles(rows, ["cluster"], "distance", [noise_q]).select("cluster", F.col("distance").alias("__cut"))
-    return rows.join(cut, "cluster").withColumn("token", F.when(F.col("distance") > F.col("__cut"), -1).otherwise(F.col("cluster"))).drop("__cut")
+    return rows.join(sized(cut), "cluster").withColumn("token", F.when(F.col("distance") > F.col("__cut"), -1).otherwise(F.col("cluster"))).drop("__cut")
 
 
 # ---- moments of vectors ----------------------------------------------------
@@ -386,9 +386,9 @@ def prototype_scores(support: DataFrame, test: DataFrame, by: Sequence[str], lab
     by = list(by)
     proto = group_vectors(support, [*by, label], vector, {"m": "mean"})
     both = proto.groupBy(*by).agg(F.max(F.when(F.col(label) == 1, F.col("m"))).alias("__pos"), F.max(F.when(F.col(label) == 0, F.col("m"))).alias("__neg"))
-    raw = test.join(both, by).withColumn("__s", cosine(vector, "__pos") - F.coalesce(cosine(vector, "__neg"), F.lit(0.0))).drop("__pos", "__neg")
+    raw = test.join(sized(both), by).withColumn("__s", cosine(vector, "__pos") - F.coalesce(cosine(vector, "__neg"), F.lit(0.0))).drop("__pos", "__neg")
     edge = raw.groupBy(*by).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"))
-    out = raw.join(edge, by).withColumn("score", (F.col("__s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-10))
+    out = raw.join(sized(edge), by).withColumn("score", (F.col("__s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-10))
     return out.drop("__s", "__lo", "__hi")
 
 
@@ -408,7 +408,7 @@ def rank_calibrate(df: DataFrame, by: Sequence[str], order: Sequence[str], raw:
     base = row_index(df.filter(baseline).select(*by, *order, raw), by, order, "__rn").filter(F.col("__rn") <= n)
     ref = base.groupBy(*by).agg(F.collect_list(raw).alias("__ref"))  # at most n values a group
     below = F.size(F.filter("__ref", lambda x: x < F.col(raw)))
-    return df.join(ref, list(by)).withColumn(out, below / F.size("__ref")).drop("__ref")
+    return df.join(sized(ref), list(by)).withColumn(out, below / F.size("__ref")).drop("__ref")
 
 
 def similarity_weights(df: DataFrame, site: str, vector: str, baseline: Column) -> DataFrame:

@@ -40,8 +40,9 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float
     """Exact percentiles with linear interpolation: (by, q, value, n)."""
     by = list(by)
     ranks = value_ranks(df, by, value, block_rows=block_rows)
-    sizes = ranks.groupBy(*by).agg(F.sum("n").alias("__total"))
-    rows = ranks.join(sizes, by) if by else ranks.crossJoin(F.broadcast(sizes))
+    # Sizes come from the rows, so the ranking is made once; they are written, so that one large group is no hot key of a join.
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__total"))
+    rows = ranks.join(sized(sizes), by) if by else ranks.crossJoin(F.broadcast(sizes))
     rows = rows.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     rows = rows.withColumn("__h", (F.col("__total") - 1) * F.col("q"))
     holds = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("n"))

@@ -88,7 +88,7 @@ def proportional(df: DataFrame, by: Sequence[str], label: str, ids: Sequence[str
     total = df.agg(F.least(F.lit(1.0), F.try_divide(F.lit(float(target_pos)), F.sum(label))).alias("__frac"))
     sizes = df.groupBy(*by, label).agg(F.count("*").alias("__n")).crossJoin(F.broadcast(total))
     caps = sizes.withColumn("__cap", F.bround(F.col("__n") * F.col("__frac"))).select(*by, label, "__cap")
-    ranked = hash_rank(df, [*by, label], ids, seed, "__rn").join(caps, [*by, label])
+    ranked = hash_rank(df, [*by, label], ids, seed, "__rn").join(sized(caps), [*by, label])
     return ranked.filter(F.col("__rn") <= F.col("__cap")).drop("__rn", "__cap")
 
 
@@ -103,7 +103,7 @@ def middle_run(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int =
     size = rows.groupBy(*by).agg(F.max("__rn").alias("__n"))
     start = F.greatest(F.floor(F.col("__n") / 2) - n // 2, F.lit(0))
     stop = F.floor(F.col("__n") / 2) + (n - n // 2)
-    out = rows.join(size, list(by)).filter((F.col("__rn") > start) & (F.col("__rn") <= stop))
+    out = rows.join(sized(size), list(by)).filter((F.col("__rn") > start) & (F.col("__rn") <= stop))
     return out.drop("__rn", "__n")
 
 

@@ -32,7 +32,7 @@ def row_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], o
     if not by:
         return rows.withColumn(out, F.col("__pos") + 1).drop("__pos")
     first = sized(rows.groupBy(*by).agg(F.min("__pos").alias("__first")))
-    return rows.join(first, list(by)).withColumn(out, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first")
+    return rows.join(sized(first), list(by)).withColumn(out, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first")
 
 
 # ---- group statistics ------------------------------------------------------
@@ -108,7 +108,7 @@ def calibration_z(df: DataFrame, by: Sequence[str], order: Sequence[str], values
     """z against the first ``n`` rows of the recorder."""
     rows = row_index(df, by, order, "__rn")
     stats = group_stats(rows.filter(F.col("__rn") <= n), by, values, sample=False)
-    out = rows.join(stats, list(by), "left")
+    out = rows.join(sized(stats), list(by), "left")
     for v in values:
         out = out.withColumn(f"z_{v}", _z(F.col(v), F.col(f"__m_{v}"), F.col(f"__s_{v}")))
     return out.drop("__rn", *[f"__{k}_{v}" for v in values for k in "ms"])
@@ -119,14 +119,14 @@ def new_site_z(df: DataFrame, by: Sequence[str], order: Sequence[str], values: S
     """z of every row against the last ``last`` of the first N baseline rows, for each N; N = 0 gives 0, -1 takes all."""
     base = row_index(df.filter(baseline).select(*by, *order, *values), by, order, "__rn")
     total = base.groupBy(*by).agg(F.max("__rn").alias("__total"))
-    base = base.join(total, list(by))
+    base = base.join(sized(total), list(by))
     grid = F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n_calib")
     base = base.select("*", grid)
     upto = F.when(F.col("n_calib") < 0, F.col("__total")).otherwise(F.least("n_calib", "__total"))
     used = base.filter((F.col("__rn") <= upto) & (F.col("__rn") > upto - last))
     stats = group_stats(used, [*by, "n_calib"], values, sample=False)
     rows = df.select("*", grid)
-    out = rows.join(stats, [*by, "n_calib"], "left")
+    out = rows.join(sized(stats), [*by, "n_calib"], "left")
     for v in values:
         z = _z(F.col(v), F.col(f"__m_{v}"), F.col(f"__s_{v}"))
         out = out.withColumn(f"z_{v}", F.when(F.col("n_calib") == 0, 0.0).otherwise(F.coalesce(z, F.lit(0.0))))
@@ -193,7 +193,7 @@ def top_share_threshold(df: DataFrame, by: Sequence[str], value: str, share: flo
     ranks = value_ranks(df, by, value, descending=True)
     total = ranks.groupBy(*by).agg(F.sum("n").alias("__total"))
     at = F.least(F.floor(F.col("__total") * share), F.col("__total") - 1)
-    rows = ranks.join(total, list(by))
+    rows = ranks.join(sized(total), list(by))
     return rows.filter((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).select(*by, F.col(value).alias("threshold"))
 
 
@@ -253,7 +253,7 @@ def change_since(df: DataFrame, by: Sequence[str], step: str, values: Sequence[s
     base = df.filter(F.col(step).isin(*base_steps)).groupBy(*by).agg(
         F.count_distinct(step).alias("__k"), *[F.avg(v).alias(f"__b_{v}") for v in values])
     base = base.filter(F.col("__k") == len(base_steps)).drop("__k")
-    out = df.join(base, list(by))
+    out = df.join(sized(base), list(by))
     for v in values:
         out = out.withColumn(f"d_{v}", F.col(v) - F.col(f"__b_{v}"))
     return out.drop(*[f"__b_{v}" for v in values])
@@ -281,7 +281,7 @@ def benjamini_hochberg(df: DataFrame, by: Sequence[str], p: str, order: Sequence
 def _adjust(df, by, p, order, out, step, kind, reverse) -> DataFrame:
     rows = number_rows(df, by, [p, *order])
     ends = rows.groupBy(*by).agg(F.min("__pos").alias("__first"), F.count("*").alias("__m"))
-    rows = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))
+    rows = rows.join(sized(ends), list(by)) if by else rows.crossJoin(F.broadcast(ends))
     rows = rows.withColumn("__step", step(F.col("__pos") - F.col("__first") + 1, F.col("__m")))
     return running(reblock(rows, by), {out: (kind, "__step")}, reverse=reverse).drop("__pos", "__first", "__m", "__step")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldhush.operators.blocks import ordered
 from fieldhush.operators.series import rolling_z_on, state_entropy_on, velocity_on
+from fieldhush.sources.scratch import sized
 
 SMOOTH = 1e-3
 LEAST_P = 1e-8
@@ -46,5 +47,5 @@ def dynamic_features(df: DataFrame, by: Sequence[str], order: Sequence[str], sta
     out = rolling_z_on(o, velocity_on(o, o.df, vector), ["velocity"], n, least_rows=3)
     out = state_entropy_on(o, out, state)
     out = o.home(out.withColumn("prev_state", F.lag(state).over(o.window)))
-    out = out.join(surprise, [*by, "prev_state", state], "left").join(rarity, [*by, state], "left")
+    out = out.join(sized(surprise), [*by, "prev_state", state], "left").join(sized(rarity), [*by, state], "left")
     return out.withColumn("surprise", F.coalesce("surprise", F.lit(0.0)))
