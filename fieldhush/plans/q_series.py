@@ -132,11 +132,12 @@ def w10(spark, sf):
 
 @query("w11_spectral_anomaly", f"""WITH {ctes('clips')}, r AS (SELECT clip_id, rec, t, x1, x2, count(*) OVER p AS n, avg(x1) OVER p AS m1, stddev_pop(x1) OVER p AS s1, avg(x2) OVER p AS m2, stddev_pop(x2) OVER p AS s2
   FROM clips WINDOW p AS ({W} ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
-a AS (SELECT clip_id, rec, t, CASE WHEN n >= 2 THEN sqrt(pow({z_sql('x1', 'm1', 's1')}, 2) + pow({z_sql('x2', 'm2', 's2')}, 2)) ELSE 0 END AS anomaly FROM r)
-SELECT clip_id, round(anomaly, 5) AS anomaly FROM a""")
+a AS (SELECT clip_id, rec, t, CASE WHEN n >= 2 THEN sqrt(pow({z_sql('x1', 'm1', 's1')}, 2) + pow({z_sql('x2', 'm2', 's2')}, 2)) ELSE 0 END AS anomaly FROM r),
+h AS (SELECT clip_id, round(anomaly, 9) AS anomaly, list(round(anomaly, 9)) OVER ({W} ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS h FROM a)
+SELECT clip_id, round(anomaly, 5) AS anomaly, round(CASE WHEN coalesce(len(h), 0) >= 2 THEN len([q FOR q IN h IF q < anomaly]) / len(h)::DOUBLE ELSE 0.5 END, 6) AS anomaly_pct FROM h""")
 def w11(spark, sf):
     c = clips(spark, sf).select("clip_id", "rec", "t", "x1", "x2")
-    return S.spectral_anomaly(c, BY, ORDER, ["x1", "x2"]).select("clip_id", rnd("anomaly", 5).alias("anomaly"))
+    return S.spectral_anomaly(c, BY, ORDER, ["x1", "x2"]).select("clip_id", rnd("anomaly", 5).alias("anomaly"), rnd("anomaly_pct").alias("anomaly_pct"))
 
 
 VOTES = [(3, 2), (5, 3), (5, 4), (10, 6), (10, 7), (15, 9)]

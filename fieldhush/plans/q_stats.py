@@ -29,6 +29,12 @@ def norm_p(z: str) -> str:
     return (f"(1 - sqrt(2 / pi()) * {z} / 1200.0 * list_sum([exp(-pow(i * {z} / 400.0, 2) / 2) * CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END FOR i IN range(0, 401)]))")
 
 
+def student_p(t: str, v: str) -> str:
+    """Two-sided p of Student's t with v degrees of freedom by Simpson's rule."""
+    return (f"greatest(0.0, 1 - 2 * exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi()) * {t} / 1200.0 * "
+            f"list_sum([pow(1 + pow(i * {t} / 400.0, 2) / {v}, -({v} + 1) / 2.0) * CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END FOR i IN range(0, 401)]))")
+
+
 def binom_tail(k: str, n: str) -> str:
     """P(X >= k) for n fair coins."""
     return f"list_sum([exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2)) FOR i IN range({k}, {n} + 1)])"
@@ -88,10 +94,11 @@ def t4(spark, sf):
     return S.direction_test(d, ["rec"], "d", "expect").withColumn("p_agree", rnd("p_agree"))
 
 
-@query("t5_spearman", f"""WITH {ctes('clips')}, r AS (SELECT rec, rank() OVER (PARTITION BY rec ORDER BY x1) + (count(*) OVER (PARTITION BY rec, x1) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rec ORDER BY x2) + (count(*) OVER (PARTITION BY rec, x2) - 1) / 2.0 AS b FROM clips)
-SELECT rec, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1""")
+@query("t5_spearman", f"""WITH {ctes('clips')}, r AS (SELECT rec, rank() OVER (PARTITION BY rec ORDER BY x1) + (count(*) OVER (PARTITION BY rec, x1) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rec ORDER BY x2) + (count(*) OVER (PARTITION BY rec, x2) - 1) / 2.0 AS b FROM clips),
+g AS (SELECT rec, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY 1), t AS (SELECT rec, n, rho, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM g)
+SELECT rec, n, round(rho, 6) AS rho, round({student_p('t', '(n - 2)')}, 6) AS p FROM t""")
 def t5(spark, sf):
-    return S.spearman(clips(spark, sf), ["rec"], "x1", "x2").select("rec", "n", rnd("rho").alias("rho"))
+    return S.spearman(clips(spark, sf), ["rec"], "x1", "x2").select("rec", "n", rnd("rho").alias("rho"), rnd("p").alias("p"))
 
 
 @query("t6_smallest_effect", f"""WITH {LEVELS}, g AS (SELECT step, sum(CASE WHEN kind = 'visit' THEN 1 ELSE 0 END)::BIGINT AS n, sum(CASE WHEN kind <> 'visit' THEN 1 ELSE 0 END)::BIGINT AS m, stddev_samp(CASE WHEN kind <> 'visit' THEN y END) AS sd FROM lev GROUP BY 1)
@@ -114,8 +121,11 @@ ch AS (SELECT kind, 'after' AS measure, a - b AS v FROM w WHERE a - b IS NOT NUL
 
 @query("t8_visits_vs_placebo", f"""WITH {WIDE}, r AS (SELECT measure, kind, rank() OVER (PARTITION BY measure ORDER BY v) + (count(*) OVER (PARTITION BY measure, v) - 1) / 2.0 AS r FROM ch),
 u AS (SELECT measure, sum(CASE WHEN kind = 'visit' THEN 1 ELSE 0 END)::DOUBLE AS n1, sum(CASE WHEN kind <> 'visit' THEN 1 ELSE 0 END)::DOUBLE AS n2, sum(CASE WHEN kind = 'visit' THEN r ELSE 0 END) AS rs FROM r GROUP BY 1),
-m AS (SELECT measure, median(CASE WHEN kind = 'visit' THEN v END) AS mv, median(CASE WHEN kind <> 'visit' THEN v END) AS mp FROM ch GROUP BY 1)
-SELECT u.measure, n1::BIGINT AS n1, n2::BIGINT AS n2, rs - n1 * (n1 + 1) / 2 AS u, round(mv, 6) AS median_visit, round(mp, 6) AS median_placebo FROM u JOIN m ON m.measure = u.measure""")
+m AS (SELECT measure, median(CASE WHEN kind = 'visit' THEN v END) AS mv, median(CASE WHEN kind <> 'visit' THEN v END) AS mp FROM ch GROUP BY 1),
+tie AS (SELECT measure, sum(c * c * c - c) AS ties FROM (SELECT measure, v, count(*)::DOUBLE AS c FROM ch GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT u.measure, (greatest(rs - n1 * (n1 + 1) / 2, n1 * n2 - rs + n1 * (n1 + 1) / 2) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u JOIN tie ON tie.measure = u.measure),
+pv AS (SELECT measure, least(1.0, {norm_p('z')}) AS p FROM z), ph AS (SELECT measure, p, max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn) AS h FROM (SELECT *, row_number() OVER (ORDER BY p, measure) AS rn, count(*) OVER () AS m FROM pv))
+SELECT u.measure, n1::BIGINT AS n1, n2::BIGINT AS n2, rs - n1 * (n1 + 1) / 2 AS u, round(mv, 6) AS median_visit, round(mp, 6) AS median_placebo, round(ph.p, 6) AS p, round(ph.h, 6) AS p_holm FROM u JOIN m ON m.measure = u.measure JOIN ph ON ph.measure = u.measure""")
 def t8(spark, sf):
     lev = levels(spark, sf)
     at = lambda c: F.avg(F.when(c, F.col("y")))
@@ -123,7 +133,7 @@ def t8(spark, sf):
     both = F.array(F.struct(F.lit("after").alias("measure"), (F.col("a") - F.col("b")).alias("v")), F.struct(F.lit("during").alias("measure"), (F.col("d") - F.col("b")).alias("v")))
     ch = w.select("kind", F.explode(both).alias("x")).select("kind", "x.*")
     t = S.contrast_tests(ch, "measure", "v", "kind")
-    return t.select("measure", "n1", "n2", F.col("u").cast("double").alias("u"), rnd("median_visit").alias("median_visit"), rnd("median_placebo").alias("median_placebo"))
+    return t.select("measure", "n1", "n2", F.col("u").cast("double").alias("u"), *[rnd(k).alias(k) for k in ("median_visit", "median_placebo", "p", "p_holm")])
 
 
 BASED = f"""{DIFF}, bs AS (SELECT rec, vid_t, avg(d) AS b FROM dd WHERE step IN (-3, -2) GROUP BY 1, 2 HAVING count(*) = 2), cs AS (SELECT dd.rec, dd.vid_t, step, d, d - b AS c FROM dd JOIN bs ON bs.rec = dd.rec AND bs.vid_t = dd.vid_t)"""
@@ -143,13 +153,15 @@ def t9(spark, sf):
 
 
 @query("t10_focused_window_test", f"""WITH {LEVELS}, f AS (SELECT rec, vid_t, kind, t0, avg(CASE WHEN step IN (-1, 0) THEN y END) - avg(CASE WHEN step IN (-3, -2) THEN y END) AS c FROM lev GROUP BY 1, 2, 3, 4 HAVING count(CASE WHEN step IN (-1, 0) THEN 1 END) = 2 AND count(CASE WHEN step IN (-3, -2) THEN 1 END) >= 1),
-m AS (SELECT rec, vid_t, max(CASE WHEN kind = 'visit' THEN c END) - median(CASE WHEN kind <> 'visit' THEN c END) AS d FROM f GROUP BY 1, 2)
-SELECT count(*) AS visits, round(median(d), 6) AS median, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down FROM m WHERE d IS NOT NULL""")
+m AS (SELECT rec, vid_t, max(CASE WHEN kind = 'visit' THEN c END) - median(CASE WHEN kind <> 'visit' THEN c END) AS d FROM f GROUP BY 1, 2),
+nz AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM m WHERE d <> 0), ti AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT abs(d) AS a, count(*)::DOUBLE AS c FROM m WHERE d <> 0 GROUP BY 1)),
+sr AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM nz), z AS (SELECT abs(least(w, n * (n + 1) / 2 - w) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM sr, ti)
+SELECT count(*) AS visits, round(median(d), 6) AS median, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS down, round({norm_p('max(z.z)')}, 6) AS p FROM m, z WHERE d IS NOT NULL""")
 def t10(spark, sf):
     f = S.step_contrast(levels(spark, sf), ["rec", "vid_t", "kind", "t0"], "step", "y", [-1, 0], [-3, -2], "c")
     d = S.matched_difference(f, ["rec", "vid_t"], "kind", ["c"])
     out = S.signed_rank(d, [], "d_c")
-    return out.select((F.col("n") + F.col("zeros")).alias("visits"), rnd("median").alias("median"), "up", "down")
+    return out.select((F.col("n") + F.col("zeros")).alias("visits"), rnd("median").alias("median"), "up", "down", rnd("p").alias("p"))
 
 
 @query("t11_minute_reaction", f"""WITH {ctes('visits')}, r AS (SELECT v.rec, v.start_t, CAST(floor((c.t - v.start_t) / 3600.0) AS INTEGER) AS minute, c.x1, CASE WHEN c.x2 > 50 THEN 1.0 ELSE 0.0 END AS f FROM visits v JOIN clips c ON c.rec = v.rec AND c.t >= v.start_t - 10800 AND c.t < v.start_t + 10800),
