@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldhush.functions.parse import epoch_seconds, recorder_of, stamp_ntz
+from fieldhush.sources.scratch import sized
 
 CLIP_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in (
     "clip_name", "Recorder", "Timestamp", "species", "confidence", "Sim Type", "Sim Relative Time", "Human Activity", "Time Of Day")])
@@ -43,25 +44,44 @@ def read_clips(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return clean_clips(df, [F.col(c) for c in df.columns if c != "clip_name"])
 
 
-def read_feature_matrices(spark: SparkSession, path: str, fmt: str = "csv", name: str = r"(?i)am(\d+)_feature_matrix\.") -> DataFrame:
+#: The text columns of feature matrices; all other columns are numbers.
+FEATURE_TEXT = ("clip_name", "sim_type", "recorder", "session", "timestamp")
+
+
+def read_feature_matrices(spark: SparkSession, path: str, fmt: str = "csv", name: str = r"(?i)am(\d+)_feature_matrix\.", text: Sequence[str] = FEATURE_TEXT) -> DataFrame:
     """All feature tables whose whole file name is ``name`` and the format's ending; ``recorder`` from the clip name, else from the file name.
 
-    Tables with different columns are united by name, missing columns are null.
+    Tables with different columns are united by name, missing columns are null. One scan reads all files, whatever their number: each line is mapped by the
+    header of its own file, and only the distinct headers come to the driver. Columns other than ``text`` are doubles; a value that is no number is null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", True).load(path)
-    found = files.select(F.regexp_extract("path", f"({name}{fmt})(?:/[^/]*)?$", 1).alias("stem")).filter("stem <> ''").distinct()
-    # One stem per recorder; each may be a file or a folder of part files.
-    stems = sorted(r.stem for r in found.collect())
-    if not stems:
-        raise FileNotFoundError(f"no feature matrix under {path}")
-    out = None
-    for stem in stems:
-        part = spark.read.option("header", True).option("inferSchema", fmt == "csv").format(fmt).load(f"{path}/{stem}")
-        part = part.withColumn("__file", F.lit(stem))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    from_file = F.concat(F.lit("AM"), F.regexp_extract("__file", name, 1))
+    stem = F.regexp_extract("__path", f"({name}{fmt})(?:/[^/]*)?$", 1)
+    if fmt == "csv":
+        lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("__path"))
+        lines = lines.withColumn("__stem", stem).filter("__stem <> '' and trim(value) <> ''")
+        # A header is the line that names the column of the clip names; each part file of a table has one.
+        is_head = F.col("value").rlike(r'(^|,)"?clip_name"?(,|$)')
+        files = lines.filter(is_head).groupBy("__path").agg(F.first("value").alias("__head"))
+        heads = sorted(r["__head"] for r in files.select("__head").distinct().collect())
+        if not heads:
+            raise FileNotFoundError(f"no feature matrix under {path}")
+        names = [[c.strip().strip('"') for c in h.split(",")] for h in heads]
+        cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(max(map(len, names))))))
+        rows = lines.filter(~is_head).join(sized(files), "__path").withColumn("__c", cells)
+
+        def column(c: str) -> Column:
+            out = F.lit(None).cast("string")
+            for h, n in zip(heads, names, strict=True):
+                if c in n:
+                    out = F.when(F.col("__head") == h, F.col("__c")[f"c{n.index(c)}"]).otherwise(out)
+            return out.alias(c) if c in text else out.try_cast("double").alias(c)
+
+        found = rows.select("__stem", *[column(c) for c in dict.fromkeys(c for n in names for c in n)])
+    else:
+        reader = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).format(fmt)
+        found = reader.load(path).withColumn("__path", F.col("_metadata.file_path")).withColumn("__stem", stem).filter("__stem <> ''").drop("__path")
+    from_file = F.concat(F.lit("AM"), F.regexp_extract("__stem", name, 1))
     rec = recorder_of("clip_name")
-    return out.withColumn("recorder", F.when(rec == "AM?", from_file).otherwise(rec)).drop("__file")
+    return found.withColumn("recorder", F.when(rec == "AM?", from_file).otherwise(rec)).drop("__stem")
 
 
 def align(features: DataFrame, embeddings: DataFrame, keys: Sequence[str], label: str, other_label: str, least: float = 0.95) -> DataFrame:
