@@ -185,33 +185,45 @@ def d4(spark, sf):
 
 # ---- streams ---------------------------------------------------------------
 
-FEED_ROWS, FEED_BATCHES = 200_000, 4  # rows of a micro-batch, about, and micro-batches of a small feed
+LATENESS = 2 * 3600  # slices of the feed are read in order, so only the rows of this span and of a time bucket wait
+FEED_ROWS, FEED_BATCHES, FEED_FILES = 200_000, 8, 3  # rows of a micro-batch, about; micro-batches of a small feed; files of each
 
 
-def replay(spark, sf, scorer):
-    """Score the events as a stream and return the table written.
+def replay(spark, sf, scorer, path=None):
+    """Score the events as a stream and return the table written to ``path``.
 
-    The feed's files are read in no order of time, so rows may be as late as the whole feed is long: they wait in the state store. A second
-    run on the same checkpoint finds one heartbeat in the folder, which moves the watermark beyond the last row.
+    The feed is cut into slices of time, and each slice's files are written after those of the slice before, so a stream, which takes older files first, reads
+    a slice in each micro-batch. A second run on the same checkpoint finds one heartbeat in the folder, which moves the watermark beyond the last row. Had a store
+    mixed up the files by more than ``LATENESS``, rows would be missing, and that is an error here.
     """
     events = table(spark, sf, "events").select(F.col("event_id").alias("clip_id"), (F.col("user_id") % 6).cast("int").alias("rec"), epoch_seconds("ts").alias("t"),
                                                F.col("value").alias("x1"), F.get_json_object("props", "$.k").cast("double").alias("x2"))
     n, first, last = events.agg(F.count("*"), F.min("t"), F.max("t")).first()
-    late = (last or 0) - (first or 0) + 1
-    feed, path, progress = fresh(spark, "feed"), fresh(spark, "scored"), fresh(spark, "progress")
-    batches = max(FEED_BATCHES, -(-n // FEED_ROWS))
-    events.repartition(3 * batches, "clip_id").write.parquet(feed)
+    first, last = first or 0, last or 0
+    slices = max(FEED_BATCHES, -(-n // FEED_ROWS))
+    staged, feed, progress = fresh(spark, "slices"), fresh(spark, "feed"), fresh(spark, "progress")
+    path = path or fresh(spark, "scored")
+    events.withColumn("slice", F.floor((F.col("t") - first) * slices / (last - first + 1)).cast("int")).repartition("slice").write.partitionBy("slice").parquet(staged)
+    schema = events.schema
+
+    def add(df) -> None:
+        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(feed)
 
     def run() -> None:
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(feed)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FEED_FILES).parquet(feed)
         with rocks_state(spark):
-            online.run_to_table(scorer(stream, late), path, progress)
+            online.run_to_table(scorer(stream, LATENESS), path, progress)
 
+    for k in range(slices):
+        add(spark.read.parquet(staged).filter(F.col("slice") == k).repartition(FEED_FILES))
     run()
-    beat = {"rec": F.lit(0), "t": F.lit((last or 0) + 2 * late + 86400)}
-    spark.range(1).select(*[beat.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).coalesce(1).write.mode("append").parquet(feed)
+    beat = {"rec": F.lit(0), "t": F.lit(last + LATENESS + 86400)}
+    add(spark.range(1).select(*[beat.get(f.name, F.lit(None)).alias(f.name) for f in schema]).coalesce(1))
     run()
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    if out.count() != n:
+        raise RuntimeError(f"{n - out.count()} rows came later than {LATENESS} s")
+    return out
 
 
 W = "PARTITION BY rec ORDER BY t, clip_id"
