@@ -75,11 +75,16 @@ def usable_groups(df: DataFrame, group: str, label: str, least_pos: int = 3, lea
 
 
 def support_split(df: DataFrame, by: Sequence[str], label: str, ids: Sequence[str], sizes: Sequence[int], trials: int) -> DataFrame:
-    """Few-shot draws: rows x (n, trial) with ``role`` support for n rows of each class, else test."""
+    """Few-shot draws: rows x (n, trial) with ``role`` support for n rows of each class, else test.
+
+    A size larger than a group's positives is left out for that group.
+    """
     grid = df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     rows = grid.withColumn("__h", F.md5(F.concat_ws("|", F.col("trial").cast("string"), *[F.col(c).cast("string") for c in ids])))
     ranked = row_index(rows, [*by, "trial", label], ["__h", *ids], "__rn").drop("__h")
-    out = ranked.withColumn("n_shot", F.explode(F.array(*[F.lit(n) for n in sizes])))
+    most = sized(df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("__most")))
+    out = ranked.join(most, list(by)).withColumn("n_shot", F.explode(F.array(*[F.lit(n) for n in sizes])))
+    out = out.filter(F.col("n_shot") <= F.col("__most")).drop("__most")
     return out.withColumn("role", F.when(F.col("__rn") <= F.col("n_shot"), "support").otherwise("test")).drop("__rn")
 
 

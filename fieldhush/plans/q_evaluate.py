@@ -168,11 +168,11 @@ def k11(spark, sf):
     return K.usable_groups(clips(spark, sf).withColumn("session", F.col("rec") * 100000 + F.col("day")), "session", "lab")
 
 
-@query("k12_few_shot_split", f"""WITH {ctes('segments')}, g AS (SELECT vec_id, rec, clip_label, unnest([0, 1, 2]) AS trial FROM segments), r AS (SELECT *, row_number() OVER (PARTITION BY rec, trial, clip_label ORDER BY md5(trial || '|' || vec_id), vec_id) AS rn FROM g)
-SELECT vec_id, CAST(trial AS INTEGER) AS trial, n_shot, CASE WHEN rn <= n_shot THEN 'support' ELSE 'test' END AS role FROM (SELECT *, unnest([1, 5, 10]) AS n_shot FROM r)""")
+@query("k12_few_shot_split", f"""WITH {ctes('segments')}, g AS (SELECT vec_id, rec, clip_label, unnest([0, 1, 2, 3, 4]) AS trial FROM segments), m AS (SELECT rec, count(CASE WHEN clip_label = 1 THEN 1 END) AS most FROM segments GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY rec, trial, clip_label ORDER BY md5(trial || '|' || vec_id), vec_id) AS rn FROM g)
+SELECT vec_id, CAST(trial AS INTEGER) AS trial, n_shot, CASE WHEN rn <= n_shot THEN 'support' ELSE 'test' END AS role FROM (SELECT *, unnest([1, 2, 5, 10, 20, 50]) AS n_shot FROM r) x JOIN m ON m.rec = x.rec WHERE n_shot <= most""")
 def k12(spark, sf):
     s = segments(spark, sf).select("vec_id", "rec", "clip_label")
-    return K.support_split(s, ["rec"], "clip_label", ["vec_id"], [1, 5, 10], 3).select("vec_id", "trial", "n_shot", "role")
+    return K.support_split(s, ["rec"], "clip_label", ["vec_id"], [1, 2, 5, 10, 20, 50], 5).select("vec_id", "trial", "n_shot", "role")
 
 
 @query("k13_proportional_subsample", f"""WITH {ctes('clips')}, f AS (SELECT least(1.0, 100.0 / sum(lab)) AS frac FROM clips), r AS (SELECT clip_id, day, lab, row_number() OVER (PARTITION BY day, lab ORDER BY md5('3|' || clip_id), clip_id) AS rn, count(*) OVER (PARTITION BY day, lab) AS n FROM clips)

@@ -186,7 +186,7 @@ def d4(spark, sf):
 # ---- streams ---------------------------------------------------------------
 
 LATENESS = 2 * 3600  # slices of the feed are read in order, so only the rows of this span and of a time bucket wait
-FEED_ROWS, FEED_BATCHES, FEED_FILES = 200_000, 8, 3  # rows of a micro-batch, about; micro-batches of a small feed; files of each
+FEED_ROWS, FEED_BATCHES, FEED_FILES = 200_000, 5, 3  # rows of a micro-batch, about; micro-batches of a small feed; files of each
 
 
 def replay(spark, sf, scorer, path=None):
