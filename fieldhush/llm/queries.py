@@ -109,7 +109,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-@query("op11_spelling_variants")
+#: The 64 letters from U+00C0 to U+00FF, and as many marks of one byte that no word has: SQL's edit distance counts bytes.
+WIDE = "".join(map(chr, range(0xC0, 0x100)))
+NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "!\"#$%&()*+,-./:;<=>?@[]^_{|}"
+
+
+@query("op11_spelling_variants", f"""
+    WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda a, b: CASE WHEN a & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+    runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z{WIDE}]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    each AS (SELECT run, count(*) AS k, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+    hashed AS (SELECT run, k, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(CAST(length(x) / 2 AS BIGINT)),
+        lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1 AS BIGINT))),
+        lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), CAST(4294967295 AS BIGINT)) AS h FROM each, tab),
+    written AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+    v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n, length(word) AS l, left(word, 3) AS a, right(word, 3) AS z, translate(word, '{WIDE}', '{NARROW}') AS c
+      FROM written WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    near AS (SELECT x.word, y.word AS other, y.n FROM v x JOIN v y ON x.a = y.a AND abs(x.l - y.l) <= 1 AND levenshtein(x.c, y.c) = 1
+      UNION ALL SELECT x.word, y.word, y.n FROM v x JOIN v y ON x.z = y.z AND x.a <> y.a AND abs(x.l - y.l) <= 1 AND levenshtein(x.c, y.c) = 1),
+    best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -n, o := encode(other))) AS b FROM near GROUP BY word),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * v.n THEN decode(b.o) END AS form, CASE WHEN -b.m >= 10 * v.n THEN -b.m END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+    walk AS (SELECT word, coalesce(form, word) AS last, 0 AS d FROM f UNION ALL SELECT w.word, f.form, d + 1 FROM walk w JOIN f ON f.word = w.last WHERE f.form IS NOT NULL),
+    root AS (SELECT word, arg_max(last, d) AS root FROM walk GROUP BY word)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root ON root.word = f.word""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldhush.llm.spelling import variants
 
