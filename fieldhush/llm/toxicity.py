@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldhush.llm.common import fold, free_name
+from fieldhush.llm.wordvec import mix as scramble
 from fieldhush.sources.scratch import materialize, sized
 
 #: At most so many labelled documents of either kind are used for learning, in hash order of their keys.
@@ -200,7 +201,7 @@ def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) ->
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0 or not seen[True]:
         return None
-    telling = evidence(seen[True], seen[False])
+    telling = evidence(*_fresh_counts(texts, toxic))
     if not telling:
         return None
     ranked = sorted(telling, key=lambda w: (-telling[w], w))[:POSITIVE_WORDS]
@@ -247,6 +248,35 @@ def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) ->
     return model
 
 
+def _fresh_counts(texts: list[str], toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """For toxic and for clean documents, in how many of them each word stands between two words with which no earlier document of the kind has it.
+
+    Copies of a document repeat its words in the same places, so a hundred of them say hardly more about these words than one does.
+    """
+    number: dict[str, int] = {}
+    parts: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+    for t, y in zip(texts, toxic, strict=True):
+        ids = np.array([number.setdefault(b, len(number)) for w in t.lower().split() for b in [bare(w)]], np.uint64)
+        if len(ids):
+            edge = np.array([1 << 40], np.uint64)
+            before, after = np.concatenate([edge, ids[:-1]]), np.concatenate([ids[1:], edge])
+            parts[bool(y)].append((ids, scramble(scramble(scramble(before) ^ ids) ^ after)))
+    names = list(number)
+    out = []
+    for y in (True, False):
+        n = [len(i) for i, _ in parts[y]]
+        if not n:
+            out.append(Counter())
+            continue
+        ids, place = np.concatenate([i for i, _ in parts[y]]), np.concatenate([p for _, p in parts[y]])
+        doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        first = np.unique(place, return_index=True)[1]
+        both = np.unique(doc[first] * np.uint64(len(names)) + ids[first])
+        count = np.bincount((both % np.uint64(len(names))).astype(np.int64), minlength=len(names))
+        out.append(Counter({names[i]: int(count[i]) for i in np.flatnonzero(count)}))
+    return out[0], out[1]
+
+
 def evidence(toxic: Counter, clean: Counter) -> dict[str, float]:
     """Words that stand in toxic documents more often than chance lets any word do, with the strength of the evidence.
 
