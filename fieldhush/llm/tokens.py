@@ -79,7 +79,7 @@ class UnitEncoder:
         """
         groups = [new[i : i + 64] for i in range(0, len(new), 64)]
         lead, mark = (" ", "") if between == " " else ("", "\0")
-        for g, e in zip(groups, (tokenizer or self.tokenizer).encode_batch([lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
+        for g, e in zip(groups, (tokenizer or self.tokenizer).encode_batch_fast([lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids, of = e.ids, e.word_ids
             cuts = [0, *[i for i in range(1, len(of)) if of[i] != of[i - 1]], len(ids)]
             step = 2 if between == "\n" and len(cuts) == 2 * len(g) and len(g) > 1 else 1  # line ends may be words of their own
