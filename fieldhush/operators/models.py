@@ -19,7 +19,6 @@ from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldhush.functions.vectors import cosine, group_vectors, l2_distance
 from fieldhush.operators.evaluate import roc_auc
@@ -86,39 +85,6 @@ def cross_validate(df: DataFrame, fold: str, folds: Sequence[int], fit: Fit, pre
     return out
 
 
-def leave_one_out_scores(df: DataFrame, group: str, groups: Sequence, fit: Fit, keep: Column | None = None) -> DataFrame:
-    """Score each held-out site, session or visit by a model of all the others; ``keep`` restricts the training rows."""
-    out = None
-    for g in groups:
-        train = df.filter(F.col(group) != g)
-        train = train.filter(keep) if keep is not None else train
-        part = score(fit(train), df.filter(F.col(group) == g))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def expert_scores(df: DataFrame, site: str, sites: Sequence, target, fit: Fit) -> DataFrame:
-    """Target rows scored by one model per source site: rows x ``expert``."""
-    out = None
-    for s in sites:
-        if s == target:
-            continue
-        part = score(fit(df.filter(F.col(site) == s)), df.filter(F.col(site) == target)).withColumn("expert", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def transfer_matrix(df: DataFrame, site: str, sites: Sequence, label: str, fit: Fit, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """AUC of a model trained on one site and tested on another; the diagonal uses ``own`` (grouped CV) scores."""
-    out = None
-    for a in sites:
-        model = fit(df.filter(F.col(site) == a))
-        away = score(model, df.filter(F.col(site) != a))
-        both = away.unionByName(own(df.filter(F.col(site) == a)).select(*away.columns)).withColumn("train_site", F.lit(a))
-        out = both if out is None else out.unionByName(both)
-    return roc_auc(out, ["train_site", site], "score", label).withColumnRenamed(site, "test_site").select("train_site", "test_site", "auc")
-
-
 def probe(df: DataFrame, target: str, fold: str, folds: Sequence[int], classifier) -> DataFrame:
     """Held-out predictions of a site or session from the features: rows with ``guess``."""
     index = StringIndexer(inputCol="__t", outputCol="__y", handleInvalid="keep").fit(df.withColumn("__t", F.col(target).cast("string")))

@@ -9,7 +9,6 @@ from fieldhush.operators import events as EV
 from fieldhush.operators import intervals as J
 from fieldhush.operators.aggregates import rarefied_richness, species_share, window_diversity
 from fieldhush.operators.quality import noise_filtered_change
-from fieldhush.operators.ranks import medians
 from fieldhush.plans.registry import query, rnd
 from fieldhush.plans.views import clips, ctes, raw, segments, sims, table, weather
 from fieldhush.sources.scratch import materialize
