@@ -42,7 +42,8 @@ def identities(docs: DataFrame, carry: list[str], text: str = "text", block_char
     cut = F.when(F.col(text).isNull() | (F.col(text) == ""), F.array(F.lit(""))).otherwise(
         F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     for seed in range(64):
-        keyed = F.transform(cut, lambda b, s=seed: F.struct(*_keys(b, s, key_bits)))
+        # One parameter only: a second one, even with a default, would get the block's index.
+        keyed = F.transform(cut, lambda b: F.struct(*_keys(b, seed, key_bits)))  # noqa: B023 - called at once
         rows = materialize(source.select(*carry, F.sha2(norm.cast("binary"), 256).alias("text_sha256"), keyed.alias("keys"),
                                          F.monotonically_increasing_id().alias("row")), "texts")
         blocks = source.select(F.explode(cut).alias("block")).select("block", *_keys(F.col("block"), seed, key_bits))

@@ -45,6 +45,14 @@ def test_equal_block_keys_are_told_apart(spark):
     assert got == {i: (15 + i % 5, 4) for i in range(20)}
 
 
+def test_long_texts_with_equal_first_blocks(spark):
+    """Texts of as many blocks differ in a later one: every block counts, not the first alone."""
+    texts = ["a" * 8192, "A" * 8192, "a" * 4097, "a" * 4096 + "b", "a" * 8193, "a" * 12288, "a" * 4096]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(d).collect()}
+    assert got == {0: (1, 2, False), 1: (1, 2, True), **{i: (i, 1, True) for i in range(2, 7)}}
+
+
 def test_mix(docs, no_docs):
     m = mixing.mix(docs).collect()
     assert len(m) == len(ROWS)
