@@ -172,7 +172,7 @@ SELECT vec_id, CAST(5 * len(l) AS INTEGER) AS width, array_to_string(flatten([[C
 def w17(spark, sf):
     """The five segments before each as one vector; all values in millionths, oldest segment first."""
     out = S.lag_context(segments(spark, sf).select("vec_id", "rec", "embedding"), BY, ["vec_id"], "embedding", 5)
-    values = F.transform("context", lambda x: F.rint(x.cast("double") * 1000000).cast("long").cast("string"))
+    values = F.transform("context", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
     return out.select("vec_id", F.size("context").alias("width"), F.array_join(values, " ").alias("context"))
 
 

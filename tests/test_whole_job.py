@@ -65,3 +65,13 @@ def test_all_components_points_and_values(spark):
     assert QUERIES["m1_standardize_pca"](spark, SF).count() == 20
     assert QUERIES["j9_nearest_session_all"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert {r["count"] for r in QUERIES["w17_lag_context_values"](spark, SF).groupBy("vec_id").count().collect()} == {320}
+
+
+def test_lag_context_rounds_halves_away_from_zero(spark, tmp_path):
+    """1/128 and -3/128 are 7812.5 and -23437.5 millionths, as exact floats."""
+    from fieldhush.plans import QUERIES
+
+    rows = [(i, [1 / 128, -3 / 128], 0) for i in range(0, 150, 25)]  # all of recorder 0
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    (row,) = QUERIES["w17_lag_context"](spark, str(tmp_path)).collect()
+    assert row.context == " ".join(["7813 -23438"] * 5)
