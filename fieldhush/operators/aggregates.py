@@ -65,19 +65,24 @@ def rarefied_richness(df: DataFrame, by: Sequence[str], species: str, draw: int,
 
 
 def species_share(rows: DataFrame, windows: DataFrame, by: Sequence[str], t: str, start: str, end: str, tags: str,
-                  least: int = 0, bucket: int = 3600) -> DataFrame:
-    """(window, n, species, k, share): the share of each window's ``n`` clips that carry each species. A species that a window lacks has no row there.
+                  least: int = 0, bucket: int = 3600, dense: bool = False) -> DataFrame:
+    """(window, n, species, k, share): the share of each window's ``n`` clips that carry each species.
 
-    ``least`` keeps species with so many detections in all rows. Statistics over windows count the missing rows as zeros, see ``zero_medians``.
+    ``least`` keeps species with so many detections in all rows. With ``dense`` every window with clips has a row for every species
+    that is left; else a species that a window lacks has no row there, and statistics over windows count the missing rows as zeros, see ``zero_medians``.
     """
     ids = windows.columns
     hit = interval_join(rows, windows, by, t, start, end, bucket)
     n = hit.groupBy(*ids).agg(F.count("*").alias("n"))
     seen = hit.select(*ids, F.explode(F.array_distinct(tags)).alias("species")).groupBy(*ids, "species").agg(F.count("*").alias("k"))
-    if least:
+    if least or dense:
         frequent = rows.select(F.explode(tags).alias("species")).groupBy("species").agg(F.count("*").alias("__k")).filter(F.col("__k") >= least).select("species")
-        seen = seen.join(sized(frequent), "species", "left_semi")
-    return seen.join(n, ids).withColumn("share", F.col("k") / F.col("n"))
+        frequent = sized(frequent)
+    if dense:
+        seen = n.crossJoin(frequent).join(seen, [*ids, "species"], "left").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
+    else:
+        seen = (seen.join(frequent, "species", "left_semi") if least else seen).join(n, ids)
+    return seen.withColumn("share", F.col("k") / F.col("n"))
 
 
 def padded_median(values: Column, n: Column) -> Column:

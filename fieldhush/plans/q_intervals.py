@@ -354,12 +354,12 @@ def a14(spark, sf):
 @query("a15_species_share", f"""WITH {ctes('visits')}, f AS (SELECT species FROM clips GROUP BY 1 HAVING count(*) >= 200),
 w AS (SELECT v.rec, v.start_t, c.clip_id, c.species FROM visits v JOIN clips c ON c.rec = v.rec AND c.t >= v.start_t AND c.t < v.end_t + 3600),
 n AS (SELECT rec, start_t, count(*) AS n FROM w GROUP BY 1, 2)
-SELECT n.rec, n.start_t, f.species, n.n, round(count(*) / n.n::DOUBLE, 6) AS share FROM n JOIN w ON w.rec = n.rec AND w.start_t = n.start_t JOIN f ON f.species = w.species GROUP BY n.rec, n.start_t, f.species, n.n""")
+SELECT n.rec, n.start_t, f.species, n.n, round(count(w.clip_id) / n.n::DOUBLE, 6) AS share FROM n CROSS JOIN f LEFT JOIN w ON w.rec = n.rec AND w.start_t = n.start_t AND w.species = f.species GROUP BY n.rec, n.start_t, f.species, n.n""")
 def a15(spark, sf):
-    """The species that each window has; one that has no row has the share 0 of the window's ``n`` clips."""
+    """Every frequent species in every window, with the share 0 of the window's ``n`` clips where it was not heard."""
     v = visits(spark, sf).select("rec", "start_t", (F.col("end_t") + 3600).alias("b"))
     c = clips(spark, sf).select("rec", "t", "clip_id", F.array("species").alias("tags"))
-    return species_share(c, v, ["rec"], "t", "start_t", "b", "tags", least=200).select("rec", "start_t", "species", "n", rnd("share").alias("share"))
+    return species_share(c, v, ["rec"], "t", "start_t", "b", "tags", least=200, dense=True).select("rec", "start_t", "species", "n", rnd("share").alias("share"))
 
 
 NOISE_BEFORE, NOISE_AFTER = 86400, 259200  # clips of these tables are sparse: 20 and 60 quiet ones need a day and three days

@@ -96,6 +96,14 @@ def test_species_share(spark):
     assert {r.species for r in species_share(rows, wins, ["rec"], "t", "a", "z", "tags", least=3).collect()} == {"x"}
 
 
+def test_species_share_of_all_frequent_species(spark):
+    """Dense: a frequent species that a window lacks is a row with the share 0."""
+    rows = spark.createDataFrame([("a", 1, ["x", "y", "x"]), ("a", 2, []), ("a", 3, ["x"]), ("a", 99, ["z"]), ("b", 1, ["y"])], "rec string, t long, tags array<string>")
+    wins = spark.createDataFrame([("a", 0, 4), ("b", 0, 4), ("b", 50, 60)], "rec string, a long, z long")
+    got = [(r.rec, r.a, r.species, r.k, r.n, r.share) for r in species_share(rows, wins, ["rec"], "t", "a", "z", "tags", least=2, dense=True).collect()]
+    assert sorted(got) == [("a", 0, "x", 2, 3, 2 / 3), ("a", 0, "y", 1, 3, 1 / 3), ("b", 0, "x", 0, 1, 0.0), ("b", 0, "y", 1, 1, 1.0)]
+
+
 def test_noise_filtered_change(spark):
     rnd = random.Random(6)
     side = lambda n: [(k, rnd.gauss(10, 4), rnd.gauss(0, 1)) for k in range(3) for _ in range(n * (k + 1))]
