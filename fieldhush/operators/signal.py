@@ -12,11 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldhush.sources.audio import decode_bytes
+from fieldhush.sources.audio import decode_bytes, slices
 
 Measure = Callable[[np.ndarray, float], dict]
 FLOOR = 1e-15
@@ -147,25 +149,34 @@ def signal_job(df: DataFrame, measure: Measure, fields: Sequence[T.StructField],
                content: str | None = None) -> DataFrame:
     """``keep`` columns plus the measures of each clip; clips that cannot be read or hold fewer than two samples get nulls.
 
-    With ``content`` the clips are WAV bytes and are decoded in the same pass.
+    With ``content`` the clips are WAV bytes and are decoded in the same pass, a slice of bounded size at a time.
     """
     keep = list(keep)
     names = [f.name for f in fields]
     schema = T.StructType([*[df.schema[c] for c in keep], *fields])
 
+    def measured(clips) -> dict[str, list]:
+        rows = []
+        for clip in clips:
+            ok = clip is not None and clip[1] is not None and len(clip[1]) >= 2
+            rows.append(measure(np.asarray(clip[1], float), float(clip[0])) if ok else dict.fromkeys(names))
+        return {n: [r[n] for r in rows] for n in names}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            clips = (decode_bytes(c) for c in pdf[content]) if content else zip(pdf[sr], pdf[wave])
-            for clip in clips:
-                ok = clip is not None and clip[1] is not None and len(clip[1]) >= 2
-                rows.append(measure(np.asarray(clip[1], float), float(clip[0])) if ok else dict.fromkeys(names))
-            out = pdf[keep].copy()
-            for n in names:
-                out[n] = [r[n] for r in rows]
-            yield out
-
-    return df.select(*keep, *([content] if content else [sr, wave])).mapInPandas(run, schema)
+            yield pdf[keep].copy().assign(**measured(zip(pdf[sr], pdf[wave])))
+
+    def run_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in fields]
+        for b in slices(batches, content):
+            out = measured(decode_bytes(c.as_py()) for c in b.column(content))
+            # As pandas has it, a measure that is not a number is null.
+            made = [pa.array(out[n], t, from_pandas=True) for n, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], schema.fieldNames())
+
+    if content:
+        return df.select(*keep, content).mapInArrow(run_bytes, schema)
+    return df.select(*keep, sr, wave).mapInPandas(run, schema)
 
 
 def doubles(names: Sequence[str]) -> list[T.StructField]:
