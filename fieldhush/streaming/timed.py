@@ -51,7 +51,9 @@ class _Timed(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.memory = handle.getValueState("memory", "memory array<double>")
-        self.waiting = handle.getMapState("waiting", "bucket long", "t array<long>, tie array<long>, x array<double>")
+        # A bucket's rows wait in parts, so that rows that come do not touch those that wait; "parts" counts them.
+        self.waiting = handle.getMapState("waiting", "bucket long, part int", "t binary, tie binary, x binary")
+        self.parts = handle.getMapState("parts", "bucket long", "n int")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.memory.update(([float(v) for v in initialState["memory"].iloc[0]],))
@@ -61,27 +63,30 @@ class _Timed(StatefulProcessor):
             pdf = pdf[pdf[self.tie].notna()]
             for bucket, part in pdf.groupby(pdf[self.t] // self.width):
                 known = (int(bucket),)
-                held = self.waiting.getValue(known) if self.waiting.containsKey(known) else ([], [], [])
-                self.waiting.updateValue(known, (
-                    [*held[0], *part[self.t].astype("int64").tolist()], [*held[1], *part[self.tie].astype("int64").tolist()],
-                    [*held[2], *part[self.values].to_numpy(float).ravel().tolist()]))
-                if not held[0]:
+                n = self.parts.getValue(known)[0] if self.parts.containsKey(known) else 0
+                self.waiting.updateValue((*known, n), tuple(v.tobytes() for v in (
+                    part[self.t].to_numpy(np.int64), part[self.tie].to_numpy(np.int64), part[self.values].to_numpy(float))))
+                self.parts.updateValue(known, (n + 1,))
+                if not n:
                     self.handle.registerTimer((known[0] + 1) * self.width * 1000)
         yield pd.DataFrame(columns=self._names())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = (expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.width - 1,)
-        if not self.waiting.containsKey(known):
+        if not self.parts.containsKey(known):
             yield pd.DataFrame(columns=self._names())
             return
-        held = self.waiting.getValue(known)
-        t, tie = np.array(held[0], np.int64), np.array(held[1], np.int64)
-        x = np.array(held[2], float).reshape(len(t), len(self.values))
+        held = []
+        for k in range(self.parts.getValue(known)[0]):
+            held.append(self.waiting.getValue((*known, k)))
+            self.waiting.removeKey((*known, k))
+        self.parts.removeKey(known)
+        t, tie, x = (np.concatenate([np.frombuffer(h[j], kind) for h in held]) for j, kind in enumerate((np.int64, np.int64, float)))
+        x = x.reshape(len(t), len(self.values))
         order = np.lexsort((tie, t))
         memory = list(self.memory.get()[0]) if self.memory.exists() else []
         got, memory = self.run(memory, x[order])
         self.memory.update(([float(v) for v in memory],))
-        self.waiting.removeKey(known)
         pdf = pd.DataFrame({self.rec: key[0], self.tie: tie[order], self.t: t[order]})
         for j, f in enumerate(self.out):
             pdf[f.name] = got[:, j].astype(int) if isinstance(f.dataType, T.IntegerType) else got[:, j]

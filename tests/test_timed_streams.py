@@ -74,3 +74,31 @@ def test_needs_the_store(spark, tmp_path):
     stream = spark.readStream.schema("id long, rec int, t long, x double").parquet(str(tmp_path))
     with pytest.raises(ValueError, match="providerClass"):
         timed.timed_scorer(stream, "rec", "t", "id", "x")
+
+
+def test_rows_that_wait_are_not_written_again(rows):
+    """What comes into a bucket is written once, however much waits there; the timer takes all of it, in order."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    written = []
+
+    class State(dict):
+        containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.__delitem__
+
+        def updateValue(self, key, value):
+            written.append(len(value[0]) if len(value) == 3 else 0)
+            self[key] = value
+
+    maps = {}
+    handle = SimpleNamespace(getValueState=lambda *a: SimpleNamespace(exists=lambda: False, update=lambda v: None), registerTimer=lambda at: None,
+                             getMapState=lambda name, *a: maps.setdefault(name, State()))
+    p = timed._Timed("rec", "t", "id", ["x"], [T.StructField("z", T.DoubleType()), T.StructField("alert", T.IntegerType())], online.scorer_run(8, 1.5, 4, 2), 10_000)
+    p.init(handle)
+    parts = [rows.assign(rec=1)[rows.id % 26 == k] for k in range(26)]
+    list(p.handleInputRows((1,), iter(parts), None))
+    assert max(written) == written[0]
+    (got,) = p.handleExpiredTimer((1,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 10_000_000))
+    assert got.id.tolist() == rows.sort_values(["t", "id"]).id.tolist()
+    assert not any(maps.values())
