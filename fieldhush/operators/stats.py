@@ -79,6 +79,61 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 6) -
     return s.select(*by, "n", "rho").withColumn("p", PV.spearman_p_col(F.col("rho"), F.col("n")))
 
 
+def spearman_pairs(df: DataFrame, unit: str, item: str, value: str, least: int = 6, block_units: int = 256) -> DataFrame:
+    """``spearman`` of every two units over the items that both have a value for: (unit_a, unit_b, n, rho, p) with unit_a < unit_b.
+
+    Items are few (features) and a unit has at most one value for each, so a unit is one short vector. Units meet in blocks: a task holds two
+    blocks, ranks a unit once, and a matrix product gives all correlations of the two. Items of pairs are never rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from fieldhush.operators.blocks import number_rows
+    from fieldhush.sources.scratch import materialize, sized
+
+    d = df.filter(F.col(unit).isNotNull() & F.col(value).isNotNull()).select(F.col(unit).alias("u"), F.col(item).alias("i"), F.col(value).cast("double").alias("v"))
+    places = sized(number_rows(d.select("i").distinct(), [], ["i"]).withColumnRenamed("__pos", "at"))
+    last = places.agg(F.max("at")).first()[0]
+    held = d.join(places, "i").groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(last or 0)).cast("array<long>"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float("nan"))))
+    rows = number_rows(held.select("u", dense.alias("x")), [], ["u"]).withColumn("block", F.expr(f"__pos div {block_units}"))
+    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("__pos", "u", "x"))).alias("r"))
+    blocks = materialize(blocks.select("block", F.transform("r", lambda r: r["u"]).alias("u"), F.flatten(F.transform("r", lambda r: r["x"])).alias("x")), "blocks")
+    a, b = (blocks.select(F.col("block").alias(f"b{k}"), F.col("u").alias(f"u{k}"), F.col("x").alias(f"x{k}")) for k in "ab")
+
+    def ranks(x: np.ndarray) -> np.ndarray:
+        """Average ranks less their mean; null values have no rank."""
+        r = pd.DataFrame(x).rank(axis=1).to_numpy()
+        return r - (np.isfinite(r).sum(1, keepdims=True) + 1) / 2
+
+    def run(frames):
+        for f in frames:
+            for r in f.itertuples():
+                xa, xb = (np.asarray(x, float).reshape(len(u), -1) for u, x in ((r.ua, r.xa), (r.ub, r.xb)))
+                whole_a, whole_b = (~np.isnan(x).any(1) for x in (xa, xb))
+                za, zb = (np.nan_to_num(ranks(x)) for x in (xa, xb))
+                n = np.full((len(xa), len(xb)), xa.shape[1])
+                cov, var = za @ zb.T, np.outer((za * za).sum(1), (zb * zb).sum(1))
+                # Where a value is missing, the ranks are those among the items of both.
+                for i, j in zip(*np.nonzero(~(whole_a[:, None] & whole_b[None])), strict=True):
+                    both = ~(np.isnan(xa[i]) | np.isnan(xb[j]))
+                    ra, rb = ranks(xa[i : i + 1, both])[0], ranks(xb[j : j + 1, both])[0]
+                    n[i, j], cov[i, j], var[i, j] = both.sum(), ra @ rb, (ra @ ra) * (rb @ rb)
+                i, j = np.nonzero(n > 0) if r.ba != r.bb else np.nonzero(np.triu(n > 0, 1))
+                rho = np.where((n >= least) & (var > 0), cov / np.sqrt(np.where(var > 0, var, 1)), np.nan)
+                for at in range(0, len(i), 1 << 16):
+                    p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    yield pd.DataFrame({"a": np.asarray(r.ua)[p], "b": np.asarray(r.ub)[q], "n": n[p, q], "rho": rho[p, q]})
+
+    kind = dict(d.dtypes)["u"]
+    # Blocks meet by equality keys, so the cells are dealt over the tasks: a block goes once to each block.
+    count = rows.agg(F.max("block").alias("k"))
+    cells = a.crossJoin(F.broadcast(count)).withColumn("bb", F.explode(F.sequence(F.col("ba"), F.col("k")))).repartition("ba", "bb")
+    out = cells.join(b, "bb").select("ba", "bb", "ua", "xa", "ub", "xb").mapInPandas(run, f"a {kind}, b {kind}, n long, rho double")
+    out = out.select(F.col("a").alias(f"{unit}_a"), F.col("b").alias(f"{unit}_b"), "n", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
+    return out.withColumn("p", PV.spearman_p_col(F.col("rho"), F.col("n")))
+
+
 def _weighted_ranks(d: DataFrame, by: list[str], c: str, out: str) -> DataFrame:
     from fieldhush.operators.blocks import ordered, running
 

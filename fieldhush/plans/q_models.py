@@ -368,8 +368,7 @@ def m25(spark, sf):
     d = materialize(M.permutation_importance(r.join(sized(usable), "session"), "session", ["vec_id"], "embedding", "clip_label", model), "importance")
     order = F.struct((-F.col("drop")).alias("k"), "feature")
     top = d.groupBy("session").agg(F.transform(F.slice(F.array_sort(F.collect_list(order)), 1, 10), lambda x: x["feature"]).alias("top"))
-    a, b = (d.select(F.col("session").alias(f"session_{k}"), "feature", F.col("drop").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    rho = T.spearman(a.join(b, "feature").filter("session_a < session_b"), ["session_a", "session_b"], "x", "y")
+    rho = T.spearman_pairs(d, "session", "feature", "drop")
     ta, tb = (top.select(F.col("session").alias(f"session_{k}"), F.col("top").alias(f"top_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("top_a", "top_b")) / F.size(F.array_union("top_a", "top_b"))
     out = rho.join(sized(ta), "session_a").join(sized(tb), "session_b")

@@ -69,6 +69,20 @@ def test_spearman_p(spark):
     assert r.rho == pytest.approx(rho) and r.p == pytest.approx(PV.spearman_p(rho, 40))
 
 
+def test_spearman_of_all_pairs(spark):
+    """Every two units as by ``spearman``, in blocks, with ties, missing items and a constant unit; the items of a pair are no rows."""
+    rng = np.random.default_rng(7)
+    rows = [(u, j, float(rng.integers(0, 6)) if u != 5 else 1.0) for u in range(11) for j in range(9) if (u, j) not in {(2, 3), (4, 0), (4, 1), (4, 2), (4, 8)}]
+    d = spark.createDataFrame([*rows, (8, 100, None), (None, 1, 1.0)], "u long, item int, v double").repartition(3)
+    a, b = (d.select(F.col("u").alias(f"u_{k}"), "item", F.col("v").alias(w)) for k, w in (("a", "x"), ("b", "y")))
+    want = {(r.u_a, r.u_b): (r.n, r.rho) for r in stats.spearman(a.join(b, "item").filter("u_a < u_b"), ["u_a", "u_b"], "x", "y").collect()}
+    out = stats.spearman_pairs(d, "u", "item", "v", block_units=4)
+    got = {(r.u_a, r.u_b): (r.n, r.rho) for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) == 55
+    for k, (n, rho) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(rho, abs=1e-12), k
+
+
 def test_corrections_are_ordered(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.2]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double")
