@@ -96,13 +96,15 @@ def probe(df: DataFrame, target: str, fold: str, folds: Sequence[int], classifie
         clf = classifier.copy().setFeaturesCol("__scaled").setLabelCol("__y")
         m = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="__scaled", withMean=True), clf]).fit(rows.filter(F.col(fold) != k))
         p = m.transform(rows.filter(F.col(fold) == k)).withColumn("guess", F.try_element_at(names, F.col("prediction").cast("int") + 1))
-        p = p.select(*df.columns, F.col("__t").alias("truth"), "guess")
+        # Written fold by fold: a forest has a count of every class in every node, so no plan may keep the models of all folds.
+        p = materialize(p.select(*df.columns, F.col("__t").alias("truth"), "guess"), "guesses")
         out = p if out is None else out.unionByName(p)
     return out
 
 
 def forest(trees: int = 50, depth: int = 6) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42)
+    """The tasks keep the node of each row: otherwise every step of the fit sends them all trees with the class counts of all nodes."""
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, cacheNodeIds=True)
 
 
 def importances(df: DataFrame, target: str, names: Sequence[str], trees: int = 50) -> DataFrame:
