@@ -41,6 +41,16 @@ def ratio_capped(df: DataFrame, by: Sequence[str], ids: Sequence[str], label: st
     return ranked.filter(keep).drop("__rn", "__pos_n")
 
 
+def ratio_steps(df: DataFrame, by: Sequence[str], ids: Sequence[str], label: str, ratios: Sequence[float], seed: str, out: str = "from_ratio") -> DataFrame:
+    """The rows that ``ratio_capped`` keeps at any of the ascending ``ratios``, with the index of the first that keeps them; negatives are ranked once."""
+    n_pos = df.groupBy(*by).agg(F.sum(label).alias("__pos_n")).filter(F.col("__pos_n") > 0)
+    ranked = hash_rank(df.join(sized(n_pos), list(by)), [*by, label], ids, seed, "__rn")
+    first = F.when(F.col(label) == 1, 0)
+    for i, ratio in enumerate(ratios):
+        first = first.when(F.col("__rn") <= F.col("__pos_n") * ratio, i)
+    return ranked.withColumn(out, first).filter(F.col(out).isNotNull()).drop("__rn", "__pos_n")
+
+
 def matched(df: DataFrame, by: Sequence[str], ids: Sequence[str], label: str, seed: str, ratio: int = 1) -> DataFrame:
     """Equal positives and negatives per group (negatives up to ``ratio`` times); one-class groups are dropped."""
     sizes = df.groupBy(*by).agg(F.sum(label).alias("__p"), F.sum(1 - F.col(label)).alias("__n"))

@@ -310,9 +310,11 @@ def m21_strategies(spark, sf):
 @query("m22_class_ratio_grid")
 def m22(spark, sf):
     out = None
-    base = materialize(clip_features(spark, sf), "ratio-clips")
-    for ratio in (1, 2, 3, 5):
-        s = K.ratio_capped(base, ["rec", "hour"], ["clip_id"], "clip_label", ratio, "42")
+    ratios = (1, 2, 3, 5)
+    base = clip_features(spark, sf).select("clip_id", "rec", "hour", "clip_label", "features")
+    every = materialize(K.ratio_steps(base, ["rec", "hour"], ["clip_id"], "clip_label", ratios, "42"), "ratio-clips")
+    for i, ratio in enumerate(ratios):
+        s = every.filter(F.col("from_ratio") <= i).drop("from_ratio")
         s = materialize(K.k_folds(s, "clip_label", ["clip_id"], 5, "1"), "ratio")
         part = held_out(s, "fold", "features").withColumn("ratio", F.lit(ratio))
         out = part if out is None else out.unionByName(part)

@@ -38,6 +38,29 @@ def test_held_out_scores_find_the_planted_effect(planted):
     assert evaluate.roc_auc(s, [], "score", "label").first().auc > 0.75
 
 
+def test_probe_keeps_no_model(planted):
+    """Guesses are read from written rows: a plan that keeps the models of all folds holds every class's counts in every node."""
+    f = sampling.group_folds(planted, "rec", 2, "1").cache()
+    out = models.probe(f.select("id", "session", "fold", "features"), "session", "fold", range(2), models.forest(5))
+    assert out.count() == 400 and "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+
+
+def test_forest_is_the_same_with_nodes_kept_in_the_tasks(planted):
+    fit = lambda c: c.setFeaturesCol("features").setLabelCol("session").fit(planted)
+    a, b = fit(models.forest(7)), fit(models.forest(7).setCacheNodeIds(False))
+    assert models.forest().getCacheNodeIds() and a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+
+
+def test_ratio_steps_keep_what_each_ratio_keeps(spark):
+    rows = [(i, i % 3, int(i % 7 == 0 and i % 3 > 0)) for i in range(200)]  # group 0 has no positive
+    d = spark.createDataFrame(rows, "id long, g int, y int").repartition(3)
+    steps = sampling.ratio_steps(d, ["g"], ["id"], "y", [1, 2, 3, 9], "42")
+    for i, ratio in enumerate([1, 2, 3, 9]):
+        want = {r.id for r in sampling.ratio_capped(d, ["g"], ["id"], "y", ratio, "42").collect()}
+        assert {r.id for r in steps.filter(F.col("from_ratio") <= i).collect()} == want and want
+
+
 def test_anomaly_scores_rank_outliers_high(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5))
