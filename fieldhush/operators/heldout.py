@@ -42,19 +42,20 @@ def _chunks(df: DataFrame, group: str, label: str, features: str) -> tuple[DataF
     groups = materialize(number_rows(names, [], ["grp"]).select("grp", F.col("__pos").alias("g")), "groups")
     rows = df.select(F.col(group).alias("grp"), F.col(label).cast("int").alias("y"), F.transform(F.col(features), lambda x: x.cast("double")).alias("x")).filter("y is not null and x is not null")
     rows = rows.join(sized(groups), "grp").select("g", "y", "x")
-    rows = materialize(rows.repartitionByRange("g", F.xxhash64("x")).sortWithinPartitions("g"), "rows")
-    width = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    rows = rows.repartitionByRange("g", F.xxhash64("x")).sortWithinPartitions("g")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             g, y = np.asarray(b.column("g")), np.asarray(b.column("y"), np.int8)
-            x = np.asarray(b.column("x").flatten(), np.float64).reshape(len(g), width)
+            x = np.asarray(b.column("x").flatten(), np.float64).reshape(len(g), -1) if len(g) else None
             for run in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1) if len(g) else []:
                 for at in range(0, len(run), CHUNK_ROWS):
                     i = run[at : at + CHUNK_ROWS]
                     yield pa.RecordBatch.from_pydict({"g": [int(g[i[0]])], "y": [y[i].tobytes()], "x": [x[i].tobytes()]})
 
-    return materialize(rows.mapInArrow(pack, "g long, y binary, x binary"), "chunks"), groups, width
+    chunks = materialize(rows.mapInArrow(pack, "g long, y binary, x binary"), "chunks")
+    width = chunks.agg(F.max(F.expr("length(x) div (8 * length(y))"))).first()[0] or 0
+    return chunks, groups, width
 
 
 def _unpacked(y: bytes, x: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
