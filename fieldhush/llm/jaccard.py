@@ -35,6 +35,7 @@ SKETCH_CHUNK = 1 << 12
 SALT_ROWS = 50_000
 BLOCK_ROWS = 2048
 SHORT_BYTES = 128
+FILTER_BITS = 24
 
 
 def _edges() -> list[int]:
@@ -114,6 +115,19 @@ def chosen(e: np.ndarray, pct: int, sketch: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else e[:0]
 
 
+def may_hold(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The ``rows`` whose key may be one of ``keys``: all that are, and the more others the fuller the bits.
+
+    Spark's bitmaps of 4 KB, 2 MB in all, whatever the input. They go to the rows, so texts that a join would only drop are not shuffled.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
+    part, at = F.shiftright(place, 15), place % F.lit(1 << 15)
+    maps = keys.groupBy(part.alias("__part")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = rows.withColumn("__part", part).join(F.broadcast(maps), "__part").filter(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return seen.select(*rows.columns)
+
+
 def _measure(docs: DataFrame, k: int, pct: int) -> DataFrame:
     """Rows (key, n, fa, fb) of each document's set, and rows (chunk, counts) of the sketch of each task."""
 
@@ -141,6 +155,7 @@ def _measure(docs: DataFrame, k: int, pct: int) -> DataFrame:
             for c in range(0, len(sketch), SKETCH_CHUNK):
                 x = sketch[c : c + SKETCH_CHUNK]
                 if x.any():
+                    x = x.view(np.uint8).reshape(-1, 4).T  # byte planes: the upper ones are nearly all zero and pack to nothing
                     nothing = pa.nulls(1, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), nothing, nothing, nothing, pa.array([c // SKETCH_CHUNK], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=names)
 
@@ -159,7 +174,7 @@ def _sketch(measured: DataFrame) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         s = np.zeros(SKETCH_CHUNK, np.int64)
         for x in t["counts"]:
-            s += np.frombuffer(x.as_buffer(), np.int32)
+            s += np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
         return pa.table({"chunk": t["chunk"].slice(0, 1), "counts": pa.array([s.tobytes()], pa.binary())})
 
     parts = measured.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
@@ -247,8 +262,8 @@ def _possible(pairs: DataFrame, bits: DataFrame, pct: int) -> DataFrame:
             keep = [least_difference(p, q) <= most_different(i, j, pct) for p, q, i, j in zip(x, y, n, m, strict=True)]
             yield b.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    left = bits.select(F.col("key").alias("a"), F.col("bits").alias("x"), "n")
-    right = bits.select(F.col("key").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    left = may_hold(bits, pairs.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("bits").alias("x"), "n")
+    right = may_hold(bits, pairs.select(F.col("b").alias("key"))).select(F.col("key").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
     kind = bits.schema["key"].dataType.simpleString()
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "x", "y", "n", "m")
     return both.mapInArrow(run, ", ".join(f"{c} {kind}" for c in ("a", "b", "ca", "cb")))
@@ -349,8 +364,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
                 if part.num_rows:
                     yield part.rename_columns(["a", "b"])
 
-    ta = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+    ta = may_hold(texts, pairs.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("text").alias("ta"))
+    tb = may_hold(texts, pairs.select(F.col("b").alias("key"))).select(F.col("key").alias("b"), F.col("text").alias("tb"))
     kind = texts.schema["key"].dataType.simpleString()
     return pairs.join(ta, "a").join(tb, "b").select("a", "ta", "tb", "ca", "cb").mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -376,7 +391,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signed = _signed(loud, sketch, k, pct)
     shared = signed.select("*", F.expr("count(*) over (partition by sig, salt)").alias("c")).filter("c > 1 or salt >= 0")
     groups = materialize(shared.select("sig", "key", "n"), "groups")
-    texts = materialize(loud.join(sized(groups.select("key").distinct()), "key", "left_semi"), "candidates")
+    # A few texts that are in no group may come along; nothing joins them.
+    texts = materialize(may_hold(loud, groups.select("key")), "candidates")
     bits = materialize(_bitmaps(texts, k), "bitmaps")
     # Copies are linked to their first key alone; only keys with several rows can link such stars to each other.
     if several.isEmpty():

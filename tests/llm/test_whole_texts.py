@@ -1,9 +1,15 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 from fieldhush.llm import jaccard, line_dedup
+from fieldhush.llm.wordvec import shingle_sets
 
 
 def windows(text, n):
@@ -64,3 +70,28 @@ def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
 def test_near_dedup_of_equal_rows_under_one_id(spark):
     d = spark.createDataFrame([(2, "one two three four five six"), (2, "one two three four five six"), (3, "one two three four five six")], "doc_id long, text string")
     assert [tuple(r) for r in jaccard.near_dedup(d).collect()] == [(2, "one two three four five six")]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_key_bitmaps_keep_every_key(spark, kind):
+    """Rows of wanted keys all pass and few others do, so that joins need not shuffle texts that they would drop."""
+    rows = spark.range(20_000).select(F.col("id").cast(kind).alias("key"), F.lit("x").alias("text"))
+    got = jaccard.may_hold(rows, rows.filter("cast(key as long) % 50 = 0").select("key"))
+    assert got.columns == ["key", "text"]
+    keys = {int(r.key) for r in got.collect()}
+    assert keys >= set(range(0, 20_000, 50)) and len(keys) < 500
+    full = jaccard.may_hold(rows, rows.select("key"), bits=15)
+    assert full.count() == 20_000
+    assert jaccard.may_hold(rows, rows.limit(0).select("key")).count() == 0
+
+
+def test_shingles_hold_a_slice_at_a_time():
+    """8 MB of text took some 200 MB of a worker when slices were 4 MB."""
+    text = " ".join(f"w{i % 977}" for i in range(200))
+    texts = pa.array([text] * (8 * 10**6 // len(text)))
+    tracemalloc.start()
+    try:
+        assert len({len(e) for e in shingle_sets(texts)}) == 1
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
