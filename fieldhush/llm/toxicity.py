@@ -18,7 +18,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -89,8 +89,8 @@ class Model:
 
     def _raw(self, words: list[str]) -> np.ndarray:
         out = []
-        for i in range(0, len(words), 4_000):
-            part = words[i : i + 4_000]
+        for i in range(0, len(words), 1_000):
+            part = words[i : i + 1_000]
             who, where, weight, norm = _maps(part)
             out.append(np.bincount(who, weight * self.table[where], len(part)) / np.sqrt(norm) + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
@@ -126,6 +126,7 @@ def document_words(text: str) -> list[str]:
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 30.0) -> tuple[np.ndarray, float]:
     """L2 support vector machine by Newton steps on the squared hinge; the bias is the last, unregularised coefficient."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
+    del x  # the caller has no use for it either
     w, ridge = np.zeros(x1.shape[1]), np.eye(x1.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(60):
@@ -134,6 +135,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 30.0) -
         new = np.linalg.solve(ridge + (xa * c[:, None]).T @ xa, xa.T @ (c * y[active]))
         step = np.abs(new - w).max()
         w = 0.5 * (w + new) if step > 10 else new
+        del xa
         if step < 1e-8:
             break
     return w[:-1], float(w[-1])
@@ -189,23 +191,22 @@ def train(texts: list[str], toxic: np.ndarray, rate: float, landmarks: int = LAN
 def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) -> Model | None:
     """The machine without its curve; None where nothing tells toxic from clean documents."""
     rnd = np.random.default_rng(seed)
-    seen = {True: Counter(), False: Counter()}
-    same: dict[str, str] = {}  # one object for each word
-    toxic_sentences: list[set[str]] = []
-    for t, y in zip(texts, toxic, strict=True):
-        sets = [{same.setdefault(b, b) for w in s.split() for b in [bare(w)]} for s in _SPLIT.split(t.lower())]
-        seen[bool(y)].update(set().union(*sets))
-        if y:
-            toxic_sentences += sets
-    del same
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0 or not seen[True]:
+    if toxic.all() or not toxic.any():
         return None
-    telling = evidence(*_fresh_counts(texts, toxic))
+    # One thing after the other, as all of it is in the driver's memory: the counts are gone before sentences are kept.
+    counts = _fresh_counts(texts, toxic)
+    telling = evidence(*counts) if counts[0] else {}
+    del counts
     if not telling:
         return None
+    clean: Counter = Counter()
+    for t in (t for t, y in zip(texts, toxic, strict=True) if not y):
+        clean.update({bare(w) for s in _SPLIT.split(t.lower()) for w in s.split()})
+    some, toxic_sentences = _sentences((t for t, y in zip(texts, toxic, strict=True) if y), clean)
+    if not some:
+        return None
     ranked = sorted(telling, key=lambda w: (-telling[w], w))[:POSITIVE_WORDS]
-    common = [w for w, _ in sorted(seen[False].items(), key=lambda x: (-x[1], x[0])) if len(w) > 2 and w not in telling][: landmarks * 20]
+    common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if len(w) > 2 and w not in telling][: landmarks * 20]
     basis = _landmarks(ranked, landmarks * 3 // 4) + list(rnd.permutation(np.array(common, object))[: landmarks // 4])
     who, where, weight, norm = _maps(basis)
     used, at = np.unique(where, return_inverse=True)  # only the landmarks' entries matter, so the table of their maps stays small
@@ -216,8 +217,8 @@ def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) ->
 
     def kernel(words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(basis)))
-        for i in range(0, len(words), 200):
-            who, where, weight, norm = _maps(words[i : i + 200])
+        for i in range(0, len(words), 50):
+            who, where, weight, norm = _maps(words[i : i + 50])
             order = np.argsort(who, kind="stable")
             order = order[place[where[order]] >= 0]
             ends = np.searchsorted(who[order], np.arange(len(norm) + 1))
@@ -228,7 +229,7 @@ def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) ->
 
     val, vec = np.linalg.eigh(kernel(basis) + 1e-6 * np.eye(len(basis)))
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
-    clean_words = sorted(w for w in seen[False] if w not in telling)
+    clean_words = sorted(w for w in clean if w not in telling)
     hard = [clean_words[i] for i in rnd.permutation(len(clean_words))[:6000]]
     model, heard = None, Counter()
     for _ in range(2):
@@ -236,7 +237,7 @@ def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) ->
         pos = list(dict.fromkeys([*ranked, *sorted(heard, key=lambda w: (-heard[w], w))]))[:POSITIVE_WORDS]
         odd = [v for w in ranked for v in _variants(w, rnd)]
         y = np.concatenate([np.ones(len(pos) + len(odd)), -np.ones(len(hard))])
-        n, h = np.sqrt([telling.get(w, 0.0) + heard[w] for w in pos]), np.sqrt([seen[False][w] for w in hard])
+        n, h = np.sqrt([telling.get(w, 0.0) + heard[w] for w in pos]), np.sqrt([clean[w] for w in hard])
         share = np.concatenate([n / n.sum(), np.full(len(odd), 1 / max(len(odd), 1)), 4 * h / h.sum()])
         w, bias = _svm(kernel([*pos, *odd, *hard]) @ root, y, share * 1000)
         table = np.zeros(1 << TABLE_BITS, np.float32)
@@ -244,39 +245,59 @@ def _machine(texts: list[str], toxic: np.ndarray, landmarks: int, seed: int) ->
         model = Model(table, bias, np.zeros(5))
         order = np.argsort(-model.words(clean_words))
         hard = list(dict.fromkeys([clean_words[i] for i in order[:6000]] + hard[:3000]))
-        heard = _loudest(model, toxic_sentences, seen[False], float(np.max(model.words(hard[:1]), initial=-1.0)))
+        heard = _loudest(model, toxic_sentences, float(np.max(model.words(hard[:1]), initial=-1.0)))
     return model
 
 
+def _sentences(texts: Iterable[str], clean: Counter) -> tuple[bool, list[tuple[str, ...]]]:
+    """Whether there is any word, and each sentence's words that no clean document has; sentences without such words are left out."""
+    same: dict[str, str] = {}  # one object for each word
+    some, out = False, []
+    for t in texts:
+        for s in _SPLIT.split(t.lower()):
+            words = {bare(w) for w in s.split()}
+            some = some or bool(words)
+            if own := tuple(same.setdefault(w, w) for w in words if w not in clean):
+                out.append(own)
+    return some, out
+
+
 def _fresh_counts(texts: list[str], toxic: np.ndarray) -> tuple[Counter, Counter]:
     """For toxic and for clean documents, in how many of them each word stands between two words with which no earlier document of the kind has it.
 
     Copies of a document repeat its words in the same places, so a hundred of them say hardly more about these words than one does.
     """
     number: dict[str, int] = {}
-    parts: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
-    for t, y in zip(texts, toxic, strict=True):
-        ids = np.array([number.setdefault(b, len(number)) for w in t.lower().split() for b in [bare(w)]], np.uint64)
-        if len(ids):
-            edge = np.array([1 << 40], np.uint64)
-            before, after = np.concatenate([edge, ids[:-1]]), np.concatenate([ids[1:], edge])
-            parts[bool(y)].append((ids, scramble(scramble(scramble(before) ^ ids) ^ after)))
-    names = list(number)
     out = []
-    for y in (True, False):
-        n = [len(i) for i, _ in parts[y]]
-        if not n:
-            out.append(Counter())
-            continue
-        ids, place = np.concatenate([i for i, _ in parts[y]]), np.concatenate([p for _, p in parts[y]])
-        doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-        first = np.unique(place, return_index=True)[1]
-        both = np.unique(doc[first] * np.uint64(len(names)) + ids[first])
-        count = np.bincount((both % np.uint64(len(names))).astype(np.int64), minlength=len(names))
-        out.append(Counter({names[i]: int(count[i]) for i in np.flatnonzero(count)}))
+    for kind in (True, False):
+        ids, places = [], []
+        for t in (t for t, y in zip(texts, toxic, strict=True) if bool(y) == kind):
+            i = np.array([number.setdefault(b, len(number)) for w in t.lower().split() for b in [bare(w)]], np.uint64)
+            if len(i):
+                edge = np.array([1 << 40], np.uint64)
+                before, after = np.concatenate([edge, i[:-1]]), np.concatenate([i[1:], edge])
+                ids.append(i.astype(np.uint32))
+                places.append(scramble(scramble(scramble(before) ^ i) ^ after))
+        out.append(_documents_of_words(ids, places, list(number)))
     return out[0], out[1]
 
 
+def _documents_of_words(ids: list[np.ndarray], places: list[np.ndarray], names: list[str], slices: int = 16) -> Counter:
+    """The number of documents in which each word stands in a new place; takes the documents' arrays out of the lists."""
+    if not ids:
+        return Counter()
+    doc = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(i) for i in ids])
+    every, place = np.concatenate(ids), np.concatenate(places)
+    ids.clear(), places.clear()
+    count, n = np.zeros(len(names), np.int64), np.uint64(len(names))
+    for k in range(slices):  # a place belongs to one word, so a part of the words can be counted alone
+        at = np.flatnonzero(every % np.uint32(slices) == k)
+        first = at[np.unique(place[at], return_index=True)[1]]
+        both = np.unique(doc[first].astype(np.uint64) * n + every[first])
+        count += np.bincount((both % n).astype(np.int64), minlength=len(names))
+    return Counter({names[i]: int(count[i]) for i in np.flatnonzero(count)})
+
+
 def evidence(toxic: Counter, clean: Counter) -> dict[str, float]:
     """Words that stand in toxic documents more often than chance lets any word do, with the strength of the evidence.
 
@@ -296,13 +317,13 @@ def evidence(toxic: Counter, clean: Counter) -> dict[str, float]:
     return out
 
 
-def _loudest(model: Model, sentences: list[set[str]], clean: Counter, above: float) -> Counter:
-    """How often a word that no clean document has is the loudest of a toxic sentence, and louder than ``above``."""
-    words = sorted({w for s in sentences for w in s if w not in clean})
+def _loudest(model: Model, sentences: list[tuple[str, ...]], above: float) -> Counter:
+    """How often a word is the loudest of its sentence, and louder than ``above``."""
+    words = sorted({w for s in sentences for w in s})
     raw = dict(zip(words, model.words(words).tolist(), strict=True))
     out: Counter = Counter()
     for s in sentences:
-        loud = max(((raw[w], w) for w in s if w in raw), default=(-9.0, ""))
+        loud = max((raw[w], w) for w in s)
         if loud[0] > max(above, 0.0):
             out[loud[1]] += 1
     return out

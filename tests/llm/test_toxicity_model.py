@@ -77,3 +77,27 @@ def test_evidence_needs_more_than_chance():
 
     toxic, clean = Counter({"insult": 9, "quoted": 30, "rare": 1, "common": 20}), Counter({"quoted": 1, "common": 180, **{f"w{i}": 5 for i in range(400)}})
     assert set(toxicity.evidence(toxic, clean)) == {"insult", "quoted"}
+
+
+def test_learning_needs_little_memory():
+    """The driver learns beside its JVM: arrays and sets of the whole sample must not be held at once."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(1)
+    names = np.array([f"word{i}" for i in range(3000)])
+    sentence = lambda insult: " ".join([*names[rnd.integers(0, len(names), 7)], *insult])
+    texts = [". ".join(sentence(["blockhead"] if i % 2 and j < 3 else []) for j in range(250)) for i in range(400)]
+    toxic = np.arange(400) % 2 == 1
+    tracemalloc.start()
+    model = toxicity._machine(texts, toxic, 32, 0)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert model.words(["blockhead"])[0] > 0 > model.words(["word7"])[0]
+    assert peak < 45, peak  # 700,000 words; 78 MB when copies of all arrays and a set of each sentence were kept
+
+
+def test_nothing_to_learn_from_texts_without_words():
+    both = np.array([True, False])
+    assert toxicity._machine(["", " \n"], both, 16, 0) is None
+    assert toxicity._machine(["...", "a clean text"], both, 16, 0) is None
+    assert toxicity._machine(["a b", "c d"], both & False, 16, 0) is None
