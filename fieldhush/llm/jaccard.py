@@ -32,6 +32,7 @@ from fieldhush.sources.scratch import materialize, sized
 
 SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 12
+SKETCH_HELD = 1 << 17
 SALT_ROWS = 50_000
 BLOCK_ROWS = 2048
 SHORT_BYTES = 128
@@ -145,7 +146,7 @@ def _measure(docs: DataFrame, k: int, pct: int) -> DataFrame:
                 for _, sig, weak in signatures(e, pct) if len(e) else ():
                     seen += [sig, weak]
                     held += len(sig) + len(weak)
-                if held > 1 << SKETCH_BITS:
+                if held > SKETCH_HELD:
                     count(sketch, seen)
                     seen, held = [], 0
             none = pa.nulls(len(n), pa.int32())
@@ -161,7 +162,7 @@ def _measure(docs: DataFrame, k: int, pct: int) -> DataFrame:
 
     def count(sketch: np.ndarray, seen: list[np.ndarray]) -> None:
         if seen:
-            sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+            np.add.at(sketch, (np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
 
     names = ["key", "n", "fa", "fb", "chunk", "counts"]
     kind = docs.schema["key"].dataType.simpleString()
@@ -258,8 +259,10 @@ def _possible(pairs: DataFrame, bits: DataFrame, pct: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y, n, m = (b[c].to_pylist() for c in ("x", "y", "n", "m"))
-            keep = [least_difference(p, q) <= most_different(i, j, pct) for p, q, i, j in zip(x, y, n, m, strict=True)]
+            keep = []
+            for at in range(0, b.num_rows, 256):  # bitmaps of long texts take kilobytes
+                x, y, n, m = (b[c].slice(at, 256).to_pylist() for c in ("x", "y", "n", "m"))
+                keep += [least_difference(p, q) <= most_different(i, j, pct) for p, q, i, j in zip(x, y, n, m, strict=True)]
             yield b.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
     left = may_hold(bits, pairs.select(F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("bits").alias("x"), "n")

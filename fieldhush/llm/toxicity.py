@@ -37,7 +37,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 SAMPLE_CHARS = 1 << 18
 LANDMARKS, POSITIVE_WORDS, TABLE_BITS, DECAY = 256, 1500, 18, 0.7
 THRESHOLD = 0.7
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 17
 #: Offsets of a subsequence's later characters: three within five places, four within six.
 SHAPES = [(0, *c) for n, span in ((2, 5), (3, 6)) for c in combinations(range(1, span), n)]
 EDGE = ".,;:!?\"'()[]{}|*#$%&<>-_"
