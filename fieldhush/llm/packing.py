@@ -121,12 +121,12 @@ def pack(pieces: DataFrame, order: Sequence[str], length: str = "length", capaci
     return numbered.select(*[F.col(f"`{c}`") for c in names], "__pos").mapInArrow(place, schema)
 
 
-def packed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, **options) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset for each piece of every document.
 
     The ids themselves are left out of the shuffle; ``sequences`` puts them back.
     """
-    p = token_pieces(docs, tokenizer or vocabulary("word_bpe_49k.json"), key, text, capacity)
+    p = token_pieces(docs, tokenizer or vocabulary("word_bpe_49k.json"), key, text, capacity, **options)
     return pack(p.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), [key, "piece", "ids_crc32"], capacity=capacity)
 
 

@@ -67,4 +67,4 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents placed in sequences of at most 2048 tokens. The last stage: a row per piece."""
     from fieldhush.llm.packing import packed_documents
 
-    return packed_documents(docs)
+    return packed_documents(docs, slice_bytes=1 << 20)  # executors still have the memory of the stages before

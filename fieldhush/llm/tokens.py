@@ -169,28 +169,28 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with the ids of column ``text``, each with the end id."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with the ids of column ``text``, each with the end id. Smaller slices take less memory and more time."""
     enc, end = encoder(path), end_id.to_bytes(4, "little")
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         i = 0
         while i < batch.num_rows:
-            # As many texts as fit into SLICE_BYTES, one at least: the more there are, the more often a unit is met again.
-            n = max(1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, "right")) - i)
+            # As many texts as fit into ``slice_bytes``, one at least: the more there are, the more often a unit is met again.
+            n = max(1, int(np.searchsorted(size, (size[i - 1] if i else 0) + slice_bytes, "right")) - i)
             part = batch.slice(i, n)
             yield part, [x + end for x in enc.encode([t or "" for t in part["text"].to_pylist()])]
             i += n
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(key, piece, start, length, ids) of every document: its ids and the end id, cut after every ``capacity`` ids.
 
     ``ids`` holds little-endian unsigned 32-bit integers. A null or empty text has one piece, the end id.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in encoded(batches, tokenizer):
+        for part, ids in encoded(batches, tokenizer, slice_bytes=slice_bytes):
             n = [len(x) // 4 for x in ids]
             rows = [(i, p) for i, x in enumerate(n) for p in range(-(-x // capacity))]
             yield pa.RecordBatch.from_arrays([
