@@ -17,7 +17,7 @@ from fieldhush.sources import audio
 from fieldhush.sources import tables as B
 from fieldhush.sources.scratch import scratch_dir
 from fieldhush.streaming import online, timed
-from fieldhush.streaming.timed import rocks_state
+from fieldhush.streaming.timed import rocks_state, state_partitions
 
 RATE = 32000
 
@@ -186,7 +186,7 @@ def d4(spark, sf):
 # ---- streams ---------------------------------------------------------------
 
 LATENESS = 2 * 3600  # slices of the feed are read in order, so only the rows of this span and of a time bucket wait
-FEED_ROWS, FEED_BATCHES, FEED_FILES = 200_000, 5, 3  # rows of a micro-batch, about; micro-batches of a small feed; files of each
+FEED_ROWS, FEED_BATCHES, FEED_FILES = 1_000_000, 5, 3  # rows of a micro-batch, about; micro-batches of a small feed; files of each
 
 
 def replay(spark, sf, scorer, path=None):
@@ -201,21 +201,23 @@ def replay(spark, sf, scorer, path=None):
     n, first, last = events.agg(F.count("*"), F.min("t"), F.max("t")).first()
     first, last = first or 0, last or 0
     slices = max(FEED_BATCHES, -(-n // FEED_ROWS))
+    partitions = state_partitions(events, "rec")
     staged, feed, progress = fresh(spark, "slices"), fresh(spark, "feed"), fresh(spark, "progress")
     path = path or fresh(spark, "scored")
     events.withColumn("slice", F.floor((F.col("t") - first) * slices / (last - first + 1)).cast("int")).repartition("slice").write.partitionBy("slice").parquet(staged)
     schema = events.schema
+    sliced = spark.read.schema(T.StructType([*schema, T.StructField("slice", T.IntegerType())])).parquet(staged)  # listed once for all slices
 
     def add(df) -> None:
         df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(feed)
 
     def run() -> None:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FEED_FILES).parquet(feed)
-        with rocks_state(spark):
+        with rocks_state(spark, partitions):
             online.run_to_table(scorer(stream, LATENESS), path, progress)
 
     for k in range(slices):
-        add(spark.read.parquet(staged).filter(F.col("slice") == k).repartition(FEED_FILES))
+        add(sliced.filter(F.col("slice") == k).repartition(FEED_FILES))
     run()
     beat = {"rec": F.lit(0), "t": F.lit(last + LATENESS + 86400)}
     add(spark.range(1).select(*[beat.get(f.name, F.lit(None)).alias(f.name) for f in schema]).coalesce(1))

@@ -12,6 +12,7 @@ it moves the watermark and is not scored. A stream that has ended is flushed by
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -26,20 +27,44 @@ from fieldhush.streaming.online import Run, scorer_run, self_updating_run
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
+#: Rows of a recorder that a task gathers before it writes them to the state.
+PART_ROWS = 1 << 18
 
 
 @contextmanager
-def rocks_state(spark: SparkSession) -> Iterator[None]:
-    """Queries that start inside keep their state in RocksDB; the session's own setting comes back afterwards."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKS)
+def rocks_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, in so many partitions if given; the session's own settings come back afterwards.
+
+    A micro-batch writes its changes to the checkpoint; Spark writes whole snapshots of the state now and then.
+    """
+    wanted = {_PROVIDER: ROCKS, _CHANGES: "true"} | ({_PARTITIONS: str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def state_partitions(rows: DataFrame, rec: str) -> int:
+    """Partitions for the state of the recorders of ``rows``, at most the session's number.
+
+    Every micro-batch opens and commits the state of every partition, whether a recorder lies in it or not. Where recorders are few, this is
+    the least number up to four times theirs in which the fewest of them share a partition, by the hash that Spark deals them with.
+    """
+    most = int(rows.sparkSession.conf.get(_PARTITIONS))
+    codes = [r[0] for r in rows.select(F.hash(rec)).distinct().limit(most).collect()]
+    if 4 * len(codes) >= most:
+        return most
+    return min(range(max(len(codes), 1), 4 * len(codes) + 2), key=lambda n: max(Counter(c % n for c in codes).values(), default=0))
 
 
 class _Timed(StatefulProcessor):
@@ -59,18 +84,31 @@ class _Timed(StatefulProcessor):
         self.memory.update(([float(v) for v in initialState["memory"].iloc[0]],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        come, n = [], 0
         for pdf in rows:
-            pdf = pdf[pdf[self.tie].notna()]
-            for bucket, part in pdf.groupby(pdf[self.t] // self.width):
-                known = (int(bucket),)
-                n = self.parts.getValue(known)[0] if self.parts.containsKey(known) else 0
-                self.waiting.updateValue((*known, n), tuple(v.tobytes() for v in (
-                    part[self.t].to_numpy(np.int64), part[self.tie].to_numpy(np.int64), part[self.values].to_numpy(float))))
-                self.parts.updateValue(known, (n + 1,))
-                if not n:
-                    self.handle.registerTimer((known[0] + 1) * self.width * 1000)
+            pdf = pdf[pdf[self.tie].notna() & pdf[self.t].notna()]
+            come.append((pdf[self.t].to_numpy(np.int64), pdf[self.tie].to_numpy(np.int64), pdf[self.values].to_numpy(float)))
+            n += len(pdf)
+            if n >= PART_ROWS:
+                self._wait(come)
+                come, n = [], 0
+        if n:
+            self._wait(come)
         yield pd.DataFrame(columns=self._names())
 
+    def _wait(self, come: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Add a part to every bucket that has rows; each call of the state is a message to Spark, so frames are not written one by one."""
+        t, tie, x = (np.concatenate(c) for c in zip(*come))
+        bucket = t // self.width
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            known = (int(bucket[part[0]]),)
+            n = self.parts.getValue(known)[0] if self.parts.containsKey(known) else 0
+            self.waiting.updateValue((*known, n), (t[part].tobytes(), tie[part].tobytes(), x[part].tobytes()))
+            self.parts.updateValue(known, (n + 1,))
+            if not n:
+                self.handle.registerTimer((known[0] + 1) * self.width * 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = (expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.width - 1,)
         if not self.parts.containsKey(known):

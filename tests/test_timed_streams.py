@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldhush.operators import series
 from fieldhush.operators.blocks import ordered
@@ -102,3 +103,79 @@ def test_rows_that_wait_are_not_written_again(rows):
     (got,) = p.handleExpiredTimer((1,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 10_000_000))
     assert got.id.tolist() == rows.sort_values(["t", "id"]).id.tolist()
     assert not any(maps.values())
+
+
+def test_frames_are_gathered_before_they_are_written(rows, monkeypatch):
+    """Each call of the state is a message: 26 frames over 9 buckets are one part a bucket, or as many as ``PART_ROWS`` makes. Rows without a time are left out."""
+    from types import SimpleNamespace
+
+    calls = []
+
+    class State(dict):
+        containsKey, getValue = dict.__contains__, dict.__getitem__
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            self[key] = value
+
+    def wait():
+        calls.clear()
+        maps, timers = {}, []
+        handle = SimpleNamespace(getValueState=lambda *a: None, registerTimer=timers.append, getMapState=lambda name, *a: maps.setdefault(name, State()))
+        p = timed._Timed("rec", "t", "id", ["x", "y"], [T.StructField("z", T.DoubleType())], None, 1000)
+        p.init(handle)
+        odd = pd.DataFrame({"id": [9000, np.nan], "rec": 1, "t": [np.nan, 5], "x": 0.0, "y": 0.0})
+        list(p.handleInputRows((1,), iter([*(rows[rows.id % 26 == k] for k in range(26)), odd]), None))
+        got = {k[0]: np.concatenate([np.frombuffer(v[1], np.int64) for j, v in maps["waiting"].items() if j[0] == k[0]]) for k in maps["parts"]}
+        assert {k: sorted(v) for k, v in got.items()} == rows.groupby(rows.t // 1000).id.apply(sorted).to_dict()
+        assert sorted(timers) == [(k + 1) * 1_000_000 for k in range(9)]
+        return len(calls)
+
+    assert wait() == 2 * 9
+    monkeypatch.setattr(timed, "PART_ROWS", 100)
+    assert 2 * 9 < wait() <= 2 * 9 * 3
+
+
+def test_state_has_few_partitions_where_recorders_are_few(spark):
+    """A partition of the state costs each micro-batch the same with and without a recorder; recorders spread over those there are."""
+    from collections import Counter
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for recs in ([0, 1, 2, 3, 4, 5], [None, 7], [7] * 5):
+            d = spark.createDataFrame([(r,) for r in recs], "rec int")
+            n = timed.state_partitions(d, "rec")
+            at = Counter(r.p for r in d.distinct().select(F.expr(f"pmod(hash(rec), {n})").alias("p")).collect())
+            assert n <= 4 * len(set(recs)) + 1 and max(at.values()) == 1
+        assert timed.state_partitions(spark.range(1000), "id") == 200
+        assert timed.state_partitions(spark.range(0), "id") == 1
+        with timed.rocks_state(spark, 7):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_replay_keeps_state_for_its_recorders_only(spark, tmp_path, monkeypatch):
+    """The state of a replay is dealt to as few partitions as its recorders need, not to the session's number."""
+    from fieldhush.plans import q_sources
+
+    ev = pd.DataFrame({"event_id": np.arange(400), "ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(np.arange(400) * 600, "s"), "user_id": np.arange(400) % 6,
+                       "event_type": "view", "value": np.arange(400) % 17 / 3.0, "props": '{"k": 7}'})
+    spark.createDataFrame(ev).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    real = q_sources.online.run_to_table
+
+    def spy(stream, *a):
+        seen.append(int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return real(stream, *a)
+
+    monkeypatch.setattr(q_sources.online, "run_to_table", spy)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        out = q_sources.replay(spark, str(tmp_path), lambda stream, late: timed.timed_scorer(stream, "rec", "t", "clip_id", "x1", lateness=late))
+        assert out.count() == 400 and len(seen) == 2 and set(seen) == {17}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
