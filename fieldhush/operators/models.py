@@ -6,6 +6,7 @@ sets, which are few; the rows of each fit stay distributed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldhush.functions.vectors import cosine, group_vectors, l2_distance
 from fieldhush.operators.evaluate import roc_auc
+from fieldhush.operators.many_classes import forest_guesses, linear_guesses
 from fieldhush.operators.ranks import percentiles
 from fieldhush.operators.sampling import hash_rank
 from fieldhush.operators.series import row_index
@@ -85,23 +87,42 @@ def cross_validate(df: DataFrame, fold: str, folds: Sequence[int], fit: Fit, pre
     return out
 
 
+#: From so many classes on, probes are fitted by ``many_classes``. Its forest keeps a class in one chunk, so no class may have more rows than this.
+MANY_CLASSES, CLASS_ROWS = 256, 1 << 16
+
+
 def probe(df: DataFrame, target: str, fold: str, folds: Sequence[int], classifier) -> DataFrame:
     """Held-out predictions of a site or session from the features: rows with ``guess``."""
     index = StringIndexer(inputCol="__t", outputCol="__y", handleInvalid="keep").fit(df.withColumn("__t", F.col(target).cast("string")))
     rows = index.transform(df.withColumn("__t", F.col(target).cast("string")))
-    rows = materialize(rows, "probe")
-    names = F.array(*[F.lit(v) for v in index.labels])
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "probe")
+    names = F.from_json(F.lit(json.dumps(list(index.labels))), "array<string>")  # one literal, not one for each class
+    guesses = _many_class_fit(rows, classifier, len(index.labels) + 1) if len(index.labels) >= MANY_CLASSES else None
     out = None
     for k in folds:
-        clf = classifier.copy().setFeaturesCol("__scaled").setLabelCol("__y")
-        m = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="__scaled", withMean=True), clf]).fit(rows.filter(F.col(fold) != k))
-        p = m.transform(rows.filter(F.col(fold) == k)).withColumn("guess", F.try_element_at(names, F.col("prediction").cast("int") + 1))
+        train, test = rows.filter(F.col(fold) != k), rows.filter(F.col(fold) == k)
+        if guesses:
+            p = test.join(guesses(train, test), "__row").withColumnRenamed("guess", "prediction")
+        else:
+            clf = classifier.copy().setFeaturesCol("__scaled").setLabelCol("__y")
+            p = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="__scaled", withMean=True), clf]).fit(train).transform(test)
+        p = p.withColumn("guess", F.try_element_at(names, F.col("prediction").cast("int") + 1))
         # Written fold by fold: a forest has a count of every class in every node, so no plan may keep the models of all folds.
         p = materialize(p.select(*df.columns, F.col("__t").alias("truth"), "guess"), "guesses")
         out = p if out is None else out.unionByName(p)
     return out
 
 
+def _many_class_fit(rows: DataFrame, classifier, classes: int) -> Callable[[DataFrame, DataFrame], DataFrame] | None:
+    """(train, test) -> (row, guess) of the same classifier made for many classes; None where there is none."""
+    if isinstance(classifier, LogisticRegression):
+        return lambda train, test: linear_guesses(train, test, "__row", "__y", "features", classes, classifier.getRegParam(), classifier.getMaxIter(), classifier.getTol())
+    if isinstance(classifier, RandomForestClassifier) and classifier.getMaxDepth() <= 6:
+        if rows.groupBy("__y").count().agg(F.max("count")).first()[0] <= CLASS_ROWS:
+            return lambda train, test: forest_guesses(train, test, "__row", "__y", "features", classifier.getNumTrees(), classifier.getMaxDepth(), classifier.getSeed())
+    return None
+
+
 def forest(trees: int = 50, depth: int = 6) -> RandomForestClassifier:
     """The tasks keep the node of each row: otherwise every step of the fit sends them all trees with the class counts of all nodes."""
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, cacheNodeIds=True)
